@@ -82,7 +82,7 @@ def ranked_positions(scored: Column, query: int = 0) -> Column:
     """``array<struct<neg, pos>>`` of sentences with a positive similarity, best first,
     equal ones by position."""
     hits = F.filter(scored, lambda s: s[f"s{query}"] > 0)
-    return F.array_sort(
+    return F.sort_array(
         F.transform(hits, lambda s: F.struct((-s[f"s{query}"]).alias("neg"), s["pos"].alias("pos")))
     )
 

@@ -95,7 +95,7 @@ def tfidf_vectors(
     placed = keyed(docs, id_col)
     weights = raw_weights(placed, terms, (id_col,), text_col, max_n, max_terms)
     packed = weights.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct("term_id", "w"))).alias("_tw"),
+        F.sort_array(F.collect_list(F.struct("term_id", "w"))).alias("_tw"),
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),
     )
     joined = placed.drop(text_col).join(packed, id_col, "left")

@@ -49,7 +49,7 @@ def quiz_from_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         words,
         _right=F.array_min(hashed_by(F.col("id"), F.col("_q")))["w"],
         _wrong=F.slice(
-            F.array_sort(hashed_by(F.col("id"), F.array_except("_a", "_q"))), 1, 3
+            F.sort_array(hashed_by(F.col("id"), F.array_except("_a", "_q"))), 1, 3
         )["w"],
     ).filter(F.col("_right").isNotNull() & (F.size("_wrong") == 3))
     slot = F.pmod(F.col("id"), F.lit(4)).cast("int")

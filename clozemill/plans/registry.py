@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clozemill.functions import text as X
-from clozemill.operators import cloze, relational, sampling, similarity, tfidf
-from clozemill.operators.common import keyed, once
-from clozemill.plans.quizview import documents, quiz_view
+from clozemill.operators import cloze, profile, relational, sampling, similarity, tfidf
+from clozemill.operators.common import keyed, once, spread
+from clozemill.plans.quizview import documents
+from clozemill.plans.quizview import quiz_view as derive_quiz
+from clozemill.plans.stages import corpus, quiz_table, vocabulary
 
 FLAGSHIP = "best_sentence"
 QUERIES = {}
@@ -19,41 +21,240 @@ def query(fn):
     return fn
 
 
-def corpus(quiz: DataFrame) -> DataFrame:
-    return quiz.select("id", relational.corpus_text().alias("text"))
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(documents(spark, sf_dir).select("doc_id", "text"))
 
 
-def vocabulary(quiz: DataFrame) -> DataFrame:
-    return tfidf.fit_tfidf(corpus(quiz))
+# ---- quiz table, splits, samples ------------------------------------------------
 
 
 @query
-def quiz_view_(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quiz_view(spark, sf_dir).select("id", "question", "A", "B", "C", "D", "answer")
+def quiz_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive_quiz(spark, sf_dir).select("id", "question", "A", "B", "C", "D", "answer")
 
 
-QUERIES["quiz_view"] = QUERIES.pop("quiz_view_")
+@query
+def split_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.split_exact(documents(spark, sf_dir).select("doc_id"), "doc_id")
+
+
+@query
+def split_by_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", F.md5("text").alias("article_key"))
+    return sampling.split_exact(docs, "doc_id", group_col="article_key").drop("article_key")
+
+
+@query
+def split_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.split_threshold(documents(spark, sf_dir).select("doc_id"), "doc_id")
+
+
+@query
+def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sampling.split_exact(documents(spark, sf_dir).select("doc_id"), "doc_id")
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def sample_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SP3-SP5: seeded samples of 1, 1,000 and 5,000 rows."""
+    docs = documents(spark, sf_dir).select("doc_id")
+    parts = [
+        sampling.sample_exact(docs, k, "doc_id").select(F.lit(k).alias("k"), "doc_id")
+        for k in (1, 1000, 5000)
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def head_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "n_chars")
+    return sampling.first_rows(docs, 2000, "doc_id")
+
+
+@query
+def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "lang")
+    ranked = sampling.two_level_rank(docs, "lang", "doc_id")
+    return ranked.select("doc_id", "lang", F.pmod("rank", F.lit(3)).alias("fold"))
+
+
+# ---- options and labels ---------------------------------------------------------
+
+
+@query
+def option_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.unpivot_options(quiz_table(spark, sf_dir))
+
+
+@query
+def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = relational.unpivot_options(quiz_table(spark, sf_dir))
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def text_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = relational.unpivot_texts(quiz_table(spark, sf_dir))
+    return cells.select(
+        "id", "field", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ")).alias("h")
+    )
+
+
+@query
+def wrong_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quiz_table(spark, sf_dir).select(
+        "id",
+        relational.correct_option().alias("correct"),
+        F.array_join(relational.wrong_options(), "|").alias("wrong"),
+        relational.cluster_text().alias("cluster_text"),
+        F.md5(relational.corpus_text()).alias("corpus_hash"),
+        F.md5(
+            relational.with_anchor(F.col("article"), relational.wrong_options())
+        ).alias("anchored_hash"),
+    )
+
+
+# ---- profile --------------------------------------------------------------------
+
+
+@query
+def null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = documents(spark, sf_dir).join(
+        spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "left"
+    )
+    return profile.column_profile(table).select("column", "filled", "missing")
+
+
+@query
+def answer_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.answer_distribution(quiz_table(spark, sf_dir))
+
+
+@query
+def wordcount_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hist = profile.length_histogram(_docs(spark, sf_dir), "text")
+    return hist.select("bin", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "n")
+
+
+@query
+def wordcount_kde(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = profile.length_density(_docs(spark, sf_dir), "text")
+    return grid.select("point", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
+
+
+@query
+def top_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A14: the 100 top words of 1,000 sampled passages (all, where there are fewer)."""
+    docs = sampling.sample_exact(_docs(spark, sf_dir), 1000, "doc_id")
+    return profile.top_keywords(docs, "text")
+
+
+# ---- text -----------------------------------------------------------------------
+
+
+@query
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select(
+        "doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence")
+    )
+
+
+@query
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = _docs(spark, sf_dir).select(F.explode(X.word_tokens(F.col("text"))).alias("token"))
+    return flat.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct 1- and 2-grams per passage with their counts, summed up per passage."""
+    runs = _docs(spark, sf_dir).select("doc_id", X.run_lengths(X.terms(F.col("text"))).alias("r"))
+    return once(runs, s=F.struct(
+        F.size("r").alias("n_terms"),
+        F.aggregate("r", F.lit(0), lambda a, x: a + x["n"]).alias("n_grams"),
+        F.aggregate("r", F.lit(0), lambda a, x: F.greatest(a, x["n"])).alias("max_tf"),
+    )).select("doc_id", "s.*")
 
 
 @query
 def tfidf_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = vocabulary(quiz_view(spark, sf_dir))
+    terms = tfidf.fit_tfidf(corpus(quiz_table(spark, sf_dir)))
     return terms.select("term", "df", "cf", F.round("idf", 6).alias("idf"))
 
 
 @query
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quiz = quiz_view(spark, sf_dir)
-    weights = tfidf.tfidf_weights(corpus(quiz), vocabulary(quiz))
+    weights = tfidf.tfidf_weights(corpus(quiz_table(spark, sf_dir)), vocabulary(spark, sf_dir))
     return weights.select("id", "term", F.round("w", 6).alias("w"))
 
 
+# ---- sentence search, questions, hints ------------------------------------------
+
+
+def _with_answer(quiz: DataFrame) -> DataFrame:
+    return quiz.select("id", "article", relational.correct_option().alias("query"))
+
+
 @query
 def best_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quiz = quiz_view(spark, sf_dir)
     rows = once(
-        keyed(quiz.select("id", "article", relational.correct_option().alias("query")), "id"),
-        sents=X.sentences(F.col("article")),
+        keyed(_with_answer(quiz_table(spark, sf_dir)), "id"), sents=X.sentences(F.col("article"))
     ).drop("article")
-    best = similarity.best_sentence(rows, vocabulary(quiz), "query")
+    best = similarity.best_sentence(rows, vocabulary(spark, sf_dir), "query")
     return best.withColumn("sim", F.round("sim", 6))
+
+
+@query
+def cloze_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _with_answer(quiz_table(spark, sf_dir))
+    found = cloze.extract_questions(rows, vocabulary(spark, sf_dir))
+    return found.select("id", "pos", "stem", "chunk")
+
+
+@query
+def hints3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quiz_table(spark, sf_dir).select("id", "article", F.col("question").alias("query"))
+    found = cloze.hints(rows, vocabulary(spark, sf_dir))
+    return found.select("id", *[F.get("hints", F.lit(i)).alias(f"h{i + 1}") for i in range(3)])
+
+
+@query
+def hints_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _with_answer(quiz_table(spark, sf_dir))
+    found = cloze.hints(rows, vocabulary(spark, sf_dir), n=5)
+    return found.select("id", F.posexplode("hints").alias("rank", "hint"))
+
+
+# ---- phrases --------------------------------------------------------------------
+
+
+@query
+def tagged_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = _docs(spark, sf_dir).select(
+        "doc_id", F.inline(X.tag_tokens(X.cased_tokens(F.col("text"))))
+    )
+    return tagged.groupBy("doc_id", "tag").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("token").alias("n_distinct")
+    )
+
+
+@query
+def noun_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select(
+        "doc_id",
+        F.posexplode(
+            X.candidate_phrases(X.tag_tokens(X.cased_tokens(F.col("text"))))
+        ).alias("rank", "phrase"),
+    )
+
+
+@query
+def key_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key chunk of every sentence of every passage."""
+    rows = _docs(spark, sf_dir).select(
+        "doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence")
+    )
+    return rows.select(
+        "doc_id", "pos", X.key_chunk(X.tag_tokens(X.cased_tokens(F.col("sentence")))).alias("chunk")
+    )

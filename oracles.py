@@ -139,3 +139,205 @@ ORACLES["best_sentence"] = sql(
 SELECT sm.id, arg_max(sm.pos, (sim, -sm.pos)) AS pos, round(max(sim), 6) AS sim,
        arg_max(sentence, (sim, -sm.pos)) AS sentence
 FROM sm JOIN sent USING (id, pos) GROUP BY sm.id""")
+
+# ---- splits and samples
+RANKED = """
+r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS rn,
+             count(*) OVER () AS n FROM documents)"""
+ORACLES["split_exact"] = sql(RANKED, select="""
+SELECT doc_id, CASE WHEN rn <= n - (n + 4) // 5 THEN 'train'
+  WHEN rn <= n - ((n + 4) // 5 + 1) // 2 THEN 'val' ELSE 'test' END AS split FROM r""")
+ORACLES["split_sizes"] = """
+WITH t AS (SELECT count(*) AS n, (count(*) + 4) // 5 AS h FROM documents)
+SELECT 'train' AS split, n - h AS n FROM t UNION ALL SELECT 'test', (h + 1) // 2 FROM t
+UNION ALL SELECT 'val', h - (h + 1) // 2 FROM t"""
+ORACLES["split_by_article"] = """
+WITH g AS (SELECT DISTINCT md5(text) AS k FROM documents),
+r AS (SELECT k, row_number() OVER (ORDER BY md5('42:' || k), k) AS rn, count(*) OVER () AS n FROM g)
+SELECT doc_id, CASE WHEN rn <= n - (n + 4) // 5 THEN 'train'
+  WHEN rn <= n - ((n + 4) // 5 + 1) // 2 THEN 'val' ELSE 'test' END AS split
+FROM documents JOIN r ON md5(text) = k"""
+ORACLES["split_threshold"] = """
+WITH u AS (SELECT doc_id, CAST('0x' || substr(md5('42:' || doc_id), 1, 8) AS BIGINT) / 4294967296.0 AS u
+  FROM documents)
+SELECT doc_id, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'val' ELSE 'test' END AS split FROM u"""
+ORACLES["sample_topk"] = sql(RANKED, select="""
+SELECT CAST(k AS INTEGER) AS k, doc_id FROM r, (VALUES (1), (1000), (5000)) v(k) WHERE rn <= k""")
+ORACLES["head_n"] = "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 2000"
+ORACLES["stratified_folds"] = """
+SELECT doc_id, lang, row_number() OVER (
+  PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) % 3 AS fold FROM documents"""
+
+# ---- options and labels
+ORACLES["option_unpivot"] = sql(QUIZ, select="\nUNION ALL\n".join(
+    f"SELECT id, '{c}' AS opt, question || ' ' || {c} AS text, CAST(answer = '{c}' AS INTEGER) AS label FROM quiz"
+    for c in LETTERS))
+ORACLES["label_counts"] = sql(QUIZ, select="""
+SELECT 1 AS label, count(*) AS n FROM quiz UNION ALL SELECT 0, 3 * count(*) FROM quiz""")
+ORACLES["text_unpivot"] = sql(
+    QUIZ,
+    "cells AS (" + " UNION ALL ".join(
+        f"SELECT id, '{c}' AS field, {c} AS raw FROM quiz"
+        for c in ["article", *LETTERS, "question"]) + ")",
+    f"tok AS (SELECT id, field, {words('lower(raw)')} AS t FROM cells WHERE trim(raw) <> '')",
+    select="SELECT id, field, len(t) AS n, md5(array_to_string(t, ' ')) AS h FROM tok")
+ORACLES["wrong_options"] = sql(QUIZ, select="""
+SELECT id, correct, array_to_string(ws, '|') AS wrong, question || ' ' || correct AS cluster_text,
+  md5(article || ' ' || A || ' ' || B || ' ' || C || ' ' || D) AS corpus_hash,
+  md5(question || ' ' || array_to_string(ws, ' ')) AS anchored_hash FROM quiz""")
+
+# ---- profile
+ORACLES["null_profile"] = (
+    "WITH j AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id))\n"
+    + "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS \"column\", count({c}) AS filled, count(*) - count({c}) AS missing FROM j"
+        for c in ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]))
+ORACLES["answer_distribution"] = sql(QUIZ, select="""
+SELECT l AS answer, count(answer) AS n FROM (VALUES ('A'), ('B'), ('C'), ('D')) v(l)
+LEFT JOIN quiz ON answer = l GROUP BY l""")
+LENGTHS = r"""
+l AS (SELECT len(list_filter(regexp_split_to_array(text, '[ \n\t\r]+'), lambda w: w <> '')) AS len
+      FROM documents)"""
+ORACLES["wordcount_hist"] = sql(
+    LENGTHS,
+    "s AS (SELECT min(len)::DOUBLE AS lo, max(len)::DOUBLE AS hi FROM l)",
+    "w AS (SELECT lo, hi, (hi - lo) / 50 AS wd FROM s)",
+    """b AS (SELECT CAST(least(floor((len - lo) / CASE WHEN wd > 0 THEN wd ELSE 1 END), 49) AS INTEGER) AS bin
+        FROM l, w)""",
+    select="""
+SELECT CAST(i AS INTEGER) AS bin, round(lo + i * wd, 6) AS lo, round(lo + (i + 1) * wd, 6) AS hi,
+  (SELECT count(*) FROM b WHERE bin = i) AS n FROM range(50) r(i), w""")
+ORACLES["wordcount_kde"] = sql(
+    LENGTHS,
+    """m AS (SELECT min(len)::DOUBLE AS lo, max(len)::DOUBLE AS hi, count(*)::DOUBLE AS n,
+        stddev_samp(len) * pow(count(*), -0.2) AS h FROM l)""",
+    "g AS (SELECT CAST(i AS INTEGER) AS point, lo + (hi - lo) * i / 199 AS x, n, h FROM range(200) r(i), m)",
+    select="""
+SELECT point, round(any_value(x), 6) AS x,
+  round(sum(exp(-0.5 * pow((len - x) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 9) AS density
+FROM g, l GROUP BY point""")
+ORACLES["top_keywords"] = sql(
+    RANKED,
+    f"w AS (SELECT unnest({unigrams('text')}) AS term FROM documents JOIN r USING (doc_id) WHERE rn <= 1000)",
+    select="SELECT term, count(*) AS n FROM w GROUP BY term ORDER BY n DESC, term LIMIT 100")
+
+# ---- text
+ORACLES["sentences"] = f"""
+WITH s AS (SELECT doc_id, {sents('text')} AS sl FROM documents)
+SELECT doc_id, CAST(unnest(range(len(sl))) AS INTEGER) AS pos, unnest(sl) AS sentence FROM s"""
+ORACLES["tokens"] = f"""
+SELECT token, count(*) AS n FROM (SELECT unnest({words('lower(text)')}) AS token FROM documents)
+GROUP BY token"""
+ORACLES["ngrams"] = sql(
+    grams("g", "documents", "doc_id", "text"),
+    "c AS (SELECT doc_id, term, count(*) AS n FROM g GROUP BY doc_id, term)",
+    select="""
+SELECT doc_id, count(term) AS n_terms, coalesce(sum(n), 0) AS n_grams, coalesce(max(n), 0) AS max_tf
+FROM documents LEFT JOIN c USING (doc_id) GROUP BY doc_id""")
+
+# ---- questions, hints, phrases
+TAG = f"CASE WHEN regexp_matches(token, '^\\p{{Lu}}') AND lower(token) NOT IN ({STOP}) THEN 'NNP' ELSE '' END"
+
+
+def key_chunks(name: str, source: str, keys: str, text: str) -> str:
+    """CTE ``name(keys, chunk)`` for the rows whose sentence has a usable chunk."""
+    return f"""
+{name}_t AS (
+  SELECT {keys}, unnest(range(len(t))) AS i, unnest(t) AS token
+  FROM (SELECT {keys}, {words(text)} AS t FROM {source})),
+{name} AS (
+  SELECT {keys}, arg_max(token, (length(token), -i)) AS chunk FROM {name}_t
+  WHERE {TAG} = 'NNP' AND length(token) >= 4 AND lower(token) NOT IN ({GENERIC})
+    AND token <> lower(token) GROUP BY {keys})"""
+
+
+def blanked(sentence: str, chunk: str) -> str:
+    at = f"instr(lower({sentence}), lower({chunk}))"
+    return (f"substr({sentence}, 1, {at} - 1) || '__________' || "
+            f"substr({sentence}, {at} + length({chunk}))")
+
+
+BEST = """
+best AS (
+  SELECT sm.id, arg_max(sm.pos, (sim, -sm.pos)) AS pos, arg_max(sentence, (sim, -sm.pos)) AS sentence
+  FROM sm JOIN sent USING (id, pos) GROUP BY sm.id)"""
+CLOZE = ",".join([
+    QUIZ, SENT, VOCAB, ANSWER_QUERY, sims("sm", "sent", "aq"), BEST,
+    key_chunks("kc", "best", "id", "sentence"),
+    f"""
+cloze AS (
+  SELECT id, pos, sentence,
+    CASE WHEN chunk IS NULL THEN sentence || ' __________?' ELSE {blanked('sentence', 'chunk')} END AS stem,
+    coalesce(chunk, correct) AS chunk
+  FROM best JOIN quiz USING (id) LEFT JOIN kc USING (id))"""])
+ORACLES["cloze_question"] = sql(CLOZE, select="SELECT id, pos, stem, chunk FROM cloze")
+
+
+def hint_ctes(simcte: str, query_cte: str, sent_cte: str = "sent", keys: str = "id") -> str:
+    """CTE ``h3(keys, h1, h2, h3)``; queries are in ``query_cte(keys, text)``."""
+    on = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+    p = ", ".join(f"s.{k.strip()}" for k in keys.split(","))
+    return f"""
+hq AS (SELECT {keys}, list_distinct({words('lower(text)')}) AS qt FROM {query_cte}),
+hs AS (SELECT id, pos, sentence, list_distinct({words('lower(sentence)')}) AS st FROM {sent_cte}),
+hn AS (SELECT id, count(*) AS n FROM {sent_cte} GROUP BY id),
+ho AS (SELECT {", ".join("q." + k.strip() for k in keys.split(","))}, s.pos, s.sentence,
+         len(list_filter(s.st, lambda x: list_contains(q.qt, x))) AS ov
+       FROM hq q JOIN hs s ON q.id = s.id),
+hr AS (SELECT {p}, s.pos, row_number() OVER (PARTITION BY {p} ORDER BY s.sim DESC, s.pos) AS rn FROM {simcte} s),
+h2 AS (SELECT {keys}, arg_max(pos, (ov, -pos)) AS pos FROM ho GROUP BY {keys}),
+h12 AS (SELECT a.*, b.pos AS p2 FROM (SELECT {keys}, pos AS p1 FROM hr WHERE rn = 1) a JOIN h2 b ON {on}),
+h3p AS (SELECT {", ".join("b." + k.strip() for k in keys.split(","))}, arg_max(a.pos, a.rn) AS p3
+        FROM hr a JOIN h12 b ON {on} WHERE a.rn <= 3 AND a.pos NOT IN (b.p1, b.p2)
+        GROUP BY {", ".join("b." + k.strip() for k in keys.split(","))}),
+h3 AS (
+  SELECT {", ".join("q." + k.strip() for k in keys.split(","))},
+    CASE WHEN n < 3 THEN coalesce(s0.sentence, '') ELSE s1.sentence END AS h1,
+    CASE WHEN n < 3 THEN coalesce(sx.sentence, '') ELSE s2.sentence END AS h2,
+    CASE WHEN n < 3 THEN '' ELSE s3.sentence END AS h3
+  FROM {query_cte} q JOIN hn ON hn.id = q.id
+  JOIN h12 ON {" AND ".join(f"h12.{k.strip()} = q.{k.strip()}" for k in keys.split(","))}
+  LEFT JOIN h3p ON {" AND ".join(f"h3p.{k.strip()} = q.{k.strip()}" for k in keys.split(","))}
+  LEFT JOIN {sent_cte} s0 ON s0.id = q.id AND s0.pos = 0
+  LEFT JOIN {sent_cte} sx ON sx.id = q.id AND sx.pos = 1
+  LEFT JOIN {sent_cte} s1 ON s1.id = q.id AND s1.pos = p1
+  LEFT JOIN {sent_cte} s2 ON s2.id = q.id AND s2.pos = p2
+  LEFT JOIN {sent_cte} s3 ON s3.id = q.id AND s3.pos = p3)"""
+
+
+QUESTION_QUERY = "gq AS (SELECT id, question AS text FROM quiz)"
+ORACLES["hints3"] = sql(
+    QUIZ, SENT, VOCAB, QUESTION_QUERY, sims("sm", "sent", "gq"), hint_ctes("sm", "gq"),
+    select="SELECT id, h1, h2, h3 FROM h3")
+ORACLES["hints_top_n"] = sql(
+    QUIZ, SENT, VOCAB, ANSWER_QUERY, sims("sm", "sent", "aq"),
+    """rk AS (SELECT id, pos, row_number() OVER (PARTITION BY id ORDER BY sim DESC, pos) AS rn FROM sm)""",
+    select="""
+SELECT id, CAST(rn - 1 AS INTEGER) AS rank, sentence AS hint FROM rk JOIN sent USING (id, pos) WHERE rn <= 5""")
+ORACLES["tagged_tokens"] = f"""
+WITH t AS (SELECT doc_id, unnest({words('text')}) AS token FROM documents)
+SELECT doc_id, {TAG} AS tag, count(*) AS n, count(DISTINCT token) AS n_distinct FROM t GROUP BY ALL"""
+
+
+def phrases(name: str, source: str, key: str, text: str) -> str:
+    """CTE ``name(key, rank, phrase)``: capitalised runs by gaps and islands."""
+    return f"""
+{name}_t AS (
+  SELECT {key}, i, token, {TAG} AS tag FROM (
+    SELECT {key}, unnest(range(len(t))) AS i, unnest(t) AS token
+    FROM (SELECT {key}, {words(text)} AS t FROM {source}))),
+{name}_g AS (SELECT *, i - row_number() OVER (PARTITION BY {key} ORDER BY i) AS g FROM {name}_t WHERE tag = 'NNP'),
+{name}_r AS (SELECT {key}, g, min(i) AS at0, lower(string_agg(token, ' ' ORDER BY i)) AS phrase
+             FROM {name}_g GROUP BY {key}, g),
+{name} AS (
+  SELECT {key}, phrase, row_number() OVER (PARTITION BY {key} ORDER BY min(at0)) - 1 AS rank
+  FROM {name}_r WHERE length(phrase) >= 3 GROUP BY {key}, phrase)"""
+
+
+ORACLES["noun_phrases"] = sql(
+    phrases("np", "documents", "doc_id", "text"),
+    select="SELECT doc_id, CAST(rank AS INTEGER) AS rank, phrase FROM np")
+ORACLES["key_chunk"] = sql(
+    f"ds AS (SELECT doc_id, CAST(unnest(range(len(sl))) AS INTEGER) AS pos, unnest(sl) AS sentence FROM (SELECT doc_id, {sents('text')} AS sl FROM documents))",
+    key_chunks("kc", "ds", "doc_id, pos", "sentence"),
+    select="SELECT ds.doc_id, ds.pos, coalesce(chunk, '') AS chunk FROM ds LEFT JOIN kc USING (doc_id, pos)")
