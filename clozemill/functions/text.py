@@ -196,9 +196,12 @@ def length_difference(a: Column, b: Column) -> Column:
     return F.abs(F.length(a) - F.length(b))
 
 
+PROPER = r"^(?=\p{Lu})(?!(?i:" + "|".join(STOP_WORDS) + r")$)"
+
+
 def is_proper(token: Column) -> Column:
     """Default tag rule: a capital first letter and no stop word."""
-    return token.rlike(r"^\p{Lu}") & ~F.lower(token).isin(STOP_WORDS)
+    return token.rlike(PROPER)
 
 
 def tag_tokens(tokens: Column, nouns: Sequence[str] = ()) -> Column:
@@ -237,12 +240,14 @@ def candidate_phrases(tagged: Column, min_length: int = 3) -> Column:
     return F.array_distinct(F.filter(low, lambda p: F.length(p) >= min_length))
 
 
+ONLY_GENERIC = rf"(?i)^(?:(?:{'|'.join(GENERIC_WORDS)})(?:[ \n\t\r]+|$))+$"
+
+
 def valid_chunk(chunk: Column) -> Column:
     """Four characters or more, not only generic words, not all lower case."""
-    words = F.split(F.lower(chunk), r"[ \n\t\r]+")
     return (
         (F.length(chunk) >= 4)
-        & ~F.forall(words, lambda w: w.isin(GENERIC_WORDS))
+        & ~chunk.rlike(ONLY_GENERIC)
         & (chunk != F.lower(chunk))
     )
 

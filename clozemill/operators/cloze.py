@@ -11,7 +11,7 @@ from clozemill.functions import text as X
 from clozemill.functions.words import BLANK
 from clozemill.operators.common import keyed, once
 from clozemill.operators.similarity import (
-    best_position, sentence_scores, top_positions,
+    NO_SCORES, best_position, sentence_scores, top_positions,
 )
 
 Tagger = Callable[[Column], Column]
@@ -38,6 +38,13 @@ def blank_key_chunk(sentence: Column, fallback: Column, tagger: Tagger) -> Colum
     return X.let(X.key_chunk(tagger(X.cased_tokens(sentence))), build)
 
 
+def _asked(df: DataFrame, key: str, article: str, query: str) -> DataFrame:
+    return once(
+        keyed(df, key), sents=X.sentences(F.col(article)),
+        _queries=F.array(X.text_or_empty(F.col(query))),
+    )
+
+
 def extract_questions(
     df: DataFrame, terms: DataFrame, article: str = "article", query: str = "query",
     key: str = "id", tagger: Tagger | None = None,
@@ -45,11 +52,11 @@ def extract_questions(
     """Add ``pos, sentence, stem, chunk``: the sentence closest to the query text with
     its key chunk blanked; both empty for a passage without sentences."""
     tagger = tagger or rule_tagger()
-    rows = once(keyed(df, key), sents=X.sentences(F.col(article)))
-    scores = sentence_scores(rows, terms, [query], key)
+    rows = _asked(df, key, article, query)
+    scores = sentence_scores(rows, terms, "_queries", 1, key)
     found = once(
         rows.join(scores, key, "left"), pos=best_position(F.col("scored"))
-    ).drop("scored")
+    ).drop("scored", "_queries")
     placed = once(found, sentence=X.text_or_empty(F.get("sents", F.col("pos"))))
     cut = once(placed, _c=blank_key_chunk(F.col("sentence"), F.col(query), tagger))
     nothing = F.size("sents") == 0
@@ -60,34 +67,38 @@ def extract_questions(
     )
 
 
-def overlap_position(sents: Column, query: Column) -> Column:
-    """First of the sentences that share most distinct tokens with the query."""
-    words = F.array_distinct(X.word_tokens(query))
+def sentence_words(sents: Column) -> Column:
+    """Distinct tokens of each sentence."""
+    return F.transform(sents, lambda s: F.array_distinct(X.word_tokens(s)))
+
+
+def overlap_position(words: Column, query: Column) -> Column:
+    """First of the sentences (``words``: their distinct tokens) that share most distinct
+    tokens with the query."""
     scored = X.let(
-        words,
+        X.word_tokens(query),
         lambda q: F.transform(
-            sents,
-            lambda s, i: F.struct(
-                F.size(F.array_intersect(X.word_tokens(s), q)).alias("n"), (-i).alias("neg")
-            ),
+            words,
+            lambda w, i: F.struct(F.size(F.array_intersect(w, q)).alias("n"), (-i).alias("neg")),
         ),
     )
     return F.coalesce(-F.array_max(scored)["neg"], F.lit(0))
 
 
-def hint_texts(sents: Column, scored: Column, query: Column, index: int = 0) -> Column:
+def hint_texts(
+    sents: Column, words: Column, scored: Column, query: Column, index: Column | int = 0
+) -> Column:
     """Three hints: most similar sentence, most overlapping sentence, and of the three
     most similar the weakest that is neither. Short passages are padded with ''."""
 
     def pick(p: Column) -> Column:
-        first, second = p["first"], p["second"]
+        first, second = F.get(p["top"], F.lit(0)), p["second"]
         left = F.filter(F.reverse(p["top"]), lambda i: (i != first) & (i != second))
         third = F.coalesce(F.get(left, F.lit(0)), F.element_at(p["top"], -1))
         return F.array(F.get(sents, first), F.get(sents, second), F.get(sents, third))
 
     places = F.struct(
-        best_position(scored, index).alias("first"),
-        overlap_position(sents, query).alias("second"),
+        overlap_position(words, query).alias("second"),
         top_positions(scored, F.size(sents), 3, index).alias("top"),
     )
     padded = F.concat(sents, F.array_repeat(F.lit(""), 3 - F.size(sents)))
@@ -99,15 +110,15 @@ def hints(
     key: str = "id", n: int | None = None,
 ) -> DataFrame:
     """Add ``hints``. With ``n`` they are simply the ``n`` most similar sentences."""
-    rows = once(keyed(df, key), sents=X.sentences(F.col(article)))
-    joined = rows.join(sentence_scores(rows, terms, [query], key), key, "left")
-    scored = F.coalesce(
-        F.col("scored"), F.array().cast("array<struct<pos:int,s0:double>>")
+    rows = _asked(df, key, article, query)
+    joined = rows.join(sentence_scores(rows, terms, "_queries", 1, key), key, "left").withColumn(
+        "scored", F.coalesce("scored", F.array().cast(NO_SCORES))
     )
     if n is None:
-        value = hint_texts(F.col("sents"), scored, F.col(query))
+        joined = once(joined, _words=sentence_words(F.col("sents")))
+        value = hint_texts(F.col("sents"), F.col("_words"), F.col("scored"), F.col(query))
     else:
-        top = top_positions(scored, F.size("sents"), n)
+        top = top_positions(F.col("scored"), F.size("sents"), n)
         value = F.filter(
             F.transform(top, lambda i: F.get(F.col("sents"), i)), lambda s: s.isNotNull()
         )

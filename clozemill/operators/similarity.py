@@ -17,32 +17,33 @@ from clozemill.operators.tfidf import MAX_TERMS, TERM_BYTES, weight
 
 
 def sentence_scores(
-    rows: DataFrame, terms: DataFrame, queries: list[str], key: str = "id",
+    rows: DataFrame, terms: DataFrame, queries: str, k: int, key: str = "id",
     sents: str = "sents", max_terms: int = MAX_TERMS,
 ) -> DataFrame:
-    """``key, scored``: per row the array of ``struct<pos, s0, s1, ...>`` with the
-    cosine of each sentence and each query column, and only sentences that have a term.
+    """``key, scored``: per row the array of ``struct<pos, s>`` where ``s`` holds the
+    cosine of the sentence with each query; only sentences that have a known term.
 
-    ``rows`` should already be partitioned by ``key`` (:func:`common.keyed`); the
-    result then is as well.
+    ``queries`` is an array column of at most ``k`` texts. ``rows`` should already be
+    partitioned by ``key`` (:func:`common.keyed`); the result then is as well.
     """
-    counts = {f"_q{i}": X.count_map(X.terms(F.col(q))) for i, q in enumerate(queries)}
-    with_maps = once(rows.select(key, sents, *dict.fromkeys(queries)), **counts)
+    with_maps = once(
+        rows.select(key, sents, queries),
+        _maps=F.transform(queries, lambda q: X.count_map(X.terms(q))),
+    )
     units = F.concat(
         F.transform(F.col(sents), lambda s, i: F.struct(i.alias("pos"), s.alias("unit"))),
-        F.array(*[
-            F.struct(F.lit(-1 - i).alias("pos"), X.text_or_empty(F.col(q)).alias("unit"))
-            for i, q in enumerate(queries)
-        ]),
-    )
-    per_unit = with_maps.select(key, *counts, F.inline(units))
-    grams = per_unit.select(
-        key, "pos", *counts, F.explode(X.terms(F.col("unit"))).alias("term")
+        F.transform(F.col(queries), lambda q, i: F.struct((-1 - i).alias("pos"), q.alias("unit"))),
     )
+    per_unit = with_maps.select(key, "_maps", F.inline(units))
+    grams = per_unit.select(key, "pos", "_maps", F.explode(X.terms(F.col("unit"))).alias("term"))
     vocab = small(terms.select("term", "term_id", "idf"), max_terms, TERM_BYTES)
+    counts = [f"_q{i}" for i in range(k)]
     hits = grams.join(vocab, "term").select(
         key, "pos", "term_id", "idf",
-        *[F.try_element_at(F.col(c), F.col("term")).alias(c) for c in counts],
+        *[
+            F.try_element_at(F.get("_maps", F.lit(i)), F.col("term")).alias(c)
+            for i, c in enumerate(counts)
+        ],
     )
     weights = hits.groupBy(key, "pos", "term_id", "idf").agg(
         F.count(F.lit(1)).alias("tf"), *[F.max(c).alias(c) for c in counts]
@@ -55,48 +56,51 @@ def sentence_scores(
         F.sum(F.col("w") * F.col("w")).alias("n2"), *[F.sum(c).alias(c) for c in counts]
     )
     packed = sums.groupBy(key).agg(
-        F.collect_list(F.when(F.col("pos") >= 0, F.struct("pos", "n2", *counts))).alias("_s"),
-        *[
-            F.max(F.when(F.col("pos") == -1 - i, F.sqrt("n2"))).alias(f"_n{i}")
-            for i in range(len(queries))
-        ],
+        F.collect_list(
+            F.when(
+                F.col("pos") >= 0,
+                F.struct("pos", F.sqrt("n2").alias("n"), F.array(*counts).alias("dots")),
+            )
+        ).alias("_s"),
+        F.collect_list(
+            F.when(F.col("pos") < 0, F.struct((-1 - F.col("pos")).alias("q"), F.sqrt("n2").alias("n")))
+        ).alias("_n"),
     )
+
+    def cosines(s: Column) -> Column:
+        # most queries of most rows share nothing with the sentence
+        return F.transform(
+            s["dots"],
+            lambda d, i: F.when(
+                d > 0,
+                F.round(d / (s["n"] * F.get(F.filter("_n", lambda n: n["q"] == i), F.lit(0))["n"]), 9),
+            ).otherwise(F.lit(0.0)),
+        )
+
     return packed.select(
-        key,
-        F.transform(
-            "_s",
-            lambda s: F.struct(
-                s["pos"].alias("pos"),
-                *[
-                    F.round(
-                        F.coalesce(s[f"_q{i}"] / (F.sqrt(s["n2"]) * F.col(f"_n{i}")), F.lit(0.0)), 9
-                    ).alias(f"s{i}")
-                    for i in range(len(queries))
-                ],
-            ),
-        ).alias("scored"),
+        key, F.transform("_s", lambda s: F.struct(s["pos"].alias("pos"), cosines(s).alias("s"))).alias("scored")
     )
 
 
-def ranked_positions(scored: Column, query: int = 0) -> Column:
+NO_SCORES = "array<struct<pos:int,s:array<double>>>"
+
+
+def ranked_positions(scored: Column, query: Column | int = 0) -> Column:
     """``array<struct<neg, pos>>`` of sentences with a positive similarity, best first,
     equal ones by position."""
-    hits = F.filter(scored, lambda s: s[f"s{query}"] > 0)
+    at = F.lit(query) if isinstance(query, int) else query
+    hits = F.filter(scored, lambda s: F.get(s["s"], at) > 0)
     return F.sort_array(
-        F.transform(hits, lambda s: F.struct((-s[f"s{query}"]).alias("neg"), s["pos"].alias("pos")))
+        F.transform(hits, lambda s: F.struct((-F.get(s["s"], at)).alias("neg"), s["pos"].alias("pos")))
     )
 
 
-def best_position(scored: Column, query: int = 0) -> Column:
+def best_position(scored: Column, query: Column | int = 0) -> Column:
     """First of the most similar sentences; position 0 when none is similar."""
     return F.coalesce(F.get(ranked_positions(scored, query), F.lit(0))["pos"], F.lit(0))
 
 
-def best_similarity(scored: Column, query: int = 0) -> Column:
-    return F.coalesce(-F.get(ranked_positions(scored, query), F.lit(0))["neg"], F.lit(0.0))
-
-
-def top_positions(scored: Column, n_sents: Column, n: int = 3, query: int = 0) -> Column:
+def top_positions(scored: Column, n_sents: Column, n: int = 3, query: Column | int = 0) -> Column:
     """The ``n`` best positions, best first; sentences without similarity follow in
     text order."""
     ranked = ranked_positions(scored, query)["pos"]
@@ -109,11 +113,12 @@ def best_sentence(rows: DataFrame, terms: DataFrame, query: str, key: str = "id"
 
     ``rows`` holds ``key, sents, query`` and is partitioned by key.
     """
-    scores = sentence_scores(rows, terms, [query], key)
+    asked = rows.withColumn("_queries", F.array(X.text_or_empty(F.col(query))))
+    scores = sentence_scores(asked, terms, "_queries", 1, key)
     joined = rows.filter(F.size("sents") > 0).join(scores, key, "left")
-    return joined.select(
-        key,
-        best_position(F.col("scored")).alias("pos"),
-        best_similarity(F.col("scored")).alias("sim"),
-        F.get("sents", best_position(F.col("scored"))).alias("sentence"),
+    found = once(joined, _best=F.get(ranked_positions(F.col("scored")), F.lit(0)))
+    pos = F.coalesce(F.col("_best.pos"), F.lit(0))
+    return found.select(
+        key, pos.alias("pos"), F.coalesce(-F.col("_best.neg"), F.lit(0.0)).alias("sim"),
+        F.get("sents", pos).alias("sentence"),
     )

@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clozemill.functions import text as X
-from clozemill.operators import cloze, profile, relational, sampling, similarity, tfidf
+from clozemill.operators import (
+    cloze, clusters, distractors, embeddings, metrics, profile, relational, reports, sampling,
+    similarity, tfidf,
+)
 from clozemill.operators.common import keyed, once, spread
+from clozemill.plans import items as item_plan
 from clozemill.plans.quizview import documents
 from clozemill.plans.quizview import quiz_view as derive_quiz
-from clozemill.plans.stages import corpus, quiz_table, vocabulary
+from clozemill.plans.stages import corpus, quiz_table, staged, vocabulary
 
-FLAGSHIP = "best_sentence"
+FLAGSHIP = "quiz_items"
 QUERIES = {}
 
 
@@ -258,3 +262,285 @@ def key_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "pos", X.key_chunk(X.tag_tokens(X.cased_tokens(F.col("sentence")))).alias("chunk")
     )
+
+
+@query
+def mask_and_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T8, T9, T11: the right option blanked and masked in its question, and cased."""
+    rows = quiz_table(spark, sf_dir).withColumn("correct", relational.correct_option())
+    return rows.select(
+        "id",
+        X.blank_first(F.col("question"), F.col("correct")).alias("blanked"),
+        X.mask_answer(F.col("article"), F.col("correct")).alias("masked"),
+        X.format_like(F.col("correct"), F.col("question")).alias("cased"),
+    )
+
+
+# ---- wrong options --------------------------------------------------------------
+
+
+def _candidate_pairs(quiz: DataFrame) -> DataFrame:
+    rows = distractors.with_candidates(spread(quiz)).withColumn("answer", relational.correct_option())
+    return rows.select(
+        "id", "article", "answer",
+        F.explode(distractors.not_answer(F.col("candidates"), F.col("answer"))).alias("cand"),
+    )
+
+
+@query
+def candidate_features_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _candidate_pairs(quiz_table(spark, sf_dir))
+    char_match, freq, len_diff = distractors.lexical_features(
+        F.col("cand"), F.col("answer"), F.col("article")
+    )
+    return pairs.select("id", "cand", F.round(char_match, 6).alias("char_match"), freq, len_diff)
+
+
+@query
+def distractors_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = distractors.with_candidates(spread(quiz_table(spark, sf_dir))).withColumn(
+        "answer", relational.correct_option()
+    )
+    made = distractors.generate_distractors(rows, ["id"])
+    return made.select("id", F.array_join("distractors", "|").alias("distractors"))
+
+
+# ---- vectors --------------------------------------------------------------------
+
+
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+@query
+def mean_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = embeddings.mean_vectors(_embeddings(spark, sf_dir), "label")
+    return means.select("label", F.posexplode("mean").alias("dim", "value")).withColumn(
+        "value", F.round("value", 6)
+    )
+
+
+@query
+def embedding_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _embeddings(spark, sf_dir).select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("vector")
+    )
+    n = points.count()
+    near = embeddings.nearest(points, points, 10, n, n, "vec_id", "vec_id", block=512)
+    return near.select("q", "p", F.round("sim", 6).alias("sim"), "rank")
+
+
+@query
+def silhouette_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _embeddings(spark, sf_dir)
+    sample = sampling.sample_exact(points, clusters.SAMPLE_ROWS, "vec_id")
+    parts = clusters.silhouette_parts(sample, clusters.SAMPLE_ROWS, "vec_id", "embedding", "label")
+    return parts.select(
+        "id", "cluster_id", F.round("own", 6).alias("own"), F.round("other", 6).alias("other"),
+        F.round("s", 6).alias("s"),
+    )
+
+
+# ---- text metrics ---------------------------------------------------------------
+
+
+def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each assistant turn (hypothesis) with the user turn that follows (reference)."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    hyp = turns.filter("role = 'assistant'").select(
+        "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("hyp_text")
+    )
+    ref = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("ref_text"))
+    return hyp.join(ref, ["conv_id", "turn"]).select(
+        F.concat_ws(":", "conv_id", "turn").alias("id"), "hyp_text", "ref_text"
+    )
+
+
+@query
+def bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = once(
+        keyed(text_pairs(spark, sf_dir), "id"),
+        hyp=X.word_tokens(F.col("hyp_text")), ref=X.word_tokens(F.col("ref_text")),
+    )
+    return metrics.ngram_overlap(rows).select(
+        "id", *[f"{x}{n}" for n in range(1, 5) for x in "ohr"],
+        F.round(metrics.bleu4(), 6).alias("bleu"),
+    )
+
+
+@query
+def rouge_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = once(
+        keyed(text_pairs(spark, sf_dir), "id"),
+        hyp=X.rouge_tokens(F.col("hyp_text")), ref=X.rouge_tokens(F.col("ref_text")),
+    )
+    return metrics.ngram_overlap(rows, max_n=2).select(
+        "id", *[F.round(metrics.rouge_n(n), 6).alias(f"rouge{n}") for n in (1, 2)],
+        *[F.round(metrics.rouge_n_recall(n), 6).alias(f"recall{n}") for n in (1, 2)],
+    )
+
+
+@query
+def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = once(
+        spread(text_pairs(spark, sf_dir)),
+        hyp=X.rouge_tokens(F.col("hyp_text")), ref=X.rouge_tokens(F.col("ref_text")),
+    )
+    return rows.select("id", F.round(metrics.rouge_l(F.col("hyp"), F.col("ref")), 6).alias("rougeL"))
+
+
+@query
+def meteor_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = once(
+        keyed(text_pairs(spark, sf_dir), "id"),
+        hyp=X.word_tokens(F.col("hyp_text")), ref=X.word_tokens(F.col("ref_text")),
+    )
+    found = metrics.meteor(rows, stem=False)
+    return found.select("id", "matches", "chunks", F.round("meteor", 6).alias("meteor"))
+
+
+@query
+def meteor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = once(
+        keyed(text_pairs(spark, sf_dir), "id"),
+        hyp=X.word_tokens(F.col("hyp_text")), ref=X.word_tokens(F.col("ref_text")),
+    )
+    found = metrics.meteor(rows)
+    return found.select("id", "matches", "chunks", F.round("meteor", 6).alias("meteor"))
+
+
+# ---- reports --------------------------------------------------------------------
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled passages with a fixed rule as the prediction."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs = documents(spark, sf_dir).select("doc_id", "n_chars")
+    return labels.join(docs, "doc_id").select(
+        F.col("quality").alias("actual"), (F.col("n_chars") >= 1000).cast("int").alias("predicted")
+    )
+
+
+@query
+def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.confusion_matrix(_judged(spark, sf_dir))
+
+
+@query
+def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = reports.classification_report(_judged(spark, sf_dir))
+    return out.select(
+        "name", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support"
+    )
+
+
+# ---- quiz items and sessions ----------------------------------------------------
+
+
+@query
+def quiz_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = item_plan.quiz_items(
+        quiz_table(spark, sf_dir).select("id", "article"),
+        vocabulary(spark, sf_dir),
+        lambda df: staged(spark, sf_dir, "stems", lambda: df),
+    )
+    return made.select(
+        "id", "pivot_pos", "question_stem", "answer_chunk",
+        F.array_join("options", "|").alias("options"),
+        F.array_join("option_words", "|").alias("option_words"),
+        "correct_idx", F.array_join("hints", "|").alias("hints"),
+    )
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answer log from the event table."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select(*answer_columns())
+
+
+def answer_columns() -> list:
+    k = F.get_json_object("props", "$.k").cast("int")
+    return [
+        F.col("user_id").alias("session_id"), F.pmod("event_id", F.lit(5)).alias("q_idx"),
+        F.pmod(k, F.lit(4)).alias("chosen"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
+    ]
+
+
+def session_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five consecutive quiz ids make one session."""
+    return quiz_table(spark, sf_dir).select(
+        F.floor(F.col("id") / 5).alias("session_id"), F.pmod("id", F.lit(5)).alias("q_idx"),
+        F.col("question").alias("question_stem"), relational.correct_option().alias("answer_chunk"),
+        F.array("A", "B", "C", "D").alias("options"),
+        F.pmod("id", F.lit(4)).cast("int").alias("correct_idx"),
+    )
+
+
+@query
+def first_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = reports.first_answers(answers(spark, sf_dir))
+    return first.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query
+def session_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = reports.first_answers(answers(spark, sf_dir))
+    return reports.session_scores(session_items(spark, sf_dir), first)
+
+
+@query
+def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = reports.first_answers(answers(spark, sf_dir))
+    return reports.session_log(session_items(spark, sf_dir), first)
+
+
+# ---- evaluations ----------------------------------------------------------------
+
+
+def _extraction_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = relational.with_question_text(quiz_table(spark, sf_dir).filter("split = 'val'"))
+    rows = rows.select("id", "article", "question", relational.correct_option().alias("query"))
+    found = cloze.extract_questions(rows, vocabulary(spark, sf_dir))
+    return found.select("id", F.col("stem").alias("hyp_text"), F.col("question").alias("ref_text"))
+
+
+def _option_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = relational.with_answer_text(quiz_table(spark, sf_dir).filter("split = 'val'"))
+    rows = distractors.with_candidates(rows).withColumn("correct", relational.correct_option())
+    made = distractors.generate_distractors(rows, ["id"], "correct").filter(F.size("distractors") > 0)
+    return made.select(
+        "id",
+        relational.with_anchor(F.col("article"), F.col("distractors")).alias("hyp_text"),
+        relational.with_anchor(F.col("article"), relational.wrong_options()).alias("ref_text"),
+    )
+
+
+def _scores(spark: SparkSession, sf_dir: str, stem: bool) -> DataFrame:
+    """Stage table of both evaluations over the val rows."""
+
+    def build() -> DataFrame:
+        parts = [
+            metrics.mean_scores(metrics.text_scores(pairs(spark, sf_dir), stem=stem), name)
+            for name, pairs in (("extraction", _extraction_pairs), ("options", _option_pairs))
+        ]
+        return parts[0].unionByName(parts[1])
+
+    return staged(spark, sf_dir, f"scores_{'stem' if stem else 'plain'}", build)
+
+
+@query
+def evaluation_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5, M6 without stemming: mean BLEU, ROUGE-1/2, METEOR over the val rows."""
+    out = _scores(spark, sf_dir, False).filter("metric <> 'ROUGE-L'")
+    return out.withColumn("value", F.round("value", 6))
+
+
+@query
+def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5, M6 in full, with stems and ROUGE-L."""
+    return _scores(spark, sf_dir, True).withColumn("value", F.round("value", 6))
+
+
+@query
+def metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.metric_report(_scores(spark, sf_dir, False).filter("metric <> 'ROUGE-L'"))

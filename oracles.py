@@ -341,3 +341,244 @@ ORACLES["key_chunk"] = sql(
     f"ds AS (SELECT doc_id, CAST(unnest(range(len(sl))) AS INTEGER) AS pos, unnest(sl) AS sentence FROM (SELECT doc_id, {sents('text')} AS sl FROM documents))",
     key_chunks("kc", "ds", "doc_id, pos", "sentence"),
     select="SELECT ds.doc_id, ds.pos, coalesce(chunk, '') AS chunk FROM ds LEFT JOIN kc USING (doc_id, pos)")
+
+
+def title(text: str) -> str:
+    cut = rf"string_split(regexp_replace(lower({text}), '([^\p{{L}}])', '\1' || chr(1), 'g'), chr(1))"
+    return f"array_to_string(list_transform({cut}, lambda p: upper(substr(p, 1, 1)) || substr(p, 2)), '')"
+
+
+def masked(hint: str, chunk: str) -> str:
+    return f"regexp_replace({hint}, '(?i)' || regexp_escape({chunk}), '[answer]', 'g')"
+
+
+ORACLES["mask_and_blank"] = sql(QUIZ, select=f"""
+SELECT id, {blanked('question', 'correct')} AS blanked, {masked('article', 'correct')} AS masked,
+  CASE WHEN regexp_matches(question, '^\\p{{Lu}}') THEN {title('correct')} ELSE lower(correct) END AS cased
+FROM quiz""")
+
+# ---- wrong options
+ORACLES["candidate_features_lexical"] = sql(
+    QUIZ, phrases("np", "quiz", "id", "article"),
+    select="""
+SELECT id, phrase AS cand,
+  round(len(list_filter(list_distinct(string_split(phrase, '')), lambda c: contains(correct, c)))
+    / greatest(length(phrase), 1), 6) AS char_match,
+  CAST((length(lower(article)) - length(replace(lower(article), phrase, ''))) // length(phrase) AS INTEGER) AS freq,
+  abs(length(phrase) - length(correct)) AS len_diff
+FROM np JOIN quiz USING (id) WHERE phrase <> lower(correct)""")
+FIRST3 = """
+fc AS (SELECT id, phrase, row_number() OVER (PARTITION BY id ORDER BY rank) AS rn
+       FROM np JOIN quiz USING (id) WHERE phrase <> lower(correct)),
+f3 AS (SELECT id, list(phrase ORDER BY rn) AS ds FROM fc WHERE rn <= 3 GROUP BY id),
+made AS (SELECT id, coalesce(ds, ['option1', 'option2', 'option3']) AS ds FROM quiz LEFT JOIN f3 USING (id))"""
+ORACLES["distractors_first_n"] = sql(
+    QUIZ, phrases("np", "quiz", "id", "article"), FIRST3,
+    select="SELECT id, array_to_string(ds, '|') AS distractors FROM made")
+
+# ---- vectors
+ORACLES["mean_vectors"] = """
+WITH v AS (SELECT label, CAST(unnest(range(len(embedding))) AS INTEGER) AS dim,
+                  unnest(embedding)::DOUBLE AS x FROM embeddings)
+SELECT label, dim, round(avg(x), 6) AS value FROM v GROUP BY label, dim"""
+ORACLES["embedding_knn"] = """
+WITH d AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+s AS (SELECT a.vec_id AS q, b.vec_id AS p, round(list_cosine_similarity(a.v, b.v), 9) AS sim
+      FROM d a JOIN d b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, p) AS rank FROM s)
+SELECT q, p, round(sim, 6) AS sim, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10"""
+ORACLES["silhouette_sample"] = """
+WITH d AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+           ORDER BY md5('42:' || vec_id), vec_id LIMIT 5000),
+n AS (SELECT label, count(*) AS n FROM d GROUP BY label),
+s AS (SELECT a.vec_id, a.label, b.label AS o, sum(list_distance(a.v, b.v)) AS d
+      FROM d a, d b GROUP BY ALL),
+m AS (SELECT vec_id AS id, s.label AS cluster_id,
+        max(CASE WHEN s.label = o THEN d / nullif(n - 1, 0) END) AS own,
+        min(CASE WHEN s.label <> o THEN d / n END) AS other
+      FROM s JOIN n ON n.label = o GROUP BY ALL)
+SELECT id, cluster_id, round(own, 6) AS own, round(other, 6) AS other,
+  round(CASE WHEN own IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END, 6) AS s FROM m"""
+
+# ---- text metrics
+PAIRS = """
+pairs AS (
+  SELECT h.conv_id || ':' || r.turn AS id, h.text AS hyp_text, r.text AS ref_text
+  FROM conversations h JOIN conversations r ON h.conv_id = r.conv_id AND r.turn = h.turn + 1
+  WHERE h.role = 'assistant' AND r.role = 'user')"""
+
+
+def overlap(name: str, source: str, hyp: str, ref: str, max_n: int) -> str:
+    """CTE ``name(id, o1, h1, r1, ...)`` from token-list expressions."""
+    tokens = f"""
+{name}_t AS (SELECT id, {hyp} AS h, {ref} AS r FROM {source})"""
+    parts = " UNION ALL ".join(
+        f"SELECT id, {n} AS n, '{s}' AS side, unnest(list_transform(range(1, len({s}) - {n} + 2), "
+        f"lambda i: array_to_string({s}[i:i + {n - 1}], ' '))) AS gram FROM {name}_t"
+        for n in range(1, max_n + 1) for s in "hr")
+    sums = ", ".join(
+        f"coalesce(sum({v}) FILTER (n = {n}), 0) AS {x}{n}"
+        for n in range(1, max_n + 1) for x, v in (("o", "least(c.h, c.r)"), ("h", "c.h"), ("r", "c.r")))
+    return f"""{tokens},
+{name}_g AS ({parts}),
+{name}_c AS (SELECT id, n, gram, count(*) FILTER (side = 'h') AS h, count(*) FILTER (side = 'r') AS r
+             FROM {name}_g GROUP BY id, n, gram),
+{name} AS (SELECT id, {sums} FROM {name}_t LEFT JOIN {name}_c c USING (id) GROUP BY id)"""
+
+
+BLEU = """CASE WHEN h1 = 0 OR o1 = 0 THEN 0.0 ELSE
+  CASE WHEN h1 > r1 THEN 1.0 ELSE exp(1 - r1 / h1) END * exp((""" + " + ".join(
+    f"ln(CASE WHEN o{n} > 0 THEN o{n}::DOUBLE ELSE 0.1 END / greatest(h{n}, 1))" for n in range(1, 5)
+) + ") / 4) END"
+
+
+def rouge(n: int) -> str:
+    return f"CASE WHEN o{n} > 0 THEN 2.0 * o{n} / (h{n} + r{n}) ELSE 0.0 END"
+
+
+WORDS_HR = (words("lower(hyp_text)"), words("lower(ref_text)"))
+ASCII_HR = ("regexp_extract_all(lower(hyp_text), '[a-z0-9]+')", "regexp_extract_all(lower(ref_text), '[a-z0-9]+')")
+
+
+def meteor(name: str, source: str) -> str:
+    """CTE ``name(id, matches, chunks, meteor)``, identity alignment."""
+    return f"""
+{name}_t AS (SELECT id, {WORDS_HR[0]} AS h, {WORDS_HR[1]} AS r FROM {source}),
+{name}_f AS (
+  SELECT id, 0 AS side, unnest(range(len(h))) AS pos, unnest(h) AS token FROM {name}_t UNION ALL
+  SELECT id, 1, unnest(range(len(r))), unnest(r) FROM {name}_t),
+{name}_k AS (SELECT *, row_number() OVER (PARTITION BY id, token, side ORDER BY pos DESC) AS k FROM {name}_f),
+{name}_m AS (SELECT a.id, a.pos AS h, b.pos AS r FROM {name}_k a JOIN {name}_k b
+             ON a.id = b.id AND a.token = b.token AND a.k = b.k AND a.side = 0 AND b.side = 1),
+{name}_s AS (SELECT id, CASE WHEN h - lag(h) OVER w = 1 AND r - lag(r) OVER w = 1 THEN 0 ELSE 1 END AS new
+             FROM {name}_m WINDOW w AS (PARTITION BY id ORDER BY h)),
+{name}_c AS (SELECT id, count(*) AS m, sum(new) AS c FROM {name}_s GROUP BY id),
+{name}_p AS (SELECT id, m, c, m::DOUBLE / len(h) AS p, m::DOUBLE / len(r) AS q
+             FROM {name}_t LEFT JOIN {name}_c USING (id)),
+{name} AS (SELECT id, coalesce(m, 0) AS matches, coalesce(c, 0) AS chunks,
+             CASE WHEN m > 0 THEN p * q / (0.9 * p + 0.1 * q) * (1 - 0.5 * pow(c / m, 3)) ELSE 0.0 END AS meteor
+           FROM {name}_p)"""
+
+
+ORACLES["bleu"] = sql(PAIRS, overlap("ov", "pairs", *WORDS_HR, 4), select=f"""
+SELECT id, {", ".join(f"{x}{n}" for n in range(1, 5) for x in "ohr")}, round({BLEU}, 6) AS bleu FROM ov""")
+ORACLES["rouge_n"] = sql(PAIRS, overlap("ov", "pairs", *ASCII_HR, 2), select=f"""
+SELECT id, round({rouge(1)}, 6) AS rouge1, round({rouge(2)}, 6) AS rouge2,
+  round(coalesce(o1 / nullif(r1, 0), 0), 6) AS recall1, round(coalesce(o2 / nullif(r2, 0), 0), 6) AS recall2
+FROM ov""")
+ORACLES["meteor_exact"] = sql(PAIRS, meteor("mt", "pairs"), select="""
+SELECT id, matches, chunks, round(meteor, 6) AS meteor FROM mt""")
+
+# ---- reports
+JUDGED = """
+j AS (SELECT quality AS actual, CAST(n_chars >= 1000 AS INTEGER) AS predicted
+      FROM labels JOIN documents USING (doc_id))"""
+ORACLES["confusion"] = sql(JUDGED, select="""
+SELECT a AS actual, count(*) FILTER (actual = a AND predicted = 0) AS pred_0,
+  count(*) FILTER (actual = a AND predicted = 1) AS pred_1
+FROM j, (VALUES (0), (1)) v(a) GROUP BY a""")
+ORACLES["classification_report"] = sql(
+    JUDGED,
+    """c AS (SELECT k, count(*) FILTER (actual = k AND predicted = k) AS tp, count(*) FILTER (predicted = k) AS pp,
+         count(*) FILTER (actual = k) AS s, count(*) AS n FROM j, (VALUES (0), (1)) v(k) GROUP BY k)""",
+    """m AS (SELECT k, s, n, coalesce(tp / nullif(pp, 0), 0) AS p, coalesce(tp / nullif(s, 0), 0) AS r,
+         coalesce(2 * tp / nullif(pp + s, 0), 0) AS f, tp FROM c)""",
+    """o AS (SELECT CASE k WHEN 0 THEN 'Incorrect' ELSE 'Correct' END AS name, p, r, f, s FROM m
+      UNION ALL SELECT 'accuracy', sum(tp) / max(n), sum(tp) / max(n), sum(tp) / max(n), max(n) FROM m
+      UNION ALL SELECT 'macro avg', avg(p), avg(r), avg(f), max(n) FROM m
+      UNION ALL SELECT 'weighted avg', sum(p * s) / max(n), sum(r * s) / max(n), sum(f * s) / max(n), max(n) FROM m)""",
+    select="""
+SELECT name, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, s AS support FROM o""")
+
+# ---- quiz items
+ITEMS = ",".join([
+    QUIZ, SENT, VOCAB,
+    """
+pn AS (SELECT id, count(*) AS n, least(5, greatest(3, count(*) // 3)) AS q FROM sent GROUP BY id),
+piv AS (SELECT id, i * greatest(1, n // q) AS pivot_pos FROM pn, range(5) r(i)
+        WHERE i < q AND i * greatest(1, n // q) < n),
+pq AS (SELECT piv.id, pivot_pos, sentence AS text FROM piv JOIN sent ON sent.id = piv.id AND sent.pos = pivot_pos)""",
+    sims("pm", "sent", "pq", "id, pivot_pos"),
+    """
+pb AS (SELECT pm.id, pivot_pos, arg_max(sentence, (sim, -pm.pos)) AS sentence
+       FROM pm JOIN sent USING (id, pos) GROUP BY pm.id, pivot_pos)""",
+    key_chunks("kc", "pb", "id, pivot_pos", "sentence"),
+    f"""
+it AS (SELECT pb.id, pb.pivot_pos, {blanked('sentence', 'chunk')} AS stem, chunk
+       FROM pb JOIN kc USING (id, pivot_pos) JOIN pq USING (id, pivot_pos) WHERE chunk <> pq.text),
+sq AS (SELECT id, pivot_pos, stem AS text FROM it)""",
+    sims("hm", "sent", "sq", "id, pivot_pos"), hint_ctes("hm", "sq", "sent", "id, pivot_pos"),
+    phrases("np", "quiz", "id", "article"),
+    f"""
+ic AS (SELECT it.id, pivot_pos, phrase, row_number() OVER (PARTITION BY it.id, pivot_pos ORDER BY rank) AS rn
+       FROM it JOIN np ON np.id = it.id WHERE phrase <> lower(chunk)),
+idl AS (SELECT id, pivot_pos, list(phrase ORDER BY rn) AS ds FROM ic WHERE rn <= 3 GROUP BY id, pivot_pos),
+slots AS (
+  SELECT it.id, it.pivot_pos, slot, stem, chunk,
+    CASE WHEN slot = 0 THEN chunk
+         ELSE {title("coalesce(ds, ['option1', 'option2', 'option3'])[slot]")} END AS word
+  FROM it LEFT JOIN idl ON idl.id = it.id AND idl.pivot_pos = it.pivot_pos, range(4) r(slot)),
+so AS (SELECT *, CASE WHEN word IS NULL THEN '(No distractor available)'
+                 ELSE replace(stem, '__________', word) END AS opt,
+         row_number() OVER (PARTITION BY id, pivot_pos ORDER BY md5('42:' || id || ':' || pivot_pos || ':' || slot)) - 1 AS at0
+       FROM slots),
+oi AS (SELECT id, pivot_pos, any_value(stem) AS question_stem, any_value(chunk) AS answer_chunk,
+         string_agg(opt, '|' ORDER BY at0) AS options, string_agg(coalesce(word, ''), '|' ORDER BY at0) AS option_words,
+         CAST(max(CASE WHEN slot = 0 THEN at0 END) AS INTEGER) AS correct_idx
+       FROM so GROUP BY id, pivot_pos),
+items AS (
+  SELECT oi.*, {masked('h1', 'answer_chunk')} || '|' || {masked('h2', 'answer_chunk')} || '|' ||
+    {masked('h3', 'answer_chunk')} AS hints
+  FROM oi JOIN h3 ON h3.id = oi.id AND h3.pivot_pos = oi.pivot_pos)"""])
+ORACLES["quiz_items"] = sql(ITEMS, select="""
+SELECT id, CAST(pivot_pos AS INTEGER) AS pivot_pos, question_stem, answer_chunk, options, option_words,
+  correct_idx, hints FROM items""")
+
+# ---- sessions
+ANSWERS = """
+ans AS (SELECT user_id AS session_id, event_id % 5 AS q_idx,
+          CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 AS INTEGER) AS chosen, ts, event_id FROM events),
+first AS (SELECT session_id, q_idx, arg_min(chosen, (ts, event_id)) AS chosen, min(ts) AS ts
+          FROM ans GROUP BY session_id, q_idx)"""
+SESSION_ITEMS = """
+si AS (SELECT id // 5 AS session_id, id % 5 AS q_idx, question, correct, [A, B, C, D] AS opts,
+         CAST(id % 4 AS INTEGER) AS correct_idx FROM quiz)"""
+ORACLES["first_answers"] = sql(ANSWERS, select="""
+SELECT session_id, q_idx, chosen, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM first""")
+ORACLES["session_scores"] = sql(QUIZ, ANSWERS, SESSION_ITEMS, select="""
+SELECT session_id, count(*) AS total, count(chosen) AS answered,
+  count(*) FILTER (chosen = correct_idx) AS correct,
+  CAST(100 * count(*) FILTER (chosen = correct_idx) // count(*) AS INTEGER) AS pct,
+  count(*) = count(chosen) AS complete
+FROM si LEFT JOIN first USING (session_id, q_idx) GROUP BY session_id""")
+ORACLES["session_log"] = sql(QUIZ, ANSWERS, SESSION_ITEMS, select="""
+SELECT session_id, q_idx, question AS "Question", correct AS "Correct Answer",
+  coalesce(opts[chosen + 1], 'N/A') AS "User Choice", coalesce(chosen = correct_idx, false) AS "Is Correct"
+FROM si LEFT JOIN first USING (session_id, q_idx)""")
+
+# ---- evaluations over the val rows
+EVALUATED = ",".join([
+    CLOZE,
+    """
+sp AS (SELECT id, row_number() OVER (ORDER BY md5('42:' || id), id) AS rn, count(*) OVER () AS n FROM quiz),
+val AS (SELECT id FROM sp WHERE rn > n - (n + 4) // 5 AND rn <= n - ((n + 4) // 5 + 1) // 2),
+ep AS (SELECT id, stem AS hyp_text, question AS ref_text FROM cloze JOIN quiz USING (id) JOIN val USING (id))""",
+    phrases("np", "quiz", "id", "article"), FIRST3,
+    """
+op AS (SELECT id, question || ' ' || array_to_string(ds, ' ') AS hyp_text,
+         question || ' ' || array_to_string(ws, ' ') AS ref_text
+       FROM made JOIN quiz USING (id) JOIN val USING (id))""",
+    *[x for p in ("ep", "op") for x in (
+        overlap(p + "w", p, *WORDS_HR, 4), overlap(p + "r", p, *ASCII_HR, 2), meteor(p + "m", p))],
+    """
+scores AS (""" + " UNION ALL ".join(
+        f"SELECT '{name}' AS pipeline, '{metric}' AS metric, coalesce(avg({value}), 0) AS value FROM {p}{cte}"
+        for p, name in (("ep", "extraction"), ("op", "options"))
+        for metric, value, cte in (("BLEU", BLEU, "w"), ("ROUGE-1", rouge(1), "r"), ("ROUGE-2", rouge(2), "r"),
+                                   ("METEOR", "meteor", "m"))) + ")"])
+ORACLES["evaluation_plain"] = sql(
+    EVALUATED, select="SELECT pipeline, metric, round(value, 6) AS value FROM scores")
+ORACLES["metric_report"] = sql(EVALUATED, select="""
+SELECT metric, printf('%.2f%%', 100 * max(value) FILTER (pipeline = 'extraction')) AS extraction,
+  printf('%.2f%%', 100 * max(value) FILTER (pipeline = 'options')) AS options
+FROM scores GROUP BY metric ORDER BY metric""")
