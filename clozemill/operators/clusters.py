@@ -13,6 +13,7 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clozemill.operators.common import for_iterations
 from clozemill.operators.sampling import sample_exact
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,9 +28,10 @@ def train_kmeans(
     features: str = "features",
 ) -> tuple[KMeansModel, float]:
     """Best of ``starts`` seeded runs by inertia: ``(model, inertia)``."""
-    data = vectors.select(features).persist()
+    rows = vectors.select(features).persist()
     try:
         best = None
+        data = for_iterations(rows, rows.count()).persist()
         for i in range(starts):
             model = KMeans(
                 k=k, seed=seed + i, initMode="k-means||", maxIter=max_iter, featuresCol=features,
@@ -38,9 +40,10 @@ def train_kmeans(
             cost = model.summary.trainingCost
             if best is None or cost < best[1]:
                 best = (model, cost)
+        data.unpersist()
         return best
     finally:
-        data.unpersist()
+        rows.unpersist()
 
 
 def assign(model: KMeansModel, vectors: DataFrame) -> DataFrame:
@@ -87,8 +90,12 @@ def silhouette_parts(
         F.pmod(F.xxhash64(id_col), F.lit(nb)).alias("b"),
     )
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long")))
-    left = rows.withColumnRenamed("b", "lb").withColumn("rb", every)
-    right = rows.withColumnRenamed("b", "rb").withColumn("lb", every)
+
+    def side(own: str, other: str) -> DataFrame:
+        cells = [F.col(c).alias(c) for c in ("id", "c", "i", "x")]
+        return rows.select(*cells, F.col("b").alias(own), every.alias(other))
+
+    left, right = side("lb", "rb"), side("rb", "lb")
     id_type = dict(rows.dtypes)["id"]
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

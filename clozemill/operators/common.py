@@ -41,3 +41,10 @@ def small(df: DataFrame, rows: int, row_bytes: int = 64, limit: int = BROADCAST_
     """Broadcast a side whose row count has a known bound, if the bound fits the limit;
     beyond it Spark picks the join by itself."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
+
+
+def for_iterations(df: DataFrame, rows: int, per_partition: int = 20_000) -> DataFrame:
+    """Fewer partitions for an iterative fit on little data, where a task start costs more
+    than its work; larger inputs keep theirs."""
+    wanted = max(1, -(-rows // per_partition))
+    return df if wanted >= df.rdd.getNumPartitions() else df.coalesce(wanted)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from clozemill.functions import text as X
 from clozemill.functions.words import FALLBACK_DISTRACTORS
 from clozemill.operators.cloze import Tagger, rule_tagger
-from clozemill.operators.common import once
+from clozemill.operators.common import for_iterations, once
 from clozemill.operators.embeddings import phrase_vectors
 from clozemill.operators.relational import correct_option, wrong_options
 from clozemill.operators.sampling import first_rows
@@ -77,16 +77,17 @@ def ranker_rows(quiz: DataFrame, n_rows: int = 2000, tagger: Tagger | None = Non
     """Training pairs ``id, cand, answer, article, label`` of the first ``n_rows`` rows:
     the given wrong options as positives, the first three candidates that are not the
     answer as negatives."""
-    rows = with_candidates(first_rows(quiz, n_rows), tagger=tagger).withColumn(
-        "correct", correct_option()
+    rows = once(
+        with_candidates(first_rows(quiz, n_rows), tagger=tagger),
+        _correct=correct_option(), _wrong=wrong_options(),
     )
-    gold = F.transform(wrong_options(), lambda w: F.struct(w.alias("cand"), F.lit(1.0).alias("label")))
+    gold = F.transform("_wrong", lambda w: F.struct(w.alias("cand"), F.lit(1.0).alias("label")))
     negatives = F.transform(
-        F.slice(not_answer(F.col("candidates"), F.col("correct")), 1, 3),
+        F.slice(not_answer(F.col("candidates"), F.col("_correct")), 1, 3),
         lambda c: F.struct(c.alias("cand"), F.lit(0.0).alias("label")),
     )
     return rows.select(
-        "id", F.col("correct").alias("answer"), "article", F.inline(F.concat(gold, negatives))
+        "id", F.col("_correct").alias("answer"), "article", F.inline(F.concat(gold, negatives))
     )
 
 
@@ -103,7 +104,7 @@ def train_ranker(
         n = data.count()
         return LogisticRegression(
             regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=100
-        ).fit(data)
+        ).fit(for_iterations(data, n))
     finally:
         data.unpersist()
 

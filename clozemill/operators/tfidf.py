@@ -103,4 +103,5 @@ def tfidf_vectors(
     values = F.coalesce(
         F.transform(F.col("_tw.w"), lambda w: w / F.col("_norm")), F.array().cast("array<double>")
     )
-    return joined.withColumn(out, _sparse(F.lit(max_terms), ids, values)).drop("_tw", "_norm")
+    size = terms.agg(F.coalesce(F.max("term_id") + 1, F.lit(1))).scalar()
+    return joined.withColumn(out, _sparse(size, ids, values)).drop("_tw", "_norm")

@@ -11,6 +11,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clozemill.operators.common import for_iterations
 from clozemill.operators.relational import unpivot_options, verifier_text
 from clozemill.operators.sampling import two_level_rank
 from clozemill.operators.tfidf import MAX_TERMS, tfidf_vectors
@@ -18,6 +19,7 @@ from clozemill.operators.tfidf import MAX_TERMS, tfidf_vectors
 GRID = (0.1, 1.0, 10.0)
 FOLDS = 3
 SECOND_PENALTY = 1e-4
+TOLERANCE = 1e-4
 
 
 @dataclass
@@ -43,7 +45,7 @@ def with_folds(rows: DataFrame, folds: int = FOLDS, seed: int = 42) -> DataFrame
 
 def _logistic(penalty: float, max_iter: int) -> LogisticRegression:
     return LogisticRegression(
-        regParam=penalty, elasticNetParam=0.0, standardization=False, maxIter=max_iter
+        regParam=penalty, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=TOLERANCE
     )
 
 
@@ -56,6 +58,7 @@ def train_verifier(
     rows = with_folds(training_rows(quiz, terms), folds).select("label", "features", "fold").persist()
     try:
         n = rows.count()
+        data = for_iterations(rows, n)
         fitted = max(1, n * (folds - 1) // folds)
         base = _logistic(0.0, max_iter)
         search = CrossValidator(
@@ -64,17 +67,17 @@ def train_verifier(
             .addGrid(base.regParam, [1.0 / (c * fitted) for c in grid]).build(),
             evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
             numFolds=folds, foldCol="fold", parallelism=parallelism,
-        ).fit(rows)
+        ).fit(data)
         accuracy = dict(zip(grid, search.avgMetrics))
         best = max(grid, key=lambda c: (accuracy[c], -grid.index(c)))
         voters = [
-            _logistic(1.0 / (best * n), max_iter).fit(rows),
-            _logistic(SECOND_PENALTY, max_iter).fit(rows),
+            _logistic(1.0 / (best * n), max_iter).fit(data),
+            _logistic(SECOND_PENALTY, max_iter).fit(data),
         ]
         if naive_bayes:
             from pyspark.ml.classification import NaiveBayes
 
-            voters.append(NaiveBayes().fit(rows))
+            voters.append(NaiveBayes().fit(data))
         params = {"C": best, "accuracy": {str(c): a for c, a in accuracy.items()}, "rows": n}
         return Verifier(voters, params)
     finally:

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clozemill.functions import text as X
 from clozemill.operators import (
     cloze, clusters, distractors, embeddings, metrics, profile, relational, reports, sampling,
-    similarity, tfidf,
+    similarity, tfidf, verifier,
 )
 from clozemill.operators.common import keyed, once, spread
 from clozemill.plans import items as item_plan
+from clozemill.plans import models
 from clozemill.plans.quizview import documents
 from clozemill.plans.quizview import quiz_view as derive_quiz
-from clozemill.plans.stages import corpus, quiz_table, staged, vocabulary
+from clozemill.plans.stages import corpus, quiz_table, stage_path, staged, vocabulary
+from clozemill.session import shared_dir
+from clozemill.sources.tables import materialise
+from clozemill.streaming import articles, sessions
 
 FLAGSHIP = "quiz_items"
 QUERIES = {}
@@ -544,3 +550,213 @@ def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.metric_report(_scores(spark, sf_dir, False).filter("metric <> 'ROUGE-L'"))
+
+
+# ---- learned models -------------------------------------------------------------
+
+
+@query
+def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, _ = models.word_vectors(spark, sf_dir)
+    return vectors.select("word", F.size("vector").alias("dim"), F.round(embeddings.norm(F.col("vector")), 6).alias("norm"))
+
+
+@query
+def nearest_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, n = models.word_vectors(spark, sf_dir)
+    asked = quiz_table(spark, sf_dir).select(
+        "id", "article", relational.correct_option().alias("answer")
+    )
+    return embeddings.nearest_words(asked, vectors, n, n)
+
+
+@query
+def distractors_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, n = models.word_vectors(spark, sf_dir)
+    rows = distractors.with_candidates(models.val_rows(spark, sf_dir)).withColumn(
+        "correct", relational.correct_option()
+    )
+    made = distractors.generate_distractors(
+        rows, ["id"], "correct", 3, vectors, models.ranker(spark, sf_dir), n, models.DIM
+    )
+    return made.select("id", F.array_join("distractors", "|").alias("distractors"))
+
+
+@query
+def ranked_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W7: three best per key by probability, equal ones by text descending."""
+    scored = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        "user_id",
+        F.concat_ws("-", "event_type", "event_id").alias("cand"),
+        (F.get_json_object("props", "$.k").cast("int") / 99).alias("prob"),
+    )
+    best = distractors.top_ranked(scored, ["user_id"], 3)
+    return best.select("user_id", "cand", F.round("prob", 6).alias("prob"), "rank")
+
+
+@query
+def soft_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML5: mean of two class-1 probabilities, a tie is 0."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    first, second = F.pmod("event_id", F.lit(100)) / 99, k / 99
+    label, mean = verifier.vote([first, second])
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        "event_id", label.alias("predicted"), F.round(mean, 6).alias("probability")
+    )
+
+
+def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verifier.evaluate(
+        models.answer_verifier(spark, sf_dir), models.val_rows(spark, sf_dir), vocabulary(spark, sf_dir)
+    )
+
+
+@query
+def verifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verified(spark, sf_dir).select(
+        "id", "opt", "label", "predicted", F.round("probability", 6).alias("probability")
+    )
+
+
+@query
+def verifier_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.classification_report(_verified(spark, sf_dir), "label", "predicted")
+
+
+@query
+def verifier_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.confusion_matrix(_verified(spark, sf_dir), "label", "predicted")
+
+
+@query
+def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, _ = models.kmeans(spark, sf_dir)
+    rows = models.cluster_vectors(spark, sf_dir, quiz_table(spark, sf_dir))
+    return clusters.assign(model, rows).select("id", "cluster_id")
+
+
+@query
+def kmeans_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inertia and silhouette stored with the model, as score rows."""
+    _, params = models.kmeans(spark, sf_dir)
+    return spark.createDataFrame(
+        [("extraction", "Silhouette Score", params["silhouette"]), ("extraction", "Inertia", params["inertia"])],
+        "pipeline string, metric string, value double",
+    )
+
+
+@query
+def quiz_items_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML16 with every model: ranked wrong options and cluster ids."""
+    vectors, n = models.word_vectors(spark, sf_dir)
+    made = item_plan.quiz_items(
+        quiz_table(spark, sf_dir).select("id", "article"),
+        vocabulary(spark, sf_dir),
+        lambda df: staged(spark, sf_dir, "stems", lambda: df),
+        vectors=vectors, n_words=n, dim=models.DIM, ranker=models.ranker(spark, sf_dir),
+        kmeans=models.kmeans(spark, sf_dir)[0],
+    )
+    return made.select(
+        "id", "pivot_pos", "question_stem", "answer_chunk",
+        F.array_join("option_words", "|").alias("option_words"), "correct_idx", "cluster_id",
+    )
+
+
+@query
+def passage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F9 over every passage of the table, in any language."""
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("article"))
+    stems = item_plan.passage_stems(docs, vocabulary(spark, sf_dir))
+    found = stems.select("id", F.explode("stems"))
+    return item_plan.passage_status(docs, found)
+
+
+# ---- streams --------------------------------------------------------------------
+
+
+def _run_dir(spark: SparkSession, name: str) -> str:
+    return shared_dir(spark, f"{spark.sparkContext.applicationId}/streams/{name}-{uuid.uuid4().hex}")
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return sessions.read_stream(spark, f"{sf_dir}/events*.parquet", schema).select(*answer_columns())
+
+
+@query
+def answers_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1: first answer per session and question, from the event stream."""
+    out = _run_dir(spark, "answers")
+    events = _event_stream(spark, sf_dir).withColumn("kind", F.lit("answer"))
+    sessions.run_to_table(sessions.first_answers(events), f"{out}/table", f"{out}/progress")
+    return spark.read.parquet(f"{out}/table").select(
+        "session_id", "q_idx", "chosen", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts")
+    )
+
+
+@query
+def windowed_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST5: answers and right answers per day, for the days the watermark has closed."""
+    out = _run_dir(spark, "windows")
+    marked = _event_stream(spark, sf_dir).withColumn("correct_idx", F.pmod("session_id", F.lit(4)).cast("int"))
+    sessions.run_to_table(sessions.windowed_accuracy(marked), f"{out}/table", f"{out}/progress")
+    stamp = "yyyy-MM-dd HH:mm:ss"
+    return spark.read.parquet(f"{out}/table").select(
+        F.date_format("start", stamp).alias("start"), F.date_format("end", stamp).alias("end"),
+        "answers", "correct",
+    )
+
+
+@query
+def items_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST2: items of passages that arrive as files."""
+    out = _run_dir(spark, "items")
+    terms = vocabulary(spark, sf_dir)
+    source = stage_path(spark, sf_dir, "quiz")
+    passages = sessions.read_stream(spark, source, quiz_table(spark, sf_dir).schema).select("id", "article")
+
+    def job(batch: DataFrame, batch_id: int) -> DataFrame:
+        stems = f"{out}/stems/{batch_id}"
+        return item_plan.quiz_items(
+            batch, terms, lambda df: materialise(spark, stems, lambda: df, force=True)
+        )
+
+    articles.run_batches(passages, job, f"{out}/table", f"{out}/progress")
+    made = spark.read.parquet(f"{out}/table")
+    return made.select(
+        "id", "pivot_pos", "question_stem", "answer_chunk",
+        F.array_join("options", "|").alias("options"),
+        F.array_join("option_words", "|").alias("option_words"),
+        "correct_idx", F.array_join("hints", "|").alias("hints"),
+    )
+
+
+@query
+def verifier_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST3: verifier probability of question and option pairs that arrive as files."""
+    out = _run_dir(spark, "verifier")
+    model, terms = models.answer_verifier(spark, sf_dir), vocabulary(spark, sf_dir)
+    source = stage_path(spark, sf_dir, "quiz")
+    rows = sessions.read_stream(spark, source, quiz_table(spark, sf_dir).schema)
+    articles.run_batches(
+        rows, lambda batch, _: verifier.evaluate(model, batch, terms), f"{out}/table", f"{out}/progress"
+    )
+    return spark.read.parquet(f"{out}/table").select(
+        "id", "opt", "predicted", F.round("probability", 6).alias("probability")
+    )
+
+
+@query
+def kmeans_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST4: mini-batch clusters of questions that arrive as files."""
+    out = _run_dir(spark, "kmeans")
+    terms = vocabulary(spark, sf_dir)
+    source = stage_path(spark, sf_dir, "quiz")
+    model = articles.MiniBatchKMeans(spark, f"{out}/centres")
+    rows = sessions.read_stream(
+        spark, source, quiz_table(spark, sf_dir).schema, files_per_batch=4
+    ).select(F.col("id").alias("uid"), relational.cluster_text().alias("text"))
+    articles.run_batches(
+        rows, lambda batch, i: model.step(batch, terms, i), f"{out}/table", f"{out}/progress"
+    )
+    return spark.read.parquet(f"{out}/table").select("uid", "cluster_id")

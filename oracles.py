@@ -582,3 +582,23 @@ ORACLES["metric_report"] = sql(EVALUATED, select="""
 SELECT metric, printf('%.2f%%', 100 * max(value) FILTER (pipeline = 'extraction')) AS extraction,
   printf('%.2f%%', 100 * max(value) FILTER (pipeline = 'options')) AS options
 FROM scores GROUP BY metric ORDER BY metric""")
+
+# ---- votes and ranks from stored probabilities
+K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
+ORACLES["ranked_top_n"] = f"""
+WITH s AS (SELECT user_id, event_type || '-' || event_id AS cand, {K} / 99 AS prob FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY prob DESC, cand DESC) AS rank FROM s)
+SELECT user_id, cand, round(prob, 6) AS prob, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3"""
+ORACLES["soft_vote"] = f"""
+WITH p AS (SELECT event_id, (event_id % 100 / 99 + {K} / 99) / 2 AS m FROM events)
+SELECT event_id, CAST(m > 1 - m AS INTEGER) AS predicted, round(m, 6) AS probability FROM p"""
+
+# ---- streams, as the batch result over the whole table
+ORACLES["answers_stream"] = ORACLES["first_answers"]
+ORACLES["items_stream"] = ORACLES["quiz_items"]
+ORACLES["windowed_accuracy"] = f"""
+WITH w AS (SELECT date_trunc('day', ts) AS s, count(*) AS answers,
+             count(*) FILTER ({K} % 4 = user_id % 4) AS correct FROM events GROUP BY 1)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(s + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS "end",
+  answers, correct
+FROM w WHERE s + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
