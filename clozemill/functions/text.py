@@ -67,14 +67,15 @@ def ngrams(tokens: Column, n: int) -> Column:
     if n == 1:
         return tokens
 
-    def windows(t: Column) -> Column:
-        last = F.size(t) - F.lit(n - 1)
-        return F.when(
-            last >= 1,
-            F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(t, i, n), " ")),
-        ).otherwise(F.array().cast("array<string>"))
+    def joined(t: Column) -> Column:
+        count = F.size(t) - F.lit(n - 1)
+        pairs = F.zip_with(
+            F.slice(ngrams(t, n - 1), F.lit(1), count), F.slice(t, F.lit(n), count),
+            lambda a, b: F.concat(a, F.lit(" "), b),
+        )
+        return F.when(count >= 1, pairs).otherwise(F.array().cast("array<string>"))
 
-    return let(tokens, windows)
+    return let(tokens, joined)
 
 
 def terms(text: Column, max_n: int = 2, stop_words: Sequence[str] = STOP_WORDS) -> Column:
@@ -172,9 +173,10 @@ def format_like(text: Column, answer: Column) -> Column:
     return F.when(answer.rlike(r"^\p{Lu}"), title_case(text)).otherwise(F.lower(text))
 
 
-def count_substring(text: Column, piece: Column) -> Column:
-    """Occurrences of ``piece`` that do not overlap, in lower case."""
-    low_t, low_p = F.lower(text), F.lower(piece)
+def count_substring(text: Column, piece: Column, lowered: bool = False) -> Column:
+    """Occurrences of ``piece`` that do not overlap, in lower case; ``lowered`` says that
+    the text already is."""
+    low_t, low_p = text if lowered else F.lower(text), F.lower(piece)
     found = (F.length(low_t) - F.length(F.replace(low_t, low_p, F.lit("")))) / F.nullif(
         F.length(low_p), F.lit(0)
     )
@@ -256,25 +258,18 @@ def key_chunk(tagged: Column) -> Column:
     """The token to ask for: proper nouns first, then the longest, then the first; or ''."""
 
     def best(tg: Column) -> Column:
-        placed = F.transform(
-            tg, lambda t, i: F.struct(t["token"].alias("token"), t["tag"].alias("tag"), i.alias("at"))
-        )
-        usable = F.filter(placed, lambda t: (t["tag"] != "") & valid_chunk(t["token"]))
-        proper = F.transform(
-            F.filter(tg, lambda t: t["tag"] == "NNP"), lambda t: F.lower(t["token"])
-        )
-        scored = let(
-            proper,
-            lambda pn: F.transform(
-                usable,
-                lambda t: F.struct(
-                    F.when(t["tag"] == "NNP", F.lit(1))
-                    .otherwise(F.array_contains(pn, F.lower(t["token"])).cast("int"))
-                    .alias("proper"),
-                    F.length(t["token"]).alias("len"),
-                    (-t["at"]).alias("at"),
-                    t["token"].alias("token"),
-                ),
+        usable = F.filter(tg, lambda t: (t["tag"] != "") & valid_chunk(t["token"]))
+
+        def named(t: Column) -> Column:
+            return F.exists(
+                tg, lambda u: (u["tag"] == "NNP") & (F.lower(u["token"]) == F.lower(t["token"]))
+            )
+
+        scored = F.transform(
+            usable,
+            lambda t, i: F.struct(
+                F.when(t["tag"] == "NNP", F.lit(True)).otherwise(named(t)).alias("proper"),
+                F.length(t["token"]).alias("len"), (-i).alias("at"), t["token"].alias("token"),
             ),
         )
         return F.array_max(scored)["token"]

@@ -38,10 +38,12 @@ def first_n(candidates: Column, answer: Column, n: int = 3) -> Column:
     )
 
 
-def lexical_features(cand: Column, answer: Column, article: Column) -> list[Column]:
+def lexical_features(cand: Column, answer: Column, low_article: Column) -> list[Column]:
+    """Features that need no vectors; the article comes in lower case, so that it is
+    folded once and not once per candidate."""
     return [
         X.shared_characters(cand, answer).alias("char_match"),
-        X.count_substring(article, cand).alias("freq"),
+        X.count_substring(low_article, cand, lowered=True).alias("freq"),
         X.length_difference(cand, answer).alias("len_diff"),
     ]
 
@@ -49,14 +51,14 @@ def lexical_features(cand: Column, answer: Column, article: Column) -> list[Colu
 def candidate_features(
     pairs: DataFrame, vectors: DataFrame, keys: list[str], n_words: int, dim: int
 ) -> DataFrame:
-    """Features of ``pairs(keys, cand, answer, article)``; the article ends here.
+    """Features of ``pairs(keys, cand, answer, low_article)``; the article ends here.
 
     Mean vectors are formed once per distinct phrase and joined back; a phrase without
     a known word gives similarity 0.
     """
     lexical = pairs.select(
         *keys, "cand", "answer",
-        *lexical_features(F.col("cand"), F.col("answer"), F.col("article")),
+        *lexical_features(F.col("cand"), F.col("answer"), F.col("low_article")),
     )
     phrases = lexical.select(F.col("cand").alias("phrase")).union(lexical.select("answer")).distinct()
     means = phrase_vectors(phrases, vectors, n_words, dim)
@@ -74,12 +76,12 @@ def assemble(features: DataFrame) -> DataFrame:
 
 
 def ranker_rows(quiz: DataFrame, n_rows: int = 2000, tagger: Tagger | None = None) -> DataFrame:
-    """Training pairs ``id, cand, answer, article, label`` of the first ``n_rows`` rows:
+    """Training pairs ``id, cand, answer, low_article, label`` of the first ``n_rows`` rows:
     the given wrong options as positives, the first three candidates that are not the
     answer as negatives."""
     rows = once(
         with_candidates(first_rows(quiz, n_rows), tagger=tagger),
-        _correct=correct_option(), _wrong=wrong_options(),
+        _correct=correct_option(), _wrong=wrong_options(), low_article=F.lower("article"),
     )
     gold = F.transform("_wrong", lambda w: F.struct(w.alias("cand"), F.lit(1.0).alias("label")))
     negatives = F.transform(
@@ -87,7 +89,7 @@ def ranker_rows(quiz: DataFrame, n_rows: int = 2000, tagger: Tagger | None = Non
         lambda c: F.struct(c.alias("cand"), F.lit(0.0).alias("label")),
     )
     return rows.select(
-        "id", F.col("_correct").alias("answer"), "article", F.inline(F.concat(gold, negatives))
+        "id", F.col("_correct").alias("answer"), "low_article", F.inline(F.concat(gold, negatives))
     )
 
 
@@ -121,8 +123,9 @@ def ranked_distractors(
     candidates: str = "candidates",
 ) -> DataFrame:
     """``keys, distractors``: the ``n`` most probable wrong options per row."""
-    pairs = df.select(
-        *keys, F.col(answer).alias("answer"), F.col(article).alias("article"),
+    low = once(df.select(*keys, answer, article, candidates), low_article=F.lower(article))
+    pairs = low.select(
+        *keys, F.col(answer).alias("answer"), "low_article",
         F.explode(not_answer(F.col(candidates), F.col(answer))).alias("cand"),
     )
     features = assemble(candidate_features(pairs, vectors, keys, n_words, dim))

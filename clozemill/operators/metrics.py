@@ -84,35 +84,15 @@ def rouge_l(hyp: Column, ref: Column) -> Column:
     return f_measure(lcs_length(hyp, ref), F.size(hyp), F.size(ref))
 
 
-def _align(tokens: DataFrame, key: str, by: str) -> DataFrame:
-    """Pair equal values of ``by`` of the two sides, the last with the last and so on.
-
-    ``key, h, r``: positions of the partners; a token without partner has null on the
-    other side. Rows of the input: ``key, side (0 hyp, 1 ref), pos, token, stem``.
-    """
-    place = F.row_number().over(W.partitionBy(key, by, "side").orderBy(F.desc("pos")))
-    return (
-        tokens.withColumn("_k", place)
-        .groupBy(key, by, "_k")
-        .agg(
-            F.max(F.when(F.col("side") == 0, F.struct("pos", "token", "stem"))).alias("h"),
-            F.max(F.when(F.col("side") == 1, F.struct("pos", "token", "stem"))).alias("r"),
-        )
-    )
-
-
-def _left_over(aligned: DataFrame, key: str) -> DataFrame:
-    one_sided = aligned.filter(F.col("h").isNull() | F.col("r").isNull())
-    return one_sided.select(
-        key,
-        F.when(F.col("h").isNull(), 1).otherwise(0).alias("side"),
-        F.inline(F.array(F.coalesce("h", "r"))),
-    )
-
-
-def _matched(aligned: DataFrame, key: str) -> DataFrame:
-    return aligned.filter(F.col("h").isNotNull() & F.col("r").isNotNull()).select(
-        key, F.col("h.pos").alias("h"), F.col("r.pos").alias("r")
+def _pair_up(tokens: DataFrame, key: str, stage: str, by: str, free: Column) -> DataFrame:
+    """Mark the rows of ``tokens`` for which ``free`` holds and that find a partner with
+    the same ``by`` on the other side, the last with the last and so on. Adds ``stage_k``
+    (place from the right) and ``stage_ok``."""
+    group = [F.col(key), free, F.col(by)]
+    place = F.row_number().over(W.partitionBy(*group, F.col("side")).orderBy(F.desc("pos")))
+    of_side = [F.count_if(F.col("side") == s).over(W.partitionBy(*group)) for s in (0, 1)]
+    return tokens.withColumn(f"{stage}_k", place).withColumn(
+        f"{stage}_ok", free & (F.col(f"{stage}_k") <= F.least(*of_side))
     )
 
 
@@ -137,20 +117,26 @@ def meteor(
 
     sizes = F.struct(F.size(hyp).alias("n_h"), F.size(ref).alias("n_r")).alias("_size")
     flat = rows.select(key, F.inline(F.concat(side(hyp, "_hs", 0), side(ref, "_rs", 1))))
-    exact = _align(flat, key, "token")
-    found = _matched(exact, key)
-    if stem or synonyms is not None:
-        by_stem = _align(_left_over(exact, key), key, "stem")
-        found = found.unionByName(_matched(by_stem, key))
-        if synonyms is not None:
-            rest = _left_over(by_stem, key)
-            h = rest.filter("side = 0").select(key, F.col("pos").alias("h"), F.col("token").alias("word"))
-            r = rest.filter("side = 1").select(key, F.col("pos").alias("r"), F.col("token").alias("synonym"))
-            edges = h.join(synonyms, "word").join(r, [key, "synonym"]).select(key, "h", "r").distinct()
-            grouped = edges.groupBy(key).agg(F.collect_list(F.struct("h", "r")).alias("_e"))
-            found = found.unionByName(
-                grouped.select(key, F.inline(greedy_pairs(F.col("_e"))))
-            )
+    aligned = _pair_up(flat, key, "exact", "token", F.lit(True))
+    matched, label, place = F.col("exact_ok"), F.col("token"), F.col("exact_k")
+    if stem:
+        aligned = _pair_up(aligned, key, "stem", "stem", ~F.col("exact_ok"))
+        label = F.when(matched, label).otherwise(F.col("stem"))
+        place = F.when(matched, place).otherwise(-F.col("stem_k"))
+        matched = matched | F.col("stem_ok")
+    found = (
+        aligned.filter(matched)
+        .groupBy(key, label.alias("_label"), place.alias("_place"))
+        .agg(*[F.max(F.when(F.col("side") == s, F.col("pos"))).alias(c) for s, c in ((0, "h"), (1, "r"))])
+        .select(key, "h", "r")
+    )
+    if synonyms is not None:
+        rest = aligned.filter(~matched)
+        h = rest.filter("side = 0").select(key, F.col("pos").alias("h"), F.col("token").alias("word"))
+        r = rest.filter("side = 1").select(key, F.col("pos").alias("r"), F.col("token").alias("synonym"))
+        edges = h.join(synonyms, "word").join(r, [key, "synonym"]).select(key, "h", "r").distinct()
+        grouped = edges.groupBy(key).agg(F.collect_list(F.struct("h", "r")).alias("_e"))
+        found = found.unionByName(grouped.select(key, F.inline(greedy_pairs(F.col("_e")))))
     order = W.partitionBy(key).orderBy("h")
     step = (F.col("h") - F.lag("h").over(order) == 1) & (F.col("r") - F.lag("r").over(order) == 1)
     chunks = found.withColumn("_new", F.when(F.coalesce(step, F.lit(False)), 0).otherwise(1))

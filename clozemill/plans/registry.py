@@ -286,10 +286,13 @@ def mask_and_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidate_pairs(quiz: DataFrame) -> DataFrame:
-    rows = distractors.with_candidates(spread(quiz)).withColumn("answer", relational.correct_option())
+    rows = once(
+        distractors.with_candidates(spread(quiz)),
+        right=relational.correct_option(), low_article=F.lower("article"),
+    )
     return rows.select(
-        "id", "article", "answer",
-        F.explode(distractors.not_answer(F.col("candidates"), F.col("answer"))).alias("cand"),
+        "id", "low_article", F.col("right").alias("answer"),
+        F.explode(distractors.not_answer(F.col("candidates"), F.col("right"))).alias("cand"),
     )
 
 
@@ -297,7 +300,7 @@ def _candidate_pairs(quiz: DataFrame) -> DataFrame:
 def candidate_features_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _candidate_pairs(quiz_table(spark, sf_dir))
     char_match, freq, len_diff = distractors.lexical_features(
-        F.col("cand"), F.col("answer"), F.col("article")
+        F.col("cand"), F.col("answer"), F.col("low_article")
     )
     return pairs.select("id", "cand", F.round(char_match, 6).alias("char_match"), freq, len_diff)
 

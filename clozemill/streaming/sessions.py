@@ -23,12 +23,14 @@ def spread_resets(events: DataFrame, n_questions: int) -> DataFrame:
     )
 
 
-def _first_per_interval(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Resets and the first answer after each of them, in time order."""
-    pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
-    reset = pdf["kind"].eq("reset")
-    keep = reset | ~pdf.assign(i=reset.cumsum(), r=reset).duplicated(["i", "r"])
-    return pdf[keep]
+def _first_per_interval(rows: list[tuple]) -> list[tuple]:
+    """Of ``(ts, event_id, kind, chosen)`` the resets and the first answer after each of
+    them, in time order."""
+    kept: list[tuple] = []
+    for row in sorted(rows, key=lambda r: r[:2]):
+        if row[2] == "reset" or not kept or kept[-1][2] == "reset":
+            kept.append(row)
+    return kept
 
 
 def first_answers(events: DataFrame) -> DataFrame:
@@ -41,9 +43,12 @@ def first_answers(events: DataFrame) -> DataFrame:
 
     def update(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         epoch, answered, ts, event_id = state.get if state.exists else (0, False, None, None)
-        rows = _first_per_interval(pd.concat([_first_per_interval(c) for c in chunks]))
+        reduced: list[tuple] = []
+        for chunk in chunks:
+            columns = [chunk[c].tolist() for c in ("ts", "event_id", "kind", "chosen")]
+            reduced = _first_per_interval(reduced + list(zip(*columns)))
         out = []
-        for kind, chosen, at, event in zip(rows["kind"], rows["chosen"], rows["ts"], rows["event_id"]):
+        for at, event, kind, chosen in reduced:
             if kind == "reset":
                 epoch, answered, ts, event_id = epoch + 1, False, at, event
             elif not answered:
