@@ -123,10 +123,13 @@ def ranked_distractors(
     candidates: str = "candidates",
 ) -> DataFrame:
     """``keys, distractors``: the ``n`` most probable wrong options per row."""
-    low = once(df.select(*keys, answer, article, candidates), low_article=F.lower(article))
-    pairs = low.select(
-        *keys, F.col(answer).alias("answer"), "low_article",
-        F.explode(not_answer(F.col(candidates), F.col(answer))).alias("cand"),
+    named = df.select(
+        *keys, F.col(answer).alias("_answer"), F.col(candidates).alias("_candidates"),
+        F.col(article).alias("_article"),
+    )
+    pairs = once(named, low_article=F.lower("_article")).select(
+        *keys, F.col("_answer").alias("answer"), "low_article",
+        F.explode(not_answer(F.col("_candidates"), F.col("_answer"))).alias("cand"),
     )
     features = assemble(candidate_features(pairs, vectors, keys, n_words, dim))
     scored = ranker.transform(features).select(

@@ -90,7 +90,8 @@ def tfidf_vectors(
     """``docs`` without its text column, with a sparse unit vector per row.
 
     Rows without a known term get the empty vector. The terms of one text are gathered
-    back by the row's own key, so a group is never larger than one text.
+    back by the row's own key, so a group is never larger than one text. ``terms`` is
+    read once for its size and should be a stored table.
     """
     placed = keyed(docs, id_col)
     weights = raw_weights(placed, terms, (id_col,), text_col, max_n, max_terms)
@@ -103,5 +104,6 @@ def tfidf_vectors(
     values = F.coalesce(
         F.transform(F.col("_tw.w"), lambda w: w / F.col("_norm")), F.array().cast("array<double>")
     )
-    size = terms.agg(F.coalesce(F.max("term_id") + 1, F.lit(1))).scalar()
+    last = terms.agg(F.max("term_id")).first()[0]
+    size = F.lit(1 if last is None else last + 1)
     return joined.withColumn(out, _sparse(size, ids, values)).drop("_tw", "_norm")
