@@ -39,8 +39,9 @@ def blank_key_chunk(sentence: Column, fallback: Column, tagger: Tagger) -> Colum
 
 
 def _asked(df: DataFrame, key: str, article: str, query: str) -> DataFrame:
+    # stating that every row has its key lets both sides of the later join share one exchange
     return once(
-        keyed(df, key), sents=X.sentences(F.col(article)),
+        keyed(df.filter(F.col(key).isNotNull()), key), sents=X.sentences(F.col(article)),
         _queries=F.array(X.text_or_empty(F.col(query))),
     )
 

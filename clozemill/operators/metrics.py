@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from clozemill.functions import text as X
 from clozemill.functions.arrow import greedy_pairs, lcs_length, stem_tokens
-from clozemill.operators.common import keyed, once
+from clozemill.operators.common import keyed, once, spread
 
 SIDE = "struct<n:int,gram:string,h:int,r:int>"
 
@@ -96,15 +96,25 @@ def _pair_up(tokens: DataFrame, key: str, stage: str, by: str, free: Column) ->
     )
 
 
+def with_stems(pairs: DataFrame, longer_than: int = 0, hyp: str = "hyp", ref: str = "ref") -> DataFrame:
+    """Add ``hyp_stem, ref_stem``. Do this before the rows are keyed: a Python step does
+    not keep the partitioning."""
+    return once(
+        pairs,
+        **{f"{c}_stem": stem_tokens(F.col(c), longer_than) for c in (hyp, ref)},
+    )
+
+
 def meteor(
     pairs: DataFrame, hyp: str = "hyp", ref: str = "ref", key: str = "id",
     stem: bool = True, synonyms: DataFrame | None = None,
     alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5,
 ) -> DataFrame:
-    """``key, matches, chunks, meteor``: tokens are aligned by identity, then by stem,
-    then through the optional table ``synonyms(word, synonym)``."""
-    stems = [stem_tokens(F.col(c)) if stem else F.col(c) for c in (hyp, ref)]
-    rows = once(pairs.select(key, hyp, ref), _hs=stems[0], _rs=stems[1])
+    """``key, matches, chunks, meteor``: tokens are aligned by identity, then by stem
+    (columns of :func:`with_stems`), then through the optional table
+    ``synonyms(word, synonym)``."""
+    stems = [F.col(f"{c}_stem") if stem else F.col(c) for c in (hyp, ref)]
+    rows = pairs.select(key, hyp, ref, stems[0].alias("_hs"), stems[1].alias("_rs"))
 
     def side(tokens: str, stemmed: str, which: int) -> Column:
         return F.transform(
@@ -115,8 +125,9 @@ def meteor(
             ),
         )
 
-    sizes = F.struct(F.size(hyp).alias("n_h"), F.size(ref).alias("n_r")).alias("_size")
-    flat = rows.select(key, F.inline(F.concat(side(hyp, "_hs", 0), side(ref, "_rs", 1))))
+    flat = rows.select(
+        key, F.inline_outer(F.concat(side(hyp, "_hs", 0), side(ref, "_rs", 1)))
+    )
     aligned = _pair_up(flat, key, "exact", "token", F.lit(True))
     matched, label, place = F.col("exact_ok"), F.col("token"), F.col("exact_k")
     if stem:
@@ -124,11 +135,15 @@ def meteor(
         label = F.when(matched, label).otherwise(F.col("stem"))
         place = F.when(matched, place).otherwise(-F.col("stem_k"))
         matched = matched | F.col("stem_ok")
+    # one row per partner pair, and one (without place) for what is left of each text
+    of_side = [F.col("side") == s for s in (0, 1)]
     found = (
-        aligned.filter(matched)
-        .groupBy(key, label.alias("_label"), place.alias("_place"))
-        .agg(*[F.max(F.when(F.col("side") == s, F.col("pos"))).alias(c) for s, c in ((0, "h"), (1, "r"))])
-        .select(key, "h", "r")
+        aligned.groupBy(key, F.when(matched, label).alias("_label"), F.when(matched, place).alias("_place"))
+        .agg(
+            *[F.max(F.when(s, F.col("pos"))).alias(c) for s, c in zip(of_side, "hr")],
+            *[F.count_if(s).alias(c) for s, c in zip(of_side, ("n_h", "n_r"))],
+        )
+        .select(key, F.col("_place").isNotNull().alias("pair"), "h", "r", "n_h", "n_r")
     )
     if synonyms is not None:
         rest = aligned.filter(~matched)
@@ -136,23 +151,21 @@ def meteor(
         r = rest.filter("side = 1").select(key, F.col("pos").alias("r"), F.col("token").alias("synonym"))
         edges = h.join(synonyms, "word").join(r, [key, "synonym"]).select(key, "h", "r").distinct()
         grouped = edges.groupBy(key).agg(F.collect_list(F.struct("h", "r")).alias("_e"))
-        found = found.unionByName(grouped.select(key, F.inline(greedy_pairs(F.col("_e")))))
-    order = W.partitionBy(key).orderBy("h")
+        more = grouped.select(key, F.lit(True).alias("pair"), F.inline(greedy_pairs(F.col("_e"))))
+        none = F.lit(0).cast("long")
+        found = found.unionByName(more.withColumns({"n_h": none, "n_r": none}))
+    order = W.partitionBy(key, "pair").orderBy("h")
     step = (F.col("h") - F.lag("h").over(order) == 1) & (F.col("r") - F.lag("r").over(order) == 1)
-    chunks = found.withColumn("_new", F.when(F.coalesce(step, F.lit(False)), 0).otherwise(1))
-    summed = chunks.groupBy(key).agg(
-        F.count(F.lit(1)).alias("matches"), F.sum("_new").alias("chunks")
-    )
-    joined = pairs.select(key, sizes).join(summed, key, "left").select(
-        key, "_size",
-        F.coalesce("matches", F.lit(0)).alias("matches"),
-        F.coalesce("chunks", F.lit(0)).alias("chunks"),
+    starts = found.withColumn("_new", F.col("pair") & ~F.coalesce(step, F.lit(False)))
+    summed = starts.groupBy(key).agg(
+        F.count_if("pair").alias("matches"), F.count_if("_new").alias("chunks"),
+        F.sum("n_h").alias("n_h"), F.sum("n_r").alias("n_r"),
     )
     m = F.col("matches").cast("double")
-    precision, recall = m / F.col("_size.n_h"), m / F.col("_size.n_r")
-    f_mean = precision * recall / (alpha * precision + (1 - alpha) * recall)
-    penalty = gamma * F.pow(F.col("chunks") / m, F.lit(beta))
-    return joined.select(
+    precision, recall = m / F.nullif("n_h", F.lit(0)), m / F.nullif("n_r", F.lit(0))
+    f_mean = precision * recall / F.nullif(alpha * precision + (1 - alpha) * recall, F.lit(0.0))
+    penalty = gamma * F.pow(F.col("chunks") / F.nullif(m, F.lit(0.0)), F.lit(beta))
+    return summed.select(
         key, "matches", "chunks",
         F.when(m > 0, f_mean * (1 - penalty)).otherwise(F.lit(0.0)).alias("meteor"),
     )
@@ -164,23 +177,24 @@ def text_scores(
 ) -> DataFrame:
     """``key, bleu, rouge1, rouge2, rougeL, meteor`` for two text columns."""
     rows = once(
-        keyed(pairs.select(key, hyp, ref), key),
+        spread(pairs.select(key, hyp, ref)),
         hyp=X.word_tokens(F.col(hyp)), ref=X.word_tokens(F.col(ref)),
         rh=X.rouge_tokens(F.col(hyp)), rr=X.rouge_tokens(F.col(ref)),
-    )
-    words = rows.select(key, "hyp", "ref")
-    bleu = ngram_overlap(words, key=key).select(key, bleu4().alias("bleu"))
-    plain = rows.select(key, "rh", "rr")
+    ).select(key, "hyp", "ref", "rh", "rr")
+    rh, rr = F.col("rh"), F.col("rr")
     if stem:
-        plain = once(
-            plain, sh=stem_tokens(F.col("rh"), 3), sr=stem_tokens(F.col("rr"), 3)
-        ).select(key, F.col("sh").alias("rh"), F.col("sr").alias("rr"))
-    rouge = ngram_overlap(plain, "rh", "rr", key, 2).select(
+        rows = once(
+            rows, hyp_stem=stem_tokens(F.col("hyp")), ref_stem=stem_tokens(F.col("ref")),
+            rh_stem=stem_tokens(rh, 3), rr_stem=stem_tokens(rr, 3),
+        )
+        rows = rows.drop("rh", "rr").withColumnsRenamed({"rh_stem": "rh", "rr_stem": "rr"})
+    rows = keyed(once(rows, rougeL=rouge_l(rh, rr)), key)
+    bleu = ngram_overlap(rows, key=key).select(key, bleu4().alias("bleu"))
+    rouge = ngram_overlap(rows, "rh", "rr", key, 2).select(
         key, rouge_n(1).alias("rouge1"), rouge_n(2).alias("rouge2")
     )
-    lcs = plain.select(key, rouge_l(F.col("rh"), F.col("rr")).alias("rougeL"))
-    met = meteor(words, key=key, stem=stem, synonyms=synonyms).select(key, "meteor")
-    return bleu.join(rouge, key).join(lcs, key).join(met, key)
+    met = meteor(rows, key=key, stem=stem, synonyms=synonyms).select(key, "meteor")
+    return bleu.join(rouge, key).join(rows.select(key, "rougeL"), key).join(met, key)
 
 
 # Fixed values. Metric names of the score table.

@@ -52,10 +52,13 @@ def cut_keys(keys: DataFrame, ranks: dict[str, Column]) -> DataFrame:
         "bucket", F.col("w.name").alias("name"),
         (F.col("w.k") - F.col("cum") + F.col("c")).alias("r"),
     )
-    ranked = bucketed.join(
-        small(edges.select("bucket").distinct(), len(ranks)), "bucket", "left_semi"
-    ).withColumn("rn", F.row_number().over(W.partitionBy("bucket").orderBy("key")))
-    hits = ranked.join(small(edges, len(ranks)), "bucket").filter(F.col("rn") == F.col("r"))
+    # at most one bucket per wanted rank is looked into
+    place = F.row_number().over(W.partitionBy("bucket", "name").orderBy("key"))
+    hits = (
+        bucketed.join(small(edges, len(ranks)), "bucket")
+        .withColumn("rn", place)
+        .filter(F.col("rn") == F.col("r"))
+    )
     return hits.agg(
         F.struct(*[
             F.max(F.when(F.col("name") == name, F.col("key"))).alias(name) for name in ranks

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clozemill.functions import text as X
-from clozemill.operators.common import once, small
+from clozemill.operators.common import keyed, once, small
 from clozemill.operators.tfidf import MAX_TERMS, TERM_BYTES, weight
 
 
@@ -108,17 +108,20 @@ def top_positions(scored: Column, n_sents: Column, n: int = 3, query: Column | i
     return F.slice(F.concat(ranked, rest), 1, n)
 
 
-def best_sentence(rows: DataFrame, terms: DataFrame, query: str, key: str = "id") -> DataFrame:
-    """``key, pos, sim, sentence``: per row the passage sentence closest to the query.
-
-    ``rows`` holds ``key, sents, query`` and is partitioned by key.
-    """
-    asked = rows.withColumn("_queries", F.array(X.text_or_empty(F.col(query))))
-    scores = sentence_scores(asked, terms, "_queries", 1, key)
+def best_sentence(
+    df: DataFrame, terms: DataFrame, article: str = "article", query: str = "query", key: str = "id"
+) -> DataFrame:
+    """``key, query, pos, sim, sentence``: per row the passage sentence closest to the
+    query. Both sides of the join read the same columns and so share one exchange."""
+    rows = once(
+        keyed(df.select(key, article, query).filter(F.col(key).isNotNull()), key),
+        sents=X.sentences(F.col(article)), _queries=F.array(X.text_or_empty(F.col(query))),
+    )
+    scores = sentence_scores(rows, terms, "_queries", 1, key)
     joined = rows.filter(F.size("sents") > 0).join(scores, key, "left")
     found = once(joined, _best=F.get(ranked_positions(F.col("scored")), F.lit(0)))
     pos = F.coalesce(F.col("_best.pos"), F.lit(0))
     return found.select(
-        key, pos.alias("pos"), F.coalesce(-F.col("_best.neg"), F.lit(0.0)).alias("sim"),
+        key, query, pos.alias("pos"), F.coalesce(-F.col("_best.neg"), F.lit(0.0)).alias("sim"),
         F.get("sents", pos).alias("sentence"),
     )

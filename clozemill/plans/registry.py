@@ -208,10 +208,9 @@ def _with_answer(quiz: DataFrame) -> DataFrame:
 
 @query
 def best_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = once(
-        keyed(_with_answer(quiz_table(spark, sf_dir)), "id"), sents=X.sentences(F.col("article"))
-    ).drop("article")
-    best = similarity.best_sentence(rows, vocabulary(spark, sf_dir), "query")
+    best = similarity.best_sentence(
+        _with_answer(quiz_table(spark, sf_dir)), vocabulary(spark, sf_dir)
+    )
     return best.withColumn("sim", F.round("sim", 6))
 
 
@@ -411,10 +410,10 @@ def meteor_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def meteor(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = once(
-        keyed(text_pairs(spark, sf_dir), "id"),
+        spread(text_pairs(spark, sf_dir)),
         hyp=X.word_tokens(F.col("hyp_text")), ref=X.word_tokens(F.col("ref_text")),
-    )
-    found = metrics.meteor(rows)
+    ).select("id", "hyp", "ref")
+    found = metrics.meteor(keyed(metrics.with_stems(rows), "id"))
     return found.select("id", "matches", "chunks", F.round("meteor", 6).alias("meteor"))
 
 

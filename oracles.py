@@ -136,9 +136,9 @@ ANSWER_QUERY = "aq AS (SELECT id, correct AS text FROM quiz)"
 ORACLES["best_sentence"] = sql(
     QUIZ, SENT, VOCAB, ANSWER_QUERY, sims("sm", "sent", "aq"),
     select="""
-SELECT sm.id, arg_max(sm.pos, (sim, -sm.pos)) AS pos, round(max(sim), 6) AS sim,
+SELECT sm.id, any_value(text) AS query, arg_max(sm.pos, (sim, -sm.pos)) AS pos, round(max(sim), 6) AS sim,
        arg_max(sentence, (sim, -sm.pos)) AS sentence
-FROM sm JOIN sent USING (id, pos) GROUP BY sm.id""")
+FROM sm JOIN sent USING (id, pos) JOIN aq ON aq.id = sm.id GROUP BY sm.id""")
 
 # ---- splits and samples
 RANKED = """

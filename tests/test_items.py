@@ -5,8 +5,6 @@ from pyspark.sql import functions as F
 
 from clozemill.functions.words import BLANK, NO_DISTRACTOR
 from clozemill.operators import cloze, distractors, similarity, tfidf
-from clozemill.operators.common import keyed, once
-from clozemill.functions import text as X
 from clozemill.plans import items
 
 STORY = (
@@ -48,8 +46,7 @@ def test_weights_have_unit_length(spark, terms):
 
 def best(spark, terms, article, query):
     df = articles(spark, article).withColumn("query", F.lit(query))
-    rows = once(keyed(df, "id"), sents=X.sentences(F.col("article")))
-    return similarity.best_sentence(rows, terms, "query").collect()
+    return similarity.best_sentence(df, terms).collect()
 
 
 def test_best_sentence(spark, terms):
