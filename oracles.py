@@ -232,7 +232,7 @@ ORACLES["ngrams"] = sql(
     grams("g", "documents", "doc_id", "text"),
     "c AS (SELECT doc_id, term, count(*) AS n FROM g GROUP BY doc_id, term)",
     select="""
-SELECT doc_id, count(term) AS n_terms, coalesce(sum(n), 0) AS n_grams, coalesce(max(n), 0) AS max_tf
+SELECT doc_id, count(term) AS n_terms, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_grams, coalesce(max(n), 0) AS max_tf
 FROM documents LEFT JOIN c USING (doc_id) GROUP BY doc_id""")
 
 # ---- questions, hints, phrases
@@ -417,7 +417,7 @@ def overlap(name: str, source: str, hyp: str, ref: str, max_n: int) -> str:
         f"lambda i: array_to_string({s}[i:i + {n - 1}], ' '))) AS gram FROM {name}_t"
         for n in range(1, max_n + 1) for s in "hr")
     sums = ", ".join(
-        f"coalesce(sum({v}) FILTER (n = {n}), 0) AS {x}{n}"
+        f"CAST(coalesce(sum({v}) FILTER (n = {n}), 0) AS BIGINT) AS {x}{n}"
         for n in range(1, max_n + 1) for x, v in (("o", "least(c.h, c.r)"), ("h", "c.h"), ("r", "c.r")))
     return f"""{tokens},
 {name}_g AS ({parts}),
@@ -452,7 +452,7 @@ def meteor(name: str, source: str) -> str:
              ON a.id = b.id AND a.token = b.token AND a.k = b.k AND a.side = 0 AND b.side = 1),
 {name}_s AS (SELECT id, CASE WHEN h - lag(h) OVER w = 1 AND r - lag(r) OVER w = 1 THEN 0 ELSE 1 END AS new
              FROM {name}_m WINDOW w AS (PARTITION BY id ORDER BY h)),
-{name}_c AS (SELECT id, count(*) AS m, sum(new) AS c FROM {name}_s GROUP BY id),
+{name}_c AS (SELECT id, count(*) AS m, CAST(sum(new) AS BIGINT) AS c FROM {name}_s GROUP BY id),
 {name}_p AS (SELECT id, m, c, m::DOUBLE / len(h) AS p, m::DOUBLE / len(r) AS q
              FROM {name}_t LEFT JOIN {name}_c USING (id)),
 {name} AS (SELECT id, coalesce(m, 0) AS matches, coalesce(c, 0) AS chunks,
@@ -491,17 +491,27 @@ ORACLES["classification_report"] = sql(
 SELECT name, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, s AS support FROM o""")
 
 # ---- quiz items
-ITEMS = ",".join([
-    QUIZ, SENT, VOCAB,
-    """
-pn AS (SELECT id, count(*) AS n, least(5, greatest(3, count(*) // 3)) AS q FROM sent GROUP BY id),
+def pivots(sent: str) -> str:
+    """CTE ``pq(id, pivot_pos, text)``: the pivot sentences of each passage."""
+    return f"""
+pn AS (SELECT id, count(*) AS n, least(5, greatest(3, count(*) // 3)) AS q FROM {sent} GROUP BY id),
 piv AS (SELECT id, i * greatest(1, n // q) AS pivot_pos FROM pn, range(5) r(i)
         WHERE i < q AND i * greatest(1, n // q) < n),
-pq AS (SELECT piv.id, pivot_pos, sentence AS text FROM piv JOIN sent ON sent.id = piv.id AND sent.pos = pivot_pos)""",
-    sims("pm", "sent", "pq", "id, pivot_pos"),
-    """
+pq AS (SELECT piv.id, pivot_pos, s.sentence AS text FROM piv JOIN {sent} s ON s.id = piv.id AND s.pos = pivot_pos)"""
+
+
+def pivot_best(sent: str) -> str:
+    """CTE ``pb(id, pivot_pos, sentence)``: the sentence closest to each pivot."""
+    return f"""
 pb AS (SELECT pm.id, pivot_pos, arg_max(sentence, (sim, -pm.pos)) AS sentence
-       FROM pm JOIN sent USING (id, pos) GROUP BY pm.id, pivot_pos)""",
+       FROM pm JOIN {sent} USING (id, pos) GROUP BY pm.id, pivot_pos)"""
+
+
+ITEMS = ",".join([
+    QUIZ, SENT, VOCAB,
+    pivots("sent"),
+    sims("pm", "sent", "pq", "id, pivot_pos"),
+    pivot_best("sent"),
     key_chunks("kc", "pb", "id, pivot_pos", "sentence"),
     f"""
 it AS (SELECT pb.id, pb.pivot_pos, {blanked('sentence', 'chunk')} AS stem, chunk
@@ -596,6 +606,19 @@ SELECT event_id, CAST(m > 1 - m AS INTEGER) AS predicted, round(m, 6) AS probabi
 # ---- streams, as the batch result over the whole table
 ORACLES["answers_stream"] = ORACLES["first_answers"]
 ORACLES["items_stream"] = ORACLES["quiz_items"]
+ORACLES["passage_status"] = sql(
+    QUIZ, VOCAB,
+    f"""
+ds AS (SELECT doc_id AS id, unnest(range(len(sl))) AS pos, unnest(sl) AS sentence
+       FROM (SELECT doc_id, {sents('text')} AS sl FROM documents))""",
+    pivots("ds"), sims("pm", "ds", "pq", "id, pivot_pos"), pivot_best("ds"),
+    key_chunks("kc", "pb", "id, pivot_pos", "sentence"),
+    """
+it AS (SELECT id, count(*) AS items FROM kc JOIN pq USING (id, pivot_pos) WHERE chunk <> text GROUP BY id)""",
+    select=r"""
+SELECT doc_id AS id, CASE WHEN NOT regexp_matches(text, '[^ \n\t\r]') THEN 'blank'
+  WHEN items IS NULL THEN 'insufficient' ELSE 'ok' END AS status, coalesce(items, 0) AS items
+FROM documents LEFT JOIN it ON it.id = doc_id""")
 ORACLES["windowed_accuracy"] = f"""
 WITH w AS (SELECT date_trunc('day', ts) AS s, count(*) AS answers,
              count(*) FILTER ({K} % 4 = user_id % 4) AS correct FROM events GROUP BY 1)

@@ -70,17 +70,17 @@ def test_synonyms_and_no_stems(spark):
     table = spark.createDataFrame([("car", "auto"), ("car", "wagon")], "word string, synonym string")
     one, two = scores(spark, ("car", "auto"), ("car car", "auto wagon"), synonyms=table)
     assert one["meteor"] == pytest.approx(0.5)
-    assert two["meteor"] == pytest.approx(1 - 0.5 * (1 / 2) ** 3) or two["meteor"] == pytest.approx(0.5)
+    assert two["meteor"] == pytest.approx(1 - 0.5 * (1 / 2) ** 3)
 
 
 def test_means_and_report(spark):
     empty = spark.createDataFrame([], "id long, bleu double, meteor double")
     assert {r.metric: r.value for r in metrics.mean_scores(empty, "options").collect()} == {"BLEU": 0.0, "METEOR": 0.0}
     table = spark.createDataFrame(
-        [("extraction", "BLEU", 0.12345), ("options", "METEOR", 0.5), ("extraction", "Silhouette Score", 0.3)],
+        [("extraction", "BLEU", 0.1234), ("options", "METEOR", 0.5), ("extraction", "Silhouette Score", 0.3)],
         "pipeline string, metric string, value double")
     rows = [tuple(r) for r in metrics.metric_report(table).collect()]
-    assert rows == [("BLEU", "12.35%", "0.00%"), ("METEOR", "0.00%", "50.00%")] or rows[0][1] == "12.34%"
+    assert rows == [("BLEU", "12.34%", "0.00%"), ("METEOR", "0.00%", "50.00%")]
 
 
 def test_report_without_predictions(spark):
