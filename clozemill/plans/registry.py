@@ -527,10 +527,11 @@ def _scores(spark: SparkSession, sf_dir: str, stem: bool) -> DataFrame:
     """Stage table of both evaluations over the val rows."""
 
     def build() -> DataFrame:
-        parts = [
-            metrics.mean_scores(metrics.text_scores(pairs(spark, sf_dir), stem=stem), name)
-            for name, pairs in (("extraction", _extraction_pairs), ("options", _option_pairs))
-        ]
+        parts = []
+        for name, pairs in (("extraction", _extraction_pairs), ("options", _option_pairs)):
+            # the metrics read the pairs several times; the texts are made once
+            made = staged(spark, sf_dir, f"pairs_{name}", lambda: pairs(spark, sf_dir))
+            parts.append(metrics.mean_scores(metrics.text_scores(made, stem=stem), name))
         return parts[0].unionByName(parts[1])
 
     return staged(spark, sf_dir, f"scores_{'stem' if stem else 'plain'}", build)
