@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# the state function travels with its helper, so executors need not have the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 OUT = "session_id bigint, q_idx bigint, epoch int, chosen int, ts timestamp, event_id bigint"
 STATE = "epoch int, answered boolean, ts timestamp, event_id bigint"
 
