@@ -35,12 +35,16 @@ def fit_tfidf(
     """``term_id, term, df, cf, idf``: the ``max_terms`` most frequent terms (ties by
     term) found in ``min_df`` documents or more; smoothed idf plus one."""
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    kept = (
-        term_counts(docs, text_col, max_n)
-        .filter(F.col("df") >= min_df)
-        .orderBy(F.desc("cf"), "term")
-        .limit(max_terms)
-    )
+    counts = term_counts(docs, text_col, max_n).filter(F.col("df") >= min_df)
+    # powers of two down to the one where the cap is reached; rarer terms cannot be kept and
+    # stay out of the top-n (both plans share the exchange of the counts)
+    level = F.floor(F.log2("cf"))
+    sizes = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("c"))
+    reached = sizes.withColumn("above", F.sum("c").over(W.orderBy(F.desc("level"))))
+    lowest = reached.agg(
+        F.coalesce(F.max(F.when(F.col("above") >= max_terms, F.col("level"))), F.lit(0))
+    ).scalar()
+    kept = counts.filter(level >= lowest).orderBy(F.desc("cf"), "term").limit(max_terms)
     # max_terms rows at most from here on
     return kept.select(
         (F.row_number().over(W.orderBy(F.desc("cf"), "term")) - 1).alias("term_id"),
