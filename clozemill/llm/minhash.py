@@ -268,8 +268,10 @@ def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", s
     if not more.isEmpty():
         joined = connected(more, "u", "v").select(
             F.col("node").alias("label"), F.col("label").alias("top"))
-        labels = labels.unionByName(more.select("u").unionByName(more.select("v")).distinct().select(
-            F.col("u").alias("rep"), F.col("u").alias("label"))).distinct()
+        # A component of one class has no label of its own yet.
+        ends = more.select(F.col("u").alias("rep")).unionByName(more.select(F.col("v").alias("rep")))
+        alone = ends.distinct().join(labels, "rep", "left_anti")
+        labels = labels.unionByName(alone.select("rep", F.col("rep").alias("label")))
         labels = labels.join(joined, "label", "left").select(
             "rep", F.coalesce("top", "label").alias("label"))
     named = classes.join(labels, "rep", "left").select(
