@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clozemill.llm import minhash, quality
+from clozemill.llm import decontaminate, minhash, pii, quality
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 QUERIES = {
+    "op2_pii": lambda spark, d: pii.query(documents(spark, d)),
     "op6_quality_rules": lambda spark, d: quality.query(documents(spark, d)),
+    "op8_decontamination": lambda spark, d: decontaminate.query(
+        documents(spark, d), benchmark(spark, d)),
     "op10_minhash_dedup": lambda spark, d: minhash.query(documents(spark, d)),
 }
