@@ -220,7 +220,7 @@ def block_links(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("rep", "a", "b").mapInArrow(work, f"u {kind}, v {kind}").distinct()
 
 
-def rest_links(stars: DataFrame, sets: DataFrame, labels: DataFrame, percent: int,
+def rest_links(stars: DataFrame, sets: DataFrame, sizes: DataFrame, labels: DataFrame, percent: int,
                block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Links that a star does not test: members of one centre in different components.
 
@@ -230,13 +230,14 @@ def rest_links(stars: DataFrame, sets: DataFrame, labels: DataFrame, percent: in
     members = stars.select("rep", "center").unionByName(
         stars.select(F.col("center").alias("rep"), "center").distinct())
     members = members.join(labels, "rep", "left").withColumn("comp", F.coalesce("label", "rep"))
-    sized = members.join(sets.select("rep", "set"), "rep").withColumn("size", F.length("set") + 64)
-    open_ = sized.groupBy("center").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"),
+    members = members.join(sizes.select("rep", "n_shingles"), "rep")
+    open_ = members.groupBy("center").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(8 * F.col("n_shingles") + 64).alias("bytes"),
         F.min("comp").alias("low"), F.max("comp").alias("high"),
     ).where("n > 2 and low <> high").select(
         "center", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("blocks"))
-    packed = stage(sized.join(open_, "center").withColumn(
+    # Sets are fetched only for members of centres that still have something to compare.
+    packed = stage(members.join(open_, "center").join(sets.select("rep", "set"), "rep").withColumn(
         "block", F.pmod(F.xxhash64("rep"), F.col("blocks"))
     ).groupBy("center", "block").agg(F.collect_list(F.struct("comp", "set")).alias("items")))
     other = packed.select("center", F.col("block").alias("block_b"), F.col("items").alias("b"))
@@ -257,14 +258,15 @@ def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", s
     classes = stage(classes)
     stars = stage(star_pairs(classes))
     needed = stars.select("rep").unionByName(stars.select(F.col("center").alias("rep"))).distinct()
-    chosen = docs.withColumnRenamed("_id", "rep").join(needed, "rep").dropDuplicates(["rep"])
+    # The same plan at every size: a broadcast of the ids would only serve small inputs.
+    chosen = docs.withColumnRenamed("_id", "rep").join(needed.hint("merge"), "rep").dropDuplicates(["rep"])
     sets = stage(full_sets(chosen, "rep", "_text", size))
     tested = stars.join(sets, "rep").join(
         sets.select(F.col("rep").alias("center"), F.col("set").alias("center_set")), "center")
     tested = stage(confirm(tested, percent))
     labels = stage(connected(tested.where("linked"), "rep", "center")
                    .withColumnRenamed("node", "rep"))
-    more = stage(rest_links(tested, sets, labels, percent, block_bytes))
+    more = stage(rest_links(tested, sets, classes, labels, percent, block_bytes))
     if not more.isEmpty():
         joined = connected(more, "u", "v").select(
             F.col("node").alias("label"), F.col("label").alias("top"))
