@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clozemill.llm import decontaminate, minhash, mixing, pii, quality
+from clozemill.llm import decontaminate, minhash, mixing, pii, quality, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,7 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_pii": lambda spark, d: pii.query(documents(spark, d)),
+    "op4_suffix_dedup": lambda spark, d: suffix_dedup.query(documents(spark, d)),
     "op5_source_mixing": lambda spark, d: mixing.query(documents(spark, d)),
     "op6_quality_rules": lambda spark, d: quality.query(documents(spark, d)),
     "op8_decontamination": lambda spark, d: decontaminate.query(
