@@ -53,14 +53,25 @@ def hashed(terms: str) -> np.ndarray:
     return (value >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def group_words() -> np.ndarray:
+    """Sorted word hashes of all group terms."""
+    data = np.frombuffer(" ".join(GROUPS.values()).encode(), np.uint8)
+    return np.sort(words(data, np.array([0, len(data)]), LETTERS)[0])
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of all words and beginnings of a piece, and the text of each."""
+    """Feature numbers of all words and beginnings of a piece, and the text of each.
+
+    A group term has no beginnings, so that its swap changes all it brings to a score.
+    """
     value, owner, start, end = words(data, offsets, LETTERS)
+    known = group_words()
+    own = known[np.minimum(np.searchsorted(known, value), len(known) - 1)] != value
     values, owners = [value], [owner]
     sums = prefix_hashes(LETTERS[data])
     inverse = powers(INVERSE, len(data) + 1)
     for k in BEGINNINGS:
-        longer = end - start > k
+        longer = (end - start > k) & own
         s = start[longer]
         values.append(mixed((sums[s + k] - sums[s]) * inverse[s] + np.uint64(k << 32)))
         owners.append(owner[longer])
