@@ -29,6 +29,7 @@ from clozemill.llm.common import SPACED, STEP, frames, mixed, stage, starts_of,
 from clozemill.llm.components import connected
 
 BLOCK_BYTES = 4 << 20
+MEMBER_BYTES = 2048  # of a member beside its set: at most 2,048 members make a block
 
 
 def shingle_sets(data, offsets, size: int):
@@ -184,40 +185,58 @@ def block_links(pairs: DataFrame, percent: int) -> DataFrame:
         sets = [np.frombuffer(x["set"], np.uint64) for x in block]
         return sets, np.array([len(x) for x in sets]), [x["comp"] for x in block]
 
-    def links(a, b):
+    def incidence(sets, part):
+        grid = np.zeros((len(sets), len(part)), np.float32)
+        for k, s in enumerate(sets):
+            own = s[np.searchsorted(s, part[0]):np.searchsorted(s, part[-1], "right")]
+            j = np.minimum(np.searchsorted(part, own), len(part) - 1)
+            grid[k, j[part[j] == own]] = 1
+        return grid
+
+    def links(a, b, same):
         sets_a, n_a, comp_a = unpack(a)
-        sets_b, n_b, comp_b = unpack(b)
+        sets_b, n_b, comp_b = (sets_a, n_a, comp_a) if same else unpack(b)
         names, inverse = np.unique(np.array(comp_a + comp_b, object), return_inverse=True)
-        apart = inverse[:len(comp_a), None] != inverse[None, len(comp_a):]
+        main = np.bincount(inverse).argmax()
+        c_a, c_b = inverse[:len(comp_a)], inverse[len(comp_a):]
+        apart = c_a[:, None] != c_b[None, :]
         if not apart.any():
-            return set()
-        shared = np.intersect1d(np.concatenate(sets_a), np.concatenate(sets_b))
+            return []
+        # A shingle of one text alone is in no intersection.
+        if same:
+            every, count = np.unique(np.concatenate(sets_a), return_counts=True)
+            shared = every[count > 1]
+        else:
+            shared = np.intersect1d(np.concatenate(sets_a), np.concatenate(sets_b))
         both = np.zeros(apart.shape, np.float32)
+        rows, columns = np.flatnonzero(c_a != main), np.flatnonzero(c_b != main)
+        rest = np.flatnonzero(c_a == main)
         for at in range(0, len(shared), 4096):
             part = shared[at:at + 4096]
-            dense = []
-            for sets in (sets_a, sets_b):
-                grid = np.zeros((len(sets), len(part)), np.float32)
-                for k, s in enumerate(sets):
-                    own = s[np.searchsorted(s, part[0]):np.searchsorted(s, part[-1], "right")]
-                    j = np.minimum(np.searchsorted(part, own), len(part) - 1)
-                    grid[k, j[part[j] == own]] = 1
-                dense.append(grid)
-            both += dense[0] @ dense[1].T
+            x = incidence(sets_a, part)
+            y = x if same else incidence(sets_b, part)
+            # Pairs inside the largest component need no test.
+            both[rows] += x[rows] @ y.T
+            both[np.ix_(rest, columns)] += x[rest] @ y[columns].T
         both = both.astype(np.int64)
         near = apart & (100 * both >= percent * (n_a[:, None] + n_b[None, :] - both))
-        return {(comp_a[i], comp_b[j]) for i, j in zip(*np.nonzero(near))}
+        found = {}
+        for i, j in zip(*np.nonzero(near)):
+            found[min(comp_a[i], comp_b[j]), max(comp_a[i], comp_b[j])] = True
+        return list(found)
 
     def work(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                found = links(batch.column("a")[row].as_py(), batch.column("b")[row].as_py())
+                same = batch.column("same")[row].as_py()
+                found = links(batch.column("a")[row].as_py(),
+                              None if same else batch.column("b")[row].as_py(), same)
                 yield pa.record_batch(
                     {"u": pa.array([x[0] for x in found], batch.schema.field("rep").type),
                      "v": pa.array([x[1] for x in found], batch.schema.field("rep").type)})
 
     kind = type_of(pairs, "rep")
-    return pairs.select("rep", "a", "b").mapInArrow(work, f"u {kind}, v {kind}").distinct()
+    return pairs.select("rep", "a", "b", "same").mapInArrow(work, f"u {kind}, v {kind}").distinct()
 
 
 def rest_links(stars: DataFrame, sets: DataFrame, sizes: DataFrame, labels: DataFrame, percent: int,
@@ -232,7 +251,7 @@ def rest_links(stars: DataFrame, sets: DataFrame, sizes: DataFrame, labels: Data
     members = members.join(labels, "rep", "left").withColumn("comp", F.coalesce("label", "rep"))
     members = members.join(sizes.select("rep", "n_shingles"), "rep")
     open_ = members.groupBy("center").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(8 * F.col("n_shingles") + 64).alias("bytes"),
+        F.count(F.lit(1)).alias("n"), F.sum(8 * F.col("n_shingles") + MEMBER_BYTES).alias("bytes"),
         F.min("comp").alias("low"), F.max("comp").alias("high"),
     ).where("n > 2 and low <> high").select(
         "center", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("blocks"))
@@ -241,7 +260,9 @@ def rest_links(stars: DataFrame, sets: DataFrame, sizes: DataFrame, labels: Data
         "block", F.pmod(F.xxhash64("rep"), F.col("blocks"))
     ).groupBy("center", "block").agg(F.collect_list(F.struct("comp", "set")).alias("items")))
     other = packed.select("center", F.col("block").alias("block_b"), F.col("items").alias("b"))
-    pairs = packed.withColumnRenamed("items", "a").join(other, "center").where("block <= block_b")
+    pairs = packed.withColumnRenamed("items", "a").join(other, "center").where("block <= block_b").select(
+        "center", "a", F.when(F.col("block") < F.col("block_b"), F.col("b")).alias("b"),
+        (F.col("block") == F.col("block_b")).alias("same"))
     return block_links(pairs.withColumnRenamed("center", "rep"), percent)
 
 
