@@ -13,7 +13,6 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clozemill.operators.common import for_iterations
 from clozemill.operators.sampling import sample_exact
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -31,16 +30,14 @@ def train_kmeans(
     rows = vectors.select(features).persist()
     try:
         best = None
-        data = for_iterations(rows, rows.count()).persist()
         for i in range(starts):
             model = KMeans(
                 k=k, seed=seed + i, initMode="k-means||", maxIter=max_iter, featuresCol=features,
                 predictionCol="cluster_id",
-            ).fit(data)
+            ).fit(rows)
             cost = model.summary.trainingCost
             if best is None or cost < best[1]:
                 best = (model, cost)
-        data.unpersist()
         return best
     finally:
         rows.unpersist()

@@ -20,47 +20,14 @@ def once(df: DataFrame, **values: Column) -> DataFrame:
     )
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Estimated size of the scans a plan reads, from the optimizer's statistics."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def is_little(df: DataFrame) -> bool:
-    """Too little input to give every slot a full split."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return input_bytes(df) < slots * (64 << 20)
-
-
 def keyed(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition rows by key once; the groupings and windows on the key that
-    follow find their rows in place and add no exchange.
-
-    Little input is spread over all slots, since a few megabytes of text mean much work;
-    otherwise the session's shuffle partitions and adaptive execution set the number.
-    """
-    columns = [F.col(k) for k in keys]
-    if is_little(df):
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *columns)
-    return df.repartition(*columns)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Even out a scan that has fewer splits than the cluster has slots (a few small
-    files in front of costly row work). Larger inputs are left as they are."""
-    if is_little(df):
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return df
+    follow find their rows in place and add no exchange. The session's shuffle
+    partitions and adaptive execution set the number of partitions, at every size."""
+    return df.repartition(*[F.col(k) for k in keys])
 
 
 def small(df: DataFrame, rows: int, row_bytes: int = 64, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Broadcast a side whose row count has a known bound, if the bound fits the limit;
     beyond it Spark picks the join by itself."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
-
-
-def for_iterations(df: DataFrame, rows: int, per_partition: int = 20_000) -> DataFrame:
-    """Fewer partitions for an iterative fit on little data, where a task start costs more
-    than its work; larger inputs keep theirs."""
-    wanted = max(1, -(-rows // per_partition))
-    return df if wanted >= df.rdd.getNumPartitions() else df.coalesce(wanted)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from clozemill.functions import text as X
 from clozemill.functions.words import FALLBACK_DISTRACTORS
 from clozemill.operators.cloze import Tagger, rule_tagger
-from clozemill.operators.common import for_iterations, once
+from clozemill.operators.common import once
 from clozemill.operators.embeddings import phrase_vectors
 from clozemill.operators.relational import correct_option, wrong_options
 from clozemill.operators.sampling import first_rows
@@ -106,7 +106,7 @@ def train_ranker(
         n = data.count()
         return LogisticRegression(
             regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=100
-        ).fit(for_iterations(data, n))
+        ).fit(data)
     finally:
         data.unpersist()
 

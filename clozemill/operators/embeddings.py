@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clozemill.functions import text as X
-from clozemill.operators.common import small
+from clozemill.operators.common import once, small
 from clozemill.operators.relational import unpivot_texts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -25,13 +25,19 @@ BLOCK_ROWS = 4096
 
 def train_word2vec(
     quiz: DataFrame, dim: int = 100, window: int = 5, min_count: int = 2, epochs: int = 5,
-    partitions: int = 1, seed: int = 42,
+    partitions: int | None = None, seed: int = 42, longest: int = 10_000_000,
 ) -> Word2VecModel:
-    """Skip-gram embeddings over every text cell (article, options, question)."""
+    """Skip-gram embeddings over every text cell (article, options, question).
+
+    ``partitions`` defaults to those of the input. A text of more than ``longest`` tokens
+    would be cut there. The library's trainer holds the vocabulary and both weight tables
+    on the driver, so vocabulary times ``dim`` has to stay below 2**31.
+    """
     cells = unpivot_texts(quiz).select("tokens")
+    partitions = partitions or cells.rdd.getNumPartitions()
     return Word2Vec(
         vectorSize=dim, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed,
-        numPartitions=partitions, maxSentenceLength=10_000, inputCol="tokens", outputCol="v",
+        numPartitions=partitions, maxSentenceLength=longest, inputCol="tokens", outputCol="v",
     ).fit(cells)
 
 
@@ -104,9 +110,14 @@ def nearest(
             ids = right["id"].to_numpy()
             order = np.argsort(ids, kind="stable")
             ids, sims = ids[order], sims[:, order]
+            if skip_same:
+                sims[left["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+            # Everything from the k-th similarity on, ties included; only those are sorted.
+            at_k = min(k, sims.shape[1]) - 1
+            least = -np.partition(-sims, at_k, axis=1)[:, at_k]
             for i, qid in enumerate(left["id"].tolist()):
                 row = sims[i]
-                at = np.flatnonzero(ids != qid) if skip_same else np.arange(len(ids))
+                at = np.flatnonzero((row >= least[i]) & (row > -np.inf))
                 pick = at[np.argsort(-row[at], kind="stable")[:k]]
                 out["q"] += [qid] * len(pick)
                 out["p"] += ids[pick].tolist()
@@ -123,21 +134,35 @@ def nearest(
 
 
 def nearest_words(
-    answers: DataFrame, vectors: DataFrame, n_queries: int, n_words: int, top: int = 10, keep: int = 3
+    answers: DataFrame, vectors: DataFrame, n_queries: int, n_words: int, top: int = 10, keep: int = 3,
+    dim: int = 100,
 ) -> DataFrame:
-    """``id, word, sim, rank``: of the ``top`` nearest words of an answer word, the best
-    ``keep`` that the passage does not contain. ``answers`` holds ``id, answer, article``."""
-    words = answers.select(F.lower("answer").alias("word")).distinct()
-    queries = words.join(vectors, "word")
-    near = nearest(queries, vectors, top, n_queries, n_words, "word", "word")
-    asked = answers.select("id", F.lower("answer").alias("q"), F.lower("article").alias("_text"))
-    found = asked.join(near, "q").filter(~F.contains(F.col("_text"), F.col("p")))
-    place = F.row_number().over(W.partitionBy("id").orderBy("rank"))
-    return (
-        found.select("id", F.col("p").alias("word"), "sim", place.alias("place"))
-        .filter(F.col("place") <= keep)
-        .withColumnRenamed("place", "rank")
-    )
+    """``id, word, sim, rank``: of the ``top`` nearest words of an answer, the best ``keep``
+    that are no token of the passage. ``answers`` holds ``id, answer, article``.
+
+    An answer of several words asks with the mean vector of its known tokens; its own
+    tokens are no neighbours of it. Neighbours are packed into one array for each distinct
+    answer and meet the ids, not the texts, by it; the texts are met by id.
+    """
+    asked = answers.select("id", F.lower("answer").alias("phrase"))
+    queries = phrase_vectors(asked.select("phrase").distinct(), vectors, n_words, dim)
+    own = X.word_tokens(F.col("q"))
+    # Own tokens may fill the first places, so as many more are asked for as the longest answer has.
+    longest = asked.agg(F.max(F.size(X.word_tokens(F.col("phrase"))))).first()[0] or 0
+    near = nearest(
+        queries.select(F.col("phrase").alias("q"), F.col("mean").alias("vector")), vectors,
+        top + longest, n_queries, n_words, "q", "word", skip_same=False,
+    ).filter(~F.array_contains(own, F.col("p")))
+    packed = near.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(
+        F.struct("rank", F.col("p").alias("word"), "sim"))), 1, top).alias("near"))
+    found = asked.join(packed, asked["phrase"] == packed["q"]).select("id", "near")
+    free = once(
+        answers.select("id", F.lower("article").alias("_text")).join(found, "id"),
+        _tokens=X.word_tokens(F.col("_text")),
+    ).select("id", F.slice(F.filter(
+        "near", lambda x: ~F.array_contains("_tokens", x["word"])), 1, keep).alias("near"))
+    return free.select("id", F.posexplode("near").alias("place", "x")).select(
+        "id", "x.word", "x.sim", (F.col("place") + 1).alias("rank"))
 
 
 def lsh_neighbours(

@@ -6,6 +6,7 @@ windows on that partitioning, so the metrics add no exchange of their own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from clozemill.functions import text as X
 from clozemill.functions.arrow import greedy_pairs, lcs_length, stem_tokens
-from clozemill.operators.common import keyed, once, spread
+from clozemill.operators.common import keyed, once
 
 SIDE = "struct<n:int,gram:string,h:int,r:int>"
 
@@ -174,10 +175,15 @@ def meteor(
 def text_scores(
     pairs: DataFrame, hyp: str = "hyp_text", ref: str = "ref_text", key: str = "id",
     stem: bool = True, synonyms: DataFrame | None = None,
+    stage: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
-    """``key, bleu, rouge1, rouge2, rougeL, meteor`` for two text columns."""
+    """``key, bleu, rouge1, rouge2, rougeL, meteor`` for two text columns.
+
+    The four metrics read the token table separately; ``stage`` stores it, so that stems
+    and subsequences are computed once and each metric reads only its columns.
+    """
     rows = once(
-        spread(pairs.select(key, hyp, ref)),
+        pairs.select(key, hyp, ref),
         hyp=X.word_tokens(F.col(hyp)), ref=X.word_tokens(F.col(ref)),
         rh=X.rouge_tokens(F.col(hyp)), rr=X.rouge_tokens(F.col(ref)),
     ).select(key, "hyp", "ref", "rh", "rr")
@@ -188,7 +194,7 @@ def text_scores(
             rh_stem=stem_tokens(rh, 3), rr_stem=stem_tokens(rr, 3),
         )
         rows = rows.drop("rh", "rr").withColumnsRenamed({"rh_stem": "rh", "rr_stem": "rr"})
-    rows = keyed(once(rows, rougeL=rouge_l(rh, rr)), key)
+    rows = keyed(stage(once(rows, rougeL=rouge_l(rh, rr))), key)
     bleu = ngram_overlap(rows, key=key).select(key, bleu4().alias("bleu"))
     rouge = ngram_overlap(rows, "rh", "rr", key, 2).select(
         key, rouge_n(1).alias("rouge1"), rouge_n(2).alias("rouge2")

@@ -73,10 +73,13 @@ def length_density(df: DataFrame, text_col: str = "article", points: int = 200)
     """
     lengths = _lengths(df, text_col)
     n = F.sum("c").cast("double")
-    s1, s2 = F.sum(F.col("len") * F.col("c")), F.sum(F.col("len") * F.col("len") * F.col("c"))
+    size = F.col("len").cast("double")
+    # Squares of centred doubles: no overflow on long texts, no cancellation on large tables.
+    mean = lengths.agg((F.sum(size * F.col("c")) / n).alias("mean")).scalar()
+    squares = F.sum(F.col("c") * (size - mean) * (size - mean))
     m = lengths.agg(F.struct(
         F.min("len").cast("double").alias("lo"), F.max("len").cast("double").alias("hi"),
-        n.alias("n"), ((s2 - s1 * s1 / n) / (n - 1)).alias("var"),
+        n.alias("n"), (squares / (n - 1)).alias("var"),
     ).alias("m")).scalar()
     bandwidth = F.sqrt(m["var"]) * F.pow(m["n"], F.lit(-0.2))
     x = m["lo"] + (m["hi"] - m["lo"]) * F.col("point") / (points - 1)

@@ -117,17 +117,17 @@ def first_rows(df: DataFrame, n: int, id_col: str = "id") -> DataFrame:
 def two_level_rank(df: DataFrame, by: str, id_col: str = "id", seed: int = 42) -> DataFrame:
     """Add ``rank`` (from 1, md5 order) inside each value of ``by``, a column of few
     values any of which may hold most rows: rank inside (value, bucket) plus the
-    number of rows in the buckets before."""
-    hashed = df.withColumn("_h", seeded_hash(F.col(id_col), seed)).withColumn(
-        "_b", F.substring("_h", 1, 3)
-    )
-    counts = hashed.groupBy(by, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    before = F.sum("_c").over(W.partitionBy(by).orderBy("_b")) - F.col("_c")
-    offsets = counts.select(by, "_b", before.alias("_before"))
-    local = F.row_number().over(W.partitionBy(by, "_b").orderBy("_h", id_col))
-    return (
-        hashed.withColumn("_rn", local)
-        .join(offsets, [by, "_b"])
-        .withColumn("rank", F.col("_rn") + F.col("_before"))
-        .drop("_h", "_b", "_rn", "_before")
+    number of rows in the buckets before. Null is a value of its own; ids are unique
+    and not null. Only ids and strata are ranked, the rank is joined back."""
+    stratum = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit(""))
+    hashed = df.select(F.col(id_col).alias("_id"), stratum.alias("_s")).withColumn(
+        "_h", seeded_hash(F.col("_id"), seed)
+    ).withColumn("_b", F.substring("_h", 1, 3))
+    counts = hashed.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(W.partitionBy("_s").orderBy("_b")) - F.col("_c")
+    offsets = counts.select("_s", "_b", before.alias("_before"))
+    local = F.row_number().over(W.partitionBy("_s", "_b").orderBy("_h", "_id"))
+    ranks = hashed.withColumn("_rn", local).join(offsets, ["_s", "_b"]).select(
+        F.col("_id").alias("_ranked"), (F.col("_rn") + F.col("_before")).alias("rank")
     )
+    return df.join(ranks, F.col(id_col) == F.col("_ranked")).drop("_ranked")

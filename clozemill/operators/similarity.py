@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clozemill.functions import text as X
-from clozemill.operators.common import keyed, once, small
-from clozemill.operators.tfidf import MAX_TERMS, TERM_BYTES, weight
+from clozemill.operators.common import keyed, once
+from clozemill.operators.tfidf import MAX_TERMS, weight
 
 
 def sentence_scores(
@@ -36,7 +36,8 @@ def sentence_scores(
     )
     per_unit = with_maps.select(key, "_maps", F.inline(units))
     grams = per_unit.select(key, "pos", "_maps", F.explode(X.terms(F.col("unit"))).alias("term"))
-    vocab = small(terms.select("term", "term_id", "idf"), max_terms, TERM_BYTES)
+    # Stored vocabularies have a known size; only a small one is broadcast.
+    vocab = terms.select("term", "term_id", "idf")
     counts = [f"_q{i}" for i in range(k)]
     hits = grams.join(vocab, "term").select(
         key, "pos", "term_id", "idf",

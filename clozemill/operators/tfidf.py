@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clozemill.functions import text as X
-from clozemill.operators.common import keyed, once, small
+from clozemill.operators.common import keyed
 
 MAX_TERMS = 50_000
-TERM_BYTES = 128
 
 
 def term_counts(docs: DataFrame, text_col: str = "text", max_n: int = 2) -> DataFrame:
@@ -61,11 +61,12 @@ def raw_weights(
     docs: DataFrame, terms: DataFrame, keys: tuple[str, ...] = ("id",), text_col: str = "text",
     max_n: int = 2, max_terms: int = MAX_TERMS,
 ) -> DataFrame:
-    """``keys, term_id, term, w`` before normalising. Map-only besides the broadcast."""
+    """``keys, term_id, term, w`` before normalising. The vocabulary should be a stored table:
+    its size decides about a broadcast, not an assumed bound."""
     runs = docs.select(
         *keys, F.inline(X.run_lengths(X.terms(F.col(text_col), max_n))).alias("term", "tf")
     )
-    vocab = small(terms.select("term", "term_id", "idf"), max_terms, TERM_BYTES)
+    vocab = terms.select("term", "term_id", "idf")
     return runs.join(vocab, "term").select(
         *keys, "term_id", "term", weight(F.col("tf"), F.col("idf")).alias("w")
     )
@@ -82,9 +83,14 @@ def tfidf_weights(
     return raw.withColumn("w", F.col("w") / norm)
 
 
-@F.udf(VectorUDT(), useArrow=True)
-def _sparse(size, ids, values):
-    return SparseVector(size, list(ids), list(values))
+def _sparse(size: Column, ids: Column, values: Column) -> Column:
+    """Sparse vector from its parts without Python: the parts are written and read as JSON,
+    which keeps doubles exactly and lets the reader give them the vector type."""
+    parts = F.struct(
+        F.lit(0).cast("byte").alias("type"), size.alias("size"), ids.alias("indices"), values.alias("values")
+    )
+    kind = T.StructType([T.StructField("v", VectorUDT())])
+    return F.from_json(F.to_json(F.struct(parts.alias("v"))), kind)["v"]
 
 
 def tfidf_vectors(

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.util import DefaultParamsReader
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clozemill.operators.common import for_iterations
 from clozemill.operators.relational import unpivot_options, verifier_text
 from clozemill.operators.sampling import two_level_rank
 from clozemill.operators.tfidf import MAX_TERMS, tfidf_vectors
+from clozemill.sources.tables import outputs_exist
 
 GRID = (0.1, 1.0, 10.0)
 FOLDS = 3
@@ -58,7 +59,6 @@ def train_verifier(
     rows = with_folds(training_rows(quiz, terms), folds).select("label", "features", "fold").persist()
     try:
         n = rows.count()
-        data = for_iterations(rows, n)
         fitted = max(1, n * (folds - 1) // folds)
         base = _logistic(0.0, max_iter)
         search = CrossValidator(
@@ -67,17 +67,17 @@ def train_verifier(
             .addGrid(base.regParam, [1.0 / (c * fitted) for c in grid]).build(),
             evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
             numFolds=folds, foldCol="fold", parallelism=parallelism,
-        ).fit(data)
+        ).fit(rows)
         accuracy = dict(zip(grid, search.avgMetrics))
         best = max(grid, key=lambda c: (accuracy[c], -grid.index(c)))
         voters = [
-            _logistic(1.0 / (best * n), max_iter).fit(data),
-            _logistic(SECOND_PENALTY, max_iter).fit(data),
+            _logistic(1.0 / (best * n), max_iter).fit(rows),
+            _logistic(SECOND_PENALTY, max_iter).fit(rows),
         ]
         if naive_bayes:
             from pyspark.ml.classification import NaiveBayes
 
-            voters.append(NaiveBayes().fit(data))
+            voters.append(NaiveBayes().fit(rows))
         params = {"C": best, "accuracy": {str(c): a for c, a in accuracy.items()}, "rows": n}
         return Verifier(voters, params)
     finally:
@@ -127,5 +127,9 @@ def save(verifier: Verifier, path: str) -> None:
         model.write().overwrite().save(f"{path}/voter{i}")
 
 
-def load(path: str, n_voters: int = 2) -> Verifier:
-    return Verifier([LogisticRegressionModel.load(f"{path}/voter{i}") for i in range(n_voters)])
+def load(path: str) -> Verifier:
+    """All stored voters, each as the class it was saved from."""
+    spark, voters = SparkSession.active(), []
+    while outputs_exist(spark, f"{path}/voter{len(voters)}/metadata"):
+        voters.append(DefaultParamsReader.loadParamsInstance(f"{path}/voter{len(voters)}", spark))
+    return Verifier(voters)

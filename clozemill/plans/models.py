@@ -26,7 +26,7 @@ def val_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word2vec(spark: SparkSession, sf_dir: str) -> tuple[Word2VecModel, dict]:
     def build():
-        model = embeddings.train_word2vec(train_rows(spark, sf_dir), DIM, partitions=4)
+        model = embeddings.train_word2vec(train_rows(spark, sf_dir), DIM)
         return model, {"words": model.getVectors().count(), "dim": DIM}
 
     return materialise_model(

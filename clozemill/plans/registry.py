@@ -12,7 +12,7 @@ from clozemill.operators import (
     cloze, clusters, distractors, embeddings, metrics, profile, relational, reports, sampling,
     similarity, tfidf, verifier,
 )
-from clozemill.operators.common import keyed, once, spread
+from clozemill.operators.common import keyed, once
 from clozemill.plans import items as item_plan
 from clozemill.plans import models
 from clozemill.plans.quizview import documents
@@ -32,7 +32,7 @@ def query(fn):
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(documents(spark, sf_dir).select("doc_id", "text"))
+    return documents(spark, sf_dir).select("doc_id", "text")
 
 
 # ---- quiz table, splits, samples ------------------------------------------------
@@ -67,11 +67,11 @@ def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sample_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SP3-SP5: seeded samples of 1, 1,000 and 5,000 rows."""
+    """SP3-SP5: seeded samples of three sizes, each below the size of the tables in the checks."""
     docs = documents(spark, sf_dir).select("doc_id")
     parts = [
         sampling.sample_exact(docs, k, "doc_id").select(F.lit(k).alias("k"), "doc_id")
-        for k in (1, 1000, 5000)
+        for k in (1, 100, 500)
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -79,7 +79,7 @@ def sample_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def head_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "lang", "n_chars")
-    return sampling.first_rows(docs, 2000, "doc_id")
+    return sampling.first_rows(docs, 150, "doc_id")
 
 
 @query
@@ -133,7 +133,7 @@ def null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = documents(spark, sf_dir).join(
         spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "left"
     )
-    return profile.column_profile(table).select("column", "filled", "missing")
+    return profile.column_profile(table).select("column", "type", "filled", "missing")
 
 
 @query
@@ -155,8 +155,8 @@ def wordcount_kde(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def top_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A14: the 100 top words of 1,000 sampled passages (all, where there are fewer)."""
-    docs = sampling.sample_exact(_docs(spark, sf_dir), 1000, "doc_id")
+    """A14: the 100 top words of 100 sampled passages."""
+    docs = sampling.sample_exact(_docs(spark, sf_dir), 100, "doc_id")
     return profile.top_keywords(docs, "text")
 
 
@@ -189,7 +189,7 @@ def ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tfidf_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = tfidf.fit_tfidf(corpus(quiz_table(spark, sf_dir)))
+    terms = vocabulary(spark, sf_dir)
     return terms.select("term", "df", "cf", F.round("idf", 6).alias("idf"))
 
 
@@ -286,7 +286,7 @@ def mask_and_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _candidate_pairs(quiz: DataFrame) -> DataFrame:
     rows = once(
-        distractors.with_candidates(spread(quiz)),
+        distractors.with_candidates(quiz),
         right=relational.correct_option(), low_article=F.lower("article"),
     )
     return rows.select(
@@ -306,7 +306,7 @@ def candidate_features_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def distractors_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = distractors.with_candidates(spread(quiz_table(spark, sf_dir))).withColumn(
+    rows = distractors.with_candidates(quiz_table(spark, sf_dir)).withColumn(
         "answer", relational.correct_option()
     )
     made = distractors.generate_distractors(rows, ["id"])
@@ -391,7 +391,7 @@ def rouge_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = once(
-        spread(text_pairs(spark, sf_dir)),
+        text_pairs(spark, sf_dir),
         hyp=X.rouge_tokens(F.col("hyp_text")), ref=X.rouge_tokens(F.col("ref_text")),
     )
     return rows.select("id", F.round(metrics.rouge_l(F.col("hyp"), F.col("ref")), 6).alias("rougeL"))
@@ -410,7 +410,7 @@ def meteor_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def meteor(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = once(
-        spread(text_pairs(spark, sf_dir)),
+        text_pairs(spark, sf_dir),
         hyp=X.word_tokens(F.col("hyp_text")), ref=X.word_tokens(F.col("ref_text")),
     ).select("id", "hyp", "ref")
     found = metrics.meteor(keyed(metrics.with_stems(rows), "id"))
@@ -531,7 +531,10 @@ def _scores(spark: SparkSession, sf_dir: str, stem: bool) -> DataFrame:
         for name, pairs in (("extraction", _extraction_pairs), ("options", _option_pairs)):
             # the metrics read the pairs several times; the texts are made once
             made = staged(spark, sf_dir, f"pairs_{name}", lambda: pairs(spark, sf_dir))
-            parts.append(metrics.mean_scores(metrics.text_scores(made, stem=stem), name))
+            tokens = f"tokens_{name}_{'stem' if stem else 'plain'}"
+            scored = metrics.text_scores(
+                made, stem=stem, stage=lambda df: staged(spark, sf_dir, tokens, lambda: df))
+            parts.append(metrics.mean_scores(scored, name))
         return parts[0].unionByName(parts[1])
 
     return staged(spark, sf_dir, f"scores_{'stem' if stem else 'plain'}", build)
@@ -570,13 +573,14 @@ def nearest_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = quiz_table(spark, sf_dir).select(
         "id", "article", relational.correct_option().alias("answer")
     )
-    return embeddings.nearest_words(asked, vectors, n, n)
+    n_answers = asked.select(F.lower("answer")).distinct().count()
+    return embeddings.nearest_words(asked, vectors, n_answers, n, dim=models.DIM)
 
 
 @query
 def distractors_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, n = models.word_vectors(spark, sf_dir)
-    rows = distractors.with_candidates(models.val_rows(spark, sf_dir)).withColumn(
+    rows = distractors.with_candidates(quiz_table(spark, sf_dir)).withColumn(
         "correct", relational.correct_option()
     )
     made = distractors.generate_distractors(

@@ -43,6 +43,9 @@ def corpus(quiz: DataFrame) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(
-        spark, sf_dir, "terms", lambda: tfidf.fit_tfidf(corpus(quiz_table(spark, sf_dir)))
-    )
+    """Fitted on the train rows only, so that held-out figures see none of their own texts."""
+
+    def build() -> DataFrame:
+        return tfidf.fit_tfidf(corpus(quiz_table(spark, sf_dir).filter("split = 'train'")))
+
+    return staged(spark, sf_dir, "terms", build)

@@ -34,8 +34,11 @@ def run_batches(
     return query
 
 
-def centre_distances(weights: DataFrame, centres: DataFrame, k: int, max_terms: int) -> DataFrame:
-    """``uid, cluster_id``: nearest centre of each unit vector in long form.
+def centre_distances(
+    ids: DataFrame, weights: DataFrame, centres: DataFrame, k: int, max_terms: int
+) -> DataFrame:
+    """``uid, cluster_id`` for every uid of ``ids``: nearest centre of its unit vector, given
+    in long form. A text without a known term is the zero vector and goes to the shortest centre.
 
     Centres are a long table ``cluster_id, term_id, value`` of at most ``k`` x
     ``max_terms`` rows. Only shared terms enter the dot product, which together with the
@@ -53,7 +56,9 @@ def centre_distances(weights: DataFrame, centres: DataFrame, k: int, max_terms:
     nearest = shared.groupBy("uid").agg(
         F.min(F.when(F.col("cluster_id").isNotNull(), distance)).alias("_near")
     )
-    return nearest.select("uid", F.least(F.col("_near"), shortest)["cluster_id"].alias("cluster_id"))
+    return ids.select("uid").join(nearest, "uid", "left").select(
+        "uid", F.least(F.col("_near"), shortest)["cluster_id"].alias("cluster_id")
+    )
 
 
 class MiniBatchKMeans:
@@ -67,13 +72,13 @@ class MiniBatchKMeans:
     def centres(self, version: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v{version}")
 
-    def _start(self, weights: DataFrame) -> DataFrame:
-        """The first ``k`` rows in seeded order."""
-        uids = sample_exact(weights.select("uid").distinct(), self.k, "uid", self.seed)
-        # k rows, so they may be numbered in one place
+    def _start(self, weights: DataFrame, have: int = 0) -> DataFrame:
+        """Rows in seeded order as centres, until there are ``k`` with the ``have`` given ones."""
+        uids = sample_exact(weights.select("uid").distinct(), self.k - have, "uid", self.seed)
+        # k rows at most, so they may be numbered in one place
         order = uids.agg(F.sort_array(F.collect_list("uid")).alias("u")).select(
-            F.posexplode("u").alias("cluster_id", "uid")
-        )
+            F.posexplode("u").alias("n", "uid")
+        ).select((F.col("n") + have).alias("cluster_id"), "uid")
         return weights.join(small(order, self.k), "uid").select(
             "cluster_id", "term_id", F.col("w").alias("value"), F.lit(0).cast("long").alias("seen")
         )
@@ -82,15 +87,16 @@ class MiniBatchKMeans:
         """Assign the rows ``uid, text`` of a batch and store the moved centres."""
         weights = tfidf.tfidf_weights(texts, terms, "uid", max_terms=self.max_terms).persist()
         try:
-            if batch_id == 0:
-                start = f"{self.path}/start"
+            old = self.centres(batch_id - 1) if batch_id else None
+            have = old.select("cluster_id").distinct().count() if batch_id else 0
+            if have < self.k:  # the first batches may have too few texts
+                start = f"{self.path}/start{batch_id or ''}"
                 if not outputs_exist(self.spark, start):
-                    self._start(weights).write.mode("overwrite").parquet(start)
-                old = self.spark.read.parquet(start)
-            else:
-                old = self.centres(batch_id - 1)
-            nearest = centre_distances(weights, old, self.k, self.max_terms)
-            assigned = texts.select("uid").join(nearest, "uid", "left")
+                    self._start(weights, have).write.mode("overwrite").parquet(start)
+                more = self.spark.read.parquet(start)
+                old = old.unionByName(more) if batch_id else more
+            nearest = centre_distances(texts, weights, old, self.k, self.max_terms)
+            assigned = nearest
             sums = weights.join(nearest, "uid").groupBy("cluster_id", "term_id").agg(F.sum("w").alias("s"))
             rows = nearest.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("m"))
             seen = old.groupBy("cluster_id").agg(F.max("seen").alias("n"))

@@ -34,10 +34,10 @@ def unigrams(text: str) -> str:
     )
 
 
-# quiz rows of the English passages
+# quiz rows of all passages
 QUIZ = rf"""
 qs AS (
-  SELECT doc_id AS id, text AS article, {sents('text')} AS sl FROM documents WHERE lang = 'en'),
+  SELECT doc_id AS id, text AS article, {sents('text')} AS sl FROM documents),
 qq AS (SELECT id, article, sl[1] AS question FROM qs WHERE len(sl) > 0),
 qw AS (
   SELECT id, w, md5(id || ':' || w) AS h FROM (
@@ -77,13 +77,18 @@ def grams(name: str, source: str, keys: str, text: str) -> str:
   FROM {name}_u)"""
 
 
-# vocabulary fitted on the quiz rows
+# vocabulary fitted on the train rows of the exact split
 VOCAB = f"""
 corpus AS (SELECT id, article || ' ' || A || ' ' || B || ' ' || C || ' ' || D AS text FROM quiz),
 {grams('cg', 'corpus', 'id', 'text')},
-tc AS (SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM cg GROUP BY term),
+train AS (
+  SELECT id FROM (
+    SELECT id, row_number() OVER (ORDER BY md5('42:' || id), id) AS rn, count(*) OVER () AS n FROM quiz)
+  WHERE rn <= n - (n + 4) // 5),
+tc AS (
+  SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM cg SEMI JOIN train USING (id) GROUP BY term),
 vocab AS (
-  SELECT term, df, cf, ln((1 + (SELECT count(*) FROM quiz)) / (1 + df)) + 1 AS idf
+  SELECT term, df, cf, ln((1 + (SELECT count(*) FROM train)) / (1 + df)) + 1 AS idf
   FROM tc WHERE df >= 2 ORDER BY cf DESC, term LIMIT 50000)"""
 
 
@@ -162,8 +167,8 @@ WITH u AS (SELECT doc_id, CAST('0x' || substr(md5('42:' || doc_id), 1, 8) AS BIG
   FROM documents)
 SELECT doc_id, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'val' ELSE 'test' END AS split FROM u"""
 ORACLES["sample_topk"] = sql(RANKED, select="""
-SELECT CAST(k AS INTEGER) AS k, doc_id FROM r, (VALUES (1), (1000), (5000)) v(k) WHERE rn <= k""")
-ORACLES["head_n"] = "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 2000"
+SELECT CAST(k AS INTEGER) AS k, doc_id FROM r, (VALUES (1), (100), (500)) v(k) WHERE rn <= k""")
+ORACLES["head_n"] = "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 150"
 ORACLES["stratified_folds"] = """
 SELECT doc_id, lang, row_number() OVER (
   PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) % 3 AS fold FROM documents"""
@@ -190,7 +195,9 @@ SELECT id, correct, array_to_string(ws, '|') AS wrong, question || ' ' || correc
 ORACLES["null_profile"] = (
     "WITH j AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id))\n"
     + "\nUNION ALL\n".join(
-        f"SELECT '{c}' AS \"column\", count({c}) AS filled, count(*) - count({c}) AS missing FROM j"
+        f"SELECT '{c}' AS \"column\", count({c}) AS filled, count(*) - count({c}) AS missing,\n"
+        f"  CASE any_value(typeof({c})) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' "
+        "WHEN 'VARCHAR' THEN 'string' END AS type FROM j"
         for c in ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]))
 ORACLES["answer_distribution"] = sql(QUIZ, select="""
 SELECT l AS answer, count(answer) AS n FROM (VALUES ('A'), ('B'), ('C'), ('D')) v(l)
@@ -218,7 +225,7 @@ SELECT point, round(any_value(x), 6) AS x,
 FROM g, l GROUP BY point""")
 ORACLES["top_keywords"] = sql(
     RANKED,
-    f"w AS (SELECT unnest({unigrams('text')}) AS term FROM documents JOIN r USING (doc_id) WHERE rn <= 1000)",
+    f"w AS (SELECT unnest({unigrams('text')}) AS term FROM documents JOIN r USING (doc_id) WHERE rn <= 100)",
     select="SELECT term, count(*) AS n FROM w GROUP BY term ORDER BY n DESC, term LIMIT 100")
 
 # ---- text
@@ -466,6 +473,21 @@ ORACLES["rouge_n"] = sql(PAIRS, overlap("ov", "pairs", *ASCII_HR, 2), select=f""
 SELECT id, round({rouge(1)}, 6) AS rouge1, round({rouge(2)}, 6) AS rouge2,
   round(coalesce(o1 / nullif(r1, 0), 0), 6) AS recall1, round(coalesce(o2 / nullif(r2, 0), 0), 6) AS recall2
 FROM ov""")
+# rows of the table of common subsequences, one hypothesis token at a time
+ORACLES["rouge_l"] = sql(
+    PAIRS, f"t AS (SELECT id, {ASCII_HR[0]} AS h, {ASCII_HR[1]} AS r FROM pairs)",
+    """
+l AS (
+  SELECT id, h, r, 0 AS i, list_transform(r, lambda x: 0) AS best FROM t
+  UNION ALL
+  SELECT id, h, r, i + 1, list_transform(range(1, len(r) + 1), lambda j: list_max(list_transform(
+    range(1, j + 1), lambda k: CASE WHEN r[k] <> h[i + 1] THEN best[k] WHEN k = 1 THEN 1 ELSE best[k - 1] + 1 END)))
+  FROM l WHERE i < len(h))""",
+    "c AS (SELECT id, len(h) AS nh, len(r) AS nr, coalesce(best[len(r)], 0) AS n FROM l WHERE i = len(h))",
+    select="""
+SELECT id, round(coalesce(2 * (n / nullif(nh, 0)) * (n / nullif(nr, 0))
+  / nullif(n / nullif(nh, 0) + n / nullif(nr, 0), 0), 0), 6) AS "rougeL" FROM c""",
+).replace("WITH", "WITH RECURSIVE", 1)
 ORACLES["meteor_exact"] = sql(PAIRS, meteor("mt", "pairs"), select="""
 SELECT id, matches, chunks, round(meteor, 6) AS meteor FROM mt""")
 
