@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -48,18 +50,28 @@ def lexical_features(cand: Column, answer: Column, low_article: Column) -> list[
     ]
 
 
+def frequencies(candidates: Column, low_article: Column) -> Column:
+    """Occurrences of each candidate in its passage; the passage stays in its row."""
+    return F.transform(candidates, lambda c: X.count_substring(low_article, c, lowered=True))
+
+
 def candidate_features(
-    pairs: DataFrame, vectors: DataFrame, keys: list[str], n_words: int, dim: int
+    pairs: DataFrame, vectors: DataFrame, keys: list[str], n_words: int, dim: int,
+    stage: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
-    """Features of ``pairs(keys, cand, answer, low_article)``; the article ends here.
+    """Features of ``pairs(keys, cand, answer, freq)``, or with ``low_article`` in place of
+    ``freq``; an article ends here.
 
     Mean vectors are formed once per distinct phrase and joined back; a phrase without
-    a known word gives similarity 0.
+    a known word gives similarity 0. ``stage`` stores the pairs, which are read for the
+    phrases and for the joins.
     """
-    lexical = pairs.select(
-        *keys, "cand", "answer",
-        *lexical_features(F.col("cand"), F.col("answer"), F.col("low_article")),
+    char_match, freq, len_diff = lexical_features(
+        F.col("cand"), F.col("answer"), F.col("low_article" if "low_article" in pairs.columns else "cand")
     )
+    lexical = stage(pairs.select(
+        *keys, "cand", "answer", char_match, "freq" if "freq" in pairs.columns else freq, len_diff
+    ))
     phrases = lexical.select(F.col("cand").alias("phrase")).union(lexical.select("answer")).distinct()
     means = phrase_vectors(phrases, vectors, n_words, dim)
     c = means.select(F.col("phrase").alias("cand"), F.col("unit").alias("_c"))
@@ -120,18 +132,25 @@ def top_ranked(scored: DataFrame, keys: list[str], n: int) -> DataFrame:
 def ranked_distractors(
     df: DataFrame, vectors: DataFrame, ranker: LogisticRegressionModel, n_words: int, dim: int,
     keys: list[str], n: int = 3, answer: str = "answer", article: str = "article",
-    candidates: str = "candidates",
+    candidates: str = "candidates", stage: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
-    """``keys, distractors``: the ``n`` most probable wrong options per row."""
-    named = df.select(
-        *keys, F.col(answer).alias("_answer"), F.col(candidates).alias("_candidates"),
-        F.col(article).alias("_article"),
-    )
-    pairs = once(named, low_article=F.lower("_article")).select(
-        *keys, F.col("_answer").alias("answer"), "low_article",
-        F.explode(not_answer(F.col("_candidates"), F.col("_answer"))).alias("cand"),
-    )
-    features = assemble(candidate_features(pairs, vectors, keys, n_words, dim))
+    """``keys, distractors``: the ``n`` most probable wrong options per row.
+
+    The frequencies come in a column ``freqs`` beside the candidates, or are counted in
+    the passage before the candidates leave its row.
+    """
+    if "freqs" in df.columns:
+        named = df.select(*keys, F.col(answer).alias("_answer"), F.col(candidates).alias("cand"), "freqs")
+    else:
+        low = once(df.select(
+            *keys, F.col(answer).alias("_answer"), F.col(candidates).alias("cand"),
+            F.lower(article).alias("_low"),
+        ), freqs=frequencies(F.col("cand"), F.col("_low")))
+        named = low.drop("_low")
+    pairs = named.select(
+        *keys, F.col("_answer").alias("answer"), F.inline(F.arrays_zip("cand", F.col("freqs").alias("freq")))
+    ).filter(F.col("cand") != F.lower("answer"))
+    features = assemble(candidate_features(pairs, vectors, keys, n_words, dim, stage))
     scored = ranker.transform(features).select(
         *keys, "cand", F.round(F.get(vector_to_array("probability"), F.lit(1)), 12).alias("prob")
     )
@@ -145,13 +164,14 @@ def ranked_distractors(
 def generate_distractors(
     df: DataFrame, keys: list[str], answer: str = "answer", n: int = 3, vectors: DataFrame | None = None,
     ranker: LogisticRegressionModel | None = None, n_words: int = 0, dim: int = 100,
+    stage: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
-    """Add ``distractors`` to rows with ``article`` and ``candidates``: the first ``n``
-    candidates, or with a ranker the best ``n``."""
+    """Add ``distractors`` to rows with ``candidates`` and ``freqs`` or ``article``: the first
+    ``n`` candidates, or with a ranker the best ``n``."""
     plain = first_n(F.col("candidates"), F.col(answer), n)
     if ranker is None:
         return df.withColumn("distractors", plain)
-    ranked = ranked_distractors(df, vectors, ranker, n_words, dim, keys, n, answer)
+    ranked = ranked_distractors(df, vectors, ranker, n_words, dim, keys, n, answer, stage=stage)
     fallback = F.array(*[F.lit(x) for x in FALLBACK_DISTRACTORS])
     return df.join(ranked, keys, "left").withColumn(
         "distractors", F.coalesce("distractors", fallback)

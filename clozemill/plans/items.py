@@ -125,6 +125,8 @@ def quiz_items(
     kmeans=None,
     with_distractors: bool = True,
     distinct_pivots: bool = False,
+    stage_items: Callable[[DataFrame], DataFrame] = lambda df: df,
+    stage_pairs: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
     """Up to five items per passage of ``articles(id, article)``: ``id, pivot_pos,
     question_stem, answer_chunk, options, option_words, correct_idx, hints, cluster_id``.
@@ -132,7 +134,10 @@ def quiz_items(
     ``stage`` stores the small table of stems (a few sentences per passage) between the
     two similarity passes, so that the second does not run the first again. Models are
     optional: without a ranker the first candidates are taken, without k-means the
-    cluster is null, without distractors the options are padded.
+    cluster is null, without distractors the options are padded. With a ranker the items
+    and the candidate pairs are each read more than once; ``stage_items`` and
+    ``stage_pairs`` store them. Candidates are counted once per passage, which never
+    leaves its row.
     """
     stems = stage(passage_stems(articles, terms, tagger, distinct_pivots))
     rows = keyed(articles.select("id", "article"), "id").join(stems, "id")
@@ -152,17 +157,21 @@ def quiz_items(
         lambda t, i: hint_texts(F.col("sents"), F.col("_words"), F.col("scored"), t["stem"], i),
     ))
     ranked = ranker is not None and vectors is not None
+    if ranked:
+        low = hinted.withColumn("_low", F.lower("article"))
+        hinted = once(low, freqs=distractors.frequencies(F.col("candidates"), F.col("_low")))
+    counted = ["freqs"] if ranked else []
     items = hinted.select(
-        "id", *(["article"] if ranked else []), "candidates",
+        "id", *counted, "candidates",
         F.inline(F.arrays_zip(F.col("stems").alias("s"), F.col("_hints").alias("h"))),
     ).select(
-        "id", *(["article"] if ranked else []), "candidates", "s.*", "h",
+        "id", *counted, "candidates", "s.*", "h",
     )
     if not with_distractors:
         found = items.withColumn("distractors", F.array().cast("array<string>"))
     elif ranked:
         found = distractors.generate_distractors(
-            items, ["id", "pivot_pos"], "chunk", ASKED, vectors, ranker, n_words, dim
+            stage_items(items), ["id", "pivot_pos"], "chunk", ASKED, vectors, ranker, n_words, dim, stage_pairs
         )
     else:
         found = distractors.generate_distractors(items, ["id", "pivot_pos"], "chunk", ASKED)

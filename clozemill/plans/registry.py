@@ -285,23 +285,21 @@ def mask_and_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidate_pairs(quiz: DataFrame) -> DataFrame:
-    rows = once(
-        distractors.with_candidates(quiz),
-        right=relational.correct_option(), low_article=F.lower("article"),
-    )
-    return rows.select(
-        "id", "low_article", F.col("right").alias("answer"),
-        F.explode(distractors.not_answer(F.col("candidates"), F.col("right"))).alias("cand"),
+    """``id, answer, cand, freq``; frequencies are counted before the candidates leave the row."""
+    rows = distractors.with_candidates(quiz).select(
+        "id", relational.correct_option().alias("answer"), F.lower("article").alias("low"),
+        F.col("candidates").alias("cand"),
     )
+    counted = once(rows, freq=distractors.frequencies(F.col("cand"), F.col("low")))
+    pairs = counted.select("id", "answer", F.inline(F.arrays_zip("cand", "freq")))
+    return pairs.filter(F.col("cand") != F.lower("answer"))
 
 
 @query
 def candidate_features_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _candidate_pairs(quiz_table(spark, sf_dir))
-    char_match, freq, len_diff = distractors.lexical_features(
-        F.col("cand"), F.col("answer"), F.col("low_article")
-    )
-    return pairs.select("id", "cand", F.round(char_match, 6).alias("char_match"), freq, len_diff)
+    char_match, _, len_diff = distractors.lexical_features(F.col("cand"), F.col("answer"), F.col("cand"))
+    return pairs.select("id", "cand", F.round(char_match, 6).alias("char_match"), "freq", len_diff)
 
 
 @query
@@ -662,6 +660,8 @@ def quiz_items_full(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda df: staged(spark, sf_dir, "stems", lambda: df),
         vectors=vectors, n_words=n, dim=models.DIM, ranker=models.ranker(spark, sf_dir),
         kmeans=models.kmeans(spark, sf_dir)[0],
+        stage_items=lambda df: staged(spark, sf_dir, "items_asked", lambda: df),
+        stage_pairs=lambda df: staged(spark, sf_dir, "item_pairs", lambda: df),
     )
     return made.select(
         "id", "pivot_pos", "question_stem", "answer_chunk",
