@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clozemill.llm.common import (
-    INVERSE, LETTERS, frames, held_out, mixed, powers, prefix_hashes, type_of, words,
+    INVERSE, LETTERS, frames, held_out, mixed, powers, prefix_hashes, stage, type_of, words,
 )
 
 BITS = 20
@@ -195,14 +195,47 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
                 "id": rows_.column(0), "y": rows_.column(1),
                 "x": pa.array([cell[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:])], pa.binary())})
 
-    found = rows.mapInArrow(work, f"id {type_of(docs, id_column)}, y int, x binary").orderBy(
-        "id", "y", "x").toArrow()
-    if not found.num_rows:
+    table = stage(rows.mapInArrow(work, f"id {type_of(docs, id_column)}, y int, x binary"))
+    n, toxic = table.agg(F.count(F.lit(1)), F.sum("y")).first()
+    if not n:
         return None
+    kept = np.union1d(screened(table, n, toxic), hashed(" ".join(GROUPS.values())))
+
+    def narrow(batches):
+        for batch in batches:
+            own = [np.frombuffer(v.as_buffer(), np.int32) for v in batch.column("x")]
+            yield pa.record_batch({
+                "id": batch.column("id"), "y": batch.column("y"),
+                "x": pa.array([v[np.isin(v, kept)].tobytes() for v in own], pa.binary())})
+
+    # Only the features that passed the screen come to the driver.
+    found = table.mapInArrow(narrow, table.schema).orderBy("id", "y", "x").toArrow()
     texts = [np.frombuffer(v.as_buffer(), np.int32).astype(np.int64) for v in found.column("x")]
     return Scorer(texts, found.column("y").to_numpy(), **options)
 
 
+def screened(table: DataFrame, n: int, toxic: int) -> np.ndarray:
+    """Features of enough texts whose toxic share is not what chance gives; counted by Spark."""
+
+    def counts(batches):
+        for batch in batches:
+            own = [np.frombuffer(v.as_buffer(), np.int32) for v in batch.column("x")]
+            y = np.repeat(batch.column("y").to_numpy(), [len(v) for v in own])
+            feature, number = np.unique(np.concatenate(own) if own else np.empty(0, np.int32),
+                                        return_inverse=True)
+            yield pa.record_batch({
+                "f": pa.array(feature.astype(np.int64)),
+                "c": pa.array(np.bincount(number, minlength=len(feature)).astype(np.int64)),
+                "t": pa.array(np.bincount(number, y, len(feature)).astype(np.int64))})
+
+    share = toxic / n
+    each = table.mapInArrow(counts, "f long, c long, t long").groupBy("f").agg(
+        F.sum("c").alias("c"), F.sum("t").alias("t"))
+    off = F.abs(F.col("t") - F.col("c") * share) / F.sqrt(F.col("c") * max(share * (1 - share), 1e-9))
+    rows = each.where((F.col("c") >= MIN_TEXTS) & (off >= SCREEN)).select("f").orderBy("f").toArrow()
+    return rows.column("f").to_numpy()
+
+
 def scored(docs: DataFrame, model: Scorer | None, id_column: str = "doc_id",
            text: str = "text") -> DataFrame:
     """(id, score) for every row."""
