@@ -26,7 +26,7 @@ from clozemill.llm.common import (
 BITS = 20
 SAMPLE = 8_000
 MIN_TEXTS = 6
-SCREEN = 3.0
+SCREEN = 4.0
 BEGINNINGS = range(2, 9)
 L1 = 1.5e-4
 L2 = 1e-5
