@@ -14,6 +14,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 # the state function travels with its helper, so executors need not have the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Setting for streams with more keys than fit into memory.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
 OUT = "session_id bigint, q_idx bigint, epoch int, chosen int, ts timestamp, event_id bigint"
 STATE = "epoch int, answered boolean, ts timestamp, event_id bigint"
 
@@ -38,19 +43,30 @@ def _first_per_interval(rows: list[tuple]) -> list[tuple]:
     return kept
 
 
-def first_answers(events: DataFrame) -> DataFrame:
+def first_answers(events: DataFrame, forget: str | None = None) -> DataFrame:
     """The first answer per session, question and epoch of a stream with ``session_id,
     q_idx, chosen, ts, event_id, kind``; a reset opens the next epoch.
 
     Later answers of an epoch are ignored, as a given answer cannot be changed. Each
-    batch of a key is reduced chunk by chunk before it meets the state.
+    batch of a key is reduced chunk by chunk before it meets the state. With ``forget``
+    (a duration) the state of a question ends when event time has passed its last event
+    by that much; an answer that comes later still starts anew. For many sessions run
+    with the RocksDB state store, see :data:`STATE_STORE`.
     """
+    wait = pd.Timedelta(forget).value // 1_000_000 if forget else None
 
     def update(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         epoch, answered, ts, event_id = state.get if state.exists else (0, False, None, None)
+        last = None
         reduced: list[tuple] = []
         for chunk in chunks:
-            columns = [chunk[c].tolist() for c in ("ts", "event_id", "kind", "chosen")]
+            newest = chunk["ts"].max()
+            last = newest if last is None or newest > last else last
+            columns = [chunk[c].astype(object).where(chunk[c].notna(), None).tolist()
+                       for c in ("ts", "event_id", "kind", "chosen")]
             reduced = _first_per_interval(reduced + list(zip(*columns)))
         out = []
         for at, event, kind, chosen in reduced:
@@ -60,11 +76,16 @@ def first_answers(events: DataFrame) -> DataFrame:
                 answered, ts, event_id = True, at, event
                 out.append((*key, epoch, chosen, at, event))
         state.update((epoch, answered, ts, event_id))
+        if wait is not None and last is not None:
+            due = last.tz_localize("UTC") if last.tzinfo is None else last
+            state.setTimeoutTimestamp(max(due.value // 1_000_000, state.getCurrentWatermarkMs()) + wait)
         if out:
-            yield pd.DataFrame(out, columns=["session_id", "q_idx", "epoch", "chosen", "ts", "event_id"])
+            made = pd.DataFrame(out, columns=["session_id", "q_idx", "epoch", "chosen", "ts", "event_id"])
+            yield made.astype({"chosen": "Int32", "event_id": "Int64", "epoch": "int32"})
 
     return events.groupBy("session_id", "q_idx").applyInPandasWithState(
-        update, OUT, STATE, "append", GroupStateTimeout.NoTimeout
+        update, OUT, STATE, "append",
+        GroupStateTimeout.EventTimeTimeout if forget else GroupStateTimeout.NoTimeout,
     )
 
 

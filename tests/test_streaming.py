@@ -113,3 +113,21 @@ def test_minibatch_centres_match_a_direct_computation(spark, tmp_path):
         for r in model.centres(batch).collect():
             stored[r.cluster_id, r.term_id] = r.value
         assert stored == pytest.approx(centres)
+
+
+def test_state_ends_after_a_while(spark, tmp_path):
+    path = str(tmp_path / "forget")
+    batches = [rows((1, 0, 3, 0, "answer"), (1, 0, 2, 1, "answer")), rows((9, 9, 0, 500, "answer")),
+               rows((9, 8, 0, 501, "answer")), rows((1, 0, 1, 502, "answer"))]
+    for b in batches:
+        write_files(spark, path, b)
+    stream = sessions.read_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+    made = sessions.first_answers(stream.withWatermark("ts", "10 minutes"), forget="1 hour")
+    sessions.run_to_table(made, path + "_out", path + "_cp")
+    got = sorted((r.session_id, r.q_idx, r.chosen) for r in spark.read.parquet(path + "_out").collect())
+    assert got == [(1, 0, 1), (1, 0, 3), (9, 8, 0), (9, 9, 0)]
+
+
+def test_an_answer_without_choice_stays_null(spark, tmp_path):
+    got = first(spark, tmp_path, "null", rows((1, 0, None, 0, "answer"), (1, 1, 2, 1, "answer")))
+    assert got == {(1, 0, 0): None, (1, 1, 0): 2}
