@@ -283,5 +283,15 @@ def key_chunk(tagged: Column) -> Column:
     return text_or_empty(let(tagged, best))
 
 
+def percent_number(x: Column) -> Column:
+    """A share as a percentage with one digit."""
+    return F.round(x * 100, 1)
+
+
+def score_text(x: Column) -> Column:
+    """A score that is no percentage, with four digits."""
+    return F.format_string("%.4f", x)
+
+
 def percent_text(x: Column) -> Column:
     return F.format_string("%.2f%%", x * 100)

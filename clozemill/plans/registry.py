@@ -336,6 +336,17 @@ def embedding_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("q", "p", F.round("sim", 6).alias("sim"), "rank")
 
 
+@query
+def embedding_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML9 for a stated query set: every twentieth vector against all of them, exactly."""
+    points = _embeddings(spark, sf_dir).select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("vector")
+    )
+    asked = points.filter("vec_id % 20 = 0")
+    near = embeddings.nearest(asked, points, 10, asked.count(), points.count(), "vec_id", "vec_id")
+    return near.select("q", "p", F.round("sim", 6).alias("sim"), "rank")
+
+
 @query
 def silhouette_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _embeddings(spark, sf_dir)
@@ -556,6 +567,16 @@ def metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.metric_report(_scores(spark, sf_dir, False).filter("metric <> 'ROUGE-L'"))
 
 
+@query
+def score_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T15: the three forms in which shares and scores are shown."""
+    k = F.get_json_object("props", "$.k").cast("int") / 99
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        "event_id", X.percent_number(k).alias("pct"), X.percent_text(k).alias("pct_text"),
+        X.score_text(k).alias("score_text"),
+    )
+
+
 # ---- learned models -------------------------------------------------------------
 
 
@@ -714,6 +735,39 @@ def windowed_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def answers_resets_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1 with resets: every fiftieth event resets its session; state ends after 60 days."""
+    out = _run_dir(spark, "resets")
+    events = _event_stream(spark, sf_dir).withColumn(
+        "kind", F.when(F.pmod("event_id", F.lit(50)) == 0, "reset").otherwise("answer")
+    ).withWatermark("ts", "1 hour")
+    made = sessions.first_answers(sessions.spread_resets(events, 5), forget="60 days")
+    sessions.run_to_table(made, f"{out}/table", f"{out}/progress")
+    return spark.read.parquet(f"{out}/table").select("session_id", "q_idx", "epoch", "chosen", "event_id")
+
+
+def _windows(spark: SparkSession, sf_dir: str, name: str, **kind) -> DataFrame:
+    out = _run_dir(spark, name)
+    marked = _event_stream(spark, sf_dir).withColumn("correct_idx", F.pmod("session_id", F.lit(4)).cast("int"))
+    sessions.run_to_table(sessions.windowed_accuracy(marked, **kind), f"{out}/table", f"{out}/progress")
+    made = spark.read.parquet(f"{out}/table")
+    stamps = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "end")]
+    return made.select(*stamps, *[c for c in made.columns if c not in ("start", "end")])
+
+
+@query
+def windowed_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST5: days that begin every twelve hours."""
+    return _windows(spark, sf_dir, "sliding", window="1 day", slide="12 hours")
+
+
+@query
+def windowed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST5: per session, windows that end after six hours without an answer."""
+    return _windows(spark, sf_dir, "gaps", gap="6 hours")
+
+
 @query
 def items_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST2: items of passages that arrive as files."""

@@ -394,6 +394,8 @@ s AS (SELECT a.vec_id AS q, b.vec_id AS p, round(list_cosine_similarity(a.v, b.v
       FROM d a JOIN d b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, p) AS rank FROM s)
 SELECT q, p, round(sim, 6) AS sim, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10"""
+ORACLES["embedding_search"] = ORACLES["embedding_knn"].replace(
+    "ON a.vec_id <> b.vec_id", "ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0")
 ORACLES["silhouette_sample"] = """
 WITH d AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
            ORDER BY md5('42:' || vec_id), vec_id LIMIT 5000),
@@ -647,3 +649,28 @@ WITH w AS (SELECT date_trunc('day', ts) AS s, count(*) AS answers,
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(s + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS "end",
   answers, correct
 FROM w WHERE s + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+ORACLES["score_formats"] = f"""
+SELECT event_id, round({K} / 99 * 100, 1) AS pct, printf('%.2f%%', {K} / 99 * 100) AS pct_text,
+  printf('%.4f', {K} / 99) AS score_text FROM events"""
+ORACLES["answers_resets_stream"] = sql(ANSWERS, """
+e AS (SELECT *, count(*) FILTER (event_id % 50 = 0) OVER (
+        PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM ans)""", select="""
+SELECT session_id, q_idx, CAST(epoch AS INTEGER) AS epoch, arg_min(chosen, (ts, event_id)) AS chosen,
+  arg_min(event_id, (ts, event_id)) AS event_id
+FROM e WHERE event_id % 50 <> 0 GROUP BY session_id, q_idx, epoch""")
+ORACLES["windowed_sliding"] = f"""
+WITH b AS (SELECT date_trunc('day', ts) + INTERVAL 12 HOUR * (date_part('hour', ts)::INTEGER // 12) AS s, ts, user_id,
+             {K} AS k FROM events),
+w AS (SELECT s - INTERVAL 12 HOUR * i AS s, count(*) AS answers, count(*) FILTER (k % 4 = user_id % 4) AS correct
+      FROM b, (VALUES (0), (1)) v(i) GROUP BY 1)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(s + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS "end",
+  answers, correct
+FROM w WHERE s + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+ORACLES["windowed_sessions"] = f"""
+WITH a AS (SELECT user_id AS session_id, ts, {K} AS k, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
+g AS (SELECT *, count(*) FILTER (p IS NULL OR ts >= p + INTERVAL 6 HOUR) OVER (
+        PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM a),
+w AS (SELECT session_id, min(ts) AS s, max(ts) + INTERVAL 6 HOUR AS e, count(*) AS answers,
+        count(*) FILTER (k % 4 = session_id % 4) AS correct FROM g GROUP BY session_id, n)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(e, '%Y-%m-%d %H:%M:%S') AS "end", session_id, answers, correct
+FROM w WHERE e <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
