@@ -4,8 +4,9 @@ r"""Licence scan: sparse TF-IDF cosine of lines to templates, then inheritance a
    word in no template has the idf of a term in none of them and counts in the line's length, so long
    prose with a few licence words stays far from all templates. A line belongs to the nearest
    template, from ``THRESHOLD`` on.
-2. For each template the heaviest terms, function words last, are taken until the rest cannot reach the threshold alone: a
-   line without any of those terms cannot match, which one pass over the whole text decides exactly. Of the other lines each distinct one is compared once, however many files have it.
+2. Most lines share so little weight with every template that they cannot reach the threshold; one pass
+   over the whole texts finds the others, exactly. Each distinct one is compared once, however many
+   files have it.
 3. A file has the licence of its best line. A directory has that of its best licence file
    (``LICENSE``, ``LICENCE``, ``COPYING``). A file without one inherits from the nearest directory
    above it: distinct directories are joined to directory licences by their ancestors' paths.
@@ -27,7 +28,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clozemill.llm.common import frames, stage, table, type_of, words
-from clozemill.llm.quality import STOP_WORDS
 
 THRESHOLD = 0.6
 
@@ -56,7 +56,7 @@ def tokens(text: str) -> list[str]:
 
 
 class Model:
-    """Template weights, idf and the terms of which a match needs one."""
+    """Template weights and idf; ``mass`` holds the squared weights, terms by templates."""
 
     def __init__(self, templates=TEMPLATES, threshold: float = THRESHOLD):
         counts = [Counter(tokens(t)) for _, t in templates]
@@ -65,39 +65,47 @@ class Model:
         self.threshold = threshold
         self.other = math.log(1 + n) + 1
         self.idf = {w: math.log((1 + n) / (1 + k)) + 1 for w, k in df.items()}
-        self.rows, needed = [], set()
-        common = set(STOP_WORDS.split())
+        self.rows, self.vocabulary = [], sorted(df)
+        self.mass = np.zeros((len(df), n))
         for i, ((name, _), c) in enumerate(zip(templates, counts)):
             weight = {w: k * self.idf[w] for w, k in c.items()}
             norm = math.sqrt(sum(v * v for v in weight.values()))
             self.rows += [(i, name, w, v / norm) for w, v in sorted(weight.items())]
-            rest = 1.0
-            for w, v in sorted(weight.items(), key=lambda x: (x[0] in common or len(x[0]) < 2, -x[1], x[0])):
-                if rest < (threshold - 1e-9) ** 2:
-                    break
-                needed.add(w)
-                rest -= (v / norm) ** 2
-        self.needed = sorted(needed)
+            for w, v in weight.items():
+                self.mass[self.vocabulary.index(w), i] = (v / norm) ** 2
 
 
 TERM = table(bytes([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]))
 
 
 def candidate_lines(files: DataFrame, model: Model) -> DataFrame:
-    """(file, line) of every line with one of the terms that a match needs."""
-    needed = np.frombuffer(" ".join(model.needed).encode(), np.uint8)
-    needed = np.sort(words(needed, np.array([0, len(needed)]), TERM)[0])
+    """(file, line) of every line that can reach the threshold.
+
+    By Cauchy and Schwarz a line's cosine to a template is at most the square root of the
+    template's squared weights at the terms they share; other lines are left where they are.
+    """
+    names = np.frombuffer(" ".join(model.vocabulary).encode(), np.uint8)
+    hashes = words(names, np.array([0, len(names)]), TERM)[0]
+    order = np.argsort(hashes)
+    hashes, mass = hashes[order], model.mass[order]
+    enough = model.threshold**2 - 1e-9
 
     def work(batches):
         for rows, data, offsets in frames(batches, "text"):
-            value, doc, start, _ = words(data, offsets, TERM)
-            at = np.minimum(np.searchsorted(needed, value), len(needed) - 1)
-            hit = start[needed[at] == value]
+            value, _, start, _ = words(data, offsets, TERM)
+            at = np.minimum(np.searchsorted(hashes, value), len(hashes) - 1)
+            known = hashes[at] == value
             # Lines end at line feeds and at the ends of texts.
             ends = np.union1d(np.flatnonzero(data == 10), offsets[1:])
-            line = np.unique(np.searchsorted(ends, hit, "right"))
+            pair = np.unique(np.searchsorted(ends, start[known], "right") * len(hashes) + at[known])
+            line, place = np.unique(pair // len(hashes), return_inverse=True)
+            term = pair % len(hashes)
+            bound = np.zeros(len(line))
+            for template in mass.T:
+                bound = np.maximum(bound, np.bincount(place, template[term], len(line)))
+            line = line[bound >= enough]
             begin = np.where(line > 0, ends[line - 1], 0)
-            begin = begin + (data[np.minimum(begin, len(data) - 1)] == 10) * (line > 0) if len(line) else begin
+            begin = begin + (data[begin] == 10) * (line > 0) if len(line) else begin
             owner = np.searchsorted(offsets, begin, "right") - 1
             yield pa.record_batch({
                 "file": rows.column(0).take(pa.array(owner)),
