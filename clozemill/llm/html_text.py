@@ -54,6 +54,8 @@ NAMED = frozenset((
     "cookie cookies consent gdpr notice notices alert notification popup modal overlay newsletter subscribe "
     "signup login share sharing social related recommended pagination pager toolbar widget search hidden "
     "complementary contentinfo dialog alertdialog").split())
+# Words that make such a name one of a container around the article (`with-sidebar`).
+ABOUT = frozenset("with without has no main article".split())
 HEADER_NAMES = frozenset("header masthead topbar".split())
 
 TOKEN = re.compile(
@@ -89,9 +91,10 @@ def is_cut(name: str, rest: str, parent: Node) -> bool:
         value = value.strip("\"'").lower()
         if key.lower() == "hidden" or key.lower() == "aria-hidden" and value == "true":
             return True
-        words = set(WORD.findall(value)) if value else set()
-        if words & NAMED or not inside and words & HEADER_NAMES:
-            return True
+        for one in value.split():
+            words = set(WORD.findall(one))
+            if not words & ABOUT and (words & NAMED or not inside and words & HEADER_NAMES):
+                return True
     return False
 
 

@@ -20,6 +20,12 @@ def test_article_without_the_rest():
     assert html_text.main_text(PAGE.replace("<article>", "<div>").replace("</article>", "</div>")) == want
 
 
+def test_names_of_containers_are_not_those_of_what_they_lack():
+    text = "A long first paragraph with quite a few words in it."
+    page = f'<div class="layout with-sidebar"><div id="x"><p>{text}</p><p>{text}</p></div><div class="left sidebar">no</div></div>'
+    assert html_text.main_text(page) == f"{text} {text}"
+
+
 def test_broken_and_odd_pages(spark):
     odd = {"": "", None: "", "plain &lt; text": "plain < text", "<p>a<p>b <i>c</i>d": "a b cd", "<!-- never closed": "",
            "<div><p>cut here</p><a hre": "cut here", "<script>x": "", "<p>one</b></i></p></div>two": "one two",
