@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from clozemill.llm.common import BASE, INVERSE, mixed, powers, prefix_hashes  # noqa: F401
+from clozemill.llm.common import INVERSE, mixed, powers, prefix_hashes
 
 
 def sliding(op, x: np.ndarray, width: int) -> np.ndarray:

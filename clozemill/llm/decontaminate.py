@@ -18,8 +18,6 @@ benchmark no hits. Further columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -269,10 +267,6 @@ def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without a word of a benchmark phrase, with their own columns.
 

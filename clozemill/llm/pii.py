@@ -17,7 +17,6 @@ Counts and offsets are in code points; the counts are those of the base spans, `
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
