@@ -81,13 +81,15 @@ TERM = table(bytes([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)])
 def candidate_lines(files: DataFrame, model: Model) -> DataFrame:
     """(file, line) of every line that can reach the threshold.
 
-    By Cauchy and Schwarz a line's cosine to a template is at most the square root of the
-    template's squared weights at the terms they share; other lines are left where they are.
+    By Cauchy and Schwarz a line's squared cosine to a template is at most the template's squared
+    weights at the shared terms, times the share of those terms in the line's squared length; words
+    of no template add at least one squared weight each to that length. Other lines stay behind.
     """
     names = np.frombuffer(" ".join(model.vocabulary).encode(), np.uint8)
     hashes = words(names, np.array([0, len(names)]), TERM)[0]
     order = np.argsort(hashes)
     hashes, mass = hashes[order], model.mass[order]
+    idf = np.array([model.idf[w] for w in model.vocabulary])[order]
     enough = model.threshold**2 - 1e-9
 
     def work(batches):
@@ -97,12 +99,20 @@ def candidate_lines(files: DataFrame, model: Model) -> DataFrame:
             known = hashes[at] == value
             # Lines end at line feeds and at the ends of texts.
             ends = np.union1d(np.flatnonzero(data == 10), offsets[1:])
-            pair = np.unique(np.searchsorted(ends, start[known], "right") * len(hashes) + at[known])
+            owner = np.searchsorted(ends, start, "right")
+            pair, tf = np.unique(owner[known] * len(hashes) + at[known], return_counts=True)
             line, place = np.unique(pair // len(hashes), return_inverse=True)
             term = pair % len(hashes)
+            foreign, size = np.unique(owner[~known], return_counts=True)
+            outside = np.zeros(len(line))
+            if len(foreign) and len(line):
+                k = np.minimum(np.searchsorted(foreign, line), len(foreign) - 1)
+                outside = np.where(foreign[k] == line, size[k], 0) * model.other**2
             bound = np.zeros(len(line))
             for template in mass.T:
-                bound = np.maximum(bound, np.bincount(place, template[term], len(line)))
+                inside = np.bincount(place, (tf * idf[term]) ** 2 * (template[term] > 0), len(line))
+                shared = np.bincount(place, template[term], len(line))
+                bound = np.maximum(bound, shared * inside / np.maximum(inside + outside, 1e-12))
             line = line[bound >= enough]
             begin = np.where(line > 0, ends[line - 1], 0)
             begin = begin + (data[begin] == 10) * (line > 0) if len(line) else begin
