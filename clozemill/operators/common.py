@@ -27,6 +27,12 @@ def keyed(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(*[F.col(k) for k in keys])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Even out rows in front of costly row work, by one exchange at every size: adaptive
+    execution joins small partitions and splits large ones, however the files were cut."""
+    return df.hint("rebalance")
+
+
 def small(df: DataFrame, rows: int, row_bytes: int = 64, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Broadcast a side whose row count has a known bound, if the bound fits the limit;
     beyond it Spark picks the join by itself."""

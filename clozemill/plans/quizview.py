@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clozemill.functions import text as X
 from clozemill.functions.words import LETTERS
-from clozemill.operators.common import once
+from clozemill.operators.common import once, spread
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +67,4 @@ def quiz_from_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def quiz_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quiz rows of all passages; the text rules know no language."""
-    return quiz_from_passages(documents(spark, sf_dir).select("doc_id", "text"))
+    return quiz_from_passages(spread(documents(spark, sf_dir).select("doc_id", "text")))
