@@ -11,7 +11,9 @@ threshold is the least density on the way from the core to the body; the subtree
 ancestor of the core that is an article or main element, else the core, widened to its parent while
 siblings of text reach the threshold. What is known by name not to be text of the article (menus,
 page headers and footers, asides, notices, adverts, forms, scripts, styles, comments) is cut first
-and never counted. Of the subtree taken every block is kept, however short.
+and never counted: by any word of a class or id outside article and main, inside them by a whole class or
+id only, and there never a heading, nor a section but one of the class of comments. Hidden is what has the
+attribute `hidden` or aria-hidden=true. Of the subtree taken every block is kept, however short.
 
 Character references are decoded, white space inside a block is one space, blocks are joined by one
 space in page order. Null, empty and text-free pages give an empty text; plain text without tags is one
@@ -52,16 +54,20 @@ NAMED = frozenset((
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside footer banner ad ads advert adverts "
     "advertisement advertising sponsor sponsored promo comment comments disqus reply replies respond discussion "
     "cookie cookies consent gdpr notice notices alert notification popup modal overlay newsletter subscribe "
-    "signup login share sharing social related recommended pagination pager toolbar widget search hidden "
+    "signup login share sharing social related recommended pagination pager toolbar widget search "
     "complementary contentinfo dialog alertdialog").split())
 # Words that make such a name one of a container around the article (`with-sidebar`).
 ABOUT = frozenset("with without has no main article".split())
 HEADER_NAMES = frozenset("header masthead topbar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+# Classes of a section of an article that never is its own text.
+REPLIES = frozenset("comment comments disqus".split())
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?][^>]*>|<(?:/?[a-zA-Z!?][^>]*)\Z", re.DOTALL)
-NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+# One attribute after the other: a value is consumed whole, so nothing in it is taken for a name.
+ATTRIBUTE = re.compile(r"""(=?[^\s>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 WORD = re.compile(r"[a-z]+")
 
 
@@ -75,6 +81,16 @@ class Node:
         self.density = 0.0
 
 
+def attributes(rest: str) -> dict[str, str]:
+    """Names and values of a tag's attributes; the first of one name counts."""
+    out: dict[str, str] = {}
+    for key, value in ATTRIBUTE.findall(rest):
+        if value[:1] in ("'", '"'):
+            value = value[1:].removesuffix(value[0])
+        out.setdefault(key.lower(), value.lower())
+    return out
+
+
 def is_cut(name: str, rest: str, parent: Node) -> bool:
     if name in CUT:
         return True
@@ -85,16 +101,23 @@ def is_cut(name: str, rest: str, parent: Node) -> bool:
         node = node.parent
     if name == "header":
         return not inside
-    if name in ("html", "body", "article", "main") or not rest or "=" not in rest and "hidden" not in rest:
+    if name in ("html", "body", "article", "main") or not rest.strip():
         return False
-    for key, value in NAMES.findall(rest):
-        value = value.strip("\"'").lower()
-        if key.lower() == "hidden" or key.lower() == "aria-hidden" and value == "true":
+    own = attributes(rest)
+    if "hidden" in own or own.get("aria-hidden", "").strip() == "true":
+        return True
+    if any(one in NAMED for one in own.get("role", "").split()):
+        return True
+    tokens = [*own.get("class", "").split(), *own.get("id", "").split()]
+    if inside:
+        # Headings and sections are the article's own; their ids are names of its parts.
+        if name == "section":
+            return any(one in REPLIES for one in own.get("class", "").split())
+        return name not in HEADINGS and any(one in NAMED for one in tokens)
+    for one in tokens:
+        words = set(WORD.findall(one))
+        if not words & ABOUT and (words & NAMED or words & HEADER_NAMES):
             return True
-        for one in value.split():
-            words = set(WORD.findall(one))
-            if not words & ABOUT and (words & NAMED or not inside and words & HEADER_NAMES):
-                return True
     return False
 
 

@@ -26,6 +26,29 @@ def test_names_of_containers_are_not_those_of_what_they_lack():
     assert html_text.main_text(page) == f"{text} {text}"
 
 
+def test_values_of_attributes_are_not_names():
+    text = "A long first paragraph with quite a few words in it."
+    for tag in ('div style="overflow:hidden"', 'div class="overflow-hidden"', 'div data-hidden="false"', "div data-id='share'",
+                'div data-x="a hidden b" title="id=share"', "div data-u=/posts/hidden-costs", 'div "hidden"', 'div aria-hidden="false"'):
+        assert html_text.main_text(f"<{tag}><article><p>{text}</p></article></div>") == text, tag
+        assert html_text.main_text(f"<article><{tag}><p>{text}</p></div></article>") == text, tag
+    link = f'<article><p>{text} <a href="/posts/hidden-costs">more</a></p></article>'
+    assert html_text.main_text(link) == f"{text} more"
+    for tag in ("div hidden", "div HIDDEN=''", 'div class="x"hidden', 'div aria-hidden="true"', "div id=share", "div class='x ad'",
+                'div role="search"'):
+        assert html_text.main_text(f"<article><p>{text}</p><{tag}>gone</div></article>") == text, tag
+
+
+def test_parts_of_an_article_stay_whatever_their_names():
+    text = "A long first paragraph with quite a few words in it."
+    for tag in ('section id="discussion"', 'h2 id="search"', 'section id="related-work"', 'div class="side-by-side"',
+                'section class="discussion"', 'h3 class="notice"', 'p id="share-of-votes"'):
+        name = tag.split()[0]
+        for top in ("article", "main"):
+            page = f"<{top}><p>{text}</p><{tag}>Part.</{name}><p>{text}</p></{top}>"
+            assert html_text.main_text(page) == f"{text} Part. {text}", tag
+
+
 def test_broken_and_odd_pages(spark):
     odd = {"": "", None: "", "plain &lt; text": "plain < text", "<p>a<p>b <i>c</i>d": "a b cd", "<!-- never closed": "",
            "<div><p>cut here</p><a hre": "cut here", "<script>x": "", "<p>one</b></i></p></div>two": "one two",
