@@ -6,9 +6,11 @@ a phone without `+`, other separators), with windows around other digits as coun
 sample is bounded by ``SAMPLE`` windows of each kind, chosen by hash; all else covers whole texts.
 
 Each span holds a digit or `@`, so the tagger reads only the surroundings of those characters, in
-overlapping windows. Scores of overlapping windows are averaged position by position, and one best
-path is decoded over the whole stretch, so no window edge cuts a span. A decoded span is added where
-it meets no base span and passes the checks of its kind (digits, parts, Luhn); base spans always stay.
+overlapping windows; around `@` these reach as far as characters of an address run on. Scores of
+overlapping windows are averaged position by position, and one best path is decoded over the whole
+stretch, so no window edge cuts a span; a decoded part of an e-mail stands for the whole address. A
+decoded span is added where it meets no base span and passes the checks of its kind (characters,
+digits, parts, Luhn); base spans always stay.
 
 Null texts are empty and have no spans. Equal rows get equal results; nothing is shuffled but the
 bounded sample. Without any labelled span no tagger is trained and the base spans are all there is.
@@ -40,6 +42,10 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
+# What may stand behind the `@` of a spaced address; a dot with one blank ends a sentence.
+BEHIND = re.compile(r"\s?[A-Za-z0-9-]++(?:(?:\.|\s\.\s)[A-Za-z0-9-]++)*+")
+# Cells of scores (stretches times the longest of them) decoded at once.
+CELLS = 1 << 18
 
 
 def digits(text: str) -> str:
@@ -91,15 +97,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def regions(text: str, margin: int = MARGIN) -> list[tuple[int, int]]:
-    """Stretches around digits and `@`, merged where they meet."""
+def address(text: str, at: int) -> tuple[int, int]:
+    """The stretch that characters of an address run on around the `@` at this place."""
+    start = at - (at > 0 and text[at - 1].isspace())
+    while start > 0 and text[start - 1] in LOCAL_SET:
+        start -= 1
+    m = BEHIND.match(text, at + 1)
+    return start, m.end() if m else at + 1
+
+
+def regions(text: str, margin: int = MARGIN, whole: bool = False) -> list[tuple[int, int]]:
+    """Stretches around digits and `@`, merged where they meet; ``whole`` ones hold all of an address."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
-        s, e = max(0, m.start() - margin), min(len(text), m.end() + margin)
-        if out and s <= out[-1][1]:
-            out[-1][1] = e
-        else:
-            out.append([s, e])
+        s, e = m.start(), m.end()
+        if whole and m.group() == "@":
+            s, e = address(text, s)
+        s, e = max(0, min(s, m.start() - margin)), min(len(text), max(e, m.end() + margin))
+        while out and s <= out[-1][1]:
+            first, last = out.pop()
+            s, e = min(s, first), max(e, last)
+        out.append([s, e])
     return [(s, e) for s, e in out]
 
 
@@ -113,11 +131,22 @@ def plausible(kind: int, text: str) -> bool:
         return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+\s?@\s?[A-Za-z0-9-]+(?:\s?\.\s?[A-Za-z0-9-]+)+", text))
     if kind == 1:
         parts = re.split(r"\s?\.\s?", text)
-        return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255
-                                       for p in parts)
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts) and ip_ok(".".join(parts))
     if kind == 2:
         return not re.search(r"[^0-9 ./-]", text) and card_ok(text)
-    return bool(re.fullmatch(r"\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,6}", text)) and phone_ok(text)
+    return bool(re.fullmatch(r"\+?\(?[0-9][\x20().0-9-]*[0-9]", text)) and phone_ok(text)
+
+
+def whole_span(kind: int, text: str, lo: int, hi: int) -> tuple[int, int] | None:
+    """The span to add for a decoded stretch, or none."""
+    if kind == 0:
+        at = text.find("@", lo, hi)
+        if at >= 0:
+            s, e = address(text, at)
+            for end in (max(hi, e), e):
+                if plausible(kind, text[s:end]):
+                    return s, end
+    return (lo, hi) if plausible(kind, text[lo:hi]) else None
 
 
 def added_spans(model: Tagger, texts: list[str], base: list[list]) -> list[list]:
@@ -125,7 +154,7 @@ def added_spans(model: Tagger, texts: list[str], base: list[list]) -> list[list]
     where, windows, places = [], [], []
     for d, text in enumerate(texts):
         code = None
-        for s, e in regions(text):
+        for s, e in regions(text, whole=True):
             code = encode(text) if code is None else code
             own = []
             at = s
@@ -147,9 +176,15 @@ def added_spans(model: Tagger, texts: list[str], base: list[list]) -> list[list]
                              for i in range(0, len(windows), 512)])
     slope = np.minimum(np.arange(1, STEPS + 1), np.arange(STEPS, 0, -1)).astype(np.float32)
     order = sorted(range(len(where)), key=lambda r: where[r][2] - where[r][1])
-    for at in range(0, len(order), 64):
-        group = order[at:at + 64]
-        longest = max(where[r][2] - where[r][1] for r in group)
+    at = 0
+    while at < len(order):
+        # Ascending lengths: the last of a group is its longest.
+        n = 1
+        while n < 64 and at + n < len(order) and (n + 1) * (where[order[at + n]][2] - where[order[at + n]][1]) <= CELLS:
+            n += 1
+        group = order[at:at + n]
+        at += n
+        longest = where[group[-1]][2] - where[group[-1]][1]
         mean = np.zeros((len(group), longest, model.tags), np.float32)
         weight = np.zeros((len(group), longest, 1), np.float32)
         for i, r in enumerate(group):
@@ -164,9 +199,9 @@ def added_spans(model: Tagger, texts: list[str], base: list[list]) -> list[list]
                 end = start + 1
                 while end < len(path) and path[end] == path[start] + 1:
                     end += 1
-                kind, lo, hi = int(path[start]) // 2, s + start, s + end
-                if plausible(kind, texts[d][lo:hi]) and all(
-                        hi <= a or lo >= b for _, a, b in base[d] + out[d]):
+                kind = int(path[start]) // 2
+                lo, hi = whole_span(kind, texts[d], s + start, s + end) or (0, 0)
+                if lo < hi and all(hi <= a or lo >= b for _, a, b in base[d] + out[d]):
                     out[d].append((kind, lo, hi))
     return out
 
@@ -220,19 +255,30 @@ def variants(kind: str, span: str) -> list[str]:
     return [span.lstrip("+").split(" ", 1)[-1], re.sub(r"[ ()]+", ".", span.lstrip("+")).strip(".")]
 
 
+def longer(span: str, rng) -> str:
+    """An e-mail with more parts in front and behind the `@`."""
+    def parts(joint: str) -> str:
+        return "".join("".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(3, 15)))) + joint
+                       for _ in range(int(rng.integers(3))))
+
+    return parts(".-_"[int(rng.integers(3))]) + span.replace("@", "@" + parts(".-"[int(rng.integers(2))]))
+
+
 def train(rows: list, seed: int = 11) -> Tagger | None:
     """Fit the tagger to labelled stretches (kind, piece, s, e)."""
-    rng = np.random.default_rng(seed)
+    rng, other_rng = np.random.default_rng(seed), np.random.default_rng(seed + 1)
     xs, ys = [], []
 
-    def add(kind: int, piece: str, s: int, e: int) -> None:
-        at = max(0, min(s - int(rng.integers(4, 28)), max(0, len(piece) - STEPS)))
+    def add(kind: int, piece: str, s: int, e: int, at: int | None = None) -> None:
+        if at is None:
+            at = max(0, min(s - int(rng.integers(4, 28)), max(0, len(piece) - STEPS)))
         x, y = np.full(STEPS, PAD, np.int16), np.zeros(STEPS, np.int64)
         own = encode(piece)[at:at + STEPS]
         x[:len(own)] = own
         if e > s and s < at + STEPS:
-            y[s - at:min(e - at, STEPS)] = 2 * kind + 2
-            y[s - at] = 2 * kind + 1
+            y[max(s - at, 0):max(min(e - at, STEPS), 0)] = 2 * kind + 2
+            if s >= at:
+                y[s - at] = 2 * kind + 1
         xs.append(x)
         ys.append(y)
 
@@ -246,6 +292,12 @@ def train(rows: list, seed: int = 11) -> Tagger | None:
         options = variants(row.kind, span)
         other = options[int(rng.integers(len(options)))]
         add(kind, row.piece[:row.s] + other + row.piece[row.e:], row.s, row.s + len(other))
+        if row.kind == "email":
+            # Windows of a long address begin anywhere in front of its `@` or in it.
+            other = variants(row.kind, longer(span, other_rng))[int(other_rng.integers(2))]
+            piece = row.piece[:row.s] + other + row.piece[row.e:]
+            at = row.s + int(other_rng.integers(-28, max(other.index("@") - 7, -27)))
+            add(kind, piece, row.s, row.s + len(other), max(0, at))
     if not any((y > 0).any() for y in ys):
         return None
     model = Tagger(len(KINDS))

@@ -89,6 +89,50 @@ def test_spans_cross_window_edges(people):
     assert sum(whole) >= 36
 
 
+def test_every_taught_spelling_passes_the_checks_of_its_kind():
+    spans = {"email": ["a.b+c@mail.example.com"], "ip": ["10.9.8.7", "010.001.0008.7"], "card": ["4111 1111 1111 1111"],
+             "phone": ["+1 (555) 123-4567", "+33 6 12 34 56 78", "+49.30.1234.5678", "+44 20 7946 0958"]}
+    for kind, own in spans.items():
+        k = pii.KINDS.index(kind)
+        for span in own:
+            assert pii.base_spans(span) == [(k, 0, len(span))], span
+            assert all(pii.plausible(k, x) for x in pii.variants(kind, span)), span
+    for phone in ("1.555.123-4567", "6 12 34 56 78", "49.30.1234.5678"):
+        assert pii.plausible(3, phone)
+    for other in ("555 1234", "1.555.123-4567 x", "12/34/5678 90", "-555 123 4567", "5" * 16, "555 123 4567 "):
+        assert not pii.plausible(3, other)
+
+
+LONG = ("john.maximilian.schwarzenegger @ mail.informatik.uni-example.de",
+        "maria-magdalena.von.hohenstaufen @ students . physics . some-university . example . org")
+
+
+def test_long_addresses_are_covered_whole(people):
+    class Marks:
+        """Tags the `@` and one character beside it as an e-mail."""
+        tags = 2 * len(pii.KINDS) + 1
+
+        def emissions(self, x):
+            out = np.zeros((*x.shape, self.tags), np.float32)
+            out[x == pii.encode("@")[0], 1] = 9
+            return out
+
+        def decode(self, e):
+            return e.argmax(2)
+
+    for long in LONG:
+        text = f"Ask {long} or others. Then go 7 on"
+        assert any(s <= 4 and 4 + len(long) <= e for s, e in pii.regions(text, whole=True))
+        assert pii.added_spans(Marks(), [text], [[]]) == [[(0, 4, 4 + len(long))]]
+        assert pii.redacted_text(text, [(0, 4, 4 + len(long))]) == "Ask <EMAIL> or others. Then go 7 on"
+    flat = "7 " * 40 + "x" * 300_000 + " @ a.b " + "7 " * 40
+    assert pii.added_spans(Marks(), [flat, "me @ home. So"], [[], []]) == [[(0, 80, 300_000 + 80 + 6)], []]
+    model = pii.train(pii.sample(people[1]))
+    texts = [f"abc defg hab {x} bad cafe deaf" for x in (LONG[0], LONG[0].replace(" @", "@"))]
+    found = pii.added_spans(model, texts, [pii.base_spans(t) for t in texts])
+    assert all((0, 13, 13 + len(t) - 27) in one for t, one in zip(texts, found)), found
+
+
 def test_redaction_replaces_spans_and_counts(spark, people):
     df = spark.createDataFrame([(1, "mail a@b.cd now", 15, "x"), (2, None, None, "y"), (3, "plain", 5, "z")],
                                "doc_id long, text string, n_chars long, other string")
