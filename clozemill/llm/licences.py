@@ -7,7 +7,10 @@ r"""Licence scan: sparse TF-IDF cosine of lines to templates, then inheritance a
 2. Most lines share so little weight with every template that they cannot reach the threshold; one pass
    over the whole texts finds the others, exactly. Each distinct one is compared once, however many
    files have it.
-3. A file has the licence of its best line. A directory has that of its best licence file
+   Sentences, up to ``WINDOW`` joined sentences and lines (header blocks, licence files), and the whole
+   text are further candidates, by the same cosine; each window begins and ends with a sentence or line
+   that holds a term which the most frequent words do not replace.
+3. A file has the licence of its best line or window. A directory has that of its best licence file
    (``LICENSE``, ``LICENCE``, ``COPYING``). A file without one inherits from the nearest directory
    above it: distinct directories are joined to directory licences by their ancestors' paths.
 
@@ -48,7 +51,38 @@ TEMPLATES = (
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are "
                      "permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International "
+                     "License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International "
+                     "License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 "
+                        "International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 "
+                        "International License."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                 "Lesser General Public License as published by the Free Software Foundation, version 3"),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+            "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+            "associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
+            "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+            "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+            "following conditions: The above copyright notice and this permission notice shall be included in all "
+            "copies or substantial portions of the Software."),
 )
+# Words so frequent in any text that they open no window.
+FREQUENT = ("the of and to in is that for it with as on be at by this are from or an a not you any all use may can 2 3 4 0 "
+            "do so above following work file which shall free").split()
+#: Sentences or lines that a window of joined ones has at most.
+WINDOW = 40
 
 
 def tokens(text: str) -> list[str]:
@@ -75,6 +109,17 @@ class Model:
                 self.mass[self.vocabulary.index(w), i] = (v / norm) ** 2
 
 
+    def opening(self) -> frozenset:
+        """Terms without one of which no text reaches the threshold: the frequent ones alone weigh too little."""
+        held, mass = set(), np.zeros(self.mass.shape[1])
+        for w in FREQUENT:
+            more = self.mass[self.vocabulary.index(w)] if w in self.idf else 0
+            if (mass + more < self.threshold**2 - 1e-6).all():
+                held.add(w)
+                mass = mass + more
+        return frozenset(self.idf) - held
+
+
 TERM = table(bytes([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]))
 
 
@@ -126,6 +171,67 @@ def candidate_lines(files: DataFrame, model: Model) -> DataFrame:
         work, f"file {type_of(files, 'file')}, line string")
 
 
+UNIT = re.compile(r"\n|(?<=[.!?])\s+")
+
+
+def windows(text: str, model: Model, opening: frozenset, weights: dict) -> list[str]:
+    """Sentences, joined sentences and lines, and the whole text, where they reach the threshold.
+
+    A window begins and ends with a sentence or line that holds an opening term, and shares more than
+    one term with its template: the German sentence `Mit.` is no licence.
+    """
+    cuts = [m.span() for m in UNIT.finditer(text)]
+    units = [(s, e) for s, e in zip([0, *[e for _, e in cuts]], [*[s for s, _ in cuts], len(text)]) if s < e]
+    terms = [tokens(text[s:e]) for s, e in units]
+    opens = [i for i, own in enumerate(terms) if not opening.isdisjoint(own)]
+    width, out = model.mass.shape[1], []
+    enough = (model.threshold - 1e-5) ** 2
+
+    def reaches(first: int, lasts: list[int]) -> None:
+        tf: Counter = Counter()
+        dot, shared, norm, at = np.zeros(width), np.zeros(width, int), 0.0, first
+        for last in lasts:
+            for own in terms[at:last + 1]:
+                for w in own:
+                    norm += (2 * tf[w] + 1) * model.idf.get(w, model.other) ** 2
+                    tf[w] += 1
+                    if w in weights:
+                        dot += weights[w]
+                        shared += (weights[w] > 0) * (tf[w] == 1)
+            at = last + 1
+            if norm and (dot * (shared > 1)).max() ** 2 >= enough * norm:
+                out.append(text[units[first][0]:units[last][1]])
+
+    for k, first in enumerate(opens):
+        reaches(first, [i for i in opens[k:k + WINDOW] if i - first < WINDOW])
+    if opens:
+        reaches(0, [len(units) - 1])
+    return out
+
+
+def candidate_windows(files: DataFrame, model: Model) -> DataFrame:
+    """(file, line) of every window that reaches the threshold; only texts with an opening term are cut."""
+    opening = model.opening()
+    weights: dict = {}
+    for i, _, w, v in model.rows:
+        weights.setdefault(w, np.zeros(model.mass.shape[1]))[i] = v * model.idf[w]
+    named = np.frombuffer(" ".join(sorted(opening)).encode(), np.uint8)
+    hashes = np.sort(words(named, np.array([0, len(named)]), TERM)[0])
+
+    def work(batches):
+        for rows, data, offsets in frames(batches, "text"):
+            value, doc, _, _ = words(data, offsets, TERM)
+            at = np.minimum(np.searchsorted(hashes, value), len(hashes) - 1)
+            found = [(d, x) for d in np.unique(doc[hashes[at] == value]).tolist() for x in dict.fromkeys(windows(
+                bytes(data[offsets[d]:offsets[d + 1]]).decode("utf-8", "replace"), model, opening, weights))]
+            yield pa.record_batch({
+                "file": rows.column(0).take(pa.array([d for d, _ in found], pa.int64())),
+                "line": pa.array([x for _, x in found], pa.string())})
+
+    return files.select("file", "text").mapInArrow(
+        work, f"file {type_of(files, 'file')}, line string")
+
+
 def matched_lines(spark: SparkSession, lines: DataFrame, model: Model) -> DataFrame:
     """(line, licence, score) of the distinct lines that reach the threshold."""
     weights = spark.createDataFrame(model.rows, "template int, licence string, term string, weight double")
@@ -156,7 +262,7 @@ ALPHABET = "".join(sorted(" -.0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmn
 
 def own_licences(files: DataFrame, model: Model) -> DataFrame:
     """``path`` and ``file`` with the licence and score of each file that has one."""
-    lines = stage(candidate_lines(files, model))
+    lines = stage(candidate_lines(files, model).union(candidate_windows(files, model)))
     scored = matched_lines(files.sparkSession, lines.select("line").distinct(), model)
     best = F.max(F.struct("score", reverse_key("licence").alias("k"), "licence")).alias("m")
     return lines.join(scored, "line").groupBy("file").agg(best).select(

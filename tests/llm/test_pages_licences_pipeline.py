@@ -89,6 +89,24 @@ def test_licences_come_from_the_nearest_directory(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def test_notices_inside_lines_and_over_several_lines(spark):
+    mit = next(t for n, t in reversed(licences.TEMPLATES) if n == "MIT")
+    wrapped = "".join(" * " + " ".join(mit.split()[i:i + 9]) + "\n" for i in range(0, len(mit.split()), 9))
+    rows = {
+        "Copyright 2019 Jane Doe and contributors of the widget project. Released under the MIT License. See the manual "
+        "for details.": "MIT",
+        "A paragraph of words about nothing in particular that goes on. Licensed under CC BY-NC 4.0. And so on it went "
+        "for many more words.": "CC-BY-NC-4.0",
+        "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0",
+        "Released under the ISC License.": "ISC", "import os\n" * 30 + "/*\n" + wrapped + " */\n" + "x = 1\n" * 30: "MIT",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+        "The permission to copy this file was given. It is not free, and the license is unknown to all of us.": None,
+        "Ein Satz auf Deutsch. Mit. Und noch ein Satz.": None}
+    df = spark.createDataFrame([(i, f"{i}/f.txt", t) for i, t in enumerate(rows)], "file long, path string, text string")
+    out = {r.file: r.own_licence for r in licences.scan(df).collect()}
+    assert [out[i] for i in range(len(rows))] == list(rows.values())
+
+
 def test_no_line_that_reaches_the_threshold_is_left_out(spark):
     import math
     import random
