@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from clozemill.llm import (
-    decontaminate, html_text, language, licences, minhash, mixing, pii, quality, suffix_dedup, toxicity,
+    decontaminate, html_text, language, licences, minhash, mixing, periodic, pii, quality, suffix_dedup, toxicity,
 )
 
 
@@ -33,4 +33,5 @@ QUERIES = {
         documents(spark, d), benchmark(spark, d)),
     "op9_html_text": lambda spark, d: html_text.query(spark.read.parquet(f"{d}/pages.parquet")),
     "op10_minhash_dedup": lambda spark, d: minhash.query(documents(spark, d)),
+    "op12_periodic_runs": lambda spark, d: periodic.query(documents(spark, d)),
 }
