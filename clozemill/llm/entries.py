@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from clozemill.llm import (
-    decontaminate, html_text, language, licences, minhash, mixing, periodic, pii, quality, ranking, suffix_dedup,
-    toxicity,
+    alignment, decontaminate, html_text, language, licences, minhash, mixing, periodic, pii, quality, ranking,
+    suffix_dedup, toxicity,
 )
 
 
@@ -34,6 +34,7 @@ QUERIES = {
         documents(spark, d), benchmark(spark, d)),
     "op9_html_text": lambda spark, d: html_text.query(spark.read.parquet(f"{d}/pages.parquet")),
     "op10_minhash_dedup": lambda spark, d: minhash.query(documents(spark, d)),
+    "op11_token_alignment": lambda spark, d: alignment.query(documents(spark, d)),
     "op12_periodic_runs": lambda spark, d: periodic.query(documents(spark, d)),
     "op13_quality_ranking": lambda spark, d: ranking.query(documents(spark, d), labels(spark, d)),
 }
