@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clozemill.session import shared_dir
@@ -26,6 +29,16 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def share(spark: SparkSession, value) -> Broadcast:
+    """Broadcast a value with the code of its class: executors have no copy of this repository."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(shared: Broadcast):
+    """The value of ``share`` inside a task."""
+    return pickle.loads(shared.value)
+
+
 def frames(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK,
            rows: int = 1024) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut Arrow batches into pieces of about ``limit`` bytes of text, whole rows only.

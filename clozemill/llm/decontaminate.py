@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clozemill.llm.common import ALNUM, frames, stage, starts_of, type_of, words
+from clozemill.llm.common import ALNUM, frames, opened, share, stage, starts_of, type_of, words
 
 WINDOW = 10
 QUERY_BYTES = 1 << 20
@@ -181,10 +181,10 @@ def corpus_counts(index: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
 
 def search(index: DataFrame, plan: Plan, slop: int | None = None) -> DataFrame:
     """(shard, row, id, n_words, items, spans) for every document of the index."""
-    shared = index.sparkSession.sparkContext.broadcast(plan)
+    shared = share(index.sparkSession, plan)
 
     def work(batches):
-        ask = shared.value
+        ask = opened(shared)
         for batch in batches:
             for row in batch.to_pylist():
                 shard, n = Shard(row), len(row["ids"])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clozemill.llm.common import LETTERS, frames, held_out, type_of
+from clozemill.llm.common import LETTERS, frames, held_out, opened, share, type_of
 
 BITS = 11
 SAMPLE = 6000
@@ -150,10 +150,10 @@ def fit(docs: DataFrame, lang: str = "lang", id_column: str = "doc_id", text: st
 def identify(docs: DataFrame, coder: Coder | None, id_column: str = "doc_id",
              text: str = "text") -> DataFrame:
     """(id, lang_pred, score, ambiguous) for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(coder)
+    shared = share(docs.sparkSession, coder)
 
     def work(batches):
-        model = shared.value
+        model = opened(shared)
         for rows, data, offsets in frames(batches, text, rows=512):
             n = len(offsets) - 1
             best, score, close = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, bool)

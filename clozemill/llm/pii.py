@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clozemill.llm.common import frames, type_of
+from clozemill.llm.common import frames, opened, share, type_of
 from clozemill.llm.tagger import PAD, Tagger, encode
 
 KINDS = ("email", "ip", "card", "phone")
@@ -308,17 +308,18 @@ def train(rows: list, seed: int = 11) -> Tagger | None:
 def find(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
          model: Tagger | None = None) -> DataFrame:
     """(id, base, added) for every row: lists of (kind, s, e) in code points."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     kind = pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32())]))
 
     def work(batches):
+        tagger = opened(shared)
         for rows, data, offsets in frames(batches, text):
             n = len(offsets) - 1
             base, added = [[] for _ in range(n)], [[] for _ in range(n)]
             own = touched(data, offsets)
             texts = [bytes(data[offsets[d]:offsets[d + 1]]).decode("utf-8", "replace") for d in own]
             first = [base_spans(t) for t in texts]
-            more = added_spans(shared.value, texts, first) if shared.value else [[] for _ in own]
+            more = added_spans(tagger, texts, first) if tagger else [[] for _ in own]
             for d, a, b in zip(own, first, more):
                 base[d], added[d] = a, sorted(b)
             pack = lambda lists: pa.array(
@@ -364,16 +365,17 @@ def redacted_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def redact(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     """The same rows and columns, personal data replaced; ``n_chars`` follows the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or train(sample(docs)))
+    shared = share(docs.sparkSession, model or train(sample(docs)))
     at = docs.columns.index("text")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def work(batches):
+        tagger = opened(shared)
         for rows, data, offsets in frames(batches, "text"):
             own = touched(data, offsets)
             texts = [bytes(data[offsets[d]:offsets[d + 1]]).decode("utf-8", "replace") for d in own]
             base = [base_spans(t) for t in texts]
-            more = added_spans(shared.value, texts, base) if shared.value else [[] for _ in own]
+            more = added_spans(tagger, texts, base) if tagger else [[] for _ in own]
             new = {d: redacted_text(t, a + b) for d, t, a, b in zip(own, texts, base, more) if a or b}
             if new:
                 columns = rows.columns

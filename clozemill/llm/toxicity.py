@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clozemill.llm.common import (
-    INVERSE, LETTERS, frames, held_out, mixed, powers, prefix_hashes, stage, type_of, words,
+    INVERSE, LETTERS, frames, held_out, mixed, opened, powers, prefix_hashes, share, stage, type_of, words,
 )
 
 BITS = 20
@@ -239,14 +239,15 @@ def screened(table: DataFrame, n: int, toxic: int) -> np.ndarray:
 def scored(docs: DataFrame, model: Scorer | None, id_column: str = "doc_id",
            text: str = "text") -> DataFrame:
     """(id, score) for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def work(batches):
+        scorer = opened(shared)
         for rows, data, offsets in frames(batches, text):
             n = len(offsets) - 1
             score = np.zeros(n)
-            if shared.value is not None:
-                score = shared.value.score(*features(data, offsets), n)
+            if scorer is not None:
+                score = scorer.score(*features(data, offsets), n)
             yield pa.record_batch({id_column: rows.column(rows.schema.get_field_index(id_column)),
                                    "score": pa.array(score)})
 
