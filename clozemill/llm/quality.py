@@ -1,7 +1,12 @@
 r"""Quality rules: a threshold table compiled into one projection, without user functions.
 
-Words are `[^\x20\x09-\x0D]+`. Null and empty texts have no words and fail the base rule. Equal
-rows get equal results; nothing is shuffled, so hot sources cost nothing.
+Words are `[^\x20\x09-\x0D]+`. A word counts as a stop word without the marks `.,;:!?` at its end and
+in small letters. All stop words listed are of the Latin script, so a text with fewer Latin letters than
+others has no stop-word ratio, and the rule does not bind it. A measure that is null passes.
+
+Null and empty texts have no words and fail the base rule. Very long texts are read whole; an empty table
+gives no rows. Equal rows get equal results, repeated and null ids too; nothing is shuffled, so hot sources
+cost nothing. Measures stand beside a copy of the row, so columns of the documents may have any name.
 """
 
 from __future__ import annotations
@@ -11,24 +16,34 @@ from pyspark.sql import functions as F
 
 from clozemill.operators.common import once
 
-# The most frequent function words of the languages the rules are meant for.
+# The most frequent function words of languages in the Latin script.
 STOP_WORDS = (
     "the of and to in is that for it with as was on be at by this are from or an a not but have "
     "der die das und ist von den mit zu für auf im nicht ein eine sich des dem "
     "le la les des et en de un une que qui dans pour est sur par au avec pas du "
-    "el los las y que una por con para su es se lo del no al como"
+    "el los las y que una por con para su es se lo del no al como "
+    "il di che è per della sono non gli nel più "
+    "o os da em um uma não com mais dos "
+    "het een van op te zijn niet aan voor met "
+    "i w na z do się nie to jest że jak"
 )
+MARKS = ".,;:!?"
+#: From this share of stop words on, a text is taken to be in a listed language.
+LISTED = 0.25
 
 #: name, metric, lowest and highest value that stays (None: no bound on that side).
 RULES = (
     ("words", "n_words", 20, None),
     ("mean_word_length", "mean_word_length", 2.0, 12.0),
     ("symbol_ratio", "symbol_ratio", None, 0.05),
-    ("stop_words", "has_stop_word", 1, None),
+    ("stop_words", "stop_word_ratio", 0.04, None),
     ("dup_line_ratio", "dup_line_ratio", None, 0.60),
     ("repeat_word_ratio", "repeat_word_ratio", None, 0.30),
 )
 SYMBOLS = "#*$%&|<>"
+# Letters with a Latin base up to U+024F, and letters of the other scripts.
+LATIN = r"[A-Za-z\u00AA\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]"
+OTHER = r"[\u0370-\u1DFF\u2C00-\uA71F\uA800-\uD7FF\uF900-\uFAFF\uFB13-\uFDFF]"
 
 
 def let(value: Column, body) -> Column:
@@ -91,8 +106,7 @@ def metrics(docs: DataFrame, text: str = "text", window_words: int = 8,
     split = once(docs, _t=body)
     split = once(split, _w=word_array(F.col("_t")))
     words = F.col("_w")
-    edge = r"[\x20\x09-\x0D.,;:!?]"
-    stops = f"(?i)(?:^|{edge})(?:{'|'.join(dict.fromkeys(stop_words.split()))})(?:$|{edge})"
+    stops = list(dict.fromkeys(stop_words.split()))
     lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     measured = once(
         split,
@@ -102,11 +116,16 @@ def metrics(docs: DataFrame, text: str = "text", window_words: int = 8,
         n_lines=F.size(lines).cast("long"),
         n_dup_lines=let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long"),
         n_repeat_words=repeated_words(words, window_words).cast("long"),
-        has_stop_word=F.col("_t").rlike(stops).cast("int"),
+        n_stop=F.size(F.filter(words, lambda w: F.lower(F.rtrim(w, F.lit(MARKS))).isin(stops))).cast("long"),
         n_chars_all=F.length("_t").cast("long"),
     )
     whole = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    stop_ratio = F.col("n_stop") / whole
+    # Letters are counted only where the ratio is low enough to matter.
+    latin = F.length("_t") - F.length(F.regexp_replace("_t", LATIN, ""))
+    other = F.length("_t") - F.length(F.regexp_replace("_t", OTHER, ""))
     return measured.withColumns({
+        "stop_word_ratio": F.when((stop_ratio < LISTED) & (latin < other), None).otherwise(stop_ratio),
         "mean_word_length": F.col("word_chars") / whole,
         "symbol_ratio": F.col("n_symbols") / F.greatest(F.col("n_chars_all"), F.lit(1)),
         "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
@@ -119,9 +138,9 @@ def compiled(rules=RULES) -> Column:
     out = F.lit(True)
     for _, metric, low, high in rules:
         if low is not None:
-            out = out & (F.col(metric) >= low)
+            out = out & F.coalesce(F.col(metric) >= low, F.lit(True))
         if high is not None:
-            out = out & (F.col(metric) <= high)
+            out = out & F.coalesce(F.col(metric) <= high, F.lit(True))
     return out
 
 

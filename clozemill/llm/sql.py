@@ -6,6 +6,8 @@ held-out accuracy.
 
 from __future__ import annotations
 
+import re
+
 from clozemill.llm import licences, mixing, quality
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -17,12 +19,12 @@ def low(text: str) -> str:
 
 
 def quality_sql() -> str:
-    edge = r"[\x20\x09-\x0D.,;:!?]"
-    stops = "|".join(dict.fromkeys(quality.STOP_WORDS.split()))
+    stops = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS.split()))
+    latin, other = (re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", x) for x in (quality.LATIN, quality.OTHER))
     rules = " AND ".join(
         part for _, metric, least, most in quality.RULES
-        for part in ([f"{metric} >= {least}"] if least is not None else [])
-        + ([f"{metric} <= {most}"] if most is not None else []))
+        for part in ([f"coalesce({metric} >= {least}, true)"] if least is not None else [])
+        + ([f"coalesce({metric} <= {most}, true)"] if most is not None else []))
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(t, '{SPACES}'), lambda x: x <> '') AS ws FROM d),
@@ -37,12 +39,16 @@ m AS (SELECT l.doc_id, len(ws)::BIGINT AS n_words,
         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
         coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
         len(ls) AS n_lines, length(t) AS n_all,
-        CASE WHEN regexp_matches(t, '(?i)(?:^|{edge})(?:{stops})(?:$|{edge})') THEN 1 ELSE 0 END AS has_stop_word
+        len(list_filter(ws, lambda x: lower(rtrim(x, '{quality.MARKS}')) IN ({stops}))) AS n_stop,
+        length(t) - length(regexp_replace(t, '{latin}', '', 'g')) AS latin,
+        length(t) - length(regexp_replace(t, '{other}', '', 'g')) AS other
       FROM l LEFT JOIN rep USING (r)),
 x AS (SELECT *, word_chars / greatest(n_words, 1)::DOUBLE AS mean_word_length,
         n_symbols / greatest(n_all, 1)::DOUBLE AS symbol_ratio,
         n_dup_lines / greatest(n_lines, 1)::DOUBLE AS dup_line_ratio,
         n_repeat_words / greatest(n_words, 1)::DOUBLE AS repeat_word_ratio,
+        CASE WHEN n_stop / greatest(n_words, 1)::DOUBLE < {quality.LISTED} AND latin < other THEN NULL
+             ELSE n_stop / greatest(n_words, 1)::DOUBLE END AS stop_word_ratio,
         (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND {rules} AS kept FROM x"""

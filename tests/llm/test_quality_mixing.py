@@ -45,12 +45,33 @@ def test_only_passing_rows_stay_with_their_columns(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     kept = quality.kept_documents(df)
     assert kept.columns == df.columns
-    assert {r.doc_id for r in kept.collect()} == {6, None, 9}
+    # One stop word in 26 words, or three in 20,009, is below the ratio asked for.
+    assert sorted((r.doc_id or 0, r.text[:6]) for r in kept.collect()) == [(0, "the of"), (6, "w0 the")]
     assert quality.kept_documents(df.limit(0)).count() == 0
     strict = quality.kept_documents(df, (("words", "n_words", 10**6, None),))
     assert strict.count() == 0
 
 
+def test_stop_words_bind_where_the_script_has_a_list(spark):
+    def salad(words, n=60):
+        return " ".join(f"{w}{i}x" for i, w in zip(range(n), words * n))
+
+    texts = {
+        "listed": "The house, of the man and the dog; " + salad(["plain", "words"], 40),
+        "one stop word": "a " + salad(["list", "key"]),
+        "russian": salad(["Дом", "стоит", "возле", "реки"]),
+        "greek": salad(["σπίτι", "ποτάμι"]),
+        "mostly latin": salad(["list", "key", "long", "word", "д"]),
+        "polish": "i " * 6 + salad(["zamek", "rzeka"]),
+        "no letters": " ".join(str(10 ** 6 + i) for i in range(40)),
+    }
+    df = spark.createDataFrame([(k, v) for k, v in texts.items()], "doc_id string, text string")
+    rows = {r.doc_id: r for r in quality.judged(df).collect()}
+    assert {k for k, r in rows.items() if r.kept} == {"listed", "russian", "greek", "polish"}
+    assert rows["russian"].stop_word_ratio is None and rows["one stop word"].stop_word_ratio == 1 / 61
+    assert rows["listed"].n_stop == 5
+
+
 def test_rules_run_without_python(spark):
     plan = quality.query(spark.createDataFrame(ROWS, SCHEMA))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
