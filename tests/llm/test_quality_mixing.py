@@ -10,6 +10,7 @@ ROWS = [
     (6, " ".join(f"w{i} the" for i in range(40)), None, 5),
     (7, " ".join(f"x{i}" for i in range(60)) + " ### $$$ <|>", "a", 5),
     (8, " \t\n\x0b\x0c\r ", "a", 5), (None, "the " + " ".join(f"n{i}" for i in range(25)), "a", 5),
+    (None, "the of " + " ".join(f"n{i}" for i in range(25)), "a", 5),
     (9, "the é ü ퟿ words and " * 3 + " ".join(f"q{i}" for i in range(20000)), "a", 5),
 ]
 SCHEMA = "doc_id long, text string, source string, n_words int"
