@@ -100,7 +100,7 @@ def mixing_sql() -> str:
     return f"""
 WITH RECURSIVE sup AS (SELECT source, count(*) AS n, (CASE {weight} ELSE {mixing.DEFAULT_WEIGHT} END)::BIGINT AS w
                        FROM documents GROUP BY source),
-ord AS (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM sup),
+ord AS (SELECT *, row_number() OVER (ORDER BY w DESC, source NULLS FIRST) AS i FROM sup),
 one AS (SELECT list(w ORDER BY i) AS w, list(n ORDER BY i) AS n, sum(w)::BIGINT AS q, count(*)::BIGINT AS m FROM ord),
 run AS (
   SELECT 0::BIGINT AS t, list_transform(w, lambda x: 0::BIGINT) AS nxt, NULL::BIGINT AS i, NULL::BIGINT[] AS before FROM one

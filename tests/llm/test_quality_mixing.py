@@ -99,6 +99,26 @@ def test_mix_places_every_row_once_and_keeps_to_weights(spark):
             assert abs(had - weight[s] * t / q) < 1
 
 
+def test_mix_of_ten_thousand_sources(spark):
+    """Every source keeps within a block of its weight, however many there are."""
+    docs = spark.range(120_000).selectExpr(
+        "id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'src0' ELSE concat('s', id % 10000) END AS source")
+    out = mixing.mixed_rows(docs, weights={"src0": 40, "s1": 7, "s2": 7}, block=2).selectExpr(
+        "_row.source AS source", "block", "slot", "release", "deadline", "position").toPandas()
+    assert sorted(out.position) == list(range(120_000))
+    assert (out.release <= out.slot).all() and (out.slot < out.deadline).all()
+    slots = out.drop_duplicates(["source", "block"])
+    assert not slots.duplicated("slot").any()
+    first = out.groupby("slot").position.min().sort_index()
+    count = out.groupby("slot").size().sort_index()
+    assert (first.to_numpy() == count.cumsum().shift(fill_value=0).to_numpy()).all()
+
+
+def test_mix_runs_without_python(spark):
+    plan = mixing.mixed_documents(spark.createDataFrame([(1, "a")], "doc_id long, source string"))
+    assert "Python" not in plan._jdf.queryExecution().toString()
+
+
 def test_mix_keeps_clashing_columns_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a", 7), (2, "a", 8)], "doc_id long, source string, mix_slot int")
     out = mixing.mixed_documents(df)
