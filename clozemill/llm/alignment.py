@@ -32,6 +32,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +51,14 @@ SHARD = 1 << 16
 BLOCK = 1 << 22
 SEGMENT = 1 << 16
 FAN = 16
-KNOWN = 1 << 18
+#: Pieces that are encoded as one text.
+BLOCK_PIECES = 1024
+KNOWN = 1 << 19
 LONG = 256
+#: Below this letter the character classes are the same in every version of Unicode.
+FAST = "ɐ"
 
+STRETCH = re.compile(rf"\S{{{LONG}}}|\s{{{LONG}}}")
 CUT = re.compile(r" (?<![\s▁] )(?=\S)")
 # The pre-token pattern of A, a fixed value of its file format.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -78,36 +85,47 @@ class Encoders:
     def __init__(self, a_json: str, b_model: bytes):
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(a_json)
-        self.a.encode_special_tokens = True
+        self.a_json = a_json
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         spec, letter = json.loads(a_json), byte_letters()
         own = {i: t.encode() for t, i in ((t["content"], t["id"]) for t in spec["added_tokens"])}
         ranks = {bytes(letter[c] for c in t): i for t, i in spec["model"]["vocab"].items() if i not in own}
         own.update({i: t for t, i in ranks.items()})
         self.a_bytes = [own.get(i, b"") for i in range(max(own) + 1)]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
-                        for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]]
+        numbers = list(range(self.b.get_piece_size()))
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if is_byte else p.replace("▁", " ").encode()
+                        for p, is_byte in zip(self.b.id_to_piece(numbers), self.b.is_byte(numbers))]
         self.a_size = np.array([len(t) for t in self.a_bytes])
         self.b_size = np.array([len(t) for t in self.b_bytes])
-        self.a_text = [str(i) for i in range(len(self.a_bytes))]
-        self.b_text = [str(i) for i in range(len(self.b_bytes))]
-        # The same merges in the same order, for short pieces of Latin letters, whose classes are the same
-        # in every version of Unicode.
+        # Ids as they stand first in a text, in a group, behind another id; and behind the other tokenizer's.
+        self.a_text, self.a_new, self.a_more = (np.array([f"{x}{i}" for i in range(len(self.a_bytes))], object)
+                                                for x in ("", ";", ","))
+        self.b_new, self.b_more = (np.array([f"{x}{i}" for i in range(len(self.b_bytes))], object) for x in "|,")
+        # The same merges in the same order, for short stretches of letters below FAST.
         self.fast = tiktoken.Encoding("a", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Token ids of A and B of a space and this text; None where one does not give the bytes back."""
+    @cached_property
+    def a(self):
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_str(self.a_json)
+        out.encode_special_tokens = True
+        return out
+
+    def encode(self, text: str, joined: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
+        """Token ids of A and B of a space and this text; None where one does not give the bytes back.
+
+        ``joined`` texts have no stretch of over ``LONG`` characters that are all white space or all not."""
         whole = " " + text
-        if len(text) <= 64 * LONG and max(text, default="") < "ɐ" and not re.search(rf"\S{{{LONG}}}|\s{{{LONG}}}", text):
+        if max(text, default="") < FAST and (joined or not STRETCH.search(text)):
             a = self.fast.encode_ordinary(whole)
         else:
             a = self.a.encode(whole, add_special_tokens=False).ids
         b = self.b.encode(text)
         want = whole.encode()
-        if (b"".join([self.a_bytes[i] for i in a]) != want or b"".join([self.b_bytes[i] for i in b]) != want):
+        a_bytes, b_bytes = self.a_bytes, self.b_bytes
+        if b"".join([a_bytes[i] for i in a]) != want or b"".join([b_bytes[i] for i in b]) != want:
             return None
         return np.array(a, np.int64), np.array(b, np.int64)
 
@@ -128,34 +146,32 @@ def pieces_of(text: str) -> list[str]:
 
 
 class Dictionary:
-    """Pieces a task has met: their tokens, groups and links, computed once each."""
+    """Pieces a task has met: their tokens, links and (if asked for) groups, computed once each."""
 
-    def __init__(self, encoders: Encoders):
-        self.of = encoders
+    def __init__(self, encoders: Encoders, with_groups: bool):
+        self.of, self.with_groups = encoders, with_groups
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.groups: list[str | None] = []
+        self.groups: list[str] = []
         self.odd: set[int] = set()
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def add(self, pieces: list[str]) -> None:
-        """Encode pieces that are new, many joined at a time."""
-        plain, block, size = [], [], 0
-        for p in pieces:
-            if not p or p[0].isspace() or p[-1].isspace() or "▁" in p or len(p) > LONG:
-                self.append([p], self.of.encode(p))
-                continue
-            block.append(p)
-            size += len(p) + 1
-            if size > 32 * LONG:
-                plain.append(block)
-                block, size = [], 0
-        for block in [*plain, block] if block else plain:
-            # Pieces beyond Latin letters need the other encoder of A; they are kept apart.
-            for own in ([p for p in block if max(p) < "ɐ"], [p for p in block if max(p) >= "ɐ"]):
-                if own and not self.append(own, self.of.encode(" ".join(own))):
+    def add(self, pieces: list[str], alone: set[str]) -> None:
+        """Encode pieces that are new; all but those that stand ``alone`` are joined, many at a time."""
+        if alone or max(map(len, pieces), default=0) > LONG:
+            for p in pieces:
+                if p in alone or len(p) > LONG:
+                    self.append([p], self.of.encode(p))
+            pieces = [p for p in pieces if p not in alone and len(p) <= LONG]
+        for at in range(0, len(pieces), BLOCK_PIECES):
+            block = pieces[at:at + BLOCK_PIECES]
+            # Letters that need the other encoder of A are kept apart.
+            sides = [block] if max(map(max, block)) < FAST else [
+                [p for p in block if max(p) < FAST], [p for p in block if max(p) >= FAST]]
+            for own in sides:
+                if own and not self.append(own, self.of.encode(" ".join(own), True)):
                     for p in own:
                         self.append([p], self.of.encode(p))
 
@@ -164,32 +180,40 @@ class Dictionary:
         if tokens is None:
             if len(pieces) > 1:
                 return False
-            self.odd.add(len(self.groups))
-            self.take(pieces, [None], np.zeros((1, 4), np.int64), np.empty(0, np.int64))
+            self.odd.add(len(self.number))
+            self.take(pieces, [""], np.zeros((1, 4), np.int64), np.empty(0, np.int64))
             return True
         a, b = tokens
         a_end, b_end, both, link_a, link_b, every = aligned(a, b, self.of.a_size, self.of.b_size)
-        ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in pieces]) + np.arange(1, len(pieces) + 1)
         at = np.searchsorted(both, ends)
         if len(pieces) > 1 and not (both[np.minimum(at, len(both) - 1)] == ends).all():
             return False
         counts = np.stack([np.diff(np.searchsorted(x, ends, "right"), prepend=0) for x in (a_end, b_end, both, every)], 1)
-        a_text, b_text = self.of.a_text, self.of.b_text
-        a_cut = np.searchsorted(a_end, both, "right").tolist()
-        b_cut = np.searchsorted(b_end, both, "right").tolist()
-        a_own, b_own = [a_text[i] for i in a.tolist()], [b_text[i] for i in b.tolist()]
-        groups, i, j = [], 0, 0
-        for p, q in zip(a_cut, b_cut):
-            groups.append(f"{','.join(a_own[i:p])}|{','.join(b_own[j:q])}")
-            i, j = p, q
-        edge = [0, *(at + 1).tolist()]
-        lines = [";".join(groups[s:e]) for s, e in zip(edge[:-1], edge[1:])]
+        lines = self.written(a, b, a_end, b_end, both, at, counts) if self.with_groups else None
         self.take(pieces, lines, counts, a[link_a] * SPAN + b[link_b])
         return True
 
+    def written(self, a, b, a_end, b_end, both, at, counts) -> list[str]:
+        """`a1,a2|b1;a3|b2,b3` of each piece; ``at`` is the last group of each."""
+        a_cut = np.concatenate([[0], np.searchsorted(a_end, both, "right")])
+        b_cut = np.concatenate([[0], np.searchsorted(b_end, both, "right")])
+        group_a, group_b = np.searchsorted(both, a_end), np.searchsorted(both, b_end)
+        out = np.empty(len(a) + len(b), object)
+        a_out, b_out = self.of.a_more[a], self.of.b_more[b]
+        a_out[a_cut[:-1]] = self.of.a_new[a[a_cut[:-1]]]
+        b_out[b_cut[:-1]] = self.of.b_new[b[b_cut[:-1]]]
+        first = a_cut[np.concatenate([[0], at[:-1] + 1])]
+        a_out[first] = self.of.a_text[a[first]]
+        # A group's tokens of A stand in front of those of B.
+        out[np.arange(len(a)) + b_cut[group_a]] = a_out
+        out[np.arange(len(b)) + a_cut[group_b + 1]] = b_out
+        words, edge = out.tolist(), [0, *np.cumsum(counts[:, 0] + counts[:, 1]).tolist()]
+        return ["".join(words[s:e]) for s, e in zip(edge[:-1], edge[1:])]
+
     def take(self, pieces, lines, counts, pairs) -> None:
-        self.number.update(zip(pieces, range(len(self.groups), len(self.groups) + len(pieces))))
-        self.groups += lines
+        self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces))))
+        self.groups += lines or []
         self.parts.append((counts, pairs))
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
@@ -199,11 +223,11 @@ class Dictionary:
         return self.parts[0] if self.parts else (np.zeros((0, 4), np.int64), np.empty(0, np.int64))
 
 
-def chunks(batches, files, known: int = KNOWN):
+def chunks(batches, files, with_groups: bool, known: int = KNOWN):
     """For each Arrow batch: the batch, the task's dictionary, pieces of all its texts by number, and
     the end of each text. Texts without tokens have no pieces. Ends with ``None`` batches before the
     dictionary is emptied."""
-    book = Dictionary(Encoders(*files))
+    book = Dictionary(Encoders(*files), with_groups)
     for batch in batches:
         column = batch.schema.get_field_index("text")
         for at in range(0, batch.num_rows, 256):
@@ -211,14 +235,19 @@ def chunks(batches, files, known: int = KNOWN):
             if len(book.number) > known:
                 yield None, book, None, None
                 book.clear()
-            cut = [pieces_of(t) if t else [] for t in rows.column(column).to_pylist()]
-            book.add([p for p in dict.fromkeys(p for own in cut for p in own) if p not in book.number])
+            texts = rows.column(column).to_pylist()
+            cut = [pieces_of(t) if t else [] for t in texts]
             number = book.number
+            new = [p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in number]
+            # Only at the ends of a text a piece can begin or end with white space.
+            ends = {p for own in cut if own for p in (own[0], own[-1]) if not p or p[0].isspace() or p[-1].isspace()}
+            if any(t and "▁" in t for t in texts):
+                ends.update(p for p in new if "▁" in p)
+            book.add(new, ends.intersection(new))
             found = [[number[p] for p in own] for own in cut]
             if book.odd:
                 found = [own if book.odd.isdisjoint(own) else [] for own in found]
-            ends = np.cumsum([len(own) for own in found])
-            yield rows, book, np.array([k for own in found for k in own], np.int64), ends
+            yield rows, book, np.array(list(chain.from_iterable(found)), np.int64), np.cumsum([len(x) for x in found])
     yield None, book, None, None
 
 
@@ -230,9 +259,9 @@ def task_pairs(docs: DataFrame, text: str, files) -> DataFrame:
 
     def work(batches):
         seen = np.zeros(0, np.int64)
-        for rows, book, own, _ in chunks(batches, shared.value):
+        for rows, book, own, _ in chunks(batches, shared.value, False):
             if rows is not None:
-                count = np.bincount(own, minlength=len(book.groups))
+                count = np.bincount(own, minlength=len(book.number))
                 count[:len(seen)] += seen
                 seen = count
                 continue
@@ -385,11 +414,11 @@ def look_documents(docs: DataFrame, id_column: str, text: str, files, table: tup
     def work(batches):
         files_, table_, links_, best_ = shared.value
         weighed, done = np.zeros((0, 6), np.int64), 0
-        for rows, book, own, ends in chunks(batches, files_):
+        for rows, book, own, ends in chunks(batches, files_, True):
             if rows is None:
                 weighed, done = np.zeros((0, 6), np.int64), 0
                 continue
-            if len(book.groups) > len(weighed):
+            if len(book.number) > len(weighed):
                 counts, pairs = book.table()
                 fresh, pairs = counts[len(weighed):], pairs[done:]
                 done += len(pairs)

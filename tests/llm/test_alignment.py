@@ -97,7 +97,7 @@ def test_dictionary_is_emptied(encoders):
 
     texts = [f"word{i} and word{i + 1}" for i in range(700)]
     batch = pa.record_batch({"text": pa.array(texts)})
-    steps = list(alignment.chunks([batch], alignment.read_files(), known=100))
+    steps = list(alignment.chunks([batch], alignment.read_files(), True, known=100))
     assert sum(r is None for r, *_ in steps) == 3
 
 
