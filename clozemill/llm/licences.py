@@ -7,15 +7,17 @@ r"""Licence scan: sparse TF-IDF cosine of lines to templates, then inheritance a
 2. Most lines share so little weight with every template that they cannot reach the threshold; one pass
    over the whole texts finds the others, exactly. Each distinct one is compared once, however many
    files have it.
-   Sentences, up to ``WINDOW`` joined sentences and lines (header blocks, licence files), and the whole
-   text are further candidates, by the same cosine; each window begins and ends with a sentence or line
-   that holds a term which the most frequent words do not replace.
+   Headers and licence files are windows of any number of joined sentences and lines: for each template the
+   one that is nearest by a cosine whose length counts every token alone. It is the stretch with the
+   greatest sum of (products - x * squared weights) for a fitting x, so one pass for each x of a grid finds
+   it, however long the text. Windows and the whole text are then compared as lines are.
 3. A file has the licence of its best line or window. A directory has that of its best licence file
    (``LICENSE``, ``LICENCE``, ``COPYING``). A file without one inherits from the nearest directory
    above it: distinct directories are joined to directory licences by their ancestors' paths.
 
 Null and empty texts have no licence of their own and still inherit. A null path has no directory.
-Repeated rows each get a result. Ties: the higher score, then the name of the licence, then the path.
+Very long texts are read whole. Repeated rows each get a result; an empty table gives no rows; columns other than
+those named here are carried along, but for the names of the results. Ties: the higher score, then the name of the licence, then the path.
 The templates are a small fixed table; the joins with it are broadcast.
 """
 
@@ -78,11 +80,8 @@ TEMPLATES = (
             "following conditions: The above copyright notice and this permission notice shall be included in all "
             "copies or substantial portions of the Software."),
 )
-# Words so frequent in any text that they open no window.
-FREQUENT = ("the of and to in is that for it with as on be at by this are from or an a not you any all use may can 2 3 4 0 "
-            "do so above following work file which shall free").split()
-#: Sentences or lines that a window of joined ones has at most.
-WINDOW = 40
+#: Lengths of windows (roots of summed squared weights) whose best stretch is looked for.
+LENGTHS = (2.0, 3.0, 4.5, 7.0, 10.0, 15.0, 23.0, 35.0, 55.0)
 
 
 def tokens(text: str) -> list[str]:
@@ -109,17 +108,6 @@ class Model:
                 self.mass[self.vocabulary.index(w), i] = (v / norm) ** 2
 
 
-    def opening(self) -> frozenset:
-        """Terms without one of which no text reaches the threshold: the frequent ones alone weigh too little."""
-        held, mass = set(), np.zeros(self.mass.shape[1])
-        for w in FREQUENT:
-            more = self.mass[self.vocabulary.index(w)] if w in self.idf else 0
-            if (mass + more < self.threshold**2 - 1e-6).all():
-                held.add(w)
-                mass = mass + more
-        return frozenset(self.idf) - held
-
-
 TERM = table(bytes([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]))
 
 
@@ -130,11 +118,7 @@ def candidate_lines(files: DataFrame, model: Model) -> DataFrame:
     weights at the shared terms, times the share of those terms in the line's squared length; words
     of no template add at least one squared weight each to that length. Other lines stay behind.
     """
-    names = np.frombuffer(" ".join(model.vocabulary).encode(), np.uint8)
-    hashes = words(names, np.array([0, len(names)]), TERM)[0]
-    order = np.argsort(hashes)
-    hashes, mass = hashes[order], model.mass[order]
-    idf = np.array([model.idf[w] for w in model.vocabulary])[order]
+    hashes, idf, _, mass = term_table(model)
     enough = model.threshold**2 - 1e-9
 
     def work(batches):
@@ -171,59 +155,104 @@ def candidate_lines(files: DataFrame, model: Model) -> DataFrame:
         work, f"file {type_of(files, 'file')}, line string")
 
 
-UNIT = re.compile(r"\n|(?<=[.!?])\s+")
-
+UNIT = re.compile(rb"\n|(?<=[.!?])\s+")
 
-def windows(text: str, model: Model, opening: frozenset, weights: dict) -> list[str]:
-    """Sentences, joined sentences and lines, and the whole text, where they reach the threshold.
 
-    A window begins and ends with a sentence or line that holds an opening term, and shares more than
-    one term with its template: the German sentence `Mit.` is no licence.
-    """
-    cuts = [m.span() for m in UNIT.finditer(text)]
-    units = [(s, e) for s, e in zip([0, *[e for _, e in cuts]], [*[s for s, _ in cuts], len(text)]) if s < e]
-    terms = [tokens(text[s:e]) for s, e in units]
-    opens = [i for i, own in enumerate(terms) if not opening.isdisjoint(own)]
-    width, out = model.mass.shape[1], []
-    enough = (model.threshold - 1e-5) ** 2
-
-    def reaches(first: int, lasts: list[int]) -> None:
-        tf: Counter = Counter()
-        dot, shared, norm, at = np.zeros(width), np.zeros(width, int), 0.0, first
-        for last in lasts:
-            for own in terms[at:last + 1]:
-                for w in own:
-                    norm += (2 * tf[w] + 1) * model.idf.get(w, model.other) ** 2
-                    tf[w] += 1
-                    if w in weights:
-                        dot += weights[w]
-                        shared += (weights[w] > 0) * (tf[w] == 1)
-            at = last + 1
-            if norm and (dot * (shared > 1)).max() ** 2 >= enough * norm:
-                out.append(text[units[first][0]:units[last][1]])
-
-    for k, first in enumerate(opens):
-        reaches(first, [i for i in opens[k:k + WINDOW] if i - first < WINDOW])
-    if opens:
-        reaches(0, [len(units) - 1])
-    return out
+def term_table(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the templates' terms, their idf, template weights and squared weights."""
+    names = np.frombuffer(" ".join(model.vocabulary).encode(), np.uint8)
+    hashes = words(names, np.array([0, len(names)]), TERM)[0]
+    order = np.argsort(hashes)
+    mass = model.mass[order]
+    return hashes[order], np.array([model.idf[w] for w in model.vocabulary])[order], np.sqrt(mass), mass
+
+
+def best_stretch(dot: np.ndarray, norm: np.ndarray, x: float) -> tuple[int, int]:
+    """First and last unit of the stretch with the greatest sum of ``dot - x * norm``."""
+    sums = np.concatenate([[0.0], np.cumsum(dot - x * norm)])
+    last = int((sums[1:] - np.minimum.accumulate(sums[:-1])).argmax())
+    return int(sums[:last + 1].argmin()), last
+
+
+class Units:
+    """Tokens of one text by sentence and line."""
+
+    def __init__(self, body: bytes, value, start, at, known, table_, other: float):
+        _, self.idf, self.weights, _ = table_
+        cuts = [m.span() for m in UNIT.finditer(body)]
+        spans = [(s, e) for s, e in zip([0, *[e for _, e in cuts]], [*[s for s, _ in cuts], len(body)]) if s < e]
+        self.spans, self.other = spans, other
+        self.of = np.searchsorted([s for s, _ in spans], start, "right") - 1
+        self.value, self.term, self.known = value, at, known
+        n, width = len(spans), self.weights.shape[1]
+        self.dot = np.zeros((n, width))
+        np.add.at(self.dot, self.of[known], self.idf[at[known], None] * self.weights[at[known]])
+        self.norm = np.bincount(self.of, np.where(known, self.idf[at] ** 2, other ** 2), n)
+
+    def cosine(self, first: int, last: int, template: int) -> tuple[float, int]:
+        """Cosine of a window to a template, and how many of its terms it has."""
+        lo, hi = np.searchsorted(self.of, [first, last + 1])
+        known = self.known[lo:hi]
+        tf = np.bincount(self.term[lo:hi][known], minlength=len(self.idf)) * self.idf
+        foreign = np.unique(self.value[lo:hi][~known], return_counts=True)[1] * self.other
+        norm = math.sqrt(float(tf @ tf + foreign @ foreign))
+        own = self.weights[:, template]
+        return float(tf @ own) / max(norm, 1e-12), int(((tf > 0) & (own > 0)).sum())
+
+    def windows(self, templates: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+        """(first, last) unit of the windows that reach the threshold with one of the templates.
+
+        A window shares more than one term with its template: the German sentence `Mit.` is no licence."""
+        found = {(0, len(self.spans) - 1): set(templates.tolist())}
+        for k in templates.tolist():
+            dot, norm = self.dot[:, k], self.norm
+            for length in LENGTHS:
+                x = 0.4 / length
+                for _ in range(4):
+                    first, last = best_stretch(dot, norm, x)
+                    total, size = dot[first:last + 1].sum(), norm[first:last + 1].sum()
+                    if k in found.setdefault((first, last), set()) or not size:
+                        break
+                    found[first, last].add(k)
+                    # The nearest window of all is the best stretch for this x.
+                    x = total / (2 * size)
+        out = []
+        for (first, last), own in found.items():
+            for k in own:
+                score, shared = self.cosine(first, last, k)
+                if shared > 1 and score >= threshold - 1e-6:
+                    out.append((first, last))
+                    break
+        return out
 
 
 def candidate_windows(files: DataFrame, model: Model) -> DataFrame:
-    """(file, line) of every window that reaches the threshold; only texts with an opening term are cut."""
-    opening = model.opening()
-    weights: dict = {}
-    for i, _, w, v in model.rows:
-        weights.setdefault(w, np.zeros(model.mass.shape[1]))[i] = v * model.idf[w]
-    named = np.frombuffer(" ".join(sorted(opening)).encode(), np.uint8)
-    hashes = np.sort(words(named, np.array([0, len(named)]), TERM)[0])
+    """(file, line) of windows of joined sentences and lines that reach the threshold.
+
+    Only texts are looked at whose terms, all together, have enough of a template's squared weights."""
+    table_, enough = term_table(model), model.threshold**2 - 1e-9
+    hashes, _, _, mass = table_
 
     def work(batches):
         for rows, data, offsets in frames(batches, "text"):
-            value, doc, _, _ = words(data, offsets, TERM)
+            value, doc, start, _ = words(data, offsets, TERM)
+            n = len(offsets) - 1
             at = np.minimum(np.searchsorted(hashes, value), len(hashes) - 1)
-            found = [(d, x) for d in np.unique(doc[hashes[at] == value]).tolist() for x in dict.fromkeys(windows(
-                bytes(data[offsets[d]:offsets[d + 1]]).decode("utf-8", "replace"), model, opening, weights))]
+            known = hashes[at] == value
+            pair = np.unique(doc[known] * len(hashes) + at[known])
+            owner, term = pair // len(hashes), pair % len(hashes)
+            reach = np.stack([
+                (np.bincount(owner, m[term], n) >= enough) & (np.bincount(owner, m[term] > 0, n) > 1)
+                for m in mass.T], 1) if len(pair) else np.zeros((n, 1), bool)
+            edge = np.searchsorted(doc, np.arange(n + 1))
+            found = []
+            for d in np.flatnonzero(reach.any(1)).tolist():
+                own = slice(edge[d], edge[d + 1])
+                body = data[offsets[d]:offsets[d + 1]].tobytes()
+                unit = Units(body, value[own], start[own] - offsets[d], at[own], known[own], table_, model.other)
+                found += [(d, body[unit.spans[i][0]:unit.spans[j][1]].decode("utf-8", "replace"))
+                          for i, j in unit.windows(np.flatnonzero(reach[d]), model.threshold)]
+            found = list(dict.fromkeys(found))
             yield pa.record_batch({
                 "file": rows.column(0).take(pa.array([d for d, _ in found], pa.int64())),
                 "line": pa.array([x for _, x in found], pa.string())})

@@ -129,6 +129,61 @@ def test_no_line_that_reaches_the_threshold_is_left_out(spark):
     assert reach and reach <= found and len(found) < 600
 
 
+def test_windows_against_every_window():
+    """Where any window of joined units reaches the threshold, one is found, and it is about as near."""
+    import math
+    import random
+
+    import numpy as np
+
+    model, rng = licences.Model(), random.Random(5)
+    table = licences.term_table(model)
+    parts = [t for _, t in licences.TEMPLATES]
+    foreign = [f"w{i}" for i in range(60)] + ["the", "of", "and", "is", "to", "mit"]
+    hits = 0
+    for trial in range(250):
+        units = []
+        for _ in range(rng.randrange(1, 4)):
+            units += [" ".join(rng.choices(foreign, k=rng.randrange(1, 12))) for _ in range(rng.randrange(4))]
+            own = rng.choice(parts).split()
+            own = [w for w in own if rng.random() < rng.choice((1, 0.9, 0.6))]
+            step = rng.choice((1, 3, 9, 40))
+            units += [" ".join(own[i:i + step]) for i in range(0, len(own), step)]
+        body = "\n".join(units).encode()
+        data = np.frombuffer(body, np.uint8)
+        value, _, start, _ = licences.words(data, np.array([0, len(data)]), licences.TERM)
+        if not len(value):
+            continue
+        at = np.minimum(np.searchsorted(table[0], value), len(table[0]) - 1)
+        unit = licences.Units(body, value, start, at, table[0][at] == value, table, model.other)
+        n = len(unit.spans)
+        every = [unit.cosine(i, j, k) for i in range(n) for j in range(i, min(n, i + 120)) for k in range(len(parts))] if n < 25 else [
+            unit.cosine(i, j, k) for i in range(0, n) for j in range(i, n, 7) for k in range(len(parts))][:60_000]
+        best = max((c for c, shared in every if shared > 1), default=0)
+        mine = unit.windows(np.arange(len(parts)), model.threshold)
+        got = max((c for i, j in mine for k in range(len(parts)) for c, s in [unit.cosine(i, j, k)] if s > 1), default=0)
+        if best >= model.threshold + 0.02:
+            hits += 1
+            assert got >= model.threshold and got >= best - 0.1, (trial, best, got)
+        assert not mine or got >= model.threshold - 1e-6
+        words_of = model.idf
+        tf = {}
+        for w in licences.tokens(body.decode()):
+            tf[w] = tf.get(w, 0) + 1
+        norm = math.sqrt(sum((c * words_of.get(w, model.other)) ** 2 for w, c in tf.items()))
+        dot = sum(tf.get(w, 0) * words_of[w] * v for i, _, w, v in model.rows if i == 3)
+        assert abs(unit.cosine(0, n - 1, 3)[0] - dot / norm) < 1e-9
+    assert hits > 60
+
+
+def test_a_notice_spread_over_a_hundred_lines(spark):
+    mit = next(t for n, t in reversed(licences.TEMPLATES) if n == "MIT")
+    text = "plain prose of no kind\n" * 40 + "\n".join(f"# {w}" for w in mit.split()) + "\nmore prose of no kind" * 40
+    df = spark.createDataFrame([(1, "a/f.txt", text), (2, "b/f.txt", "prose about nothing. " * 30_000)],
+                               "file long, path string, text string")
+    assert {r.file: r.own_licence for r in licences.scan(df).collect()} == {1: "MIT", 2: None}
+
+
 def test_pipeline_equals_its_stages_by_hand(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = corpus_pipeline.run(spark, sf).collect()
