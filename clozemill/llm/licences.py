@@ -202,7 +202,7 @@ class Units:
     def windows(self, templates: np.ndarray, threshold: float) -> list[tuple[int, int]]:
         """(first, last) unit of the windows that reach the threshold with one of the templates.
 
-        A window shares more than one term with its template: the German sentence `Mit.` is no licence."""
+        A window shares three terms or more with its template: the sentences `Mit.` and `Nd! By!` are no licence."""
         found = {(0, len(self.spans) - 1): set(templates.tolist())}
         for k in templates.tolist():
             dot, norm = self.dot[:, k], self.norm
@@ -220,7 +220,7 @@ class Units:
         for (first, last), own in found.items():
             for k in own:
                 score, shared = self.cosine(first, last, k)
-                if shared > 1 and score >= threshold - 1e-6:
+                if shared > 2 and score >= threshold - 1e-6:
                     out.append((first, last))
                     break
         return out
@@ -242,7 +242,7 @@ def candidate_windows(files: DataFrame, model: Model) -> DataFrame:
             pair = np.unique(doc[known] * len(hashes) + at[known])
             owner, term = pair // len(hashes), pair % len(hashes)
             reach = np.stack([
-                (np.bincount(owner, m[term], n) >= enough) & (np.bincount(owner, m[term] > 0, n) > 1)
+                (np.bincount(owner, m[term], n) >= enough) & (np.bincount(owner, m[term] > 0, n) > 2)
                 for m in mass.T], 1) if len(pair) else np.zeros((n, 1), bool)
             edge = np.searchsorted(doc, np.arange(n + 1))
             found = []
