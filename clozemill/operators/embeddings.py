@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clozemill.functions import text as X
+from clozemill.operators.cells import Cells, search
 from clozemill.operators.common import once, small
 from clozemill.operators.relational import unpivot_texts
 
@@ -134,11 +135,12 @@ def nearest(
 
 
 def nearest_words(
-    answers: DataFrame, vectors: DataFrame, n_queries: int, n_words: int, top: int = 10, keep: int = 3,
-    dim: int = 100,
+    answers: DataFrame, vectors: DataFrame, n_words: int, index: Cells | None, stage, top: int = 10, keep: int = 3,
+    dim: int = 100, exact: bool = True,
 ) -> DataFrame:
     """``id, word, sim, rank``: of the ``top`` nearest words of an answer, the best ``keep``
-    that are no token of the passage. ``answers`` holds ``id, answer, article``.
+    that are no token of the passage. ``answers`` holds ``id, answer, article``, ``index`` the
+    word vectors by cells; without ``exact`` only the nearest cells are asked.
 
     An answer of several words asks with the mean vector of its known tokens; its own
     tokens are no neighbours of it. Neighbours are packed into one array for each distinct
@@ -149,9 +151,9 @@ def nearest_words(
     own = X.word_tokens(F.col("q"))
     # Own tokens may fill the first places, so as many more are asked for as the longest answer has.
     longest = asked.agg(F.max(F.size(X.word_tokens(F.col("phrase"))))).first()[0] or 0
-    near = nearest(
-        queries.select(F.col("phrase").alias("q"), F.col("mean").alias("vector")), vectors,
-        top + longest, n_queries, n_words, "q", "word", skip_same=False,
+    near = search(
+        queries.select(F.col("phrase").alias("q"), F.col("mean").alias("vector")), index, top + longest, stage,
+        exact=exact, skip_same=False,
     ).filter(~F.array_contains(own, F.col("p")))
     packed = near.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(
         F.struct("rank", F.col("p").alias("word"), "sim"))), 1, top).alias("near"))
@@ -163,24 +165,3 @@ def nearest_words(
         "near", lambda x: ~F.array_contains("_tokens", x["word"])), 1, keep).alias("near"))
     return free.select("id", F.posexplode("near").alias("place", "x")).select(
         "id", "x.word", "x.sim", (F.col("place") + 1).alias("rank"))
-
-
-def lsh_neighbours(
-    queries: DataFrame, points: DataFrame, distance: float, bucket: float = 2.0, tables: int = 3,
-    seed: int = 42,
-) -> DataFrame:
-    """Approximate variant for very large vocabularies: pairs of unit vectors within a
-    Euclidean distance that share a hash bucket. Columns ``id, vector`` on both sides."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-
-    def prepared(df: DataFrame) -> DataFrame:
-        return df.select("id", array_to_vector(unit(F.col("vector"))).alias("features")).dropna()
-
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed
-    )
-    q, p = prepared(queries), prepared(points)
-    pairs = lsh.fit(p).approxSimilarityJoin(q, p, distance, "distance")
-    return pairs.select(
-        F.col("datasetA.id").alias("q"), F.col("datasetB.id").alias("p"), "distance"
-    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clozemill.functions import text as X
 from clozemill.operators import (
-    cloze, clusters, distractors, embeddings, metrics, profile, relational, reports, sampling,
+    cells, cloze, clusters, cooccurrence, distractors, embeddings, lexicon, metrics, profile, relational, reports, sampling,
     similarity, tfidf, verifier,
 )
 from clozemill.operators.common import keyed, once, spread
@@ -17,7 +17,7 @@ from clozemill.plans import items as item_plan
 from clozemill.plans import models
 from clozemill.plans.quizview import documents
 from clozemill.plans.quizview import quiz_view as derive_quiz
-from clozemill.plans.stages import corpus, quiz_table, stage_path, staged, vocabulary
+from clozemill.plans.stages import corpus, quiz_table, stage_path, staged, stored, vocabulary
 from clozemill.session import shared_dir
 from clozemill.sources.tables import materialise
 from clozemill.streaming import articles, sessions
@@ -331,8 +331,7 @@ def embedding_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _embeddings(spark, sf_dir).select(
         "vec_id", F.col("embedding").cast("array<double>").alias("vector")
     )
-    n = points.count()
-    near = embeddings.nearest(points, points, 10, n, n, "vec_id", "vec_id", block=512)
+    near = cells.search(points, cells.build(points, stored, "vec_id"), 10, stored, "vec_id", exact=True)
     return near.select("q", "p", F.round("sim", 6).alias("sim"), "rank")
 
 
@@ -347,6 +346,25 @@ def embedding_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("q", "p", F.round("sim", 6).alias("sim"), "rank")
 
 
+@query
+def embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML9 by cells: every twentieth vector against those of as many cells as a recall of 0.95 takes."""
+    points = _embeddings(spark, sf_dir).select("vec_id", F.col("embedding").alias("vector"))
+    index = cells.build(points, stored, "vec_id")
+    probes = cells.probes_for(index, 10, 0.95, stored) if index else cells.PROBES
+    near = cells.search(points.filter("vec_id % 20 = 0"), index, 10, stored, "vec_id", probes=probes)
+    return near.select("q", "p", F.round("sim", 6).alias("sim"), "rank")
+
+
+@query
+def embedding_cells_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a second round over the cells that may still hold a nearer vector."""
+    points = _embeddings(spark, sf_dir).select("vec_id", F.col("embedding").alias("vector"))
+    index = cells.build(points, stored, "vec_id")
+    near = cells.search(points.filter("vec_id % 20 = 0"), index, 10, stored, "vec_id", exact=True)
+    return near.select("q", "p", F.round("sim", 6).alias("sim"), "rank")
+
+
 @query
 def silhouette_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _embeddings(spark, sf_dir)
@@ -358,6 +376,58 @@ def silhouette_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---- word windows, noun phrases by a lexicon table ----------------------------
+
+
+def _word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window counts of the words that stand twice or more in the passages, as a stage table."""
+
+    def build() -> DataFrame:
+        texts = _docs(spark, sf_dir).select(X.word_tokens(F.col("text")).alias("tokens"))
+        known = stored(cooccurrence.word_counts(texts))
+        return cooccurrence.known_pairs(cooccurrence.window_counts(texts), known, known.count())
+
+    return staged(spark, sf_dir, "windows", build)
+
+
+@query
+def cooccurrence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML8: how often two words stand at most five places apart."""
+    return _word_windows(spark, sf_dir)
+
+
+@query
+def word_pmi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML8: PMI of a word and a context, less the logarithm of 5 negative draws."""
+    found = cooccurrence.shifted_pmi(_word_windows(spark, sf_dir), 5.0)
+    return found.select("word", "context", "n", F.round("pmi", 6).alias("pmi"))
+
+
+@query
+def word_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML8: vectors from the PMI table, with the vocabulary in tables only."""
+    pmi = cooccurrence.shifted_pmi(_word_windows(spark, sf_dir))
+    made = staged(spark, sf_dir, "factors", lambda: cooccurrence.factor_vectors(pmi, 32, 5, stage=stored))
+    return made.select("word", F.size("vector").alias("dim"), F.round(embeddings.norm(F.col("vector")), 6).alias("norm"))
+
+
+@query
+def noun_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5, T7: noun runs of every passage, nouns being the words of the benchmark texts."""
+    words = lexicon.lexicon_from(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    tagged = lexicon.tagged_tokens(_docs(spark, sf_dir), stored(words), "doc_id")
+    return lexicon.phrase_rows(tagged).where("tag = 'NN'").select(F.col("id").alias("doc_id"), "pos", "phrase")
+
+
+@query
+def lexicon_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T7, W5: the distinct phrases of every passage, proper nouns and listed nouns."""
+    words = lexicon.lexicon_from(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    made = lexicon.candidate_phrases(_docs(spark, sf_dir), stored(words), "doc_id")
+    return made.select(F.col("id").alias("doc_id"), F.size("candidates").alias("n"),
+                       F.array_join("candidates", "|").alias("candidates"))
+
+
 # ---- text metrics ---------------------------------------------------------------
 
 
@@ -592,8 +662,7 @@ def nearest_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = quiz_table(spark, sf_dir).select(
         "id", "article", relational.correct_option().alias("answer")
     )
-    n_answers = asked.select(F.lower("answer")).distinct().count()
-    return embeddings.nearest_words(asked, vectors, n_answers, n, dim=models.DIM)
+    return embeddings.nearest_words(asked, vectors, n, cells.build(vectors, stored, "word"), stored, dim=models.DIM)
 
 
 @query

@@ -28,6 +28,13 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     return materialise(spark, stage_path(spark, sf_dir, name), build)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A table of its own in the shared folder, written now and read back."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def quiz_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quiz rows with their exact train / val / test split."""
 

@@ -396,6 +396,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, p) AS rank
 SELECT q, p, round(sim, 6) AS sim, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10"""
 ORACLES["embedding_search"] = ORACLES["embedding_knn"].replace(
     "ON a.vec_id <> b.vec_id", "ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0")
+ORACLES["embedding_cells_exact"] = ORACLES["embedding_search"]
 ORACLES["silhouette_sample"] = """
 WITH d AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
            ORDER BY md5('42:' || vec_id), vec_id LIMIT 5000),
@@ -674,3 +675,35 @@ w AS (SELECT session_id, min(ts) AS s, max(ts) + INTERVAL 6 HOUR AS e, count(*)
         count(*) FILTER (k % 4 = session_id % 4) AS correct FROM g GROUP BY session_id, n)
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(e, '%Y-%m-%d %H:%M:%S') AS "end", session_id, answers, correct
 FROM w WHERE e <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+
+# word windows: pairs at most five places apart, of words that stand twice or more
+WINDOWS = f"""
+t AS (SELECT doc_id, {words("lower(coalesce(text, ''))")} AS ws FROM documents),
+v AS (SELECT w FROM (SELECT unnest(ws) AS w FROM t) GROUP BY w HAVING count(*) >= 2),
+o AS (SELECT ws, d FROM t, (SELECT unnest(range(1, 6)) AS d) WHERE len(ws) > d),
+x AS (SELECT unnest(ws[1:len(ws) - d]) AS p, unnest(ws[d + 1:]) AS q FROM o),
+ab AS (SELECT least(p, q) AS a, greatest(p, q) AS b, count(*) AS n FROM x GROUP BY ALL),
+pairs AS (SELECT a, b, n FROM ab WHERE a IN (SELECT w FROM v) AND b IN (SELECT w FROM v))"""
+ORACLES["cooccurrence_counts"] = f"WITH {WINDOWS} SELECT a, b, n FROM pairs"
+ORACLES["word_pmi"] = f"""WITH {WINDOWS},
+wc AS (SELECT a AS word, b AS context, n FROM pairs WHERE a <> b UNION ALL SELECT b, a, n FROM pairs WHERE a <> b
+       UNION ALL SELECT a, b, 2 * n FROM pairs WHERE a = b),
+m AS (SELECT word, sum(n) AS m FROM wc GROUP BY word),
+s AS (SELECT wc.*, ln(n::DOUBLE * (SELECT sum(m) FROM m)::DOUBLE / (x.m::DOUBLE * y.m::DOUBLE)) - ln(5.0::DOUBLE) AS pmi
+      FROM wc JOIN m x ON x.word = wc.word JOIN m y ON y.word = wc.context)
+SELECT word, context, n, round(pmi, 6) AS pmi FROM s WHERE pmi > 0"""
+NOUNS = f"""
+lex AS (SELECT DISTINCT w FROM (SELECT unnest({unigrams("coalesce(text, '')")}) AS w FROM benchmark) WHERE length(w) >= 4),
+d AS (SELECT doc_id, {words("coalesce(text, '')")} AS ws FROM documents),
+tok AS (SELECT doc_id, unnest(ws) AS token, unnest(range(0, len(ws))) AS pos FROM d),
+tag AS (SELECT doc_id, pos, token,
+          CASE WHEN regexp_matches(token, '^\\p{{Lu}}') AND lower(token) NOT IN ({STOP}) THEN 'NNP'
+               WHEN lower(token) IN (SELECT w FROM lex) THEN 'NN' END AS tag FROM tok),
+isl AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, tag ORDER BY pos) AS island FROM tag WHERE tag IS NOT NULL),
+runs AS (SELECT doc_id, tag, min(pos)::INTEGER AS pos, lower(string_agg(token, ' ' ORDER BY pos)) AS phrase
+         FROM isl GROUP BY doc_id, tag, island)"""
+ORACLES["noun_phrases"] = f"WITH {NOUNS} SELECT doc_id, pos, phrase FROM runs WHERE tag = 'NN'"
+ORACLES["lexicon_candidates"] = f"""WITH {NOUNS},
+f AS (SELECT doc_id, phrase, min(pos) AS pos FROM runs WHERE length(phrase) >= 3 GROUP BY doc_id, phrase),
+c AS (SELECT doc_id, count(*) AS n, string_agg(phrase, '|' ORDER BY pos) AS candidates FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::INTEGER AS n, coalesce(candidates, '') AS candidates FROM documents LEFT JOIN c USING (doc_id)"""

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clozemill.operators import clusters, distractors, embeddings, tfidf, verifier
+from clozemill.operators import cells, clusters, distractors, embeddings, tfidf, verifier
 from clozemill.functions.words import LETTERS
+from clozemill.plans.stages import stored
 
 
 def quiz(spark, n=24):
@@ -138,7 +139,7 @@ def test_ranker_and_ranked_distractors(spark):
     for r in got:
         assert len(r.distractors) == 3 and "otto" not in r.distractors and set(r.distractors) <= set(r.candidates)
     answers = quiz(spark).select("id", "article", F.lit("anna").alias("answer"))
-    near = embeddings.nearest_words(answers, vectors, n, n).collect()
+    near = embeddings.nearest_words(answers, vectors, n, cells.build(vectors, stored, "word"), stored).collect()
     # tokens of the passage, not parts of them: `thing` may be named beside `things`
     texts = {r.id: set(re.findall(r"\w+|[^\w\s]", r.article.lower())) for r in quiz(spark).collect()}
     assert near and all(r.word not in texts[r.id] and r["rank"] <= 3 for r in near)

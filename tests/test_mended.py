@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from clozemill.operators import embeddings, profile, sampling, tfidf, verifier
+from clozemill.operators import cells, embeddings, profile, sampling, tfidf, verifier
+from clozemill.plans.stages import stored
 from clozemill.streaming.articles import MiniBatchKMeans, centre_distances
 
 
@@ -39,7 +40,8 @@ def test_neighbours_of_phrases_and_whole_tokens(spark):
         [(1, "Big red", "They start here"), (2, "big", "ART and more"), (3, "unknown", "x"), (4, "red", "big art dog cat")],
         "id long, answer string, article string")
     out = {}
-    for r in embeddings.nearest_words(answers, vectors, 4, 5, top=2, keep=2, dim=2).orderBy("id", "rank").collect():
+    for r in embeddings.nearest_words(
+            answers, vectors, 5, cells.build(vectors, stored, "word"), stored, top=2, keep=2, dim=2).orderBy("id", "rank").collect():
         out.setdefault(r.id, []).append(r.word)
     # `start` does not hold the token `art`; own tokens are no neighbours
     assert out == {1: ["art", "cat"], 2: ["red"]}
