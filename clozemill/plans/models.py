@@ -8,9 +8,9 @@ from pyspark.ml.feature import Word2VecModel
 from pyspark.sql import DataFrame, SparkSession
 
 from clozemill.operators import clusters, distractors, embeddings, relational, tfidf, verifier
-from clozemill.plans.stages import quiz_table, stage_path, staged, vocabulary
+from clozemill.plans.stages import input_stamp, quiz_table, stage_path, staged, vocabulary
 from clozemill.sources.tables import (
-    artefact_params, materialise_model, outputs_exist, save_params,
+    artefact_params, artefact_record, drop_artefact, materialise_model, save_params,
 )
 
 DIM = 100
@@ -24,30 +24,32 @@ def val_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quiz_table(spark, sf_dir).filter("split = 'val'")
 
 
-def word2vec(spark: SparkSession, sf_dir: str) -> tuple[Word2VecModel, dict]:
+def word2vec(spark: SparkSession, sf_dir: str, force: bool = False) -> tuple[Word2VecModel, dict]:
     def build():
         model = embeddings.train_word2vec(train_rows(spark, sf_dir), DIM)
         return model, {"words": model.getVectors().count(), "dim": DIM}
 
     return materialise_model(
-        spark, stage_path(spark, sf_dir, "word2vec"), build, Word2VecModel.load
+        spark, stage_path(spark, sf_dir, "word2vec"), build, Word2VecModel.load, force,
+        input_stamp(spark, sf_dir, dim=DIM),
     )
 
 
-def word_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+def word_vectors(spark: SparkSession, sf_dir: str, force: bool = False) -> tuple[DataFrame, int]:
     """The vectors as a stage table, and their number."""
-    model, params = word2vec(spark, sf_dir)
-    table = staged(spark, sf_dir, "vectors", lambda: embeddings.word_vectors(model))
+    model, params = word2vec(spark, sf_dir, force)
+    table = staged(spark, sf_dir, "vectors", lambda: embeddings.word_vectors(model), force, dim=DIM)
     return table, params["words"]
 
 
-def ranker(spark: SparkSession, sf_dir: str) -> LogisticRegressionModel:
+def ranker(spark: SparkSession, sf_dir: str, force: bool = False) -> LogisticRegressionModel:
     def build():
         vectors, n = word_vectors(spark, sf_dir)
         return distractors.train_ranker(train_rows(spark, sf_dir), vectors, n, DIM), {}
 
     path = stage_path(spark, sf_dir, "ranker")
-    return materialise_model(spark, path, build, LogisticRegressionModel.load)[0]
+    return materialise_model(
+        spark, path, build, LogisticRegressionModel.load, force, input_stamp(spark, sf_dir, dim=DIM))[0]
 
 
 def cluster_vectors(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def cluster_vectors(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFr
     return tfidf.tfidf_vectors(texts, vocabulary(spark, sf_dir))
 
 
-def kmeans(spark: SparkSession, sf_dir: str, starts: int = 10) -> tuple[KMeansModel, dict]:
+def kmeans(spark: SparkSession, sf_dir: str, starts: int = 10, force: bool = False) -> tuple[KMeansModel, dict]:
     """Model with its inertia and silhouette stored beside it."""
 
     def build():
@@ -67,15 +69,18 @@ def kmeans(spark: SparkSession, sf_dir: str, starts: int = 10) -> tuple[KMeansMo
         finally:
             vectors.unpersist()
 
-    return materialise_model(spark, stage_path(spark, sf_dir, "kmeans"), build, KMeansModel.load)
+    return materialise_model(spark, stage_path(spark, sf_dir, "kmeans"), build, KMeansModel.load, force,
+                             input_stamp(spark, sf_dir, starts=starts))
 
 
-def answer_verifier(spark: SparkSession, sf_dir: str) -> verifier.Verifier:
+def answer_verifier(spark: SparkSession, sf_dir: str, force: bool = False) -> verifier.Verifier:
     path = stage_path(spark, sf_dir, "verifier")
-    if not outputs_exist(spark, f"{path}.params"):
+    stamp = input_stamp(spark, sf_dir)
+    if force or artefact_record(spark, path).get("stamp") != stamp:
+        drop_artefact(spark, path)
         model = verifier.train_verifier(train_rows(spark, sf_dir), vocabulary(spark, sf_dir))
         verifier.save(model, path)
-        save_params(spark, path, model.params)
+        save_params(spark, path, model.params, stamp)
         return model
     model = verifier.load(path)
     model.params = artefact_params(spark, path)

@@ -17,10 +17,10 @@ from clozemill.plans import items as item_plan
 from clozemill.plans import models
 from clozemill.plans.quizview import documents
 from clozemill.plans.quizview import quiz_view as derive_quiz
-from clozemill.plans.stages import corpus, quiz_table, stage_path, staged, stored, vocabulary
+from clozemill.plans.stages import corpus, quiz_table, stage_path, stage_runs, staged, stored, vocabulary
 from clozemill.session import shared_dir
-from clozemill.sources.tables import materialise
-from clozemill.streaming import articles, sessions
+from clozemill.sources.tables import materialise, read_quiz_csv_split
+from clozemill.streaming import articles, latency, sessions
 
 FLAGSHIP = "quiz_items"
 QUERIES = {}
@@ -782,10 +782,10 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def answers_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST1: first answer per session and question, from the event stream."""
+    """ST1: first answer per session and question, from the event stream; state ends after 60 days."""
     out = _run_dir(spark, "answers")
-    events = _event_stream(spark, sf_dir).withColumn("kind", F.lit("answer"))
-    sessions.run_to_table(sessions.first_answers(events), f"{out}/table", f"{out}/progress")
+    events = _event_stream(spark, sf_dir).withColumn("kind", F.lit("answer")).withWatermark("ts", "1 hour")
+    sessions.run_to_table(sessions.first_answers(events, forget="60 days"), f"{out}/table", f"{out}/progress")
     return spark.read.parquet(f"{out}/table").select(
         "session_id", "q_idx", "chosen", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts")
     )
@@ -811,7 +811,7 @@ def answers_resets_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _event_stream(spark, sf_dir).withColumn(
         "kind", F.when(F.pmod("event_id", F.lit(50)) == 0, "reset").otherwise("answer")
     ).withWatermark("ts", "1 hour")
-    made = sessions.first_answers(sessions.spread_resets(events, 5), forget="60 days")
+    made = sessions.first_answers(events, forget="60 days")
     sessions.run_to_table(made, f"{out}/table", f"{out}/progress")
     return spark.read.parquet(f"{out}/table").select("session_id", "q_idx", "epoch", "chosen", "event_id")
 
@@ -837,10 +837,8 @@ def windowed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _windows(spark, sf_dir, "gaps", gap="6 hours")
 
 
-@query
-def items_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST2: items of passages that arrive as files."""
-    out = _run_dir(spark, "items")
+def _items_run(spark: SparkSession, sf_dir: str, out: str) -> None:
+    """Items of passages that arrive as files, with the times of the batches."""
     terms = vocabulary(spark, sf_dir)
     source = stage_path(spark, sf_dir, "quiz")
     passages = sessions.read_stream(spark, source, quiz_table(spark, sf_dir).schema).select("id", "article")
@@ -851,7 +849,15 @@ def items_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
             batch, terms, lambda df: materialise(spark, stems, lambda: df, force=True)
         )
 
-    articles.run_batches(passages, job, f"{out}/table", f"{out}/progress")
+    with latency.timed_batches(spark, f"{out}/runs"):
+        articles.run_batches(passages, job, f"{out}/table", f"{out}/progress")
+
+
+@query
+def items_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST2: items of passages that arrive as files."""
+    out = _run_dir(spark, "items")
+    _items_run(spark, sf_dir, out)
     made = spark.read.parquet(f"{out}/table")
     return made.select(
         "id", "pivot_pos", "question_stem", "answer_chunk",
@@ -861,6 +867,33 @@ def items_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def items_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A18: passages per batch of the item stream, from the run table its listener fills."""
+    out = _run_dir(spark, "items")
+    _items_run(spark, sf_dir, out)
+    runs = latency.read_runs(spark, f"{out}/runs")
+    return runs.select("batch", "rows", ((F.col("ms") > 0) & (F.col("add_ms") <= F.col("ms"))).alias("timed"))
+
+
+@query
+def stage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A18, S3: rows of the batch stages, from the records of their artefacts."""
+    quiz_table(spark, sf_dir)
+    vocabulary(spark, sf_dir)
+    return stage_runs(spark, sf_dir, ["quiz_raw", "quiz", "terms"]).select("stage", "rows")
+
+
+@query
+def csv_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1, S2: the quiz table written as CSV files and read again split by split."""
+    path = f"{_run_dir(spark, 'csv')}/quiz"
+    rows = quiz_table(spark, sf_dir).select("article", "question", *"ABCD", "answer")
+    rows.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    back = read_quiz_csv_split(spark, path, stage=stored)
+    return back.select(F.md5("article").alias("article"), "question", *"ABCD", "answer")
+
+
 @query
 def verifier_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST3: verifier probability of question and option pairs that arrive as files."""

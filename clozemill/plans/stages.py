@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from clozemill.operators import relational, sampling, tfidf
 from clozemill.plans.quizview import quiz_view
 from clozemill.session import shared_dir
-from clozemill.sources.tables import materialise
+from clozemill.sources.tables import artefact_record, fingerprint, materialise
 
 
 def stage_path(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -24,8 +24,23 @@ def stage_path(spark: SparkSession, sf_dir: str, name: str) -> str:
     return shared_dir(spark, f"{spark.sparkContext.applicationId}/{source}/{name}")
 
 
-def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    return materialise(spark, stage_path(spark, sf_dir, name), build)
+def input_stamp(spark: SparkSession, sf_dir: str, **settings) -> str:
+    """Stamp of the tables of a folder and the settings of a stage; a changed table makes its stages stale."""
+    return fingerprint(spark, [sf_dir], settings)
+
+
+def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], force: bool = False,
+           **settings) -> DataFrame:
+    """Stage table of these inputs and settings, built if there is none; ``force`` builds it anyway."""
+    return materialise(spark, stage_path(spark, sf_dir, name), build, force,
+                       stamp=input_stamp(spark, sf_dir, **settings))
+
+
+def stage_runs(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    """Run table ``stage, rows, ms`` of the named stages that have been built."""
+    records = [(n, artefact_record(spark, stage_path(spark, sf_dir, n))) for n in names]
+    return spark.createDataFrame(
+        [(n, r.get("rows"), r.get("ms")) for n, r in records if r], "stage string, rows long, ms long")
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -35,24 +50,24 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def quiz_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quiz_table(spark: SparkSession, sf_dir: str, force: bool = False) -> DataFrame:
     """Quiz rows with their exact train / val / test split."""
 
     def build() -> DataFrame:
-        rows = staged(spark, sf_dir, "quiz_raw", lambda: quiz_view(spark, sf_dir))
+        rows = staged(spark, sf_dir, "quiz_raw", lambda: quiz_view(spark, sf_dir), force)
         return sampling.split_exact(rows)
 
-    return staged(spark, sf_dir, "quiz", build)
+    return staged(spark, sf_dir, "quiz", build, force)
 
 
 def corpus(quiz: DataFrame) -> DataFrame:
     return quiz.select("id", relational.corpus_text().alias("text"))
 
 
-def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vocabulary(spark: SparkSession, sf_dir: str, force: bool = False) -> DataFrame:
     """Fitted on the train rows only, so that held-out figures see none of their own texts."""
 
     def build() -> DataFrame:
         return tfidf.fit_tfidf(corpus(quiz_table(spark, sf_dir).filter("split = 'train'")))
 
-    return staged(spark, sf_dir, "terms", build)
+    return staged(spark, sf_dir, "terms", build, force)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +54,72 @@ def read_quiz_csv(spark: SparkSession, path: str, schema: T.StructType = CSV_SCH
     return complete_columns(raw, schema.fieldNames())
 
 
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """``file, number, record``: the records of quoted CSV files, each file read by as many tasks as it has splits.
+
+    A line begins a record if the quotes in front of it in its file are even in number (a doubled quote counts two).
+    Quotes and beginnings are counted by split, summed up over the splits of a file, then line by line inside
+    each split; lines of one record are joined again. Both groupings are by parts of bounded size: splits and records.
+    """
+    try:
+        lines = spark.read.option("lineSep", "\n").text(path).select(
+            "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+            F.monotonically_increasing_id().alias("line"))
+    except AnalysisException as err:
+        if "PATH_NOT_FOUND" in str(err):
+            raise MissingInput(f"{path} not found: put the raw quiz CSV there first") from err
+        raise
+    odd = (F.length("value") - F.length(F.translate("value", '"', ""))) % 2
+    lines = lines.withColumn("odd", odd)
+    split, order = W.partitionBy("file", "at"), W.partitionBy("file", "at").orderBy("line")
+    earlier = order.rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2
+    inside = lines.withColumn("before", before).withColumn("last", F.max("line").over(split))
+    # For either state in front of the split: beginnings in it, and in front of each line.
+    counted = inside.groupBy("file", "at").agg(
+        (F.sum("odd") % 2).alias("odd"), F.count_if(F.col("before") == 0).alias("even_first"),
+        F.count_if(F.col("before") == 1).alias("odd_first"))
+    splits = W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    states = counted.withColumn("state", F.coalesce(F.sum("odd").over(splits), F.lit(0)) % 2)
+    begun = F.when(F.col("state") == 0, F.col("even_first")).otherwise(F.col("odd_first"))
+    states = states.withColumn("first", F.coalesce(F.sum(begun).over(splits), F.lit(0))).select(
+        "file", "at", "state", "first")
+    placed = inside.join(states, ["file", "at"]).withColumn("begins", (F.col("before") == F.col("state")).cast("int"))
+    number = F.col("first") + F.sum("begins").over(order.rowsBetween(W.unboundedPreceding, 0)) - 1
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line", "value"))), lambda x: x["value"]), "\n")
+    return placed.withColumn("number", number).groupBy("file", "number").agg(joined.alias("record")).select(
+        "file", "number", F.regexp_replace("record", "\r$", "").alias("record"))
+
+
+def read_quiz_csv_split(spark: SparkSession, path: str, schema: T.StructType = CSV_SCHEMA,
+                        stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The rows of :func:`read_quiz_csv`, but one large file is many tasks.
+
+    Each file's first record is its header; files of one header are parsed together. Blank records are none."""
+    options = {"quote": '"', "escape": '"', "multiLine": "true"}
+    records = stage(csv_records(spark, path))
+    first = records.where("number = 0").select("file", F.col("record").alias("header"))
+    # One row for each way the header is written.
+    headers = [r.header for r in first.select("header").distinct().orderBy("header").collect()]
+    found = []
+    for header in headers:
+        width = len(header.split(","))
+        kind = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+        names = spark.range(1).select(F.from_csv(F.lit(header), kind.simpleString()[7:-1].replace(":", " "), options).alias("h")).first().h
+        named = [(i, n) for i, n in enumerate(names) if n is not None]
+        rows = records.join(first.where(F.col("header") == header).select("file"), "file", "left_semi").where(
+            (F.col("number") > 0) & F.col("record").rlike(r"[^ \t\r\n]"))
+        parsed = F.from_csv("record", ", ".join(f"c{i} string" for i in range(width)), options)
+        made = rows.select(parsed.alias("r")).select(*[F.col(f"r.c{i}").alias(n) for i, n in named])
+        found.append(complete_columns(made, schema.fieldNames()).select(*schema.fieldNames()))
+    if not found:
+        return spark.createDataFrame([], schema)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def complete_columns(df: DataFrame, columns: list[str] = TEXT_COLUMNS) -> DataFrame:
     """Add absent text columns as null, then turn null text into the empty string."""
     have = set(df.columns)
@@ -106,51 +176,113 @@ def outputs_exist(spark: SparkSession, *paths: str) -> bool:
     return all(path_exists(spark, f"{p.rstrip('/')}/_SUCCESS") for p in paths)
 
 
+def fingerprint(spark: SparkSession, paths: list[str], settings: dict | None = None) -> str:
+    """Stamp of inputs and settings: names, sizes and times of all files below the paths, and the settings.
+
+    A path that is absent counts as such; it changes the stamp when it appears."""
+    found = []
+    for path in sorted(paths):
+        fs, p = _hadoop_path(spark, path)
+        if not fs.exists(p):
+            found.append((path, -1, 0))
+            continue
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            own = files.next()
+            name = own.getPath().toString()
+            if not name.rsplit("/", 1)[-1].startswith((".", "_")):
+                found.append((name, own.getLen(), own.getModificationTime()))
+    return hashlib.sha256(json.dumps([sorted(found), settings or {}], sort_keys=True).encode()).hexdigest()
+
+
 def materialise(
     spark: SparkSession,
     path: str,
     build: Callable[[], DataFrame],
     force: bool = False,
     params: dict | None = None,
+    stamp: str | None = None,
 ) -> DataFrame:
-    """Stored table if it is complete, else build and store it.
+    """Stored table if it is complete and of this ``stamp``, else build and store it.
 
-    ``params`` (settings, scores) goes to a one-row table beside it and comes back
-    with :func:`artefact_params`.
+    The table is written beside its place and moved there when it is whole; its record (stamp, rows, milliseconds, and
+    ``params``: settings and scores for :func:`artefact_params`) is written last, so an artefact that was
+    broken off, or whose inputs or settings have changed since, is built again.
     """
-    if force or not outputs_exist(spark, path):
-        build().write.mode("overwrite").parquet(path)
-        if params is not None:
-            save_params(spark, path, params)
+    if force or not outputs_exist(spark, path) or _stale(spark, path, stamp):
+        started = time.monotonic()
+        counted = Observation()
+        made = build().observe(counted, F.count(F.lit(1)).alias("rows"))
+        fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+        made.write.parquet(fresh)
+        record = {"rows": counted.get["rows"], "ms": round(1000 * (time.monotonic() - started))}
+        publish(spark, fresh, path)
+        save_params(spark, path, params or {}, stamp, record)
     return spark.read.parquet(path)
 
 
-def materialise_model(spark: SparkSession, path: str, build, load, force: bool = False):
+def publish(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put a whole folder in the place of another; the old record goes first."""
+    drop_artefact(spark, path)
+    fs, target = _hadoop_path(spark, path)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(_hadoop_path(spark, fresh)[1], target):
+        raise OSError(f"cannot move {fresh} to {path}")
+
+
+def drop_artefact(spark: SparkSession, path: str) -> None:
+    """Take away an artefact, its record first."""
+    for own in (f"{path}.params", path):
+        fs, p = _hadoop_path(spark, own)
+        fs.delete(p, True)
+
+
+def _stale(spark: SparkSession, path: str, stamp: str | None) -> bool:
+    return stamp is not None and artefact_record(spark, path).get("stamp") != stamp
+
+
+def materialise_model(spark: SparkSession, path: str, build, load, force: bool = False, stamp: str | None = None):
     """Like :func:`materialise` for ML models; ``build`` gives ``(model, params)``.
 
-    The parameter row is written last, so its marker vouches for the model too.
+    The record is written last, so its marker vouches for the model too.
     """
-    meta = f"{path}.params"
-    if force or not outputs_exist(spark, meta):
+    if force or not outputs_exist(spark, f"{path}.params") or _stale(spark, path, stamp):
+        started = time.monotonic()
         model, params = build()
-        model.write().overwrite().save(path)
-        save_params(spark, path, params or {})
+        fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+        model.write().save(fresh)
+        publish(spark, fresh, path)
+        save_params(spark, path, params or {}, stamp, {"ms": round(1000 * (time.monotonic() - started))})
         return model, params or {}
     return load(path), artefact_params(spark, path)
 
 
-def save_params(spark: SparkSession, path: str, params: dict) -> None:
-    spark.createDataFrame([(json.dumps(params),)], "params string").coalesce(1).write.mode(
-        "overwrite"
-    ).parquet(f"{path}.params")
+def save_params(spark: SparkSession, path: str, params: dict, stamp: str | None = None, run: dict | None = None) -> None:
+    """Write the record of an artefact, its marker last."""
+    record = json.dumps({"params": params, "stamp": stamp, **(run or {})})
+    for name, text in (("record.json", record), ("_SUCCESS", "")):
+        fs, p = _hadoop_path(spark, f"{path}.params/{name}")
+        out = fs.create(p, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
 
 
-def artefact_params(spark: SparkSession, path: str) -> dict:
-    meta = f"{path}.params"
-    if not path_exists(spark, meta):
+def artefact_record(spark: SparkSession, path: str) -> dict:
+    """``params, stamp, rows, ms`` of an artefact, or {} without a record."""
+    if not outputs_exist(spark, f"{path}.params"):
         return {}
-    row = spark.read.parquet(meta).first()
-    return json.loads(row["params"]) if row else {}
+    fs, p = _hadoop_path(spark, f"{path}.params/record.json")
+    source = fs.open(p)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+    finally:
+        source.close()
+
+
+def artefact_params(spark: SparkSession, path: str) -> dict:
+    return artefact_record(spark, path).get("params", {})
 
 
 def append_scores(scores: DataFrame, path: str, run_id: str) -> None:

@@ -21,10 +21,15 @@ def run_batches(
     stream: DataFrame, job: Callable[[DataFrame, int], DataFrame], path: str, checkpoint: str
 ):
     """Apply a batch job to every micro-batch of a stream; ``path`` gets one
-    ``batch=<n>`` folder each."""
+    ``batch=<n>`` folder each. A job reads its batch several times, so the batch is kept (on disk
+    where memory is short) and read from its source once."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        job(batch, batch_id).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.persist()
+        try:
+            job(batch, batch_id).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     query = (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -2,90 +2,93 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import sys
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # the state function travels with its helper, so executors need not have the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Setting for streams with more keys than fit into memory.
+#: State outside the heap, for more keys than fit into memory; sessions and their timers need it.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 OUT = "session_id bigint, q_idx bigint, epoch int, chosen int, ts timestamp, event_id bigint"
-STATE = "epoch int, answered boolean, ts timestamp, event_id bigint"
+#: Stands for a null question among the keys of a session's map.
+NO_QUESTION = -(1 << 62)
 
 
-def spread_resets(events: DataFrame, n_questions: int) -> DataFrame:
-    """A reset of a session (``kind = 'reset'``) becomes one event per question, so that
-    state can be kept per question and a busy session is many small states."""
-    every = F.sequence(F.lit(0).cast("long"), F.lit(n_questions - 1).cast("long"))
-    return events.withColumn(
-        "q_idx",
-        F.explode(F.when(F.col("kind") == "reset", every).otherwise(F.array("q_idx"))),
-    )
+class FirstAnswers(StatefulProcessor):
+    """State of one session: its epoch, and a map of the questions answered in it.
+
+    A reset ends the epoch and empties the map. With ``forget`` (milliseconds) a timer ends the whole state when
+    event time has passed the session's last event by that much."""
 
+    def __init__(self, forget: int | None = None):
+        self.forget = forget
 
-def _first_per_interval(rows: list[tuple]) -> list[tuple]:
-    """Of ``(ts, event_id, kind, chosen)`` the resets and the first answer after each of
-    them, in time order."""
-    kept: list[tuple] = []
-    for row in sorted(rows, key=lambda r: r[:2]):
-        if row[2] == "reset" or not kept or kept[-1][2] == "reset":
-            kept.append(row)
-    return kept
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.epoch = handle.getValueState("epoch", "epoch int")
+        self.answered = handle.getMapState("answered", "q_idx bigint", "event_id bigint")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        session = key[0]
+        events = sorted(((r.ts, r.event_id, r.kind, r.q_idx, r.chosen) for r in rows), key=lambda e: (
+            e[0] is not None, e[0] or dt.datetime.min, e[1] is not None, e[1] or 0))
+        epoch = self.epoch.get()[0] if self.epoch.exists() else 0
+        known: set = {None if k[0] == NO_QUESTION else k[0] for k in self.answered.keys()}
+        fresh: dict = {}
+        reset = False
+        for at, event, kind, question, chosen in events:
+            if kind == "reset":
+                epoch, reset = epoch + 1, True
+                known, fresh = set(), {}
+            elif question not in known:
+                known.add(question)
+                fresh[question] = event
+                yield Row(session_id=session, q_idx=question, epoch=epoch, chosen=chosen, ts=at, event_id=event)
+        if reset:
+            self.answered.clear()
+        self.epoch.update((epoch,))
+        for question, event in fresh.items():
+            self.answered.updateValue((question if question is not None else NO_QUESTION,), (event,))
+        if self.forget is not None and events and events[-1][0] is not None:
+            last = int(events[-1][0].replace(tzinfo=events[-1][0].tzinfo or dt.timezone.utc).timestamp() * 1000)
+            due = max(last, timerValues.getCurrentWatermarkInMs()) + self.forget
+            for timer in list(self.handle.listTimers()):
+                due = max(due, timer)
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.epoch.clear()
+        self.answered.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def first_answers(events: DataFrame, forget: str | None = None) -> DataFrame:
     """The first answer per session, question and epoch of a stream with ``session_id,
-    q_idx, chosen, ts, event_id, kind``; a reset opens the next epoch.
+    q_idx, chosen, ts, event_id, kind``; a reset (``kind = 'reset'``) opens the next epoch of its session.
 
-    Later answers of an epoch are ignored, as a given answer cannot be changed. Each
-    batch of a key is reduced chunk by chunk before it meets the state. With ``forget``
-    (a duration) the state of a question ends when event time has passed its last event
-    by that much; an answer that comes later still starts anew. For many sessions run
-    with the RocksDB state store, see :data:`STATE_STORE`.
+    Later answers of an epoch are ignored, as a given answer cannot be changed. With ``forget`` (a duration) a session's
+    state ends when event time has passed its last event by that much; an answer that comes later starts anew. A
+    session's events of one batch are ordered in memory, so limit the files of a batch where one session
+    is busy. State is kept in RocksDB, see :func:`run_to_table`.
     """
     wait = pd.Timedelta(forget).value // 1_000_000 if forget else None
-
-    def update(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        epoch, answered, ts, event_id = state.get if state.exists else (0, False, None, None)
-        last = None
-        reduced: list[tuple] = []
-        for chunk in chunks:
-            newest = chunk["ts"].max()
-            last = newest if last is None or newest > last else last
-            columns = [chunk[c].astype(object).where(chunk[c].notna(), None).tolist()
-                       for c in ("ts", "event_id", "kind", "chosen")]
-            reduced = _first_per_interval(reduced + list(zip(*columns)))
-        out = []
-        for at, event, kind, chosen in reduced:
-            if kind == "reset":
-                epoch, answered, ts, event_id = epoch + 1, False, at, event
-            elif not answered:
-                answered, ts, event_id = True, at, event
-                out.append((*key, epoch, chosen, at, event))
-        state.update((epoch, answered, ts, event_id))
-        if wait is not None and last is not None:
-            due = last.tz_localize("UTC") if last.tzinfo is None else last
-            state.setTimeoutTimestamp(max(due.value // 1_000_000, state.getCurrentWatermarkMs()) + wait)
-        if out:
-            made = pd.DataFrame(out, columns=["session_id", "q_idx", "epoch", "chosen", "ts", "event_id"])
-            yield made.astype({"chosen": "Int32", "event_id": "Int64", "epoch": "int32"})
-
-    return events.groupBy("session_id", "q_idx").applyInPandasWithState(
-        update, OUT, STATE, "append",
-        GroupStateTimeout.EventTimeTimeout if forget else GroupStateTimeout.NoTimeout,
+    return events.groupBy("session_id").transformWithState(
+        FirstAnswers(wait), OUT, "append", "EventTime" if forget else "None",
     )
 
 
@@ -115,6 +118,9 @@ def windowed_accuracy(
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Process what is there and stop; results and progress survive a restart."""
+    spark = stream.sparkSession
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
     query = (
         stream.writeStream.format("parquet").outputMode(mode)
         .option("path", path).option("checkpointLocation", checkpoint)
@@ -124,14 +130,6 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     return query
 
 
-def latencies(query) -> list[dict]:
-    """Rows and duration of each finished batch."""
-    return [
-        {"batch": p["batchId"], "rows": p["numInputRows"], "ms": p["durationMs"].get("triggerExecution")}
-        for p in query.recentProgress
-    ]
-
-
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     if files_per_batch:

@@ -707,3 +707,5 @@ ORACLES["lexicon_candidates"] = f"""WITH {NOUNS},
 f AS (SELECT doc_id, phrase, min(pos) AS pos FROM runs WHERE length(phrase) >= 3 GROUP BY doc_id, phrase),
 c AS (SELECT doc_id, count(*) AS n, string_agg(phrase, '|' ORDER BY pos) AS candidates FROM f GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0)::INTEGER AS n, coalesce(candidates, '') AS candidates FROM documents LEFT JOIN c USING (doc_id)"""
+ORACLES["items_latency"] = f"WITH {QUIZ} SELECT 0::BIGINT AS batch, count(*) AS rows, true AS timed FROM quiz"
+ORACLES["csv_split"] = f"WITH {QUIZ} SELECT md5(article) AS article, question, A, B, C, D, answer FROM quiz"

@@ -26,7 +26,6 @@ def first(spark, tmp_path, name, *batches):
     path = str(tmp_path / name)
     write_files(spark, path, *batches)
     stream = sessions.read_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
-    stream = sessions.spread_resets(stream, 2)
     sessions.run_to_table(sessions.first_answers(stream), path + "_out", path + "_cp")
     return {(r.session_id, r.q_idx, r.epoch): r.chosen for r in spark.read.parquet(path + "_out").collect()}
 
