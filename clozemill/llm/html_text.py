@@ -6,19 +6,26 @@ inside links; its density is characters per tag, brought down where links hold m
     D = C / T * log(C / LC * T / LT) to the base ln(C / nLC * LC + LCb / Cb * C + e)
 
 (C characters, T tags, LC and LT those of links, nLC the characters outside links, b the body; zero
-counts are taken as 1). The node with the greatest sum of its children's densities is the core. The
-threshold is the least density on the way from the core to the body; the subtree taken is the highest
-ancestor of the core that is an article or main element, else the core, widened to its parent while
-siblings of text reach the threshold. What is known by name not to be text of the article (menus,
-page headers and footers, asides, notices, adverts, forms, scripts, styles, comments) is cut first
-and never counted: by any word of a class or id outside article and main, inside them by a whole class or
-id only, and there never a heading, nor a section but one of the class of comments. Hidden is what has the
-attribute `hidden` or aria-hidden=true. Of the subtree taken every block is kept, however short.
+counts are taken as 1). The node with the greatest sum of its children's densities is the core; of equal sums
+the one with more text, then one inside an article. The threshold is a share (``SHARE``) of the least density on
+the way from the core to the body. The subtree taken is the core, widened to its parent while a sibling is a
+heading or a text of few links that reaches the threshold, and not beyond an article or main element.
+
+What is known by name not to be text of the article (menus, page headers and footers, asides, notices, adverts,
+forms, comments) counts for the densities of what is around it, as the rest of the page does, but is
+neither core nor sibling and never taken; scripts, styles and the like do not count at all. Names are read
+from any word of a class or id outside article and main. Inside them they are a whole class or id or one joined with
+a word for a container (`comment-list`, `ad-slot`), never of a heading, and of a section only if they name
+comments. Hidden is what has the attribute `hidden` or aria-hidden=true. Of the subtree taken every block is kept,
+however short.
 
 Character references are decoded, white space inside a block is one space, blocks are joined by one
 space in page order. Null, empty and text-free pages give an empty text; plain text without tags is one
-block. Broken markup never fails: an unclosed element ends with its parent, a cut tag at the end is
-dropped. A row depends on nothing but itself, so pages are parsed where they are read.
+block. Broken markup never fails: an unclosed element ends with its parent, a tag whose quotes do not close before
+the next tag ends at its first `>`, a cut tag at the end is dropped. Long pages and deep nesting take time in
+proportion to their length. An empty table gives no rows; repeated rows each get their result; only the kept
+columns and the page are read, so others may have any name. A row depends on nothing but itself, so pages are
+parsed where they are read.
 """
 
 from __future__ import annotations
@@ -61,10 +68,20 @@ ABOUT = frozenset("with without has no main article".split())
 HEADER_NAMES = frozenset("header masthead topbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 # Classes of a section of an article that never is its own text.
-REPLIES = frozenset("comment comments disqus".split())
+REPLIES = frozenset("comment comments commentlist disqus".split())
+# Words for containers, and what they hold when it is not the article.
+HOLDERS = frozenset((
+    "list area section form thread box block container wrapper wrap button buttons bar slot unit banner "
+    "links icons tools widget count feed panel").split())
+HELD = frozenset("comment comments disqus reply replies ad ads advert share sharing social newsletter cookie promo sponsor".split())
+STRUCTURE = SCOPE | {"p"} | set(LIKE)
+HARD = CUT - {"nav", "footer", "aside", "form", "menu", "dialog"}
+#: Share of the least density between core and body that a sibling has to reach.
+SHARE = 0.5
 
 TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"<!--(?:.*?-->|.*\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)"
+    r"(?:(?P<rest>(?:[^<>\"']|\"[^<\"]*\"|'[^<']*')*+)>|(?P<open>[^>]*)>)"
     r"|<[!?][^>]*>|<(?:/?[a-zA-Z!?][^>]*)\Z", re.DOTALL)
 # One attribute after the other: a value is consumed whole, so nothing in it is taken for a name.
 ATTRIBUTE = re.compile(r"""(=?[^\s>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
@@ -72,10 +89,16 @@ WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "cut", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("name", "parent", "children", "cut", "inside", "block", "scope", "names", "chars", "tags", "link_chars",
+                 "link_tags", "density")
 
-    def __init__(self, name: str, parent: Node | None, cut: bool):
+    def __init__(self, name: str, parent: Node | None, cut: int):
         self.name, self.parent, self.cut = name, parent, cut
+        self.inside = name in ("article", "main") or (parent is not None and parent.inside)
+        # The nearest open element that can end others (itself or above), the nearest scope, names open in a scope.
+        self.block = self if parent is None or name in STRUCTURE else parent.block
+        self.scope = self if parent is None or name in SCOPE else parent.scope
+        self.names: dict[str, int] | None = {} if self.scope is self else None
         self.children: list = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
@@ -91,14 +114,18 @@ def attributes(rest: str) -> dict[str, str]:
     return out
 
 
+def named_in_article(token: str) -> bool:
+    """Whether a class or id names what is not an article's own text: whole, or as a container of it."""
+    if token in NAMED:
+        return True
+    words = WORD.findall(token)
+    return len(words) > 1 and words[0] in HELD and words[-1] in HOLDERS
+
+
 def is_cut(name: str, rest: str, parent: Node) -> bool:
     if name in CUT:
         return True
-    inside = False
-    node = parent
-    while node is not None:
-        inside = inside or node.name in ("article", "main")
-        node = node.parent
+    inside = parent.inside
     if name == "header":
         return not inside
     if name in ("html", "body", "article", "main") or not rest.strip():
@@ -112,8 +139,8 @@ def is_cut(name: str, rest: str, parent: Node) -> bool:
     if inside:
         # Headings and sections are the article's own; their ids are names of its parts.
         if name == "section":
-            return any(one in REPLIES for one in own.get("class", "").split())
-        return name not in HEADINGS and any(one in NAMED for one in tokens)
+            return any(one in REPLIES or (named_in_article(one) and WORD.findall(one)[0] in REPLIES) for one in tokens)
+        return name not in HEADINGS and any(one in REPLIES or named_in_article(one) for one in tokens)
     for one in tokens:
         words = set(WORD.findall(one))
         if not words & ABOUT and (words & NAMED or words & HEADER_NAMES):
@@ -123,7 +150,8 @@ def is_cut(name: str, rest: str, parent: Node) -> bool:
 
 def parse(page: str) -> Node:
     """The page's tree; text stands in it as strings."""
-    root = node = Node("html", None, False)
+    root = node = Node("html", None, 0)
+    open_scopes: dict[str, int] = {}
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.search(page, at)
@@ -138,22 +166,24 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if m.group("end"):
-            up = node
-            while up is not None and up.name != name:
+            if name in SCOPE:
+                # How many of a name are open tells whether there is one to close.
+                if open_scopes.get(name):
+                    node = out_of(node, lambda x: x.name == name, open_scopes)
+            elif node.scope.names.get(name):
                 # A stray end tag of something inside does not close what is around it.
-                up = None if up.name in SCOPE and name not in SCOPE else up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+                node = out_of(node, lambda x: x.name == name, open_scopes)
             continue
-        rest = m.group("rest") or ""
+        rest = m.group("rest") or m.group("open") or ""
         if name in ("html", "body"):
-            node = root
+            node = out_of(node, lambda x: False, open_scopes)
             continue
         if name in CLOSES_P:
-            node = closed(node, ("p",), name)
+            node = closed(node, ("p",), name, open_scopes)
         elif name in LIKE:
-            node = closed(node, LIKE[name], name)
-        child = Node(name, node, node.cut or is_cut(name, rest, node))
+            node = closed(node, LIKE[name], name, open_scopes)
+        cut = node.cut if node.cut == 2 or not is_cut(name, rest, node) else 1
+        child = Node(name, node, 2 if name in HARD else cut)
         node.children.append(child)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -163,23 +193,36 @@ def parse(page: str) -> Node:
             at = end.end() if end else n
         elif name not in VOID and not rest.endswith("/"):
             node = child
+            counts = open_scopes if name in SCOPE else node.scope.names
+            counts[name] = counts.get(name, 0) + 1
     return root
 
 
-def closed(node: Node, names: tuple, name: str) -> Node:
+def out_of(node: Node, last, open_scopes: dict[str, int]) -> Node:
+    """Close open elements up to the first that is ``last``, and that one too."""
+    while node.parent is not None:
+        counts = open_scopes if node.name in SCOPE else node.scope.names
+        counts[node.name] -= 1
+        if last(node):
+            return node.parent
+        node = node.parent
+    return node
+
+
+def closed(node: Node, names: tuple, name: str, open_scopes: dict[str, int]) -> Node:
     """The node to go on in when an element begins that ends open ones of these names."""
-    up = node
-    while up is not None:
+    up = node.block
+    while up.parent is not None:
         if up.name in names:
-            return up.parent or up
+            return out_of(node, lambda x: x is up, open_scopes)
         if up.name in SCOPE and not (up.name in ("td", "th") and name in LIKE):
             break
-        up = up.parent
+        up = up.parent.block
     return node
 
 
 def measured(root: Node) -> list[Node]:
-    """Counts and densities of all nodes that are not cut, children first."""
+    """Counts and densities of all nodes but scripts and the like, children first."""
     order: list[Node] = []
     stack = [(root, False)]
     while stack:
@@ -190,7 +233,7 @@ def measured(root: Node) -> list[Node]:
                 count = len(child.split()) and len(" ".join(child.split()))
                 node.chars += count
                 node.link_chars += count if link else 0
-            elif not child.cut:
+            elif child.cut < 2:
                 inside = link or child.name == "a"
                 child.link_tags += inside
                 stack.append((child, inside))
@@ -214,37 +257,31 @@ def measured(root: Node) -> list[Node]:
 
 def core(root: Node) -> Node:
     """The subtree to take."""
-    order = measured(root)
+    order = [x for x in measured(root) if not x.cut]
 
-    def total(node: Node) -> float:
-        return sum(x.density for x in node.children if not isinstance(x, str) and not x.cut)
+    def children(node: Node) -> list[Node]:
+        return [x for x in node.children if not isinstance(x, str) and not x.cut]
 
-    best = max(order, key=lambda x: (total(x), x.chars))
-    if not total(best):
+    sums = {id(x): sum(y.density for y in children(x)) for x in order}
+    best = max(order, key=lambda x: (sums[id(x)], x.chars, x.inside))
+    if not sums[id(best)]:
         return root
-    path = [best]
-    while path[-1].parent is not None:
-        path.append(path[-1].parent)
-    for node in reversed(path):
-        if node.name in ("article", "main"):
-            return node
-    articles = [x for x in order if x.name == "article" and x.chars]
-    if len(articles) == 1 and any(x is best for x in ancestors(articles[0])):
-        return articles[0]
-    threshold = min(x.density for x in path)
-    while best.parent is not None and any(
-            x is not best and not isinstance(x, str) and not x.cut and x.density >= threshold
-            and x.link_chars * 2 < x.chars for x in best.parent.children):
-        best = best.parent
-    return best
-
-
-def ancestors(node: Node) -> list[Node]:
-    out = []
+    least, node = best.density, best
     while node.parent is not None:
         node = node.parent
-        out.append(node)
-    return out
+        least = min(least, node.density)
+    threshold = SHARE * least
+
+    def goes_with(x: Node) -> bool:
+        if not x.chars or 2 * x.link_chars >= x.chars:
+            return False
+        return x.name in HEADINGS or x.density >= threshold
+
+    while best.parent is not None and best.name not in ("article", "main") and (
+            best.name in INLINE or any(x is not best and goes_with(x) for x in children(best.parent))
+            or any(isinstance(x, str) and x.strip() for x in best.parent.children)):
+        best = best.parent
+    return best
 
 
 def blocks(top: Node) -> list[str]:
@@ -254,7 +291,7 @@ def blocks(top: Node) -> list[str]:
 
     def end() -> None:
         if run:
-            text = " ".join(html.unescape("".join(run)).split())
+            text = " ".join("".join(run).split())
             run.clear()
             if text:
                 out.append(text)
@@ -265,7 +302,7 @@ def blocks(top: Node) -> list[str]:
         if item is None:
             end()
         elif isinstance(item, str):
-            run.append(item)
+            run.append(html.unescape(item))
         elif not item.cut or item is top:
             if item.name not in INLINE:
                 end()

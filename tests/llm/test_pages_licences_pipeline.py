@@ -72,6 +72,72 @@ def test_given_pages_equal_their_articles(spark, sf):
         assert html_text.main_text(r.html) == " ".join(html.unescape(inner).split())
 
 
+def test_given_pages_with_neutral_tags(spark, sf):
+    """Without article elements densities alone find the same text."""
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        neutral = r.html.replace("<article", "<div").replace("</article>", "</div>")
+        assert html_text.main_text(neutral) == html_text.main_text(r.html)
+
+
+def test_densities_decide(monkeypatch):
+    text = "A long first paragraph with quite a few words in it, and some more of them."
+    noise = "".join(f"<div><span>x{i}</span><i>y</i></div>" for i in range(9))
+    page = f"<body><div><div>{noise}</div></div><div id=c><h2>Head</h2><p>{text}</p><p>Short.</p><p>{text}</p></div></body>"
+    want = f"Head {text} Short. {text}"
+    assert html_text.main_text(page) == want
+    linked = f'<body><ul>{"".join(f"<li><a href=x>{text}</a></li>" for _ in range(8))}</ul><div><p>{text}</p><p>{text}</p></div></body>'
+    assert html_text.main_text(linked) == f"{text} {text}"
+    plain = html_text.measured
+
+    def turned(root):
+        order = plain(root)
+        for node in order:
+            node.density = 1 / (1 + node.density) if node.chars else 0.0
+        return order
+
+    monkeypatch.setattr(html_text, "measured", turned)
+    assert html_text.main_text(page) != want and html_text.main_text(linked) != f"{text} {text}"
+
+
+def test_reader_comments_and_slots_inside_an_article():
+    text = "A long first paragraph with quite a few words in it."
+    for tag in ('section id="comments"', 'ol class="comment-list"', 'div class="comments-area"', 'div id="comment_form"',
+                'div class="share-buttons x"', 'div class="ad-slot"', 'ul class="social-links"', 'div id="disqus_thread"',
+                'section class="comments-section"'):
+        name = tag.split()[0]
+        page = f"<article><p>{text}</p><{tag}><p>Nice post!</p></{name}><p>{text}</p></article>"
+        assert html_text.main_text(page) == f"{text} {text}", tag
+    for tag in ('div class="commentary"', 'div class="ad-hoc"', 'p class="shares-sold"', 'ul class="list"', 'div class="comment-on-law"'):
+        name = tag.split()[0]
+        assert html_text.main_text(f"<article><p>{text}</p><{tag}>Part.</{name}></article>") == f"{text} Part.", tag
+
+
+def test_quotes_that_never_close_and_cut_references():
+    text = "A long first paragraph with quite a few words in it."
+    assert html_text.main_text(f'<p>{text} <a href="x>more</a> text</p><p class=\'a\'>{text}</p>') == f"{text} more text {text}"
+    assert html_text.main_text("<p>fish &amp<b>;</b> chips</p>") == "fish &; chips"
+    assert html_text.main_text('<head><title>t</title><body><p title="a > b">one</p>') == "one"
+
+
+def test_long_odd_pages_take_time_in_proportion():
+    import time
+
+    def seconds(page):
+        t = time.perf_counter()
+        html_text.main_text(page)
+        return time.perf_counter() - t
+
+    shapes = {
+        "nested": lambda n: "<div class=a>" * n + "text" + "</div>" * n,
+        "quotes": lambda n: "<a b=\"'>x " * n, "stray": lambda n: "<div><b>" * n + "</i></section>" * n,
+        "inline": lambda n: "<b>" * n + "<p>x<hr>" * n, "items": lambda n: "<dt><li><tr><td>" * n,
+    }
+    for name, shape in shapes.items():
+        short, long = seconds(shape(4_000)), seconds(shape(32_000))
+        assert long < 24 * short + 0.5, (name, short, long)
+    assert seconds("<div>" * 100_000 + "deep" + "</div>" * 100_000) < 20
+
+
 def test_licences_come_from_the_nearest_directory(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [(1, "a/LICENSE", f"x\n{mit}"), (2, "a/b/c/f.txt", "prose " * 500), (3, "a/b/COPYING", gpl.upper()),
