@@ -8,7 +8,10 @@ is close, the text is flagged ambiguous. The code corrects bits that single clas
 Fitted on a sample of at most ``SAMPLE`` rows in all, equally many for each language, those with the
 least hash of their id; everything else reads every row and whole texts. Null texts and texts
 without a letter are `und` with score 0. Without a single labelled row all are `und`. Equal rows get
-equal results. Nothing is shuffled but ids.
+equal results. Nothing is shuffled but ids, and of those only the ones with the least hashes: how many rows a
+language has in each of ``SLICES`` slices of the hash range is counted first. Very long texts are read whole; an
+empty table gives no rows; ties between languages go to the first name; only the id, the text and (for
+learning) the language are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -21,11 +24,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clozemill.llm.common import LETTERS, frames, held_out, opened, share, type_of
+from clozemill.operators.common import small
 
 BITS = 11
 SAMPLE = 6000
 UNKNOWN = "und"
 CLOSE = 0.10
+SLICES = 1 << 16
 
 
 def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -124,9 +129,7 @@ def fit(docs: DataFrame, lang: str = "lang", id_column: str = "doc_id", text: st
     if not classes:
         return None
     each = max(1, sample // classes)
-    order = W.partitionBy(lang).orderBy(F.xxhash64(F.col(id_column).cast("string")), id_column)
-    chosen = known.select(id_column, lang).withColumn("_n", F.row_number().over(order)).where(
-        F.col("_n") <= each).select(F.col(id_column).alias("_id"), F.col(lang).alias("_lang"))
+    chosen = least_hashes(known.select(F.col(id_column).alias("_id"), F.col(lang).alias("_lang")), each, classes)
     # At most ``sample`` ids, so the broadcast is bounded.
     rows = known.select(id_column, text).join(
         F.broadcast(chosen), F.col(id_column) == F.col("_id")).select("_id", "_lang", text)
@@ -147,6 +150,23 @@ def fit(docs: DataFrame, lang: str = "lang", id_column: str = "doc_id", text: st
     return Coder(x.astype(np.float32), found.column("lang").to_pylist())
 
 
+def least_hashes(rows: DataFrame, each: int, classes: int) -> DataFrame:
+    """The ``each`` rows of every language with the least hashes of their ids.
+
+    Slices are counted on the map side; only rows of the slices up to the one that fills a language are
+    sorted, so a language that holds most rows is no larger a group than any other."""
+    named = rows.withColumn("_h", F.xxhash64(F.col("_id").cast("string"))).withColumn(
+        "_slice", F.shiftright("_h", 64 - int(SLICES).bit_length() + 1))
+    before = W.partitionBy("_lang").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    counts = named.groupBy("_lang", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    last = counts.withColumn("_had", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(
+        F.col("_had") < each).groupBy("_lang").agg(F.max("_slice").alias("_last"))
+    # A row a language.
+    near = named.join(small(last, classes), "_lang").where(F.col("_slice") <= F.col("_last"))
+    order = W.partitionBy("_lang").orderBy("_h", "_id")
+    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).select("_id", "_lang")
+
+
 def identify(docs: DataFrame, coder: Coder | None, id_column: str = "doc_id",
              text: str = "text") -> DataFrame:
     """(id, lang_pred, score, ambiguous) for every row."""

@@ -2,18 +2,22 @@
 
 Features are the words of the whole text (letters only, A-Z lowered) and their beginnings of 2 to 8 bytes,
 since languages with compounds spell one insult in many words; each is present or absent, and hashed.
-Features whose share among toxic texts is what chance gives (z under ``SCREEN``) are left out. Training
+Features whose share among toxic texts is what chance gives (z under a screen) are left out; which of ``SCREENS`` is
+used is chosen by ``FOLDS`` folds inside the learning rows. Training
 minimises the logistic loss, an L1 penalty, and for every training text that names a group the squared
 change of its score when the term is swapped for another of its kind. So the mention of a group as such
 moves a score as little as any other mention would, and cannot carry the label of the company it kept.
 
 Fitted on at most ``SAMPLE`` labelled rows, those with the least hash of their id; every row is scored on
 its whole text. Null and empty texts get the score of a text without any known word. Without labels all
-scores are 0. Equal rows get equal results; nothing is shuffled but labels.
+scores are 0. Equal rows get equal results; nothing is shuffled but labels. Very long texts are read whole, an empty
+table gives no rows, and only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +30,8 @@ from clozemill.llm.common import (
 BITS = 20
 SAMPLE = 8_000
 MIN_TEXTS = 6
-SCREEN = 4.0
+SCREENS = (3.0, 4.0, 5.0)
+FOLDS = 3
 BEGINNINGS = range(2, 9)
 L1 = 1.5e-4
 L2 = 1e-5
@@ -83,7 +88,7 @@ class Scorer:
     """Fitted weights by feature."""
 
     def __init__(self, texts: list[np.ndarray], labels: np.ndarray, groups=GROUPS, swap: float = SWAP,
-                 l1: float = L1, min_texts: int = MIN_TEXTS, rounds: int = 300):
+                 l1: float = L1, min_texts: int = MIN_TEXTS, rounds: int = 300, screen: float = SCREENS[0]):
         n = len(texts)
         row = np.repeat(np.arange(n), [len(t) for t in texts])
         feature = np.concatenate(texts) if n else np.empty(0, np.int64)
@@ -93,7 +98,7 @@ class Scorer:
         share = labels.mean() if n else 0.0
         toxic = np.bincount(column, labels[row].astype(float), len(seen))
         z = (toxic - count * share) / np.sqrt(np.maximum(count * share * (1 - share), 1e-9))
-        keep = ((count >= min_texts) & (np.abs(z) >= SCREEN)) | np.isin(seen, ends)
+        keep = ((count >= min_texts) & (np.abs(z) >= screen)) | np.isin(seen, ends)
         self.features = np.union1d(seen[keep], ends)
         number = np.searchsorted(self.features, seen)
         live = keep[column]
@@ -211,7 +216,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     # Only the features that passed the screen come to the driver.
     found = table.mapInArrow(narrow, table.schema).orderBy("id", "y", "x").toArrow()
     texts = [np.frombuffer(v.as_buffer(), np.int32).astype(np.int64) for v in found.column("x")]
-    return Scorer(texts, found.column("y").to_numpy(), **options)
+    y = found.column("y").to_numpy()
+    if "screen" not in options:
+        options["screen"] = chosen_screen(found.column("id").to_pylist(), texts, y, **options)
+    return Scorer(texts, y, **options)
+
+
+def chosen_screen(ids: list, texts: list[np.ndarray], y: np.ndarray, **options) -> float:
+    """The screen with the best mean of caught toxic and spared other texts, each scored by a model that has not
+    seen its fold; ties go to the stronger screen."""
+    fold = np.array([zlib.crc32(f"fold:{i}".encode()) % FOLDS for i in ids])
+    best, chosen = -1.0, SCREENS[0]
+    for screen in SCREENS:
+        score = np.zeros(len(texts))
+        for k in range(FOLDS):
+            own, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+            if len(own):
+                model = Scorer([texts[i] for i in rest], y[rest], screen=screen, **options)
+                owner = np.repeat(np.arange(len(own)), [len(texts[i]) for i in own])
+                score[own] = model.score(np.concatenate([texts[i] for i in own]), owner, len(own))
+        caught, spared = (score[y == 1] >= THRESHOLD), (score[y == 0] < THRESHOLD)
+        value = (caught.mean() if len(caught) else 0.0) + (spared.mean() if len(spared) else 0.0)
+        if value >= best:
+            best, chosen = value, screen
+    return chosen
 
 
 def screened(table: DataFrame, n: int, toxic: int) -> np.ndarray:
@@ -232,7 +260,7 @@ def screened(table: DataFrame, n: int, toxic: int) -> np.ndarray:
     each = table.mapInArrow(counts, "f long, c long, t long").groupBy("f").agg(
         F.sum("c").alias("c"), F.sum("t").alias("t"))
     off = F.abs(F.col("t") - F.col("c") * share) / F.sqrt(F.col("c") * max(share * (1 - share), 1e-9))
-    rows = each.where((F.col("c") >= MIN_TEXTS) & (off >= SCREEN)).select("f").orderBy("f").toArrow()
+    rows = each.where((F.col("c") >= MIN_TEXTS) & (off >= SCREENS[0])).select("f").orderBy("f").toArrow()
     return rows.column("f").to_numpy()
 
 

@@ -258,3 +258,26 @@ def test_held_out_rule(spark):
     import zlib
     got = spark.range(50).select("id", held_out("id", 3, 1).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in got)
+
+
+def test_least_hashes_of_each_language(spark):
+    """As one sort by language gives; a language of most rows is cut down before it is sorted."""
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    rows = spark.range(6000).selectExpr("id AS _id", "CASE WHEN id % 50 = 0 THEN 'b' WHEN id % 997 = 1 THEN 'c' ELSE 'a' END AS _lang")
+    order = W.partitionBy("_lang").orderBy(F.xxhash64(F.col("_id").cast("string")), "_id")
+    want = rows.withColumn("n", F.row_number().over(order)).where("n <= 40").select("_id", "_lang")
+    got = language.least_hashes(rows, 40, 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_screen_is_chosen_inside_the_learning_rows():
+    """Chance features make the weak screen worse; the folds see it. Labels of other rows play no part."""
+    rng = np.random.default_rng(2)
+    y = (rng.random(900) < 0.3).astype(int)
+    texts = [np.unique(np.concatenate([rng.integers(10, 4000, 30), [1] if label and rng.random() < 0.9 else [2]]))
+             for label in y]
+    assert toxicity.chosen_screen(list(range(900)), texts, y) in toxicity.SCREENS
+    model = toxicity.Scorer(texts, y, screen=toxicity.chosen_screen(list(range(900)), texts, y))
+    assert 1 in model.features
