@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clozemill.functions import text as X
 from clozemill.operators import (
     cells, cloze, clusters, cooccurrence, distractors, embeddings, lexicon, metrics, profile, relational, reports, sampling,
-    similarity, tfidf, verifier,
+    similarity, tablemodels, tfidf, verifier,
 )
 from clozemill.operators.common import keyed, once, spread
 from clozemill.plans import items as item_plan
@@ -740,6 +741,97 @@ def kmeans_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---- models as tables, with coefficients by a rule over the vocabulary -----------
+
+
+def _digest(text, salt: str, digits: int = 4):
+    """A whole number from the first hexadecimal digits of a salted md5."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(salt), text)), 1, digits), 16, 10).cast("long")
+
+
+def _rule_voters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    terms = vocabulary(spark, sf_dir).select("term_id", "term")
+    one, two = ((F.pmod(_digest(F.col("term"), f"v{k}:"), F.lit(2001)) - 1000) / 250 for k in (0, 1))
+    rows = F.array(F.struct(F.lit(0).alias("voter"), one.alias("weight")), F.struct(F.lit(1).alias("voter"), two.alias("weight")))
+    return terms.select("term_id", F.inline(rows)), spark.createDataFrame([(0, -0.5), (1, 0.25)], "voter int, intercept double")
+
+
+def _table_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build() -> DataFrame:
+        options = relational.unpivot_options(quiz_table(spark, sf_dir)).withColumn("uid", F.concat_ws(":", "id", "opt"))
+        weights = tfidf.tfidf_weights(options, vocabulary(spark, sf_dir), "uid")
+        return tablemodels.vote_scores(options.drop("text"), weights, *_rule_voters(spark, sf_dir))
+
+    return staged(spark, sf_dir, "table_votes", build)
+
+
+@query
+def verifier_table_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML3-ML5 as tables: both voters and the vote for every option of the quiz."""
+    return _table_votes(spark, sf_dir).select(
+        "id", "opt", "label", "predicted", F.round("probability", 6).alias("probability"),
+        *[F.round(F.col("probabilities")[k], 6).alias(f"p{k}") for k in (0, 1)])
+
+
+@query
+def verifier_table_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML15 over the same scores."""
+    made = reports.classification_report(_table_votes(spark, sf_dir), "label", "predicted")
+    return made.select("name", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query
+def kmeans_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML6, A7 as tables: nearest of ten stored centres for every question, rows and inertia by cluster."""
+    # The 200 most frequent terms, dealt to the centres in turn, so that shared terms decide.
+    terms = vocabulary(spark, sf_dir).orderBy(F.desc("cf"), "term").limit(200)
+    place = F.row_number().over(W.orderBy(F.desc("cf"), "term"))
+    centres = terms.select("term_id", F.pmod(place, F.lit(10)).alias("cluster_id"), (0.1 + place / 1000).alias("value"))
+    rows = quiz_table(spark, sf_dir).select(F.col("id").alias("uid"), relational.cluster_text().alias("text"))
+    weights = tfidf.tfidf_weights(rows, vocabulary(spark, sf_dir), "uid")
+    placed = tablemodels.nearest_centre(rows.select("uid"), weights, centres)
+    return tablemodels.cluster_inertia(placed).select("cluster_id", "n", F.round("inertia", 6).alias("inertia"))
+
+
+def _rule_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``word, vector`` of eight numbers by a rule for every word of the passages that stands twice or more."""
+
+    def build() -> DataFrame:
+        texts = _docs(spark, sf_dir).select(X.word_tokens(F.col("text")).alias("tokens"))
+        digit = [(F.conv(F.substring(F.md5("word"), k + 1, 1), 16, 10).cast("double") - 7.5).alias(f"d{k}") for k in range(8)]
+        return cooccurrence.word_counts(texts).select("word", F.array(*digit).alias("vector"))
+
+    return staged(spark, sf_dir, "rule_vectors", build)
+
+
+def _ruled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _rule_vectors(spark, sf_dir)
+    rows = once(
+        distractors.with_candidates(quiz_table(spark, sf_dir)).withColumn("answer", relational.correct_option()),
+        low_article=F.lower("article"))
+    pairs = rows.select("id", "answer", "low_article", F.explode("candidates").alias("cand")).filter(
+        F.col("cand") != F.lower("answer"))
+    return distractors.candidate_features(pairs, vectors, ["id"], vectors.count(), 8, stored)
+
+
+@query
+def candidate_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J4, A15, ML10: cosine of a candidate's and an answer's mean vector, for vectors by a rule."""
+    return _ruled_pairs(spark, sf_dir).select("id", "cand", F.round("sim", 6).alias("sim"))
+
+
+@query
+def ranked_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML11, ML12, W7: the three best candidates of every question by a ranker that is a table."""
+    ranker = spark.createDataFrame(
+        [("intercept", -0.3), ("sim", 1.7), ("char_match", 0.9), ("freq", 0.05), ("len_diff", -0.11)],
+        "feature string, weight double")
+    scored = tablemodels.rank_scores(_ruled_pairs(spark, sf_dir), ranker, distractors.FEATURES).withColumn(
+        "prob", F.round("prob", 9))
+    best = distractors.top_ranked(scored.select("id", "cand", "prob"), ["id"], 3)
+    return best.select("id", "cand", F.round("prob", 6).alias("prob"), "rank")
+
+
 @query
 def quiz_items_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML16 with every model: ranked wrong options and cluster ids."""

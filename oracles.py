@@ -709,3 +709,68 @@ c AS (SELECT doc_id, count(*) AS n, string_agg(phrase, '|' ORDER BY pos) AS cand
 SELECT doc_id, coalesce(n, 0)::INTEGER AS n, coalesce(candidates, '') AS candidates FROM documents LEFT JOIN c USING (doc_id)"""
 ORACLES["items_latency"] = f"WITH {QUIZ} SELECT 0::BIGINT AS batch, count(*) AS rows, true AS timed FROM quiz"
 ORACLES["csv_split"] = f"WITH {QUIZ} SELECT md5(article) AS article, question, A, B, C, D, answer FROM quiz"
+
+
+# ---- models as tables
+def digest(text: str, salt: str) -> str:
+    return f"('0x' || substr(md5('{salt}' || {text}), 1, 4))::BIGINT"
+
+
+OPTION_VOTES = ",".join([
+    QUIZ, VOCAB,
+    f"""
+opt AS (SELECT id, o.opt AS opt, question || ' ' || o.option AS text, (o.opt = answer)::INTEGER AS label
+        FROM (SELECT *, unnest([{", ".join(f"{{'opt': '{c}', 'option': {c}}}" for c in LETTERS)}]) AS o FROM quiz))""",
+    grams("og", "opt", "id, opt", "text"), weights("ow", "og", "id, opt"),
+    "onorm AS (SELECT id, opt, sqrt(sum(w * w)) AS n FROM ow GROUP BY id, opt)",
+    "os AS (SELECT id, opt, " + ", ".join(
+        f"sum(w / n * ((({digest('term', f'v{k}:')}) % 2001 - 1000) / 250.0::DOUBLE)) AS s{k}" for k in (0, 1))
+    + " FROM ow JOIN onorm USING (id, opt) GROUP BY id, opt)",
+    """
+op AS (SELECT opt.id, opt.opt, label, 1 / (1 + exp(-(coalesce(s0, 0) - 0.5::DOUBLE))) AS p0,
+         1 / (1 + exp(-(coalesce(s1, 0) + 0.25::DOUBLE))) AS p1 FROM opt LEFT JOIN os USING (id, opt)),
+ov AS (SELECT *, (p0 + p1) / 2 AS m, CAST((p0 + p1) / 2 > 1 - (p0 + p1) / 2 AS INTEGER) AS predicted FROM op)""",
+])
+ORACLES["verifier_table_scores"] = f"""WITH {OPTION_VOTES}
+SELECT id, opt, label, predicted, round(m, 6) AS probability, round(p0, 6) AS p0, round(p1, 6) AS p1 FROM ov"""
+_report = ORACLES["classification_report"]
+ORACLES["verifier_table_report"] = (
+    f"WITH {OPTION_VOTES}, j AS (SELECT label AS actual, predicted FROM ov), "
+    + _report[_report.index("c AS (SELECT k,"):])
+ORACLES["kmeans_table"] = f"""WITH {QUIZ}, {VOCAB},
+ct AS (SELECT id, question || ' ' || correct AS text FROM quiz),
+{grams("kg", "ct", "id", "text")}, {weights("kw", "kg", "id")},
+kn AS (SELECT id, sqrt(sum(w * w)) AS n FROM kw GROUP BY id),
+cen AS (SELECT place % 10 AS cluster_id, term, 0.1::DOUBLE + place / 1000.0::DOUBLE AS value FROM (
+          SELECT term, row_number() OVER (ORDER BY cf DESC, term)::INTEGER AS place FROM vocab ORDER BY place LIMIT 200)),
+len AS (SELECT cluster_id, sum(value * value) AS c2 FROM cen GROUP BY cluster_id),
+dot AS (SELECT id, cluster_id, sum(w / n * value) AS dot FROM kw JOIN kn USING (id) JOIN cen USING (term) GROUP BY id, cluster_id),
+dist AS (SELECT ct.id, len.cluster_id, c2 - 2 * coalesce(dot, 0) AS d
+         FROM ct CROSS JOIN len LEFT JOIN dot ON dot.id = ct.id AND dot.cluster_id = len.cluster_id),
+near AS (SELECT id, arg_min(cluster_id, (d, cluster_id)) AS cluster_id, min(d) AS d FROM dist GROUP BY id)
+SELECT cluster_id, count(*) AS n, round(sum(greatest(0, d + CASE WHEN kn.id IS NULL THEN 0 ELSE 1 END)), 6) AS inertia
+FROM near LEFT JOIN kn USING (id) GROUP BY cluster_id"""
+RULED = ",".join([
+    QUIZ, phrases("np", "quiz", "id", "article"),
+    f"""
+rv AS (SELECT w, list_transform(range(1, 9), lambda k: ('0x' || substr(md5(w), k, 1))::INTEGER - 7.5::DOUBLE) AS v
+       FROM (SELECT unnest({words("lower(coalesce(text, ''))")}) AS w FROM documents) GROUP BY w HAVING count(*) >= 2),
+pr AS (SELECT id, correct, phrase AS cand, article FROM np JOIN quiz USING (id) WHERE phrase <> lower(correct)),
+ph AS (SELECT cand AS p FROM pr UNION SELECT correct FROM pr),
+pt AS (SELECT p, unnest({words("lower(p)")}) AS w FROM ph),
+pm AS (SELECT p, k, avg(v[k]) AS x FROM (SELECT p, v, unnest(range(1, 9)) AS k FROM pt JOIN rv USING (w)) GROUP BY p, k),
+pn AS (SELECT p, nullif(sqrt(sum(x * x)), 0) AS n FROM pm GROUP BY p),
+sm AS (SELECT a.p AS cand, b.p AS correct, sum(a.x * b.x) / any_value(an.n * bn.n) AS sim
+       FROM (SELECT DISTINCT cand, correct FROM pr) d JOIN pm a ON a.p = d.cand JOIN pm b ON b.p = d.correct AND a.k = b.k
+       JOIN pn an ON an.p = a.p JOIN pn bn ON bn.p = b.p GROUP BY a.p, b.p),
+fe AS (SELECT id, cand, coalesce(sim, 0) AS sim,
+         len(list_filter(list_distinct(string_split(cand, '')), lambda c: contains(correct, c))) / greatest(length(cand), 1) AS char_match,
+         (length(lower(article)) - length(replace(lower(article), cand, ''))) // length(cand) AS freq,
+         abs(length(cand) - length(correct)) AS len_diff
+       FROM pr LEFT JOIN sm USING (cand, correct))"""])
+ORACLES["candidate_similarity"] = f"WITH {RULED} SELECT id, cand, round(sim, 6) AS sim FROM fe"
+ORACLES["ranked_table"] = f"""WITH {RULED},
+pb AS (SELECT id, cand, round(round(1 / (1 + exp(-(-0.3::DOUBLE + sim * 1.7::DOUBLE + char_match * 0.9::DOUBLE + freq * 0.05::DOUBLE
+         - len_diff * 0.11::DOUBLE))), 12), 9) AS prob FROM fe),
+rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY prob DESC, cand DESC) AS rank FROM pb)
+SELECT id, cand, round(prob, 6) AS prob, rank::INTEGER AS rank FROM rk WHERE rank <= 3"""
