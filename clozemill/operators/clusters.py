@@ -1,4 +1,4 @@
-"""Topic clusters: k-means with several starts, assignment, exact silhouette on a sample."""
+"""Topic clusters: k-means with several starts, assignment, exact silhouette on a sample, moments on the full table."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,8 +142,43 @@ def silhouette(
     return parts.agg(F.avg("s").alias("silhouette"))
 
 
-def squared_silhouette(clustered: DataFrame, features: str = "features") -> float:
-    """Full-table alternative with squared distances; a different number by definition."""
-    return ClusteringEvaluator(
-        featuresCol=features, predictionCol="cluster_id", metricName="silhouette"
-    ).evaluate(clustered)
+def moment_silhouette(
+    points: DataFrame, id_col: str = "id", vector: str = "vector", cluster: str = "cluster_id",
+) -> DataFrame:
+    """``id, cluster_id, own, other, s`` of every point by squared distances; a different number by definition.
+
+    The mean squared distance to a cluster follows from its count, mean and mean square, so no two points meet:
+    one aggregate for the moments (a row a cluster), one map over the points. A cluster of one, or a single cluster,
+    gives 0; points without a vector or a cluster are left out.
+    """
+    rows = points.where(F.col(vector).isNotNull() & F.col(cluster).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(cluster).cast("int").alias("c"), F.col(vector).cast("array<double>").alias("x"))
+    packed = rows.select("c", array_to_vector("x").alias("v"))
+    found = packed.groupBy("c").agg(
+        F.count(F.lit(1)).alias("n"), Summarizer.mean(F.col("v")).alias("m"), Summarizer.normL2(F.col("v")).alias("l2"))
+    moments = [(r.c, r.n, r.m.toArray(), float((r.l2.toArray() ** 2).sum()) / r.n) for r in found.orderBy("c").collect()]
+    known = np.array([m[0] for m in moments])
+    count = np.array([m[1] for m in moments], np.float64)
+    mean = np.array([m[2] for m in moments]) if moments else np.zeros((0, 1))
+    square = np.array([m[3] for m in moments])
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def work(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            far = np.maximum((x * x).sum(1)[:, None] + square[None] - 2 * x @ mean.T, 0.0)
+            at = np.searchsorted(known, batch.column(1).to_numpy())
+            row = np.arange(len(x))
+            own = far[row, at] * count[at] / np.maximum(count[at] - 1, 1)
+            far[row, at] = np.inf
+            other = far.min(1)
+            alone = (count[at] == 1) | ~np.isfinite(other)
+            top = np.maximum(own, np.where(np.isfinite(other), other, 0))
+            s = np.where(alone | (top == 0), 0.0, (np.where(alone, 0, other) - own) / np.where(top == 0, 1, top))
+            yield pa.record_batch({
+                "id": batch.column(0), "cluster_id": batch.column(1), "own": pa.array(own),
+                "other": pa.array(np.where(np.isfinite(other), other, np.nan)), "s": pa.array(s)})
+
+    return rows.mapInArrow(work, f"id {kind}, cluster_id int, own double, other double, s double")

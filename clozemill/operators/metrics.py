@@ -1,14 +1,19 @@
 """BLEU, ROUGE and METEOR over a table of (key, hypothesis, reference) rows.
 
-The pairs are exchanged once by key; n-gram and alignment counts are aggregates and
-windows on that partitioning, so the metrics add no exchange of their own.
+N-grams are counted in Arrow batches where the pairs stand. For METEOR the pairs are exchanged once by key; alignments are
+aggregates and windows on that partitioning.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,7 +22,33 @@ from clozemill.functions import text as X
 from clozemill.functions.arrow import greedy_pairs, lcs_length, stem_tokens
 from clozemill.operators.common import keyed, once
 
-SIDE = "struct<n:int,gram:string,h:int,r:int>"
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def _overlaps(hyp: pa.Array, ref: pa.Array, max_n: int) -> list[np.ndarray]:
+    """Clipped common n-grams of each pair for n = 1 to ``max_n``; exact, grams are numbered and not hashed."""
+    rows = len(hyp)
+    size = np.concatenate([pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False) for x in (hyp, ref)])
+    words = pa.chunked_array([hyp.flatten(), ref.flatten()]).combine_chunks().dictionary_encode()
+    code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    kinds = len(words.dictionary) + 1
+    text = np.repeat(np.arange(2 * rows), size)
+    gram, out = code, []
+    for n in range(1, max_n + 1):
+        if n > 1:
+            # A gram and the word behind it, where both are of one text.
+            whole, follow = text[:-(n - 1)] == text[n - 1:], code[n - 1:]
+            gram = np.unique(gram[:-1] * kinds + follow, return_inverse=True)[1] if len(gram) > 1 else gram[:0]
+        else:
+            whole = np.ones(len(gram), bool)
+        owner = text[:len(gram)]
+        span = int(gram.max(initial=0)) + 1
+        left, right = ((owner < rows) & whole, (owner >= rows) & whole)
+        a, na = np.unique(owner[left] * span + gram[left], return_counts=True)
+        b, nb = np.unique((owner[right] - rows) * span + gram[right], return_counts=True)
+        both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        out.append(np.bincount(both // span, np.minimum(na[i], nb[j]), rows).astype(np.int64))
+    return out
 
 
 def ngram_overlap(
@@ -25,30 +56,25 @@ def ngram_overlap(
 ) -> DataFrame:
     """``key`` and per n: ``o{n}`` clipped common n-grams, ``h{n}``, ``r{n}`` all n-grams.
 
-    ``hyp`` and ``ref`` are token arrays; ``pairs`` is partitioned by key. Keys with
-    two empty sides stay, with zeros.
+    ``hyp`` and ``ref`` are token arrays. A pair is counted where it stands, many pairs at a time, so nothing
+    is shuffled and a long text costs its row only. Two empty sides give zeros.
     """
-
-    def side(tokens: str, n: int, h: int, r: int) -> Column:
-        return F.transform(
-            X.ngrams(F.col(tokens), n),
-            lambda g: F.struct(
-                F.lit(n).alias("n"), g.alias("gram"), F.lit(h).alias("h"), F.lit(r).alias("r")
-            ),
-        )
-
-    both = F.concat(*[
-        side(c, n, h, 1 - h).cast(f"array<{SIDE}>")
-        for n in range(1, max_n + 1) for c, h in ((hyp, 1), (ref, 0))
-    ])
-    flat = pairs.select(key, F.inline_outer(both))
-    counted = flat.groupBy(key, "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    per_n = []
-    for n in range(1, max_n + 1):
-        for name, value in (("o", F.least("h", "r")), ("h", F.col("h")), ("r", F.col("r"))):
-            total = F.sum(F.when(F.col("n") == n, value))
-            per_n.append(F.coalesce(total, F.lit(0)).alias(f"{name}{n}"))
-    return counted.groupBy(key).agg(*per_n)
+    names = [f"o{n}" for n in range(1, max_n + 1)]
+
+    def work(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = _overlaps(part.column(3), part.column(4), max_n)
+                yield pa.record_batch([part.column(0), part.column(1), part.column(2), *map(pa.array, found)],
+                                      names=["key", "nh", "nr", *names])
+
+    kind = pairs.schema[key].dataType.simpleString()
+    sized = pairs.select(F.col(key).alias("key"), F.size(hyp).alias("nh"), F.size(ref).alias("nr"), hyp, ref)
+    made = sized.mapInArrow(work, f"key {kind}, nh int, nr int, " + ", ".join(f"{c} long" for c in names))
+    return made.select(F.col("key").alias(key), *[c for n in range(1, max_n + 1) for c in (
+        F.col(f"o{n}"), F.greatest(F.col("nh") - (n - 1), F.lit(0)).cast("long").alias(f"h{n}"),
+        F.greatest(F.col("nr") - (n - 1), F.lit(0)).cast("long").alias(f"r{n}"))])
 
 
 def bleu4() -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +66,15 @@ def rank_scores(features: DataFrame, coefficients: DataFrame, names: list[str])
     return features.withColumn("prob", F.round(1 / (1 + F.exp(-margin)), 12))
 
 
+def centre_table(spark: SparkSession, model: KMeansModel) -> DataFrame:
+    """``cluster_id, term_id, value`` of a fitted model's centres, values that are not 0."""
+    centres = np.array(model.clusterCenters())
+    cluster, term = np.nonzero(centres)
+    return spark.createDataFrame(pa.table({
+        "cluster_id": pa.array(cluster.astype(np.int32)), "term_id": pa.array(term.astype(np.int32)),
+        "value": pa.array(centres[cluster, term])}))
+
+
 def nearest_centre(ids: DataFrame, weights: DataFrame, centres: DataFrame, key: str = "uid") -> DataFrame:
     """``key, cluster_id, distance``: the nearest centre of each unit vector and its squared distance.
 

@@ -377,6 +377,13 @@ def silhouette_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def silhouette_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML7: silhouette by squared distances for every vector, from the moments of the labels."""
+    parts = clusters.moment_silhouette(_embeddings(spark, sf_dir), "vec_id", "embedding", "label")
+    return parts.select("id", "cluster_id", *[F.round(c, 6).alias(c) for c in ("own", "other", "s")])
+
+
 # ---- word windows, noun phrases by a lexicon table ----------------------------
 
 
@@ -447,7 +454,7 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = once(
-        keyed(text_pairs(spark, sf_dir), "id"),
+        text_pairs(spark, sf_dir),
         hyp=X.word_tokens(F.col("hyp_text")), ref=X.word_tokens(F.col("ref_text")),
     )
     return metrics.ngram_overlap(rows).select(
@@ -459,7 +466,7 @@ def bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rouge_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = once(
-        keyed(text_pairs(spark, sf_dir), "id"),
+        text_pairs(spark, sf_dir),
         hyp=X.rouge_tokens(F.col("hyp_text")), ref=X.rouge_tokens(F.col("ref_text")),
     )
     return metrics.ngram_overlap(rows, max_n=2).select(
@@ -733,12 +740,22 @@ def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kmeans_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inertia and silhouette stored with the model, as score rows."""
-    _, params = models.kmeans(spark, sf_dir)
-    return spark.createDataFrame(
-        [("extraction", "Silhouette Score", params["silhouette"]), ("extraction", "Inertia", params["inertia"])],
-        "pipeline string, metric string, value double",
-    )
+    """Inertia and silhouette of the stored model over the train rows, as a score table."""
+
+    def build() -> DataFrame:
+        model, _ = models.kmeans(spark, sf_dir)
+        train = models.train_rows(spark, sf_dir)
+        placed = stored(clusters.assign(model, models.cluster_vectors(spark, sf_dir, train)))
+        quality = clusters.silhouette(placed, vector="features").select(
+            F.lit("Silhouette Score").alias("metric"), F.col("silhouette").alias("value"))
+        rows = train.select(F.col("id").alias("uid"), relational.cluster_text().alias("text"))
+        weights = tfidf.tfidf_weights(rows, vocabulary(spark, sf_dir), "uid")
+        near = tablemodels.nearest_centre(rows.select("uid"), weights, tablemodels.centre_table(spark, model))
+        inertia = tablemodels.cluster_inertia(near).agg(F.sum("inertia").alias("value")).select(
+            F.lit("Inertia").alias("metric"), "value")
+        return quality.unionByName(inertia).select(F.lit("extraction").alias("pipeline"), "metric", "value")
+
+    return staged(spark, sf_dir, "kmeans_scores", build)
 
 
 # ---- models as tables, with coefficients by a rule over the vocabulary -----------

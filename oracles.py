@@ -774,3 +774,12 @@ pb AS (SELECT id, cand, round(round(1 / (1 + exp(-(-0.3::DOUBLE + sim * 1.7::DOU
          - len_diff * 0.11::DOUBLE))), 12), 9) AS prob FROM fe),
 rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY prob DESC, cand DESC) AS rank FROM pb)
 SELECT id, cand, round(prob, 6) AS prob, rank::INTEGER AS rank FROM rk WHERE rank <= 3"""
+ORACLES["silhouette_full"] = """
+WITH d AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+mo AS (SELECT label AS o, k, avg(x) AS m FROM (SELECT label, unnest(range(1, 65)) AS k, unnest(v) AS x FROM d) GROUP BY label, k),
+ce AS (SELECT o, list(m ORDER BY k) AS m FROM mo GROUP BY o),
+sq AS (SELECT label AS o, count(*) AS n, avg(list_dot_product(v, v)) AS q FROM d GROUP BY label),
+s AS (SELECT vec_id, label, o, n, greatest(0, list_dot_product(v, v) + q - 2 * list_dot_product(v, m)) AS d FROM d, ce JOIN sq USING (o)),
+g AS (SELECT vec_id AS id, label AS cluster_id, max(CASE WHEN label = o THEN d * n / (n - 1) END) AS own,
+        min(CASE WHEN label <> o THEN d END) AS other FROM s GROUP BY ALL)
+SELECT id, cluster_id, round(own, 6) AS own, round(other, 6) AS other, round((other - own) / greatest(own, other), 6) AS s FROM g"""
