@@ -420,7 +420,7 @@ def word_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def noun_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lexicon_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5, T7: noun runs of every passage, nouns being the words of the benchmark texts."""
     words = lexicon.lexicon_from(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     tagged = lexicon.tagged_tokens(_docs(spark, sf_dir), stored(words), "doc_id")

@@ -702,7 +702,7 @@ tag AS (SELECT doc_id, pos, token,
 isl AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, tag ORDER BY pos) AS island FROM tag WHERE tag IS NOT NULL),
 runs AS (SELECT doc_id, tag, min(pos)::INTEGER AS pos, lower(string_agg(token, ' ' ORDER BY pos)) AS phrase
          FROM isl GROUP BY doc_id, tag, island)"""
-ORACLES["noun_phrases"] = f"WITH {NOUNS} SELECT doc_id, pos, phrase FROM runs WHERE tag = 'NN'"
+ORACLES["lexicon_phrases"] = f"WITH {NOUNS} SELECT doc_id, pos, phrase FROM runs WHERE tag = 'NN'"
 ORACLES["lexicon_candidates"] = f"""WITH {NOUNS},
 f AS (SELECT doc_id, phrase, min(pos) AS pos FROM runs WHERE length(phrase) >= 3 GROUP BY doc_id, phrase),
 c AS (SELECT doc_id, count(*) AS n, string_agg(phrase, '|' ORDER BY pos) AS candidates FROM f GROUP BY doc_id)
