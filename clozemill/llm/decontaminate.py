@@ -13,7 +13,7 @@ holds all terms and is built once.
 
 A-Z is lowered; words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`. Null and empty texts have no words and no
 hits. Equal rows get equal results, one for each row. Empty tables give empty results, an empty
-benchmark no hits. Further columns are ignored.
+benchmark no hits. Further columns are ignored. Very long texts are read whole, each by its task.
 """
 
 from __future__ import annotations

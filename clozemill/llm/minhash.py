@@ -15,7 +15,8 @@ r"""Near-duplicates by one-permutation hashing with optimal densification.
 With 32 bands of 4 rows a link at the limit of 0.8 shares no bucket with probability 5e-8.
 
 Null, empty and blank texts have an empty set, no links, and stay. Equal rows get equal results.
-``doc_id`` has to name one text. An empty table gives an empty result; further columns are ignored.
+``doc_id`` has to name one text. An empty table gives an empty result; further columns are ignored. Very long texts are
+read whole by their task; which text of a bucket is the centre changes no result.
 """
 
 from __future__ import annotations

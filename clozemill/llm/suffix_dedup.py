@@ -18,7 +18,9 @@ dealt one by one under a 128-bit hash, each once for each group of documents. Co
 are found first by SHA-256 and take no part in the passes. Nothing is sampled or left out.
 
 Null texts are empty; nothing is removed from texts under ``length`` bytes. Rows with one id never
-remove each other's bytes; a null id counts as the largest. A text is held whole by its task.
+remove each other's bytes; a null id counts as the largest. A text is held whole by its task. Equal rows with
+ids of their own are copies: the least id keeps its bytes. An empty table gives no rows; only the id and the text
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations
