@@ -3,6 +3,11 @@
 Quality rules drop documents that fail; near-duplicates (five-word shingles, similarity 0.8) leave the
 one of least id of each group; documents holding a benchmark passage go; personal data is replaced in
 the texts; the rest is interleaved to the target weights, every row with its place in the mix.
+
+Null, empty and blank texts fail the quality rules and go there. Rows with a null id pass near-duplicates and decontamination
+as rows of their own. Repeated rows are near-duplicates of each other: one stays. Ties go to the least id. Very
+long texts are read whole by every stage. An empty table stays empty, with its columns; further columns are handed on, and
+of the columns the mix adds those are left out whose names are taken.
 """
 
 from __future__ import annotations
