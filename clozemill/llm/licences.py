@@ -262,22 +262,22 @@ def candidate_windows(files: DataFrame, model: Model) -> DataFrame:
 
 
 def matched_lines(spark: SparkSession, lines: DataFrame, model: Model) -> DataFrame:
-    """(line, licence, score) of the distinct lines that reach the threshold."""
+    """(key, licence, score) of the distinct lines (key, line) that reach the threshold; terms travel with the key."""
     weights = spark.createDataFrame(model.rows, "template int, licence string, term string, weight double")
     idf = spark.createDataFrame(sorted(model.idf.items()), "term string, idf double")
-    terms = lines.select("line", F.explode(F.split(
+    terms = lines.select("key", F.explode(F.split(
         F.translate("line", UPPER, UPPER.lower()), "[^a-z0-9]+")).alias("term")).where(
-        "term <> ''").groupBy("line", "term").agg(F.count(F.lit(1)).alias("tf"))
+        "term <> ''").groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
     weighted = terms.join(F.broadcast(idf), "term", "left").withColumn(
         "w", F.col("tf") * F.coalesce("idf", F.lit(model.other)))
     # Per line one row for each template it shares a term with, and its length over all terms.
-    norms = weighted.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighted.join(F.broadcast(weights), "term").groupBy("line", "template", "licence").agg(
+    norms = weighted.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighted.join(F.broadcast(weights), "term").groupBy("key", "template", "licence").agg(
         F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    found = dots.join(norms, "line").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
+    found = dots.join(norms, "key").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
     best = F.max(F.struct(F.col("score"), reverse_key("licence").alias("k"), "licence")).alias("m")
-    return found.where(F.col("score") >= model.threshold).groupBy("line").agg(best).select(
-        "line", "m.licence", "m.score")
+    return found.where(F.col("score") >= model.threshold).groupBy("key").agg(best).select(
+        "key", "m.licence", "m.score")
 
 
 def reverse_key(column: str):
@@ -291,10 +291,11 @@ ALPHABET = "".join(sorted(" -.0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmn
 
 def own_licences(files: DataFrame, model: Model) -> DataFrame:
     """``path`` and ``file`` with the licence and score of each file that has one."""
-    lines = stage(candidate_lines(files, model).union(candidate_windows(files, model)))
-    scored = matched_lines(files.sparkSession, lines.select("line").distinct(), model)
+    lines = stage(candidate_lines(files, model).union(candidate_windows(files, model)).withColumn("key", F.md5("line")))
+    distinct = stage(lines.select("key", "line").dropDuplicates(["key"]))
+    scored = matched_lines(files.sparkSession, distinct, model)
     best = F.max(F.struct("score", reverse_key("licence").alias("k"), "licence")).alias("m")
-    return lines.join(scored, "line").groupBy("file").agg(best).select(
+    return lines.select("file", "key").join(scored, "key").groupBy("file").agg(best).select(
         "file", F.col("m.licence").alias("own_licence"), F.col("m.score").alias("own_score"))
 
 
