@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from clozemill.functions import text as X
 from clozemill.functions.words import LETTERS
 from clozemill.operators.common import once, spread
+from clozemill.sources.tables import read_table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_table(spark, f"{sf_dir}/documents.parquet", "passage")
 
 
 def _long_words(text: Column) -> Column:

@@ -194,6 +194,28 @@ def tfidf_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.select("term", "df", "cf", F.round("idf", 6).alias("idf"))
 
 
+@query
+def tfidf_vocab_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML1 with a cap that cuts through the terms of every table: the 300 most frequent ones."""
+    train = quiz_table(spark, sf_dir).filter("split = 'train'")
+    terms = tfidf.fit_tfidf(corpus(train), max_terms=300)
+    return terms.select("term", "df", "cf", F.round("idf", 6).alias("idf"))
+
+
+@query
+def blank_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1, F2 on rows of which some have a blank or null article, question or right option."""
+    def emptied(column: str, every: int):
+        gone = F.when(F.pmod("id", F.lit(2 * every)) == 0, F.lit(None)).otherwise(F.lit(" \n\t"))
+        return F.when(F.pmod("id", F.lit(every)) == 0, gone).otherwise(F.col(column)).alias(column)
+
+    rows = quiz_table(spark, sf_dir).select(
+        "id", emptied("article", 7), emptied("question", 5), emptied("A", 3), "B", "C", "D", "answer")
+    asked = relational.with_question_text(rows).select("id", F.lit("question").alias("kept"))
+    answered = relational.with_answer_text(rows).select("id", F.lit("answer").alias("kept"))
+    return asked.unionByName(answered)
+
+
 @query
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = tfidf.tfidf_weights(corpus(quiz_table(spark, sf_dir)), vocabulary(spark, sf_dir))
@@ -377,6 +399,14 @@ def silhouette_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def silhouette_of_some(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML7, SP5 with a sample smaller than the table: 200 seeded vectors."""
+    sample = sampling.sample_exact(_embeddings(spark, sf_dir), 200, "vec_id")
+    parts = clusters.silhouette_parts(sample, 200, "vec_id", "embedding", "label", block=64)
+    return parts.select("id", "cluster_id", *[F.round(c, 6).alias(c) for c in ("own", "other", "s")])
+
+
 @query
 def silhouette_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML7: silhouette by squared distances for every vector, from the moments of the labels."""

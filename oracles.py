@@ -783,3 +783,13 @@ s AS (SELECT vec_id, label, o, n, greatest(0, list_dot_product(v, v) + q - 2 * l
 g AS (SELECT vec_id AS id, label AS cluster_id, max(CASE WHEN label = o THEN d * n / (n - 1) END) AS own,
         min(CASE WHEN label <> o THEN d END) AS other FROM s GROUP BY ALL)
 SELECT id, cluster_id, round(own, 6) AS own, round(other, 6) AS other, round((other - own) / greatest(own, other), 6) AS s FROM g"""
+
+# ---- rules that bite: a small cap, blank rows, a sample below the table
+ORACLES["tfidf_vocab_capped"] = sql(
+    QUIZ, VOCAB.replace("LIMIT 50000", "LIMIT 300"), select="SELECT term, df, cf, round(idf, 6) AS idf FROM vocab")
+ORACLES["silhouette_of_some"] = ORACLES["silhouette_sample"].replace("LIMIT 5000", "LIMIT 200")
+ORACLES["blank_rows"] = f"""WITH {QUIZ},
+r AS (SELECT id, CASE WHEN id % 7 = 0 THEN NULL ELSE article END AS article, CASE WHEN id % 5 = 0 THEN NULL ELSE question END AS question,
+        CASE WHEN answer = 'A' AND id % 3 = 0 THEN NULL ELSE correct END AS correct FROM quiz)
+SELECT id, 'question' AS kept FROM r WHERE article IS NOT NULL AND question IS NOT NULL
+UNION ALL SELECT id, 'answer' FROM r WHERE article IS NOT NULL AND correct IS NOT NULL"""
