@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,6 +82,8 @@ def fit_centres(points: DataFrame, rows: int, vector: str, cells: int, seed: int
     share = min(1.0, cells * SAMPLE_EACH / max(rows, 1))
     picked = F.pmod(F.xxhash64("id", vector, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
     sample = points.where(picked | F.lit(share == 1.0)).select(array_to_vector(unit_array(vector)).alias("features"))
+    if cells == 1:
+        return np.array([sample.select(Summarizer.mean(F.col("features"))).first()[0].toArray()])
     model = KMeans(k=cells, seed=seed, maxIter=8, initSteps=1).fit(sample)
     return np.array(model.clusterCenters())
 
@@ -237,7 +240,7 @@ def search(queries: DataFrame, index: Cells | None, k: int, stage: Callable[[Dat
         return asked.select("q", F.col("q").alias("p"), F.lit(0.0).alias("sim"), F.lit(0).alias("rank")).limit(0)
     place = F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "p"))
     found = met(asked_cells(asked, index, probes), index, k, stage, skip_same, block)
-    if exact:
+    if exact and probes < int((index.number >= 0).sum()):
         found = stage(found.withColumn("rank", place).where(F.col("rank") <= k).drop("rank"))
         # Distance of the k-th candidate; without k candidates there is no bound.
         bound = found.groupBy("q").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.greatest(

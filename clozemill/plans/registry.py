@@ -354,7 +354,9 @@ def embedding_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _embeddings(spark, sf_dir).select(
         "vec_id", F.col("embedding").cast("array<double>").alias("vector")
     )
-    near = cells.search(points, cells.build(points, stored, "vec_id"), 10, stored, "vec_id", exact=True)
+    # All vectors ask, so cells are as large as the blocks that meet.
+    index = cells.build(points, stored, "vec_id", cells=max(1, -(-points.count() // cells.BLOCK_ROWS)))
+    near = cells.search(points, index, 10, stored, "vec_id", exact=True)
     return near.select("q", "p", F.round("sim", 6).alias("sim"), "rank")
 
 
