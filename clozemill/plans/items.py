@@ -112,18 +112,6 @@ def option_pool(stem: Column, chunk: Column, wrong: Column, seed: int = 42) -> C
     return F.sort_array(shuffled)
 
 
-def distinct_articles(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One row ``id, article`` for each distinct text, and ``id, first_id`` of all rows with a text.
-
-    Texts are compared by md5, which is all that is shuffled; of equal texts the least id stands for all. Ids are
-    unique. A text that a third of the rows share is counted on the map side."""
-    named = articles.select("id", F.md5("article").alias("_text")).where(F.col("_text").isNotNull())
-    firsts = named.groupBy("_text").agg(F.min("id").alias("first_id"))
-    members = named.join(firsts, "_text").select("id", "first_id")
-    own = keyed(articles.select("id", "article"), "id").join(firsts.select(F.col("first_id").alias("id")), "id", "left_semi")
-    return own, members
-
-
 def quiz_items(
     articles: DataFrame,
     terms: DataFrame,
@@ -149,10 +137,8 @@ def quiz_items(
     cluster is null, without distractors the options are padded. With a ranker the items
     and the candidate pairs are each read more than once; ``stage_items`` and
     ``stage_pairs`` store them. Candidates are counted once per passage, which never
-    leaves its row. Equal passages are worked on once; only what depends on the id (the order of
-    the options) is made for each of them.
+    leaves its row.
     """
-    articles, members = distinct_articles(articles)
     stems = stage(passage_stems(articles, terms, tagger, distinct_pivots))
     rows = keyed(articles.select("id", "article"), "id").join(stems, "id")
     rows = once(rows, sents=X.sentences(F.col("article")))
@@ -190,9 +176,7 @@ def quiz_items(
     else:
         found = distractors.generate_distractors(items, ["id", "pivot_pos"], "chunk", ASKED)
     wrong = once(found, _wrong=clean_distractors(F.col("distractors"), F.col("chunk")))
-    named = wrong.select(F.col("id").alias("first_id"), "pivot_pos", "stem", "chunk", "_wrong", "h")
-    everyone = named.join(members, "first_id").drop("first_id")
-    pooled = once(everyone, _pool=option_pool(F.col("stem"), F.col("chunk"), F.col("_wrong"), seed))
+    pooled = once(wrong, _pool=option_pool(F.col("stem"), F.col("chunk"), F.col("_wrong"), seed))
     out = pooled.select(
         "id", "pivot_pos",
         F.col("stem").alias("question_stem"),

@@ -143,30 +143,3 @@ def test_clean_distractors(spark):
     df = spark.createDataFrame([(["rome", "ROME", "paris", "anna", "new-york", "x"], "Anna")], "d array<string>, a string")
     got = df.select(items.clean_distractors(F.col("d"), F.col("a"))).first()[0]
     assert got == ["Rome", "Paris", "New-York"]
-
-
-def test_equal_passages_are_worked_on_once(spark):
-    """Stems are made for each distinct text; every row gets the items it would get alone."""
-    from clozemill.operators import tfidf
-    from clozemill.plans import items
-
-    text = ("Anna Berg lives in Oslo with Otto. Otto Lang works in Berlin every day. Carla Fuchs wrote letters to Anna. "
-            "The garden of Oslo Park was old. Berlin Zoo opened late. Otto met Carla Fuchs near Paris. ")
-    rows = [(i, text if i % 3 else text + f"Row {i} ended in Rome with Dora. ") for i in range(12)]
-    df = spark.createDataFrame([*rows, (90, None), (91, "")], "id long, article string")
-    terms = tfidf.fit_tfidf(df.select("id", F.col("article").alias("text"))).cache()
-    seen = []
-
-    def stage(part):
-        part = part.cache()
-        seen.append(part.count())
-        return part
-
-    made = items.quiz_items(df, terms, stage).collect()
-    assert seen == [5]  # four texts of their own, and the one that eight rows share
-    alone = []
-    for i, article in rows:
-        one = spark.createDataFrame([(i, article)], "id long, article string")
-        alone += items.quiz_items(one, terms, lambda part: part).collect()
-    key = lambda r: (r.id, r.pivot_pos)
-    assert sorted(made, key=key) == sorted(alone, key=key) and len({r.id for r in made}) == 12
