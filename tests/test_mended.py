@@ -110,3 +110,22 @@ def test_quiz_rows_of_every_language(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = stages.quiz_table(spark, sf).select(F.col("id").alias("doc_id")).join(docs, "doc_id")
     assert got.select("lang").distinct().count() == docs.select("lang").distinct().count()
+
+
+def test_fits_of_few_rows_are_one_task(spark, tmp_path, monkeypatch):
+    from test_learning import quiz
+
+    path = str(tmp_path / "terms")
+    docs = quiz(spark).select("id", F.concat_ws(" ", "article", "A", "B", "C", "D").alias("text"))
+    tfidf.fit_tfidf(docs).write.parquet(path)
+    seen, fit = [], verifier.CrossValidator.fit
+    monkeypatch.setattr(verifier.CrossValidator, "fit",
+                        lambda self, rows: seen.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        verifier.train_verifier(quiz(spark), spark.read.parquet(path), grid=(1.0,), max_iter=5)
+        monkeypatch.setattr(verifier, "TASK_ROWS", 40)
+        verifier.train_verifier(quiz(spark), spark.read.parquet(path), grid=(1.0,), max_iter=5)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert seen == [1, 3]
