@@ -75,3 +75,25 @@ def test_recall_on_given_vectors(spark):
     made = entry.queries()
     near, exact = ({(r.q, r.p) for r in made[n](spark, sf).collect()} for n in ("embedding_cells", "embedding_search"))
     assert len(near & exact) >= 0.9 * len(exact)
+
+
+def test_full_blocks_meet_in_little_memory():
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(cells.BLOCK_ROWS, 16))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    ids = pd.Series(np.arange(len(a))[::-1])
+    tracemalloc.start()
+    got = cells.best_pairs(ids, a, ids, a, 3, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * cells.BLOCK_ROWS ** 2
+    # The first, the last and a middle query against all.
+    for i in (0, 2000, len(a) - 1):
+        sims = np.round(a @ a[i], 9)
+        sims[i] = -np.inf
+        want = ids.to_numpy()[np.argsort(-sims, kind="stable")[:3]]
+        assert got[got.q == ids[i]].p.tolist() == want.tolist()
