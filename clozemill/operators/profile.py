@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clozemill.functions import text as X
 from clozemill.functions.words import LETTERS, STOP_WORDS
+from clozemill.operators.common import once
 
 
 def column_profile(df: DataFrame) -> DataFrame:
@@ -98,3 +99,21 @@ def top_keywords(
     words = df.select(F.explode(X.term_tokens(F.col(text_col), stop_words)).alias("term"))
     counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.desc("n"), "term").limit(k)
+
+
+def tag_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, tag, n, n_distinct``: tokens by tag, all and different ones, over the rows of an id.
+
+    A row hands on its different tokens as one array a tag, so that no task holds a table of
+    ids and tokens."""
+
+    def own(tagged: Column, tag: str) -> Column:
+        tokens = F.filter(tagged, lambda t: t["tag"] == tag)["token"]
+        return X.let(tokens, lambda t: F.struct(
+            F.lit(tag).alias("tag"), F.size(t).cast("long").alias("n"), F.array_distinct(t).alias("tokens")))
+
+    rows = once(docs.select(id_col, text_col), _t=X.tag_tokens(X.cased_tokens(F.col(text_col))))
+    parts = rows.select(id_col, F.inline(F.array(*[own(F.col("_t"), tag) for tag in ("NNP", "")]))).where("n > 0")
+    return parts.groupBy(id_col, "tag").agg(
+        F.sum("n").alias("n"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("tokens")))).cast("long").alias("n_distinct"))

@@ -140,3 +140,17 @@ def test_lcs():
                 new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
             row = new
         assert lcs_of(a, b) == row[-1]
+
+
+def test_tags_are_counted_by_row_and_by_id(spark):
+    from clozemill.operators import profile
+
+    df = spark.createDataFrame(
+        [(1, "Anna saw Anna. a b a"), (1, "Otto saw Anna"), (None, "Bo"), (None, "Bo x"), (2, None), (3, "")],
+        "doc_id long, text string")
+    flat = df.select("doc_id", F.inline(X.tag_tokens(X.cased_tokens(F.col("text")))))
+    want = flat.groupBy("doc_id", "tag").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("token").alias("n_distinct"))
+    got = profile.tag_counts(df)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
