@@ -117,8 +117,9 @@ def pieces(texts: pa.Array, limit: int = PIECE) -> Iterator[pa.Array]:
         at = end
 
 
-def word_runs(texts: pa.Array, letters: np.ndarray, shortest: int = 1) -> tuple[pa.Array, np.ndarray]:
-    """The maximal runs of ``letters`` with ``shortest`` code points or more, and the place of each one's text.
+def word_runs(texts: pa.Array, letters: np.ndarray, shortest: int = 1, marks: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """The maximal runs of ``letters`` with ``shortest`` code points or more, and the place of each one's text;
+    with ``marks`` also every other character but blanks, as in ``text.WORD_OR_MARK``.
 
     Whole texts are looked at as UTF-8 bytes: a byte is in a word if its code point is."""
     n = len(texts)
@@ -152,6 +153,15 @@ def word_runs(texts: pa.Array, letters: np.ndarray, shortest: int = 1) -> tuple[
     cut = offsets[(offsets > 0) & (offsets < len(data))]
     begins[cut], ends[cut - 1] = inside[cut], inside[cut - 1]
     begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    if marks:
+        blank = np.zeros(256, bool)
+        blank[list(b" \n\t\r")] = True
+        blank[0x80:0xC0] = True
+        at = np.flatnonzero(~inside & ~blank[data])
+        own = data[at]
+        size = 1 + (own >= 0xC0).astype(np.int64) + (own >= 0xE0) + (own >= 0xF0)
+        # no two overlap, so both sides stay in step when they are sorted
+        begins, ends = np.sort(np.concatenate([begins, at])), np.sort(np.concatenate([ends, at + size]))
     characters = np.concatenate([np.zeros(1, np.int32), np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)])
     kept = characters[ends] - characters[begins] >= shortest
     begins, lengths = begins[kept], (ends - begins)[kept]

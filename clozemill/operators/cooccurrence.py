@@ -6,15 +6,27 @@ see ``window`` tokens more, so that a long text is many rows; equal pairs are ad
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clozemill.functions import text as X
-from clozemill.operators.common import small
+from clozemill.functions.arrow import pieces, unpacked, word_letters, word_runs
+from clozemill.operators.common import BROADCAST_LIMIT, small
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STRETCH = 1024
+#: Tokens whose pairs are counted at a time.
+TOKENS = 1 << 19
 ID_BUCKETS = 4096
 
 
@@ -46,14 +58,79 @@ def window_counts(texts: DataFrame, tokens: str = "tokens", window: int = 5, str
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
+def text_word_counts(texts: DataFrame, text_col: str = "text", min_count: int = 2) -> DataFrame:
+    """:func:`word_counts` of the ``text.word_tokens`` of whole texts, in Arrow batches."""
+    letters = word_letters()
+
+    def work(batches):
+        known = unpacked(letters)
+        for batch in batches:
+            for piece in pieces(batch.column(0)):
+                found = word_runs(piece, known, marks=True)[0].dictionary_encode()
+                yield pa.record_batch({"word": found.dictionary, "n": pa.array(
+                    np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary)).astype(np.int64))})
+
+    low = texts.select(F.lower(X.text_or_empty(F.col(text_col))))
+    return low.mapInArrow(work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+
+
+def text_window_counts(texts: DataFrame, known: DataFrame, text_col: str = "text", window: int = 5,
+                       limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """``a, b, n`` of :func:`window_counts` for the ``text.word_tokens`` of whole texts, pairs of words in the stored table
+    ``known(word)`` only.
+
+    Words are numbered in byte order and sent to the tasks; a pair is one number, counted over many texts before it is
+    shuffled, and named after. Beyond ``limit`` bytes of words, pairs are counted as text."""
+    size = known.agg(F.sum(F.octet_length("word") + 8)).first()[0] or 0
+    if size > limit:
+        rows = texts.select(X.word_tokens(F.col(text_col)).alias("tokens"))
+        return known_pairs(window_counts(rows, window=window), known, known.count())
+    words = known.select("word").toArrow()["word"].cast(pa.string()).combine_chunks()
+    words = words.take(pc.sort_indices(words))
+    letters, n = word_letters(), len(words)
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+
+    def count(batches):
+        in_words = unpacked(letters)
+        for batch in batches:
+            parts = [word_runs(p, in_words, marks=True) + (len(p),) for p in pieces(batch.column(0))]
+            if not parts:
+                continue
+            firsts = np.cumsum([0, *[p[2] for p in parts]])
+            row = np.concatenate([p[1] + first for p, first in zip(parts, firsts)])
+            # the words are laid out once for all tokens of the batch
+            found = pc.index_in(pa.chunked_array([p[0] for p in parts]), value_set=shared.value)
+            code = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+            for at in range(0, len(code), TOKENS):
+                end = min(at + TOKENS, len(code))
+                keys = []
+                for d in range(1, window + 1):
+                    a, b = code[at:min(end, len(code) - d)], code[at + d:end + d]
+                    near = (row[at:at + len(a)] == row[at + d:end + d]) & (a >= 0) & (b >= 0)
+                    a, b = a[near], b[near]
+                    keys.append(np.minimum(a, b) * n + np.maximum(a, b))
+                pair, times = np.unique(np.concatenate(keys), return_counts=True)
+                yield pa.record_batch({"pair": pa.array(pair), "n": pa.array(times.astype(np.int64))})
+
+    def name(batches):
+        for batch in batches:
+            pair = batch.column(0).to_numpy()
+            yield pa.record_batch({
+                "a": shared.value.take(pa.array(pair // n)), "b": shared.value.take(pa.array(pair % n)), "n": batch.column(1)})
+
+    low = texts.select(F.lower(X.text_or_empty(F.col(text_col))))
+    pairs = low.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return pairs.mapInArrow(name, "a string, b string, n long")
+
+
 def both_ways(counts: DataFrame) -> DataFrame:
     """``word, context, n``: every pair from both of its words; a word beside itself counts for both places."""
-    sides = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("context")),
-                    F.struct(F.col("b").alias("word"), F.col("a").alias("context")))
-    other = counts.where(F.col("a") != F.col("b")).select(F.inline(sides), "n")
-    same = counts.where(F.col("a") == F.col("b")).select(
-        F.col("a").alias("word"), F.col("b").alias("context"), (2 * F.col("n")).alias("n"))
-    return other.unionByName(same)
+    def side(word: str, context: str):
+        return F.struct(F.col(word).alias("word"), F.col(context).alias("context"))
+
+    same = F.col("a") == F.col("b")
+    sides = F.when(same, F.array(side("a", "b"))).otherwise(F.array(side("a", "b"), side("b", "a")))
+    return counts.select(F.inline(sides), F.when(same, 2 * F.col("n")).otherwise(F.col("n")).alias("n"))
 
 
 def known_pairs(counts: DataFrame, vocabulary: DataFrame, n_words: int) -> DataFrame:
@@ -64,13 +141,19 @@ def known_pairs(counts: DataFrame, vocabulary: DataFrame, n_words: int) -> DataF
     return counts.select("a", "b", "n")
 
 
-def shifted_pmi(counts: DataFrame, shift: float = 1.0) -> DataFrame:
-    """``word, context, n, pmi``: ln(n * N / (n(word) * n(context))) - ln(shift) where it is above 0."""
+def shifted_pmi(counts: DataFrame, shift: float = 1.0, stage: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``word, context, n, pmi``: ln(n * N / (n(word) * n(context))) - ln(shift) where it is above 0.
+
+    ``stage`` stores the margins, a row a word; they are then broadcast if their counted size allows."""
     pairs = both_ways(counts)
     margins = pairs.groupBy("word").agg(F.sum("n").alias("m"))
+    rows = BROADCAST_LIMIT
+    if stage is not None:
+        margins = stage(margins)
+        rows = margins.count()
     total = margins.agg(F.sum("m").alias("total"))
-    found = pairs.join(margins.withColumnRenamed("m", "m_word"), "word").join(
-        margins.select(F.col("word").alias("context"), F.col("m").alias("m_context")), "context")
+    found = pairs.join(small(margins.withColumnRenamed("m", "m_word"), rows), "word").join(
+        small(margins.select(F.col("word").alias("context"), F.col("m").alias("m_context")), rows), "context")
     # One row with the total.
     found = found.join(F.broadcast(total))
     pmi = F.log(F.col("n").cast("double") * F.col("total") / (F.col("m_word").cast("double") * F.col("m_context"))) - F.log(

@@ -418,9 +418,8 @@ def _word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Window counts of the words that stand twice or more in the passages, as a stage table."""
 
     def build() -> DataFrame:
-        texts = _docs(spark, sf_dir).select(X.word_tokens(F.col("text")).alias("tokens"))
-        known = stored(cooccurrence.word_counts(texts))
-        return cooccurrence.known_pairs(cooccurrence.window_counts(texts), known, known.count())
+        texts = _docs(spark, sf_dir)
+        return cooccurrence.text_window_counts(texts, stored(cooccurrence.text_word_counts(texts)))
 
     return staged(spark, sf_dir, "windows", build)
 
@@ -434,14 +433,14 @@ def cooccurrence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def word_pmi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML8: PMI of a word and a context, less the logarithm of 5 negative draws."""
-    found = cooccurrence.shifted_pmi(_word_windows(spark, sf_dir), 5.0)
+    found = cooccurrence.shifted_pmi(_word_windows(spark, sf_dir), 5.0, stored)
     return found.select("word", "context", "n", F.round("pmi", 6).alias("pmi"))
 
 
 @query
 def word_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML8: vectors from the PMI table, with the vocabulary in tables only."""
-    pmi = cooccurrence.shifted_pmi(_word_windows(spark, sf_dir))
+    pmi = cooccurrence.shifted_pmi(_word_windows(spark, sf_dir), stage=stored)
     made = staged(spark, sf_dir, "factors", lambda: cooccurrence.factor_vectors(pmi, 32, 5, stage=stored))
     return made.select("word", F.size("vector").alias("dim"), F.round(embeddings.norm(F.col("vector")), 6).alias("norm"))
 
@@ -841,9 +840,9 @@ def _rule_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``word, vector`` of eight numbers by a rule for every word of the passages that stands twice or more."""
 
     def build() -> DataFrame:
-        texts = _docs(spark, sf_dir).select(X.word_tokens(F.col("text")).alias("tokens"))
         digit = [(F.conv(F.substring(F.md5("word"), k + 1, 1), 16, 10).cast("double") - 7.5).alias(f"d{k}") for k in range(8)]
-        return cooccurrence.word_counts(texts).select("word", F.array(*digit).alias("vector"))
+        words = cooccurrence.text_word_counts(_docs(spark, sf_dir))
+        return words.select("word", F.array(*digit).alias("vector"))
 
     return staged(spark, sf_dir, "rule_vectors", build)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clozemill.functions import arrow
 from clozemill.functions import text as X
-from clozemill.operators import tfidf
+from clozemill.operators import cooccurrence, tfidf
 from clozemill.plans import quizview
 
 ODD = [
@@ -92,3 +92,31 @@ def test_pairs_of_rare_words_are_not_shuffled(spark):
     assert sorted((r.df, r.cf) for r in pairs) == [(10, 40), (10, 50)]
     top = tfidf.fit_tfidf(docs, max_terms=3).orderBy("term_id").collect()
     assert [(r.term, r.df, r.cf) for r in top] == [("common", 10, 50), ("common words", 10, 50), ("words", 10, 50)]
+
+
+def test_windows_of_whole_texts(spark):
+    texts = spark.createDataFrame([(t,) for t in made_texts()], "text string")
+    tokens = texts.select(X.word_tokens(F.col("text")).alias("tokens"))
+    for least in (1, 2, 9):
+        known = cooccurrence.word_counts(tokens, min_count=least)
+        assert sorted(cooccurrence.text_word_counts(texts, min_count=least).collect()) == sorted(known.collect())
+        want = sorted(cooccurrence.known_pairs(cooccurrence.window_counts(tokens), known, known.count()).collect())
+        assert sorted(cooccurrence.text_window_counts(texts, known).collect()) == want
+        assert sorted(cooccurrence.text_window_counts(texts, known, limit=1).collect()) == want
+    assert cooccurrence.text_window_counts(texts, known.limit(0)).count() == 0
+
+
+def test_pieces_of_tokens_lose_no_pair(spark, monkeypatch):
+    texts = spark.createDataFrame([(t,) for t in made_texts()], "text string")
+    known = cooccurrence.text_word_counts(texts)
+    want = sorted(cooccurrence.text_window_counts(texts, known).collect())
+    monkeypatch.setattr(cooccurrence, "TOKENS", 3)
+    assert sorted(cooccurrence.text_window_counts(texts, known).collect()) == want
+
+
+def test_pairs_are_shuffled_as_numbers(spark):
+    """Before, both words of a pair were shuffled as text, those of rare words too."""
+    texts = spark.createDataFrame([(t,) for t in made_texts()], "text string")
+    plan = cooccurrence.text_window_counts(texts, cooccurrence.text_word_counts(texts))._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and all("pair" in line for line in exchanges)
