@@ -127,7 +127,7 @@ def frequent_counts(docs: DataFrame, text_col: str, max_terms: int, min_df: int,
         counts = term_counts(docs, text_col, max_n).filter(F.col("df") >= min_df)
         level, lowest = _reached(counts, max_terms)
         return counts.filter(level >= lowest)
-    terms = found["term"].combine_chunks() if isinstance(found["term"], pa.ChunkedArray) else found["term"]
+    terms = found["term"].combine_chunks()
     n = len(terms)
     words = docs.sparkSession.createDataFrame(found.append_column("number", pa.array(np.arange(n, dtype=np.int64))))
     if not n:
