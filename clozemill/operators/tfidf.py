@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -169,6 +170,99 @@ def weight(tf: Column, idf: Column) -> Column:
     return (1 + F.log(tf.cast("double"))) * idf
 
 
+@dataclass(frozen=True)
+class Known:
+    """A vocabulary as arrays: its words and the words of its pairs, and the place of each term among ``ids``."""
+
+    words: pa.Array
+    single: np.ndarray  # place of each word's own term; -1 if it is only part of pairs, and at the end
+    pairs: np.ndarray  # place of the one word x number of words + place of the other, ascending
+    pair_places: np.ndarray
+    ids: np.ndarray
+    idf: np.ndarray
+
+
+def known_terms(terms: DataFrame) -> Known | None:
+    """The vocabulary for the tasks; None if it holds more than ``WORDS_HELD`` terms, or a term twice."""
+    found = terms.filter(F.col("term").isNotNull()).select(
+        "term", F.col("term_id").cast("int"), F.col("idf").cast("double")).limit(WORDS_HELD + 1).toArrow()
+    found = found.combine_chunks()
+    names = found["term"].to_pylist()
+    if len(names) > WORDS_HELD or len(set(names)) < len(names) or found["term_id"].null_count or found["idf"].null_count:
+        return None
+    split = [name.split(" ") for name in names]
+    words = sorted({w for parts in split if len(parts) <= 2 for w in parts})
+    place = {w: i for i, w in enumerate(words)}
+    single, n = np.full(len(words) + 1, -1, np.int64), len(words)
+    pairs, pair_places = [], []
+    for i, parts in enumerate(split):
+        if len(parts) == 1:
+            single[place[parts[0]]] = i
+        elif len(parts) == 2:
+            pairs.append(place[parts[0]] * n + place[parts[1]])
+            pair_places.append(i)
+    order = np.argsort(np.array(pairs, np.int64))
+    return Known(pa.array(words, pa.string()), single, np.array(pairs, np.int64)[order], np.array(pair_places, np.int64)[order],
+                 found["term_id"].to_numpy(), found["idf"].to_numpy())
+
+
+def matches(texts: pa.Array, known: Known, letters: np.ndarray, max_n: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place of the term in ``known`` and count of every known term of lower-case texts, by text and term."""
+    rows, places, at = [], [], 0
+    for piece in pieces(texts):
+        found, row = _words_of(piece, letters)
+        code = pc.fill_null(pc.index_in(found, value_set=known.words), -1).to_numpy().astype(np.int64)
+        own = known.single[code]
+        rows.append(at + row[own >= 0])
+        places.append(own[own >= 0])
+        if max_n > 1 and len(known.pairs):
+            both = (row[:-1] == row[1:]) & (code[:-1] >= 0) & (code[1:] >= 0)
+            pair = code[:-1][both] * len(known.words) + code[1:][both]
+            near = np.minimum(np.searchsorted(known.pairs, pair), len(known.pairs) - 1)
+            hit = known.pairs[near] == pair
+            rows.append(at + row[:-1][both][hit])
+            places.append(known.pair_places[near[hit]])
+        at += len(piece)
+    n = max(len(known.ids), 1)
+    every = np.concatenate(rows).astype(np.int64) * n + np.concatenate(places) if rows else np.empty(0, np.int64)
+    every, count = np.unique(every, return_counts=True)
+    return every // n, every % n, count
+
+
+def _packed(docs: DataFrame, known: Known, id_col: str, text_col: str, max_n: int) -> DataFrame:
+    """``id_col, _tw, _n2``: the raw weights ``struct<term_id, w>`` of each text by term, and the sum of their squares;
+    texts without a known term are left out. A map over the rows, which stay where they are."""
+    letters = word_letters()
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    kind = T.StructType([
+        T.StructField(id_col, docs.schema[id_col].dataType),
+        T.StructField("_tw", T.ArrayType(T.StructType([T.StructField("term_id", T.IntegerType()), T.StructField("w", T.DoubleType())]))),
+        T.StructField("_n2", T.DoubleType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = unpacked(letters), shared.value
+        by_id = np.argsort(held.ids, kind="stable")
+        rank = np.empty(len(by_id), np.int64)
+        rank[by_id] = np.arange(len(by_id))
+        for batch in batches:
+            at = 0
+            for piece in pieces(batch.column(1)):
+                row, place, count = matches(piece, held, own, max_n)
+                order = np.lexsort((rank[place], row))
+                row, place, count = row[order], place[order], count[order]
+                w = (1 + np.log(count)) * held.idf[place]
+                texts, first = np.unique(row, return_index=True)
+                tw = pa.StructArray.from_arrays([pa.array(held.ids[place], pa.int32()), pa.array(w)], ["term_id", "w"])
+                ends = pa.array(np.append(first, len(row)), pa.int32())
+                yield pa.record_batch([
+                    batch.column(0).take(pa.array(at + texts)), pa.ListArray.from_arrays(ends, tw),
+                    pa.array(np.bincount(row, w * w)[texts])], [id_col, "_tw", "_n2"])
+                at += len(piece)
+
+    low = docs.select(id_col, F.lower(X.text_or_empty(F.col(text_col))))
+    return low.mapInArrow(work, kind)
+
+
 def raw_weights(
     docs: DataFrame, terms: DataFrame, keys: tuple[str, ...] = ("id",), text_col: str = "text",
     max_n: int = 2, max_terms: int = MAX_TERMS,
@@ -184,15 +278,29 @@ def raw_weights(
     )
 
 
+def unit_weights(
+    docs: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text",
+    max_n: int = 2, max_terms: int = MAX_TERMS,
+) -> DataFrame:
+    """Long L2-normalised matrix ``id, term_id, w``: one exchange, of a row a text with its weights. What follows by
+    ``id`` finds its rows in place. A vocabulary that is not held by the tasks is joined by rows of text."""
+    known = known_terms(terms) if max_n <= 2 else None
+    own = W.partitionBy(id_col)
+    if known is None:
+        raw = raw_weights(keyed(docs.select(id_col, text_col), id_col), terms, (id_col,), text_col, max_n, max_terms)
+        return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(own))).drop("term")
+    packed = _packed(docs, known, id_col, text_col, max_n).withColumn("_norm", F.sqrt(F.sum("_n2").over(own)))
+    return packed.select(id_col, "_norm", F.inline("_tw")).select(
+        id_col, "term_id", (F.col("w") / F.col("_norm")).alias("w"))
+
+
 def tfidf_weights(
     docs: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text",
     max_n: int = 2, max_terms: int = MAX_TERMS,
 ) -> DataFrame:
-    """Long L2-normalised matrix ``id, term_id, term, w``: one exchange, of the text."""
-    placed = keyed(docs.select(id_col, text_col), id_col)
-    raw = raw_weights(placed, terms, (id_col,), text_col, max_n, max_terms)
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(id_col)))
-    return raw.withColumn("w", F.col("w") / norm)
+    """:func:`unit_weights` with the terms themselves: ``id, term_id, term, w``."""
+    rows = unit_weights(docs, terms, id_col, text_col, max_n, max_terms)
+    return rows.join(terms.select("term_id", "term"), "term_id").select(id_col, "term_id", "term", "w")
 
 
 def _sparse(size: Column, ids: Column, values: Column) -> Column:
@@ -216,11 +324,15 @@ def tfidf_vectors(
     read once for its size and should be a stored table.
     """
     placed = keyed(docs, id_col)
-    weights = raw_weights(placed, terms, (id_col,), text_col, max_n, max_terms)
-    packed = weights.groupBy(id_col).agg(
-        F.sort_array(F.collect_list(F.struct("term_id", "w"))).alias("_tw"),
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),
-    )
+    known = known_terms(terms) if max_n <= 2 else None
+    if known is None:
+        packed = raw_weights(placed, terms, (id_col,), text_col, max_n, max_terms).groupBy(id_col).agg(
+            F.sort_array(F.collect_list(F.struct("term_id", "w"))).alias("_tw"),
+            F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),
+        )
+    else:
+        packed = _packed(docs, known, id_col, text_col, max_n).groupBy(id_col).agg(
+            F.sort_array(F.flatten(F.collect_list("_tw"))).alias("_tw"), F.sqrt(F.sum("_n2")).alias("_norm"))
     joined = placed.drop(text_col).join(packed, id_col, "left")
     ids = F.coalesce(F.col("_tw.term_id"), F.array().cast("array<int>"))
     values = F.coalesce(

@@ -90,7 +90,7 @@ class MiniBatchKMeans:
 
     def step(self, texts: DataFrame, terms: DataFrame, batch_id: int) -> DataFrame:
         """Assign the rows ``uid, text`` of a batch and store the moved centres."""
-        weights = tfidf.tfidf_weights(texts, terms, "uid", max_terms=self.max_terms).persist()
+        weights = tfidf.unit_weights(texts, terms, "uid", max_terms=self.max_terms).persist()
         try:
             old = self.centres(batch_id - 1) if batch_id else None
             have = old.select("cluster_id").distinct().count() if batch_id else 0
