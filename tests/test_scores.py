@@ -79,3 +79,24 @@ def test_weights_move_a_row_a_text(spark, terms):
     # the window stands on packed rows; terms are exploded above it
     assert plan.index("Generate") < plan.index("Window") < plan.index("MapInArrow")
     assert "Generate" not in plan[plan.index("Window"):]
+
+
+def test_candidates_are_counted_in_the_row(spark):
+    from clozemill.operators import distractors
+
+    rows = [(1, "aaaa big cat BIG CAT étéété", ["aa", "Big Cat", "été", "", "none", None]), (2, None, ["x"]), (3, "x", None), (4, "x", [])]
+    df = spark.createDataFrame(rows, "id long, article string, c array<string>").withColumn("low", F.lower("article"))
+    made = df.select("id", distractors.frequencies(F.col("c"), F.col("low")).alias("got"), F.transform(
+        "c", lambda c: X.count_substring(F.col("low"), c, lowered=True)).alias("want")).collect()
+    assert [r.got for r in made] == [r.want for r in made] and made[0].got == [2, 2, 2, len(rows[0][1]) + 1, 0, None]
+
+
+def test_ranked_pairs_do_not_repeat_the_article(spark, sf, monkeypatch):
+    """Before, the article was copied beside each of its candidates and replaced in once for each."""
+    from clozemill.operators import distractors
+    from clozemill.plans import registry
+
+    seen, features = [], distractors.candidate_features
+    monkeypatch.setattr(distractors, "candidate_features", lambda pairs, *a: seen.append(pairs.columns) or features(pairs, *a))
+    assert registry.ranked_table(spark, sf).count() > 0
+    assert seen == [["id", "answer", "cand", "freq"]]
