@@ -34,8 +34,11 @@ from clozemill.operators.common import small
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_ROWS = 4096
-#: Queries of a block whose similarities are held at a time.
+#: Queries and vectors of two blocks whose similarities are held at a time.
 SLICE_ROWS = 256
+PART_ROWS = 4096
+#: Bytes of a block where most queries ask most cells: each copy of a vector then meets many others.
+BLOCK_BYTES = 32 << 20
 #: Centres at most, and sampled vectors for each of them.
 MAX_CELLS = 16_384
 SAMPLE_EACH = 64
@@ -55,6 +58,7 @@ class Cells:
     radius: np.ndarray
     blocks: np.ndarray
     rows: int
+    block: int
 
     @property
     def id_type(self) -> str:
@@ -67,6 +71,11 @@ class Cells:
         return spark.createDataFrame(rows, "cell int, blocks long")
 
 
+def large_block(dim: int) -> int:
+    """Rows of a block of ``BLOCK_BYTES``, and of a cell that nearly all queries ask."""
+    return max(BLOCK_ROWS, BLOCK_BYTES // (8 * max(dim, 1)))
+
+
 def cell_count(rows: int) -> int:
     return int(min(MAX_CELLS, max(1, round(rows**0.5))))
 
@@ -139,7 +148,7 @@ def build(points: DataFrame, stage: Callable[[DataFrame], DataFrame], id_column:
     known = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("r")).orderBy("cell").collect()
     number = np.array([r.cell for r in known])
     blocks = np.array([-(-r.n // block) for r in known])
-    index = Cells(centres, placed, number, np.array([r.r for r in known]), blocks, rows)
+    index = Cells(centres, placed, number, np.array([r.r for r in known]), blocks, rows, block)
     dealt = placed.join(small(index.table(), len(number), 64), "cell").withColumn(
         "block", F.pmod(F.xxhash64("id", "vector"), F.col("blocks")))
     index.vectors = stage(dealt.repartition("cell", "block").sortWithinPartitions("cell", "block").select(
@@ -148,7 +157,7 @@ def build(points: DataFrame, stage: Callable[[DataFrame], DataFrame], id_column:
 
 
 def asked_cells(queries: DataFrame, index: Cells, probes: int, again: bool = False) -> DataFrame:
-    """``q, vector, cell`` of the cells each query asks: the ``probes`` nearest ones, or ``again`` all others that may
+    """``q, vector, cells`` with the cells each query asks, queries without any left out: the ``probes`` nearest ones, or ``again`` all others that may
     hold a vector within ``far``, the distance of the query's k-th candidate so far (null: all others)."""
     live = index.number >= 0
     shared = queries.sparkSession.sparkContext.broadcast(
@@ -172,21 +181,25 @@ def asked_cells(queries: DataFrame, index: Cells, probes: int, again: bool = Fal
                     reach = far - radius[None] <= limit[:, None] + 1e-6
                     reach[np.isnan(limit) | ~rows.any(1)] = True
                     asked, own_zero = reach & ~asked, np.zeros(len(rows), bool)
-                row, cell = np.nonzero(asked)
-                row = np.concatenate([row, np.flatnonzero(own_zero)])
-                cell = np.concatenate([number[cell], np.full(int(own_zero.sum()), ZERO)]).astype(np.int32)
+                every = np.concatenate([asked, own_zero[:, None]], axis=1)
+                every, kept = every[every.any(1)], np.flatnonzero(every.any(1))
+                ends = np.concatenate([[0], every.sum(1).cumsum()]).astype(np.int32)
                 yield pa.record_batch({
-                    "q": part.column(0).take(pa.array(row)), "vector": pa.array(
-                        list(rows[row]), pa.list_(pa.float64())), "cell": pa.array(cell)})
+                    "q": part.column(0).take(pa.array(kept)), "vector": pa.array(
+                        list(rows[kept]), pa.list_(pa.float64())),
+                    "cells": pa.ListArray.from_arrays(
+                        pa.array(ends), pa.array(np.append(number, ZERO)[np.nonzero(every)[1]].astype(np.int32)))})
 
-    return queries.mapInArrow(work, f"q {kind}, vector array<double>, cell int")
+    return queries.mapInArrow(work, f"q {kind}, vector array<double>, cells array<int>")
 
 
 def met(asked: DataFrame, index: Cells, k: int, stage, skip_same: bool, block: int) -> DataFrame:
     """``q, p, sim``: the k best of every block for every query that asks its cell."""
+    # A query is stored once with the list of its cells; its vector is copied where it meets them.
     asked = stage(asked)
+    named = asked.select(F.explode("cells").alias("cell"))
     # A row a cell again: queries of a cell are cut into blocks of bounded size as the vectors are.
-    busy = {r.cell: -(-4 * r.n // block) for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    busy = {r.cell: -(-r.n // block) for r in named.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark = asked.sparkSession
     sides = spark.createDataFrame(
         [(int(c), int(b), int(busy[c])) for c, b in zip(index.number, index.blocks) if c in busy],
@@ -196,7 +209,7 @@ def met(asked: DataFrame, index: Cells, k: int, stage, skip_same: bool, block: i
     def every(n: str):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
-    left = asked.join(sides, "cell").withColumn("q_block", F.pmod(F.xxhash64("q", "vector"), F.col("q_blocks")))
+    left = asked.withColumn("cell", F.explode("cells")).join(sides, "cell").withColumn("q_block", F.pmod(F.xxhash64("q", "vector"), F.col("q_blocks")))
     left = left.withColumn("block", every("blocks")).select("cell", "block", "q_block", "q", "vector")
     right = index.vectors.join(sides, "cell").withColumn("q_block", every("q_blocks")).select(
         "cell", "block", "q_block", "id", "vector")
@@ -213,37 +226,52 @@ def met(asked: DataFrame, index: Cells, k: int, stage, skip_same: bool, block: i
 
 def best_pairs(q, a: np.ndarray, p, b: np.ndarray, k: int, skip_same: bool) -> pd.DataFrame:
     """The k nearest points of each query among a block of vectors of length 1."""
-    out: dict[str, list] = {"q": [], "p": [], "sim": []}
+    out: list[tuple] = []
     if len(a) and len(b):
-        ids = p.to_numpy()
+        ids, names = p.to_numpy(), q.to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, b = ids[order], b[order]
-        names, at_k = q.to_numpy(), min(k, len(ids)) - 1
-        # A slice of queries at a time, so that the similarities at hand are few beside the two blocks.
+        # A slice of queries and a part of the points at a time, so that few similarities are at hand beside the two blocks.
         for first in range(0, len(a), SLICE_ROWS):
             own = names[first:first + SLICE_ROWS]
-            sims = np.round(a[first:first + SLICE_ROWS] @ b.T, 9)
-            if skip_same:
-                sims[own[:, None] == ids[None, :]] = -np.inf
-            # Everything from the k-th similarity on, ties included; only those are sorted.
-            least = -np.partition(-sims, at_k, axis=1)[:, at_k]
-            for i, name in enumerate(own.tolist()):
-                at = np.flatnonzero((sims[i] >= least[i]) & (sims[i] > -np.inf))
-                pick = at[np.argsort(-sims[i][at], kind="stable")[:k]]
-                out["q"] += [name] * len(pick)
-                out["p"] += ids[pick].tolist()
-                out["sim"] += sims[i][pick].tolist()
-    return pd.DataFrame(out)
+            least = np.full(len(own), -np.inf)
+            row, at, sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for start in range(0, len(b), PART_ROWS):
+                sims = a[first:first + SLICE_ROWS] @ b[start:start + PART_ROWS].T
+                if skip_same:
+                    sims[own[:, None] == ids[None, start:start + PART_ROWS]] = -np.inf
+                # Everything that may reach the k-th similarity so far, ties after rounding included; only that is sorted.
+                new_row, new_at = np.nonzero((sims >= least[:, None] - 2e-9) & (sims > -np.inf))
+                if len(new_row) > 8 * k * len(own) and k < sims.shape[1]:
+                    bound = np.maximum(least, -np.partition(-sims, k - 1, axis=1)[:, k - 1])
+                    new_row, new_at = np.nonzero((sims >= bound[:, None] - 2e-9) & (sims > -np.inf))
+                if not len(new_row):
+                    continue
+                row, at = np.concatenate([row, new_row]), np.concatenate([at, new_at + start])
+                sim = np.concatenate([sim, np.round(sims[new_row, new_at], 9)])
+                order = np.lexsort((at, -sim, row))
+                row, at, sim = row[order], at[order], sim[order]
+                heads = np.searchsorted(row, row)
+                best = np.arange(len(row)) - heads < k
+                row, at, sim = row[best], at[best], sim[best]
+                last = np.searchsorted(row, np.arange(len(own)), "right")
+                full = np.bincount(row, minlength=len(own)) >= k
+                least[full] = sim[last[full] - 1]
+            out.append((own[row], ids[at], sim))
+    q_out, p_out, sim_out = (np.concatenate(x) for x in zip(*out)) if out else ([], [], [])
+    return pd.DataFrame({"q": q_out, "p": p_out, "sim": sim_out})
 
 
 def search(queries: DataFrame, index: Cells | None, k: int, stage: Callable[[DataFrame], DataFrame],
            query_id: str = "q", vector: str = "vector", probes: int = PROBES, exact: bool = False,
-           skip_same: bool = True, block: int = BLOCK_ROWS) -> DataFrame:
-    """``q, p, sim, rank``: the ``k`` nearest vectors of each query in the cells it asks, or of all."""
+           skip_same: bool = True, block: int | None = None) -> DataFrame:
+    """``q, p, sim, rank``: the ``k`` nearest vectors of each query in the cells it asks, or of all; queries are
+    cut into blocks as large as those of the index unless ``block`` is given."""
     asked = queries.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(
         F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("vector"))
     if index is None:
         return asked.select("q", F.col("q").alias("p"), F.lit(0.0).alias("sim"), F.lit(0).alias("rank")).limit(0)
+    block = block or index.block
     place = F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "p"))
     found = met(asked_cells(asked, index, probes), index, k, stage, skip_same, block)
     if exact and probes < int((index.number >= 0).sum()):

@@ -349,8 +349,10 @@ def embedding_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _embeddings(spark, sf_dir).select(
         "vec_id", F.col("embedding").cast("array<double>").alias("vector")
     )
-    # All vectors ask, so cells are as large as the blocks that meet.
-    index = cells.build(points, stored, "vec_id", cells=max(1, -(-points.count() // cells.BLOCK_ROWS)))
+    # All vectors ask most cells, so cells are as large as the blocks that meet, and blocks as large as a task can hold.
+    seen = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    block = cells.large_block(seen["dim"] or 1)
+    index = cells.build(points, stored, "vec_id", cells=max(1, -(-seen["n"] // block)), block=block)
     near = cells.search(points, index, 10, stored, "vec_id", exact=True)
     return near.select("q", "p", F.round("sim", 6).alias("sim"), "rank")
 

@@ -97,3 +97,31 @@ def test_full_blocks_meet_in_little_memory():
         sims[i] = -np.inf
         want = ids.to_numpy()[np.argsort(-sims, kind="stable")[:3]]
         assert got[got.q == ids[i]].p.tolist() == want.tolist()
+
+
+def test_best_of_many_parts_equals_a_full_sort(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(cells, "SLICE_ROWS", 7)
+    monkeypatch.setattr(cells, "PART_ROWS", 13)
+    rng = np.random.default_rng(8)
+    # Few directions, so that many similarities are equal.
+    a = rng.integers(-1, 2, (60, 3)).astype(float)
+    a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
+    for names in (np.arange(60)[::-1], np.array([f"w{i // 2}" for i in range(60)], object)):
+        for k in (1, 4, 100):
+            got = cells.best_pairs(pd.Series(names), a, pd.Series(names), a, k, True)
+            want = []
+            for i, q in enumerate(names):
+                own = sorted((-round(float(a[i] @ a[j]), 9) + 0.0, p) for j, p in enumerate(names) if p != q)[:k]
+                want += [(q, p, -s) for s, p in own]
+            assert sorted(zip(got.q, got.p, got.sim + 0.0)) == sorted(want)
+
+
+def test_a_meeting_copies_a_vector_once_for_each_large_block(spark):
+    """Copies of vectors grew with the number of rows over 4,096, whatever a task can hold."""
+    assert cells.large_block(64) == 65_536 and cells.large_block(100_000) == cells.BLOCK_ROWS
+    df = frame(spark, [(i, np.random.default_rng(i).normal(size=8).tolist(), "x") for i in range(300)])
+    index = cells.build(df, stored, cells=3, block=100)
+    asked = cells.asked_cells(df.selectExpr("id as q", "cast(vector as array<double>) vector"), index, 3)
+    assert asked.count() == 300 and all(sorted(r.cells) == [0, 1, 2] for r in asked.collect())
