@@ -143,3 +143,18 @@ def test_ranker_and_ranked_distractors(spark):
     # tokens of the passage, not parts of them: `thing` may be named beside `things`
     texts = {r.id: set(re.findall(r"\w+|[^\w\s]", r.article.lower())) for r in quiz(spark).collect()}
     assert near and all(r.word not in texts[r.id] and r["rank"] <= 3 for r in near)
+
+
+def test_ranker_learns_from_every_row(spark):
+    # the rows behind the first 2,000 are of another kind: they decide what a long wrong option means
+    rows = [(i, "Anna met Otto in Paris.", "Who met?", "Otto", *(["x" * 9 if i >= 2000 else "y"] * 3), "A") for i in range(4100)]
+    df = spark.createDataFrame(rows, "id long, article string, question string, A string, B string, C string, D string, answer string")
+    vectors = spark.createDataFrame([("otto", [1.0, 0.0]), ("anna", [0.0, 1.0])], "word string, vector array<double>")
+    pairs = distractors.ranker_rows(df)
+    assert pairs.select("id").distinct().count() == 4100
+    assert pairs.columns == ["id", "answer", "cand", "label", "freq"]
+    got = {(r.cand, r.label, r.freq) for r in pairs.where("id = 4000").collect()}
+    assert ("x" * 9, 1.0, 0) in got and ("anna", 0.0, 1) in got
+    one, first = (distractors.train_ranker(df, vectors, 2, 2, n).coefficients[3] for n in (None, 2000))
+    assert distractors.ranker_rows(df, 2000).select("id").distinct().count() == 2000
+    assert one > first
