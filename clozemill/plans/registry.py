@@ -771,10 +771,10 @@ def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kmeans_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inertia and silhouette of the stored model over the train rows, as a score table."""
+    """Inertia and silhouette of the stored model over all train rows, as a score table."""
 
     def build() -> DataFrame:
-        model, _ = models.kmeans(spark, sf_dir)
+        model, _ = models.kmeans(spark, sf_dir, sampled=False)
         train = models.train_rows(spark, sf_dir)
         placed = stored(clusters.assign(model, models.cluster_vectors(spark, sf_dir, train)))
         quality = clusters.silhouette(placed, vector="features").select(

@@ -158,3 +158,24 @@ def test_ranker_learns_from_every_row(spark):
     one, first = (distractors.train_ranker(df, vectors, 2, 2, n).coefficients[3] for n in (None, 2000))
     assert distractors.ranker_rows(df, 2000).select("id").distinct().count() == 2000
     assert one > first
+
+
+def test_silhouette_is_of_every_row(spark):
+    from pyspark.ml.linalg import Vectors
+
+    # more rows than the 5,000 that were sampled
+    n = 2600
+    rng = np.random.default_rng(7)
+    x = np.where(rng.random((n, 12)) < 0.7, 0, rng.random((n, 12)))
+    c = rng.integers(0, 3, n)
+    rows = [(i, Vectors.sparse(12, [(j, float(v)) for j, v in enumerate(row) if v]), int(k)) for i, (row, k) in enumerate(zip(x, c))]
+    df = spark.createDataFrame(rows, ["id", "features", "cluster_id"])
+    more = df.selectExpr(f"id + {n} id", "features", "cluster_id")
+    both = df.union(more)
+    want = brute_silhouette(np.concatenate([x, x]), np.concatenate([c, c]))
+    assert clusters.silhouette(both, vector="features").first()[0] == pytest.approx(want)
+    one = clusters.silhouette(both, vector="features", rows=300).first()[0]
+    assert one != pytest.approx(want, abs=1e-9)
+    for block in (700, 16384):
+        parts = clusters.silhouette_parts(both, 2 * n, vector="features", block=block)
+        assert parts.count() == 2 * n and parts.agg(F.avg("s")).first()[0] == pytest.approx(want)
