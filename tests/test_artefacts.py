@@ -110,3 +110,21 @@ def test_a_row_for_each_batch(spark, tmp_path):
     runs = latency.read_runs(spark, str(tmp_path / "runs")).orderBy("batch").collect()
     assert [r.batch for r in runs] == [0, 1, 2] and sorted(r.rows for r in runs) == [2, 3, 5]
     assert all(r.ms > 0 and r.add_ms <= r.ms for r in runs) and len({r.run for r in runs}) == 1
+
+
+def test_shuffle_files_go_with_the_write(spark, tmp_path):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def data():
+        return {n for n in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in n and n.endswith(".data")}
+
+    setting = spark.conf.get(tables.DROP_SHUFFLES)
+    spark.range(1000).repartition(3, "id").write.parquet(str(tmp_path / "plain"))
+    before = data()
+    tables.write_parquet(spark.range(1000).repartition(3, "id"), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1000
+    # files are taken away behind the write
+    end = time.monotonic() + 20
+    while data() - before and time.monotonic() < end:
+        time.sleep(0.2)
+    assert before and not data() - before and spark.conf.get(tables.DROP_SHUFFLES) == setting

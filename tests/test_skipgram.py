@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from clozemill.operators import embeddings, skipgram
+from clozemill.plans.stages import stored
 
 
 def cells(spark, n=400):
@@ -42,3 +43,26 @@ def test_layout_of_the_rows_does_not_matter(spark):
 def test_nothing_to_learn(spark):
     df = cells(spark).where("id is null or field = 'B'")
     assert skipgram.train(df, lambda t: t, dim=4).collect() == []
+
+
+def test_chunks_grow_with_many_texts():
+    number = skipgram.chunk_number
+    assert [number(n, 10) for n in (0, 10, 11, 160, 161, 640, 641, 6400)] == [1, 1, 2, 16, 16, 16, 17, 160]
+
+
+def test_an_epoch_hands_on_one_row_a_word(spark):
+    seen = []
+
+    def stage(df):
+        seen.append(stored(df))
+        return seen[-1]
+
+    got = table(skipgram.train(cells(spark), stage, dim=8, epochs=3, chunk_tokens=3000))
+    lazy = table(skipgram.train(cells(spark), lambda t: t, dim=8, epochs=3, chunk_tokens=3000))
+    assert set(got) == set(lazy) and all((got[w] == lazy[w]).all() for w in got)
+    # the texts, and the words before each epoch: a row a word with all of its chunks
+    assert len(seen) == 4
+    for words in seen[1:]:
+        rows = words.collect()
+        assert len(rows) == len({r.word for r in rows}) == len(got)
+        assert {r.word: len(set(r.chunks)) for r in rows}["sea1"] == 5 and all(len(set(r.chunks)) == len(r.chunks) for r in rows)
