@@ -416,34 +416,31 @@ def silhouette_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- word windows, noun phrases by a lexicon table ----------------------------
 
 
-def _word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Window counts of the words that stand twice or more in the passages, as a stage table."""
-
-    def build() -> DataFrame:
-        texts = _docs(spark, sf_dir)
-        return cooccurrence.text_window_counts(texts, stored(cooccurrence.text_word_counts(texts)))
-
-    return staged(spark, sf_dir, "windows", build)
+def _word_windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Window counts of the words that stand twice or more in the passages, and these words, as stage tables."""
+    words = staged(spark, sf_dir, "window_words", lambda: cooccurrence.text_word_counts(_docs(spark, sf_dir)))
+    table = staged(spark, sf_dir, "windows", lambda: cooccurrence.window_table(_docs(spark, sf_dir), words))
+    return table, words
 
 
 @query
 def cooccurrence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML8: how often two words stand at most five places apart."""
-    return _word_windows(spark, sf_dir)
+    return cooccurrence.named_windows(*_word_windows(spark, sf_dir))
 
 
 @query
 def word_pmi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML8: PMI of a word and a context, less the logarithm of 5 negative draws."""
-    found = cooccurrence.shifted_pmi(_word_windows(spark, sf_dir), 5.0, stored)
+    found = cooccurrence.windows_pmi(*_word_windows(spark, sf_dir), 5.0, stored)
     return found.select("word", "context", "n", F.round("pmi", 6).alias("pmi"))
 
 
 @query
 def word_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML8: vectors from the PMI table, with the vocabulary in tables only."""
-    pmi = cooccurrence.shifted_pmi(_word_windows(spark, sf_dir), stage=stored)
-    made = staged(spark, sf_dir, "factors", lambda: cooccurrence.factor_vectors(pmi, 32, 5, stage=stored))
+    table, words = _word_windows(spark, sf_dir)
+    made = staged(spark, sf_dir, "factors", lambda: cooccurrence.window_factors(table, words, 32, 5, stage=stored))
     return made.select("word", F.size("vector").alias("dim"), F.round(embeddings.norm(F.col("vector")), 6).alias("norm"))
 
 

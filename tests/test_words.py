@@ -125,3 +125,54 @@ def test_lexicon_equals_the_listed_rule(spark):
     rule = docs.select("id", X.candidate_phrases(X.tag_tokens(X.cased_tokens(F.col("text")), nouns)).alias("c"))
     want = {r.id: r.c for r in rule.collect()}
     assert {r.id: r.candidates for r in lexicon.candidate_phrases(docs, words).collect()} == want
+
+
+def test_packed_pairs_come_back(spark):
+    for pair, n in (([0], [1]), ([0, 1, 7, 2**46], [1, 70000, 255, 2**33]), (list(range(5000)), [1] * 5000)):
+        got = cooccurrence.unpacked_pairs(cooccurrence.packed_pairs(np.array(pair), np.array(n)))
+        assert [x.tolist() for x in got] == [pair, n]
+    parts = [(np.array([1, 5]), np.array([2, 3])), (np.array([0, 5, 9]), np.array([1, 1, 1]))]
+    assert [x.tolist() for x in cooccurrence.added_up(parts)] == [[0, 1, 5, 9], [1, 2, 4, 1]]
+    # prime, and no factor of the number of words
+    assert [cooccurrence.block_number(n * cooccurrence.BLOCK_PAIRS, w) for n, w in ((0, 1), (3, 10), (3, 9), (24, 29), (24, 7))] == [2, 3, 5, 31, 29]
+
+
+def test_coded_pmi_and_factors_are_those_of_named_pairs(spark, monkeypatch):
+    """Before, both ways of every pair were joined with the margins and the numbers of its words."""
+    rng = np.random.default_rng(4)
+    texts = spark.createDataFrame(
+        [(" ".join(f"w{j}" for j in (rng.zipf(1.4, 30) % 50)),) for _ in range(60)] + [("twin twin twin",), (None,), ("",)], "text string")
+    known = stored(cooccurrence.text_word_counts(texts))
+    monkeypatch.setattr(cooccurrence, "HELD", 40)
+    table = stored(cooccurrence.window_table(texts, known))
+    assert table.columns == ["pair", "n"]
+    plain = stored(cooccurrence.named_windows(table, known))
+    named = stored(cooccurrence.window_table(texts, known, limit=1))
+    assert sorted(plain.collect()) == sorted(named.select("a", "b", "n").collect())
+    for shift in (1.0, 5.0):
+        want = sorted(cooccurrence.shifted_pmi(plain, shift).collect())
+        assert sorted(cooccurrence.windows_pmi(table, known, shift).collect()) == want
+        assert sorted(cooccurrence.windows_pmi(named, known, shift, stored).collect()) == want
+        plan = cooccurrence.windows_pmi(table, known, shift)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    pmi = stored(cooccurrence.shifted_pmi(plain))
+    one, other = (
+        {r.word: np.array(r.vector) for r in made.collect()} for made in (
+            cooccurrence.factor_vectors(pmi, 4, 3, stage=stored), cooccurrence.window_factors(table, known, 4, 3, stage=stored)))
+    assert set(one) == set(other) and all(np.allclose(one[w], other[w], atol=1e-4) for w in one)
+    empty = cooccurrence.window_table(texts, known.limit(0))
+    assert cooccurrence.windows_pmi(empty, known.limit(0)).count() == 0
+
+
+def test_blocks_of_the_factors_grow_with_the_cells(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    cells = [(int(a), int(b), float(x)) for a, b, x in zip(rng.integers(0, 20, 200), rng.integers(0, 20, 200), rng.random(200))]
+    table = spark.createDataFrame(cells, "number int, other int, pmi float")
+    ids = spark.createDataFrame([(f"w{i}", i) for i in range(20)], "word string, number int")
+    seen = []
+    real = cooccurrence.ALS
+    monkeypatch.setattr(cooccurrence, "ALS", lambda **k: seen.append((k["numUserBlocks"], k["numItemBlocks"], k["checkpointInterval"])) or real(**k))
+    first = cooccurrence.cell_factors(table, ids, 3, 2, 0.05, 42).count()
+    monkeypatch.setattr(cooccurrence, "BLOCK_CELLS", 16)
+    assert cooccurrence.cell_factors(table, ids, 3, 2, 0.05, 42).count() == first == 20
+    assert seen == [(10, 10, 1), (13, 13, 1)]
