@@ -128,3 +128,14 @@ def test_shuffle_files_go_with_the_write(spark, tmp_path):
         time.sleep(0.2)
     assert before and not data() - before and spark.conf.get(tables.DROP_SHUFFLES) == setting
     assert spark.read.parquet(str(tmp_path / "t")).count() == 1000
+
+
+def test_overlapping_writes_leave_the_setting_as_it_was(spark):
+    setting = spark.conf.get(tables.DROP_SHUFFLES)
+    one, other = tables.shuffles_dropped(spark), tables.shuffles_dropped(spark)
+    one.__enter__()
+    other.__enter__()
+    one.__exit__(None, None, None)
+    assert spark.conf.get(tables.DROP_SHUFFLES) == "true"
+    other.__exit__(None, None, None)
+    assert spark.conf.get(tables.DROP_SHUFFLES) == setting and not tables._dropping

@@ -2,6 +2,7 @@
 
 import math
 import re
+import threading
 
 import numpy as np
 import pytest
@@ -179,3 +180,30 @@ def test_silhouette_is_of_every_row(spark):
     for block in (700, 16384):
         parts = clusters.silhouette_parts(both, 2 * n, vector="features", block=block)
         assert parts.count() == 2 * n and parts.agg(F.avg("s")).first()[0] == pytest.approx(want)
+
+
+def test_starts_of_kmeans_go_side_by_side(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(Vectors.dense(row.tolist()),) for row in rng.random((200, 3))], ["features"]).coalesce(1).cache()
+    alone = [KMeans(k=4, seed=42 + i, initMode="k-means||", maxIter=100, featuresCol="features").fit(df) for i in range(5)]
+    want = min(alone, key=lambda m: m.summary.trainingCost)
+    at_once, most, lock = [0], [0], threading.Lock()
+
+    class Counted(KMeans):
+        def fit(self, rows):
+            with lock:
+                at_once[0] += 1
+                most[0] = max(most[0], at_once[0])
+            try:
+                return super().fit(rows)
+            finally:
+                with lock:
+                    at_once[0] -= 1
+
+    monkeypatch.setattr(clusters, "KMeans", Counted)
+    model, cost = clusters.train_kmeans(df, k=4, starts=5)
+    assert cost == pytest.approx(want.summary.trainingCost) and 1 < most[0] <= clusters.AT_ONCE
+    assert np.allclose(model.clusterCenters(), want.clusterCenters())
